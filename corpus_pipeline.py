@@ -1,25 +1,56 @@
-"""Pipeline from raw documents to encoded training text."""
+"""From raw documents to encoded training text, in five stages.
+
+Each stage takes what the one before it kept, written as Parquet and read again.
+"""
 
 from __future__ import annotations
 
-from lodemark.llm import mixing, quality_rules
-from lodemark.llm.common import table
+from lodemark.llm import minhash_dedup, mixing, pii, quality_rules, sentencepiece_codec
+from lodemark.llm.common import scratch_path, table
 
 
 def quality(spark, docs, sf_dir):
+    """Documents that the base rule or the learned rules reject go."""
     return quality_rules.keep(docs, table(spark, sf_dir, "labels"))
 
 
-def mixed(spark, docs, sf_dir):
+def near_duplicates(spark, docs, sf_dir):
+    """One document of each group of near copies stays."""
+    return minhash_dedup.keep_one(docs)
+
+
+def personal_data(spark, docs, sf_dir):
+    """Personal data is masked in the text."""
+    return pii.mask(docs)
+
+
+def mixture(spark, docs, sf_dir):
+    """Documents are taken to the target weights, some more than once."""
     return mixing.mixed_documents(docs)
 
 
-STAGES = [("quality_rules", quality), ("source_mixing", mixed)]
+def encoding(spark, docs, sf_dir):
+    """Texts become pieces' ids."""
+    return sentencepiece_codec.encode(docs, sentencepiece_codec.read_model())
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("minhash_dedup", near_duplicates),
+    ("pii", personal_data),
+    ("source_mixing", mixture),
+    ("sentencepiece", encoding),
+]
+#: SQL cannot express signatures, the field or merges; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            path = scratch_path(spark, f"pipeline-{name}")
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
     return docs

@@ -172,7 +172,7 @@ def oracle_sql(share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: int = S
         len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens
       FROM documents),
     leaves AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens,
-        CASE WHEN {lang} > 0 AND {source} > 0 THEN sum(n_tokens)::DOUBLE * {max_epochs} ELSE 0.0 END AS cap FROM counts GROUP BY ALL),
+        CASE WHEN {lang} > 0 AND {source} > 0 THEN sum(n_tokens)::DOUBLE * {max_epochs} ELSE 0.0 END AS cap FROM counts GROUP BY domain, lang, source),
     domains AS (SELECT domain, sum(cap) AS cap FROM leaves GROUP BY domain),
     domain_q AS ({_fill_sql("domains", "", "domain", _case("domain", DOMAIN_WEIGHTS), f"(SELECT sum(tokens)::DOUBLE * {share} FROM leaves)")}),
     langs AS (SELECT l.domain, l.lang, sum(l.cap) AS cap, any_value(q.quota) AS above FROM leaves l JOIN domain_q q USING (domain) GROUP BY l.domain, l.lang),
