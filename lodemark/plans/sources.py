@@ -1 +1,81 @@
-"""To come."""
+"""Sources and sinks as queries: exports, SARIF, manifests, reports."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..sources import formats
+from .governance import top_files
+from .registry import query
+
+_Q = "CASE WHEN regexp_matches({0}, '[,\"\\n]') THEN '\"' || replace({0}, '\"', '\"\"') || '\"' ELSE {0} END"
+
+
+@query("csv_export", "SELECT " + " || ',' || ".join(_Q.format(c) for c in ("scan_id::VARCHAR", "file_path", "(risk || ', ' || status)", "repo")) + " AS line FROM violations ORDER BY scan_id DESC, file_path LIMIT 10000")
+def csv_export(g):
+    """The violations export: quoted lines, 10,000 at most (the export's own limit)."""
+    rows = g.violations.select("scan_id", "file_path", F.concat_ws(", ", "risk", "status").alias("what"), "repo")
+    rows = rows.orderBy(F.desc("scan_id"), "file_path").limit(10_000)
+    return rows.select(formats.csv_line("scan_id", "file_path", "what", "repo").alias("line"))
+
+
+@query("json_export", "SELECT org_id, count(*) AS count, sha256(string_agg(scan_id || ':' || file_path, ',' ORDER BY scan_id, file_path)) AS digest FROM attestations WHERE risk = 'CRITICAL' AND attested_at >= TIMESTAMP '2001-06-01' GROUP BY 1")
+def json_export(g):
+    """Size and digest of the JSON export's rows; :func:`formats.json_document` writes it."""
+    rows = g.attestations.where("risk = 'CRITICAL' and attested_at >= timestamp_ntz'2001-06-01'")
+    key = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("scan_id", "file_path"))), lambda x: F.concat_ws(":", x["scan_id"], x["file_path"])), ",")
+    return rows.groupBy("org_id").agg(F.count("*").alias("count"), F.sha2(key, 256).alias("digest"))
+
+
+@query("sarif_results", "SELECT repo, file_path, indicator AS rule, CASE WHEN risk IN ('CRITICAL', 'HIGH') THEN 'error' WHEN risk = 'MEDIUM' THEN 'warning' ELSE 'note' END AS level, greatest(1, line_count - 30)::BIGINT AS line FROM (SELECT *, unnest(indicators) AS indicator FROM top_files)")
+def sarif_results(g):
+    """Findings as rows of a SARIF report: level by risk, lines from 1 on."""
+    rows = top_files(g).withColumn("rule", F.explode("indicators"))
+    return rows.select("repo", "file_path", "rule", formats.sarif_level(F.col("risk")).alias("level"), F.greatest(F.lit(1), F.col("line_count") - 30).alias("line"))
+
+
+@query("sarif_rules", "SELECT repo, list_sort(list(DISTINCT indicator)) AS rules FROM (SELECT repo, unnest(indicators) AS indicator FROM top_files) GROUP BY 1")
+def sarif_rules(g):
+    return top_files(g).select("repo", F.explode("indicators").alias("rule")).groupBy("repo").agg(F.array_sort(F.collect_set("rule")).alias("rules"))
+
+
+@query("compliance_report", "SELECT org_id, s.n AS scans, coalesce(v.total, 0) AS violations, coalesce(v.resolved, 0) AS resolved, coalesce(a.n, 0) AS attestations FROM (SELECT org_id, count(*) AS n FROM scans WHERE created_at BETWEEN TIMESTAMP '2000-01-01' AND TIMESTAMP '2000-12-31' GROUP BY 1) s LEFT JOIN (SELECT org_id, count(*) AS total, count(*) FILTER (status = 'resolved') AS resolved FROM violations WHERE created_at BETWEEN TIMESTAMP '2000-01-01' AND TIMESTAMP '2000-12-31' GROUP BY 1) v USING (org_id) LEFT JOIN (SELECT org_id, count(*) AS n FROM attestations WHERE attested_at BETWEEN TIMESTAMP '2000-01-01' AND TIMESTAMP '2000-12-31' GROUP BY 1) a USING (org_id)")
+def compliance_report(g, first: str = "2000-01-01", last: str = "2000-12-31"):
+    """Counts over a closed interval."""
+    within = lambda df, c: df.where(F.col(c).between(F.lit(first).cast("timestamp_ntz"), F.lit(last).cast("timestamp_ntz")))
+    scans = within(g.scans_plain, "created_at").groupBy("org_id").agg(F.count("*").alias("scans"))
+    bad = within(g.violations, "created_at").groupBy("org_id").agg(F.count("*").alias("violations"), F.count_if(F.col("status") == "resolved").alias("resolved"))
+    signed = within(g.attestations, "attested_at").groupBy("org_id").agg(F.count("*").alias("attestations"))
+    return scans.join(bad, "org_id", "left").join(signed, "org_id", "left").fillna(0)
+
+
+@query("scannable_files", "SELECT file_path, regexp_matches(file_path, '\\.(ts|tsx|js|jsx|py|go|java|rb|rs|cs|php|swift|kt)$') AS scannable FROM (SELECT 'src/' || doc_id || CASE lang WHEN 'en' THEN '.ts' WHEN 'de' THEN '.py' WHEN 'fr' THEN '.md' ELSE '.lock' END AS file_path FROM documents)")
+def scannable_files(g):
+    """Which files are scanned, by their extension."""
+    ext = F.when(F.col("lang") == "en", ".ts").when(F.col("lang") == "de", ".py").when(F.col("lang") == "fr", ".md").otherwise(".lock")
+    rows = g.table("documents").select(F.concat(F.lit("src/"), "doc_id", ext).alias("file_path"))
+    return rows.select("file_path", formats.scannable(F.col("file_path")).alias("scannable"))
+
+
+_MANIFEST = "'{\"dependencies\":{\"' || replace(p_name, ' ', '-') || '\":\"^' || p_size || '.2.' || p_partkey % 7 || '\",\"lodash\":\"4.17.' || p_partkey % 25 || '\"}}'"
+
+
+@query("manifest_dependencies", "SELECT p_partkey, 'npm' AS ecosystem, unnest([replace(p_name, ' ', '-'), 'lodash']) AS name, unnest([p_size || '.2.' || p_partkey % 7, '4.17.' || p_partkey % 25]) AS version FROM part")
+def manifest_dependencies(g):
+    """Dependencies read from one generated package manifest for each part."""
+    rows = g.table("part").selectExpr("p_partkey", f"{_MANIFEST} as content")
+    return rows.select("p_partkey", F.explode(formats.npm_dependencies(F.col("content"))).alias("d")).select("p_partkey", F.lit("npm").alias("ecosystem"), "d.name", "d.version")
+
+
+@query("requirements_dependencies", "SELECT p_partkey, replace(p_name, ' ', '_') AS name, p_size || '.0' AS version FROM part")
+def requirements_dependencies(g):
+    rows = g.table("part").selectExpr("p_partkey", "'# pinned\\n' || replace(p_name, ' ', '_') || '==' || p_size || '.0\\n\\n' as content")
+    return rows.select("p_partkey", F.explode(formats.requirements(F.col("content"))).alias("d")).select("p_partkey", "d.name", "d.version")
+
+
+@query("git_log", "SELECT event_id, user_id AS author, ts, event_type || ' | ' || props AS subject, value > 10 AS signed FROM events")
+def git_log(g):
+    """Commits parsed from log lines; a subject may hold the separator."""
+    lines = g.table("events").select("event_id", F.concat_ws("|", F.sha2(F.col("event_id").cast("string"), 256), "user_id", F.concat(F.col("user_id").cast("string"), F.lit("@x")), F.unix_micros(F.col("ts").cast("timestamp")), F.when(F.col("value") > 10, "G").otherwise("N"), F.concat_ws(" | ", "event_type", "props")).alias("line"))
+    c = formats.commit(F.col("line"))
+    return lines.select("event_id", c["name"].cast("long").alias("author"), F.timestamp_micros(c["ts"].cast("long")).cast("timestamp_ntz").alias("ts"), c["subject"].alias("subject"), (c["gpg"] == "G").alias("signed"))
