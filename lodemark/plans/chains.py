@@ -1 +1,221 @@
-"""To come."""
+"""Sequences and graphs: bursts, hash chains, baselines, import graphs, dependencies."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..operators import iterate
+from .registry import query
+
+_COMMITS = "(SELECT event_id, user_id, ts, value, CAST(epoch(ts) AS BIGINT) AS s FROM events)"
+
+
+def commits(g) -> DataFrame:
+    return g.table("events").select("event_id", "user_id", "ts", "value", F.unix_seconds(F.col("ts").cast("timestamp")).alias("s"))
+
+
+@query("commit_bursts", f"SELECT user_id, max(n) AS max_per_hour FROM (SELECT user_id, count(*) OVER (PARTITION BY user_id ORDER BY s RANGE BETWEEN CURRENT ROW AND 3599 FOLLOWING) AS n FROM (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events)) GROUP BY 1")
+def commit_bursts(g):
+    """Most commits of an author in any hour that starts at a commit."""
+    hour = Window.partitionBy("user_id").orderBy("s").rangeBetween(Window.currentRow, 3599)
+    return commits(g).withColumn("n", F.count("*").over(hour)).groupBy("user_id").agg(F.max("n").alias("max_per_hour"))
+
+
+@query("author_gaps", "SELECT user_id, count(*) AS commits, round(epoch(max(ts) - min(ts)) / nullif(count(*) - 1, 0), 4) AS mean_gap_s FROM events GROUP BY 1")
+def author_gaps(g):
+    span = (F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / 1e6
+    return g.table("events").groupBy("user_id").agg(F.count("*").alias("commits"), F.round(span / F.nullif(F.count("*") - 1, F.lit(0)), 4).alias("mean_gap_s"))
+
+
+@query("provenance_risk", """SELECT user_id, round(0.30 * unsigned + least(0.70, 0.20 * (burst >= 5)::INT + 0.08 * (gap < 60)::INT + 0.02 * (nights > 0.5)::INT), 6) AS score FROM (SELECT user_id, avg((value <= 10)::INT) AS unsigned, avg((hour(ts) < 6)::INT) AS nights, coalesce(epoch(max(ts) - min(ts)) / nullif(count(*) - 1, 0), 1e9) AS gap FROM events GROUP BY 1)
+    JOIN (SELECT user_id, max(n) AS burst FROM (SELECT user_id, count(*) OVER (PARTITION BY user_id ORDER BY s RANGE BETWEEN CURRENT ROW AND 3599 FOLLOWING) AS n FROM (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events)) GROUP BY 1) USING (user_id)""")
+def provenance_risk(g):
+    """Risk of an author's history: unsigned share, bursts, tiny gaps, night work."""
+    own = commits(g).groupBy("user_id").agg(
+        F.avg((F.col("value") <= 10).cast("int")).alias("unsigned"), F.avg((F.hour("ts") < 6).cast("int")).alias("nights"),
+        F.coalesce((F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / 1e6 / F.nullif(F.count("*") - 1, F.lit(0)), F.lit(1e9)).alias("gap"),
+    )
+    rows = own.join(commit_bursts(g), "user_id")
+    points = lambda test, n: F.when(test, n).otherwise(0.0)
+    score = F.col("unsigned") * 0.30 + F.least(F.lit(0.70), points(F.col("max_per_hour") >= 5, 0.20) + points(F.col("gap") < 60, 0.08) + points(F.col("nights") > 0.5, 0.02))
+    return rows.select("user_id", F.round(score, 6).alias("score"))
+
+
+def chained(rows: DataFrame, key: str, order: str, payload: str) -> DataFrame:
+    """(key, order, payload, prev_hash, entry_hash): each entry hashes the one before it.
+
+    A chain is sequential by nature, so it is one ordered fold for each key.
+    """
+    packed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(payload).alias("p")))).alias("e"))
+    start = "struct('GENESIS' as last, cast(array() as array<struct<o:bigint,p:string,prev:string,h:string>>) as done)"
+    step = "struct(sha2(concat(z.last, ':', x.o, ':', x.p), 256) as last, concat(z.done, array(struct(x.o as o, x.p as p, z.last as prev, sha2(concat(z.last, ':', x.o, ':', x.p), 256) as h))) as done)"
+    out = packed.select(key, F.expr(f"explode(aggregate(e, {start}, (z, x) -> {step}, z -> z.done))").alias("x"))
+    return out.select(key, F.col("x.o").alias(order), F.col("x.p").alias(payload), F.col("x.prev").alias("prev_hash"), F.col("x.h").alias("entry_hash"))
+
+
+def verify_chain(rows: DataFrame, key: str, order: str, payload: str) -> DataFrame:
+    """(key, entries, valid, first_broken): entries against their own content and the one before.
+
+    Verification is not sequential: each entry is tested against stored hashes with one lag.
+    """
+    before = F.coalesce(F.lag("entry_hash").over(Window.partitionBy(key).orderBy(order)), F.lit("GENESIS"))
+    again = F.sha2(F.concat_ws(":", F.col("_before"), F.col(order), F.col(payload)), 256)
+    bad = (F.col("prev_hash") != F.col("_before")) | (F.col("entry_hash") != again)
+    rows = rows.withColumn("_before", before)
+    return rows.groupBy(key).agg(F.count("*").alias("entries"), (F.count_if(bad) == 0).alias("valid"), F.min(F.when(bad, F.col(order))).alias("first_broken"))
+
+
+@query("chain_verify", "SELECT user_id, count(*) AS entries, count(*) FILTER (event_id % 97 = 0) = 0 AS valid, min(event_id) FILTER (event_id % 97 = 0) AS first_broken FROM events GROUP BY 1")
+def chain_verify(g):
+    """Chains of each user's events, some payloads altered afterwards: the first broken entry."""
+    rows = g.table("events").select("user_id", "event_id", F.concat_ws("|", "event_type", "props").alias("payload"))
+    stored = chained(rows, "user_id", "event_id", "payload")
+    stored = stored.withColumn("payload", F.when(F.col("event_id") % 97 == 0, F.concat("payload", F.lit("!"))).otherwise(F.col("payload")))
+    return verify_chain(stored, "user_id", "event_id", "payload")
+
+
+@query("rolling_chain", "SELECT scan_id, list_reduce(list_prepend('SEED', list(file_path || ':' || line_count ORDER BY file_path)), lambda a, x: sha256(a || '::' || x)) AS seal FROM scan_files GROUP BY 1")
+def rolling_chain(g):
+    """A seal over each scan's files in order of path."""
+    files = g.scan_files.groupBy("scan_id").agg(F.array_sort(F.collect_list(F.struct("file_path", "line_count"))).alias("f"))
+    seal = F.aggregate("f", F.lit("SEED"), lambda a, x: F.sha2(F.concat_ws("::", a, F.concat_ws(":", x["file_path"], x["line_count"])), 256))
+    return files.select("scan_id", seal.alias("seal"))
+
+
+@query("attestation_hash", "SELECT scan_id, file_path, sha256(scan_id || '::' || file_path || '::' || reviewer || '::' || risk) AS payload_hash FROM attestations")
+def attestation_hash(g):
+    return g.attestations.select("scan_id", "file_path", F.sha2(F.concat_ws("::", "scan_id", "file_path", "reviewer", "risk"), 256).alias("payload_hash"))
+
+
+@query("baseline_ema", "SELECT user_id, count(*) AS n, round(list_reduce(list(value ORDER BY ts, event_id), lambda a, x, i: a + least(0.3::DOUBLE, 1.0::DOUBLE / i) * (x - a)), 6) AS ema FROM events GROUP BY 1")
+def baseline_ema(g):
+    """A developer's baseline: an ordered fold with a rate of 1 / n, 0.3 at most."""
+    packed = g.table("events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("e"))
+    step = "struct(z.n + 1 as n, case when z.n = 0 then x.value else z.v + least(0.3D, 1D / (z.n + 1)) * (x.value - z.v) end as v)"
+    return packed.select("user_id", F.size("e").cast("long").alias("n"), F.expr(f"round(aggregate(e, struct(0 as n, 0D as v), (z, x) -> {step}, z -> z.v), 6)").alias("ema"))
+
+
+_EDGES = "edges AS (SELECT p_partkey AS src, (p_partkey * 7 + 3) % (SELECT count(*) FROM part) AS dst FROM part WHERE p_size % 3 <> 0 UNION SELECT p_partkey, (p_partkey * 13 + 5) % (SELECT count(*) FROM part) FROM part WHERE p_size % 4 = 0)"
+
+
+def import_edges(g) -> DataFrame:
+    """src imports dst: a graph over the parts, as modules."""
+    part = g.table("part")
+    n = part.agg(F.count("*").alias("n"))
+    rows = part.crossJoin(F.broadcast(n))
+    k = F.col("p_partkey")
+    one = rows.where("p_size % 3 <> 0").select(k.alias("src"), ((k * 7 + 3) % F.col("n")).alias("dst"))
+    two = rows.where("p_size % 4 = 0").select(k.alias("src"), ((k * 13 + 5) % F.col("n")).alias("dst"))
+    return one.unionByName(two).distinct()
+
+
+@query("import_reach", f"WITH RECURSIVE {_EDGES}, r(node) AS (SELECT p_partkey FROM part WHERE p_size = 50 UNION SELECT src FROM edges JOIN r ON dst = node) SELECT node FROM r")
+def import_reach(g):
+    """All modules that import a tainted one, directly or through others."""
+    back = iterate.checkpointed(import_edges(g).select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    seeds = g.table("part").where("p_size = 50").select(F.col("p_partkey").alias("node"))
+    return iterate.reach(back, seeds).select("node")
+
+
+@query("transitive_imports", f"WITH RECURSIVE {_EDGES}, r(node) AS (SELECT 1::BIGINT UNION SELECT dst FROM edges JOIN r ON src = node) SELECT node FROM r")
+def transitive_imports(g, start: int = 1):
+    edges = iterate.checkpointed(import_edges(g))
+    return iterate.reach(edges, g.spark.createDataFrame([(start,)], "node long")).select("node")
+
+
+@query("import_cycles", f"WITH RECURSIVE {_EDGES}, p(first, last, path, n) AS (SELECT src, dst, [src], 1 FROM edges WHERE dst >= src UNION ALL SELECT first, dst, list_append(path, last), n + 1 FROM p JOIN edges ON last = src WHERE last <> first AND dst >= first AND n < 6 AND NOT list_contains(list_append(path, last), CASE WHEN dst = first THEN -1 ELSE dst END)) SELECT array_to_string(path, '>') AS cycle, n AS length FROM p WHERE last = first")
+def import_cycles(g):
+    """Import cycles of up to six modules."""
+    rows = iterate.cycles(iterate.checkpointed(import_edges(g)))
+    return rows.select(F.array_join(F.transform("cycle", lambda x: x.cast("string")), ">").alias("cycle"), "length")
+
+
+@query("dead_exports", f"WITH {_EDGES} SELECT p_partkey AS module FROM part WHERE p_partkey NOT IN (SELECT dst FROM edges)")
+def dead_exports(g):
+    """Modules whose export nothing imports."""
+    exports = g.table("part").select(F.col("p_partkey").alias("module"), F.lit("default").alias("name"))
+    return iterate.dead_exports(exports, import_edges(g).select(F.col("dst").alias("module"), F.lit("default").alias("name"))).select("module")
+
+
+@query("contamination", f"WITH RECURSIVE {_EDGES}, v(node, value, d) AS (SELECT p_partkey, CASE WHEN p_size = 50 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END, 0 FROM part UNION SELECT src, value * 0.7::DOUBLE, d + 1 FROM v JOIN edges ON dst = node WHERE d < 12 AND value > 0) SELECT node, round(max(value), 8) AS value FROM v GROUP BY 1")
+def contamination(g):
+    """Risk that modules take over from what they import, dependencies first."""
+    nodes = g.table("part").select(F.col("p_partkey").alias("node"), F.when(F.col("p_size") == 50, 1.0).otherwise(0.0).alias("own"))
+    rows = iterate.contamination(nodes, iterate.checkpointed(import_edges(g)))
+    return rows.select("node", F.round("value", 8).alias("value"))
+
+
+@query("import_resolution", "SELECT p_partkey AS importer, 'lib/m' || p_partkey % 50 || CASE p_partkey % 50 % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '.js' ELSE '/index.ts' END AS path FROM part")
+def import_resolution(g):
+    """Imports without extension resolved to the first file that exists."""
+    imports = g.table("part").select(F.col("p_partkey").alias("importer"), F.concat(F.lit("lib/m"), F.col("p_partkey") % 50).alias("target"))
+    k = F.col("k")
+    files = g.spark.range(50).toDF("k").select(F.explode(F.when(k % 3 == 0, F.array(F.lit(".ts"), F.lit(".js"))).when(k % 3 == 1, F.array(F.lit(".js"), F.lit("/index.ts"))).otherwise(F.array(F.lit("/index.ts")))).alias("e"), "k")
+    return iterate.resolve_imports(imports, files.select(F.concat(F.lit("lib/m"), "k", "e").alias("path"))).select("importer", "path")
+
+
+# Package, first vulnerable version (or none) and first fixed one, severity.
+CVE_RANGES = [("small ring", None, "12.2.3", "high"), ("red widget", "10.0.0", "20.0.0", "critical"), ("blue gear", None, "30.1.0", "medium"), ("steel bolt", "5.0.0", "45.2.2", "high"), ("large bolt", None, "25.0.0", "low")]
+
+
+def version_key(version):
+    """Three numbers of a version, missing or odd parts as 0, for comparison as an array."""
+    part = F.split(F.regexp_replace(version, r"^[^0-9]*", ""), r"[.\-+]")
+    return F.array(*[F.coalesce(F.try_element_at(part, F.lit(i + 1)).try_cast("int"), F.lit(0)) for i in range(3)])
+
+
+def match_cves(packages: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Packages (name, version) whose version lies in a range [low, high) of their name.
+
+    The join is on the name; the range is a filter on the matches. Versions that are not
+    pinned (*) count as 0, as range checks take them.
+    """
+    rows = packages.withColumn("v", version_key(F.col("version"))).join(F.broadcast(ranges), "name")
+    inside = (F.col("v") < version_key(F.col("high"))) & (F.col("low").isNull() | (F.col("v") >= version_key(F.coalesce("low", F.lit("0")))))
+    return rows.where(inside).withColumn("unpinned", F.col("version") == "*").drop("v")
+
+
+@query("cve_range_match", "WITH r(name, low, high, severity) AS (VALUES " + ", ".join(f"('{n}', {repr(a) if a else 'NULL'}, '{b}', '{s}')" for n, a, b, s in CVE_RANGES) + ") SELECT p_partkey, name, severity FROM (SELECT p_partkey, p_name, [p_size::INT, 2, (p_partkey % 7)::INT] AS v FROM part) JOIN r ON name = p_name WHERE v < list_transform(string_split(high, '.'), lambda x: x::INT) AND (low IS NULL OR v >= list_transform(string_split(low, '.'), lambda x: x::INT))")
+def cve_range_match(g):
+    packages = g.table("part").select("p_partkey", F.col("p_name").alias("name"), F.concat_ws(".", "p_size", F.lit(2), F.col("p_partkey") % 7).alias("version"))
+    ranges = g.spark.createDataFrame(CVE_RANGES, "name string, low string, high string, severity string")
+    return match_cves(packages, ranges).select("p_partkey", "name", "severity")
+
+
+# Names that typosquats imitate.
+POPULAR = ["react", "lodash", "express", "axios", "moment", "webpack", "eslint", "jquery", "chalk", "commander"]
+
+
+def typosquats(packages: DataFrame, popular=POPULAR) -> DataFrame:
+    """Packages at edit distance 1 of a popular name; the list is a short constant array."""
+    names = F.array(*[F.lit(p) for p in popular])
+    near = F.filter(names, lambda p: F.levenshtein(F.col("name"), p) == 1)
+    return packages.withColumn("imitates", F.try_element_at(near, F.lit(1))).where("imitates is not null")
+
+
+_NAME = "CASE WHEN p_partkey % 10 = 0 THEN list_extract(['" + "', '".join(POPULAR) + "'], (p_partkey // 10 % 10)::INT + 1) || 'x' ELSE replace(p_name, ' ', '-') END"
+
+
+@query("typosquat", f"SELECT p_partkey, name, popular AS imitates FROM (SELECT p_partkey, {_NAME} AS name FROM part) JOIN (SELECT unnest(['" + "', '".join(POPULAR) + "']) AS popular) ON levenshtein(name, popular) = 1")
+def typosquat(g):
+    k = F.col("p_partkey")
+    mutated = F.concat(F.element_at(F.array(*[F.lit(p) for p in POPULAR]), (F.floor(k / 10) % 10 + 1).cast("int")), F.lit("x"))
+    packages = g.table("part").select(k, F.when(k % 10 == 0, mutated).otherwise(F.replace("p_name", F.lit(" "), F.lit("-"))).alias("name"))
+    return typosquats(packages)
+
+
+# CVSS base by vulnerability class, and the factor of each reachability.
+CVSS = {"ECONOMY": 9.8, "STANDARD": 7.5, "PROMO": 8.1, "SMALL": 5.3}
+REACH = {"unreachable": 0.30, "conditional": 0.65, "reachable": 1.0, "entry_point": 1.15}
+
+
+@query("exploitability", "SELECT p_partkey, round(least(10.0, coalesce(base, 6.5)::DOUBLE * CASE p_partkey % 4 WHEN 0 THEN 0.30 WHEN 1 THEN 0.65 WHEN 2 THEN 1.0 ELSE 1.15 END::DOUBLE * CASE WHEN p_size % 2 = 0 THEN 0.7 ELSE 1 END::DOUBLE * CASE WHEN p_size % 3 = 0 THEN 0.85 ELSE 1 END::DOUBLE), 4) AS score FROM part LEFT JOIN (VALUES " + ", ".join(f"('{k}', {v})" for k, v in CVSS.items()) + ") c(kind, base) ON p_type = kind")
+def exploitability(g):
+    """CVSS base (6.5 where unknown) times reachability, authentication and rate limit."""
+    base = g.spark.createDataFrame(list(CVSS.items()), "p_type string, base double")
+    k = F.col("p_partkey") % 4
+    factor = F.when(k == 0, REACH["unreachable"]).when(k == 1, REACH["conditional"]).when(k == 2, REACH["reachable"]).otherwise(REACH["entry_point"])
+    rows = g.table("part").join(F.broadcast(base), "p_type", "left")
+    score = F.coalesce("base", F.lit(6.5)) * factor * F.when(F.col("p_size") % 2 == 0, 0.7).otherwise(1.0) * F.when(F.col("p_size") % 3 == 0, 0.85).otherwise(1.0)
+    return rows.select("p_partkey", F.round(F.least(F.lit(10.0), score), 4).alias("score"))
