@@ -210,7 +210,7 @@ CVSS = {"ECONOMY": 9.8, "STANDARD": 7.5, "PROMO": 8.1, "SMALL": 5.3}
 REACH = {"unreachable": 0.30, "conditional": 0.65, "reachable": 1.0, "entry_point": 1.15}
 
 
-@query("exploitability", "SELECT p_partkey, round(least(10.0, coalesce(base, 6.5)::DOUBLE * CASE p_partkey % 4 WHEN 0 THEN 0.30 WHEN 1 THEN 0.65 WHEN 2 THEN 1.0 ELSE 1.15 END::DOUBLE * CASE WHEN p_size % 2 = 0 THEN 0.7 ELSE 1 END::DOUBLE * CASE WHEN p_size % 3 = 0 THEN 0.85 ELSE 1 END::DOUBLE), 4) AS score FROM part LEFT JOIN (VALUES " + ", ".join(f"('{k}', {v})" for k, v in CVSS.items()) + ") c(kind, base) ON p_type = kind")
+@query("exploitability", "SELECT p_partkey, round(least(10.0, coalesce(base, 6.5)::DOUBLE * CASE p_partkey % 4 WHEN 0 THEN 0.30 WHEN 1 THEN 0.65 WHEN 2 THEN 1.0 ELSE 1.15 END::DOUBLE * CASE WHEN p_size % 2 = 0 THEN 0.7 ELSE 1 END::DOUBLE * CASE WHEN p_size % 3 = 0 THEN 0.85 ELSE 1 END::DOUBLE), 8) AS score FROM part LEFT JOIN (VALUES " + ", ".join(f"('{k}', {v})" for k, v in CVSS.items()) + ") c(kind, base) ON p_type = kind")
 def exploitability(g):
     """CVSS base (6.5 where unknown) times reachability, authentication and rate limit."""
     base = g.spark.createDataFrame(list(CVSS.items()), "p_type string, base double")
@@ -218,4 +218,4 @@ def exploitability(g):
     factor = F.when(k == 0, REACH["unreachable"]).when(k == 1, REACH["conditional"]).when(k == 2, REACH["reachable"]).otherwise(REACH["entry_point"])
     rows = g.table("part").join(F.broadcast(base), "p_type", "left")
     score = F.coalesce("base", F.lit(6.5)) * factor * F.when(F.col("p_size") % 2 == 0, 0.7).otherwise(1.0) * F.when(F.col("p_size") % 3 == 0, 0.85).otherwise(1.0)
-    return rows.select("p_partkey", F.round(F.least(F.lit(10.0), score), 4).alias("score"))
+    return rows.select("p_partkey", F.round(F.least(F.lit(10.0), score), 8).alias("score"))
