@@ -16,8 +16,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def md5_long(*parts):
-    """60 bits of the md5 of the parts' text, joined by ``:``; the same in any SQL engine."""
-    text = F.concat_ws(":", *[p.cast("string") if not isinstance(p, str) else F.lit(p) for p in parts])
+    """60 bits of the md5 of the parts' text, joined by ``:``; null parts are empty."""
+    text = F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("")) if not isinstance(p, str) else F.lit(p) for p in parts])
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
@@ -49,6 +49,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files that no plan needs since its lineage was cut.
+
+    They go when the driver's JVM collects its garbage, which a short loop may never cause.
+    """
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, keep=None) -> DataFrame:
     """At most ``bound`` labelled rows (doc_id, label), those with the least md5 of the id.
 

@@ -181,6 +181,6 @@ def oracle_sql(share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: int = S
     source_q AS ({_fill_sql("sources", "domain, lang", "source", source, "above")}),
     ends AS (SELECT domain, lang, source, whole, q - whole * tokens AS rest FROM (
       SELECT *, CASE WHEN tokens > 0 THEN q // tokens ELSE 0 END AS whole FROM (SELECT *, floor(quota + 1e-6)::BIGINT AS q FROM source_q))),
-    placed AS (SELECT c.*, whole, rest, ('0x' || substr(md5('{seed}:' || whole || ':' || doc_id), 1, 15))::BIGINT AS h FROM counts c JOIN ends USING (domain, lang, source)),
+    placed AS (SELECT c.*, whole, rest, ('0x' || substr(md5('{seed}:' || whole || ':' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM counts c JOIN ends USING (domain, lang, source)),
     prefixed AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY h RANGE UNBOUNDED PRECEDING) AS upto FROM placed)
     SELECT domain, lang, source, doc_id, n_tokens, unnest(range(whole + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END)) AS epoch FROM prefixed"""
