@@ -56,3 +56,73 @@ def parse(files: DataFrame, path: str = "path", content: str = "content") -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], ["path", "functions", "imports", "branches", "depth", "calls"])
 
     return files.select(files[path].cast("string"), content).mapInArrow(read, SCHEMA)
+
+
+def edges_of(content: str) -> list[tuple[str, str]]:
+    """(caller, callee) between a file's own functions; code outside them is ``<module>``.
+
+    A function's body runs from its name to the next function's.
+    """
+    found = list(_FUNCTION.finditer(content))
+    names = [next(filter(None, m.groups())) for m in found]
+    bodies = [("<module>", content[: found[0].start()] if found else content)]
+    for k, m in enumerate(found):
+        bodies.append((names[k], content[m.end() : found[k + 1].start() if k + 1 < len(found) else len(content)]))
+    return sorted({(caller, m[1]) for caller, body in bodies for m in _CALL.finditer(body) if m[1] in names and m[1] != caller})
+
+
+def call_edges(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """(path, caller, callee) of each file."""
+
+    def read(batches):
+        for batch in batches:
+            rows = [(p, *e) for p, c in zip(*(x.to_pylist() for x in batch.columns), strict=True) for e in edges_of(c or "")]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["path", "caller", "callee"])
+
+    return files.select(files[path].cast("string"), content).mapInArrow(read, "path string, caller string, callee string")
+
+
+_ASSIGN = re.compile(r"^\s*(?:const|let|var)?\s*(\w+)\s*=(?!=)\s*(.+)$")
+_SOURCE = re.compile(r"\b(?:req|request)\.(?:query|body|params|headers|args|form)\b|\buser(?:Input|Data)\b|\binput\s*\(")
+_SINK = re.compile(r"\b(eval|exec|query|execute|fetch|system|innerHTML|write)\b\s*(?:\(|=)\s*(.*)$")
+_NAME = re.compile(r"\b[A-Za-z_]\w*\b")
+#: Trust in a path that follows assignments only.
+CONFIDENCE = 0.85
+
+
+def taint_of(content: str) -> list[tuple[str, int, int, str]]:
+    """(sink, source line, sink line, path of names), each definition versioned by its line.
+
+    A name is tainted from its last assignment on, if that used a source or a tainted name.
+    """
+    tainted: dict[str, tuple[int, str]] = {}
+    out = []
+    for n, line in enumerate(content.split("\n"), 1):
+        if sink := _SINK.search(line):
+            if _SOURCE.search(sink[2]):
+                out.append((sink[1], n, n, "input"))
+            out += [(sink[1], tainted[x][0], n, tainted[x][1]) for x in dict.fromkeys(_NAME.findall(sink[2])) if x in tainted]
+        if m := _ASSIGN.match(line):
+            name, value = m[1], m[2]
+            carried = next((tainted[x] for x in _NAME.findall(value) if x in tainted), None)
+            if _SOURCE.search(value):
+                tainted[name] = (n, f"{name}@{n}")
+            elif carried:
+                tainted[name] = (carried[0], f"{carried[1]}>{name}@{n}")
+            else:
+                tainted.pop(name, None)
+    return out
+
+
+def taint_paths(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """(path, sink, source_line, sink_line, flow, confidence) of each file."""
+
+    def read(batches):
+        for batch in batches:
+            rows = [(p, *t, CONFIDENCE) for p, c in zip(*(x.to_pylist() for x in batch.columns), strict=True) for t in taint_of(c or "")]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+            types = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["path", "sink", "source_line", "sink_line", "flow", "confidence"])
+
+    return files.select(files[path].cast("string"), content).mapInArrow(read, "path string, sink string, source_line int, sink_line int, flow string, confidence double")

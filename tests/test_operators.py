@@ -169,3 +169,9 @@ def test_webhooks(spark):
     raw = spark.createDataFrame([('{"action":"opened","repo":"r","pr_number":3}',), ("{",), ('{"repo":"r"}',)], "payload string")
     good, bad = events.webhooks(raw)
     assert (good.count(), bad.count()) == (1, 2)
+
+
+def test_taint_and_calls():
+    found = structure.taint_of("const a = req.query.q\nconst b = clean\nlet c = a + 1\ndb.query(c)\na = 1\neval(a)")
+    assert found == [("query", 1, 4, "a@1>c@3")]
+    assert structure.edges_of("run()\nfunction run() { help() }\nfunction help() { other() }") == [("<module>", "run"), ("run", "help")]
