@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-Texts are cut into chunks that no piece of the vocabulary spans. The distinct chunks of the
-corpus explode into their substrings of bounded length, an equi-join with the piece table
+Texts are cut into chunks that no piece of the vocabulary spans (words, and signs after them).
+The distinct chunks of the corpus explode into their substrings of bounded length, an equi-join with the piece table
 leaves the lattice's edges, edges are grouped by chunk, and a Spark higher-order aggregate
 folds them into the ids. What is folded depends on the model file: a unigram model takes the
 best path (Viterbi); a BPE model, whose scores are merge priorities and not likelihoods,
@@ -19,14 +19,18 @@ unknown pieces stand.
 from __future__ import annotations
 
 import heapq
+import re
+from array import array
+from collections import Counter
 from dataclasses import dataclass
+from itertools import chain
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, written
+from .common import written
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Chunks whose ids are broadcast; the table never has more rows.
@@ -35,6 +39,12 @@ FREQUENT = 100_000
 LONG = 60
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
+#: A line feed is in no longer piece, and a space only leads one.
+CHUNK = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
+#: A sign after a letter; most vocabularies have no piece over both, which is checked.
+CUT = re.compile(r"(?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])(?=[#%$&*,.;:!?|])")
+#: Chunks that a worker remembers while it puts documents together.
+REMEMBERED = 400_000
 
 
 def _fields(data: bytes):
@@ -74,12 +84,14 @@ class Model:
         self.ids = {p: i for i, ((p, _), k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k in (1, 4)}
         self.unknown = self.kinds.index(2) if 2 in self.kinds else 0
         self.bytes = {int(p[3:5], 16): i for i, ((p, _), k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == 6}
+        self.byte_of = {i: b for b, i in self.bytes.items()}
         levels = {s: n for n, s in enumerate(sorted({self.pieces[i][1] for i in self.ids.values()}, reverse=True))}
         self.ranks = {p: levels[self.pieces[i][1]] for p, i in self.ids.items()}
         self.longest = max(map(len, self.ids), default=1)
         inner = [p for p in self.ids if SPACE in p.lstrip(SPACE) or "\n" in p and p != "\n"]
         if inner:
             raise ValueError(f"pieces that span words are not supported: {inner[:3]}")
+        self.cuts = not any(CUT.search(p) for p in self.ids)
 
     def fallback(self, char: str) -> list[int]:
         return [self.bytes[b] for b in char.encode()] if self.bytes else [self.unknown]
@@ -100,30 +112,32 @@ def read_model(path: str = MODEL) -> Model:
     return Model(pieces, kinds, algorithm)
 
 
-#: A line feed is in no longer piece, and a space only leads one.
-CHUNK = f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+"
+def basic_chunks(text: str) -> list[str]:
+    """Words with the spaces before them marked, one space before all, and line feeds."""
+    return CHUNK.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
 
-def chunks(text):
-    """The chunks of a text, with spaces marked and one set before it, unless it is empty."""
-    text = F.coalesce(text, F.lit(""))
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.regexp_extract_all(F.concat(F.lit(SPACE), F.replace(text, F.lit(" "), F.lit(SPACE))), F.lit(CHUNK), 0))
+def parts(chunk: str, model: Model) -> list[str]:
+    """A chunk cut where no piece of the model spans."""
+    return CUT.split(chunk) if model.cuts else [chunk]
 
 
 def lattice(words: DataFrame, model: Model) -> DataFrame:
-    """(chunk, edges): each substring that is a piece, and each character that is in none.
+    """(chunk, n_used, edges): each substring that is a piece, each character that is in none.
+
+    ``words`` has each chunk once; partitioned by it, its substrings need no shuffle.
 
     An edge is packed as rank, start, end and id, so that sorting puts the best first. The
     piece table has the vocabulary's rows, so it is broadcast.
     """
     spark = words.sparkSession
     pieces = spark.createDataFrame([(p, model.ranks[p], i) for p, i in model.ids.items()], "piece string, rank long, id long")
-    rows = words.where(F.length("chunk") <= LONG).withColumn("s", F.expr("explode(sequence(0, length(chunk) - 1))"))
+    rows = words.withColumn("s", F.expr("explode(sequence(0, length(chunk) - 1))"))
     rows = rows.withColumn("n", F.expr(f"explode(sequence(1, least({model.longest}, length(chunk) - s)))"))
     rows = rows.withColumn("piece", F.expr("substring(chunk, s + 1, n)")).join(F.broadcast(pieces), "piece", "left")
     rows = rows.where("id is not null or n = 1")
     edge = F.expr(f"shiftleft(coalesce(rank, {_NO_RANK}L), 30) | shiftleft(bigint(s), 24) | shiftleft(bigint(s + n), 18) | coalesce(id, {_NO_ID}L)")
-    return rows.groupBy("chunk").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    return rows.groupBy("chunk", "n_used").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
 _NO_RANK = _NO_ID = (1 << 18) - 1
@@ -134,41 +148,42 @@ _INNER = "(shiftleft(1L, int(shiftright(x, 18) & 63)) - shiftleft(2L, int(shiftr
 
 
 def fold_merges(edges: DataFrame) -> DataFrame:
-    """(chunk, ids): the boundaries start at every character; a merge takes one away.
+    """(chunk, n_used, path): boundaries start at every character; a merge takes one away.
 
     Each turn takes the best edge both of whose ends are boundaries and that has one inside.
-    Only edges over two characters or more can merge, and these are few.
+    Only edges over two characters or more can merge, and these are few; their marks are made
+    once, and those whose ends are gone are dropped as the fold goes on.
     """
-    rows = edges.withColumn("joins", F.expr(f"filter(edges, x -> {_E} - {_S} > 1)"))
-    apply = f"filter(joins, x -> (b & {_ENDS}) = {_ENDS} and bit_count(b & {_INNER}) = 1)"
-    turn = f"aggregate(slice({apply}, 1, 1), b, (c, x) -> c & ~{_INNER})"
-    ends = f"aggregate(sequence(1, length(chunk)), shiftleft(1L, length(chunk) + 1) - 1, (b, i) -> {turn})"
-    rows = rows.withColumn("marks", F.expr(f"case when size(joins) = 0 then shiftleft(1L, length(chunk) + 1) - 1 else {ends} end"))
+    rows = edges.withColumn("joins", F.expr(f"transform(filter(edges, x -> {_E} - {_S} > 1), x -> struct({_ENDS} as ends, {_INNER} as inside))"))
+    start = "struct(shiftleft(1L, length(chunk) + 1) - 1 as b, joins as left)"
+    left = "filter(z.left, x -> (z.b & x.ends) = x.ends and (z.b & x.inside) <> 0)"
+    pick = "filter(y.left, x -> bit_count(y.b & x.inside) = 1)[0].inside"
+    # One step prunes the edges, the next takes the first that merges two neighbours.
+    turn = f"case when size(z.left) = 0 then z else transform(array(struct(z.b as b, {left} as left)), y -> struct(case when size(y.left) = 0 then y.b else y.b & ~coalesce({pick}, 0L) end as b, y.left as left))[0] end"
+    rows = rows.withColumn("marks", F.expr(f"aggregate(sequence(1, length(chunk)), {start}, (z, i) -> {turn}, z -> z.b)"))
     path = f"filter(edges, x -> (marks & {_ENDS}) = {_ENDS} and (marks & {_INNER}) = 0)"
     ids = f"transform(sort_array(transform({path}, x -> shiftleft({_S}, 18) | {_ID})), x -> struct(int(shiftright(x, 18)) as s, int(x & 262143) as id))"
-    return rows.select("chunk", F.expr(ids).alias("path"))
+    return rows.select("chunk", "n_used", F.expr(ids).alias("path"))
 
 
 def fold_best_path(edges: DataFrame, model: Model) -> DataFrame:
-    """(chunk, path): Viterbi over the edges, by the sum of the pieces' scores.
+    """(chunk, n_used, path): Viterbi over the edges, by the sum of the pieces' scores.
 
     The state holds the best (score, start, id) for each position so far; ties go to the
     later start. A character without a piece costs ten more than the worst piece.
     """
-    spark = edges.sparkSession
     levels = sorted({model.pieces[i][1] for i in model.ids.values()}, reverse=True)
     worst = (levels[-1] if levels else 0.0) - 10.0
-    scores = spark.createDataFrame([(levels,)], "levels array<double>").first()[0]
-    table = F.array(*[F.lit(float(s)) for s in scores])
+    table = F.array(*[F.lit(float(s)) for s in levels])
     rows = edges.withColumn("edges", F.transform("edges", lambda x: F.struct(F.shiftright(x, 24).bitwiseAND(F.lit(63)).cast("int").alias("s"), F.shiftright(x, 18).bitwiseAND(F.lit(63)).cast("int").alias("e"), x.bitwiseAND(F.lit(_NO_ID)).cast("int").alias("id"), F.coalesce(F.try_element_at(table, (F.shiftright(x, 30) + 1).cast("int")), F.lit(worst)).alias("score"))))
     best = "array_max(transform(filter(edges, x -> x.e = p), x -> struct(best[x.s].score + x.score as score, x.s as s, x.id as id)))"
     rows = rows.withColumn("best", F.expr(f"aggregate(sequence(1, length(chunk)), array(struct(0D as score, -1 as s, -1 as id)), (best, p) -> concat(best, array({best})))"))
     back = "aggregate(sequence(1, length(chunk)), struct(length(chunk) as at, cast(array() as array<struct<s:int,id:int>>) as path), (z, i) -> case when z.at > 0 then struct(best[z.at].s as at, concat(array(struct(best[z.at].s as s, best[z.at].id as id)), z.path) as path) else z end, z -> z.path)"
-    return rows.select("chunk", F.expr(back).alias("path"))
+    return rows.select("chunk", "n_used", F.expr(back).alias("path"))
 
 
 def encoded_chunks(words: DataFrame, model: Model) -> DataFrame:
-    """(chunk, ids) of distinct chunks, through the lattice and its fold."""
+    """(chunk, n_used, ids) of distinct chunks, through the lattice and its fold."""
     edges = lattice(words, model)
     rows = fold_merges(edges) if model.algorithm == BPE else fold_best_path(edges, model)
     first = model.bytes.get(0)
@@ -177,34 +192,34 @@ def encoded_chunks(words: DataFrame, model: Model) -> DataFrame:
     else:  # the pieces of the 256 bytes stand in order
         spell = f"transform(sequence(0, octet_length(substring(chunk, y.s + 1, 1)) - 1), k -> {first} + cast(conv(substring(hex(encode(substring(chunk, y.s + 1, 1), 'UTF-8')), 2 * k + 1, 2), 16, 10) as int))"
     ids = F.expr(f"case when exists(path, y -> y.id = {_NO_ID}) then flatten(transform(path, y -> case when y.id = {_NO_ID} then {spell} else array(y.id) end)) else transform(path, y -> y.id) end")
-    return rows.select("chunk", ids.alias("ids"))
+    return rows.select("chunk", "n_used", ids.alias("ids"))
 
 
 def merge_long(chunk: str, model: Model) -> list[int]:
     """The merge fold with a heap, for chunks beyond LONG; best path for unigram models."""
     if model.algorithm != BPE:
         return _best_path_long(chunk, model)
-    parts, left, right = list(chunk), list(range(-1, len(chunk) - 1)), [*range(1, len(chunk)), -1]
+    held, left, right = list(chunk), list(range(-1, len(chunk) - 1)), [*range(1, len(chunk)), -1]
     heap = []
 
     def offer(i):
         j = right[i]
-        if i >= 0 and j >= 0 and (rank := model.ranks.get(parts[i] + parts[j])) is not None:
-            heapq.heappush(heap, (rank, i, j, parts[i] + parts[j]))
+        if i >= 0 and j >= 0 and (rank := model.ranks.get(held[i] + held[j])) is not None:
+            heapq.heappush(heap, (rank, i, j, held[i] + held[j]))
 
-    for i in range(len(parts) - 1):
+    for i in range(len(held) - 1):
         offer(i)
     while heap:
         _, i, j, both = heapq.heappop(heap)
-        if parts[i] is None or right[i] != j or parts[j] is None or parts[i] + parts[j] != both:
+        if held[i] is None or right[i] != j or held[j] is None or held[i] + held[j] != both:
             continue
-        parts[i], parts[j], right[i] = both, None, right[j]
+        held[i], held[j], right[i] = both, None, right[j]
         if right[i] >= 0:
             left[right[i]] = i
         offer(i)
         if left[i] >= 0:
             offer(left[i])
-    return [k for p in parts if p is not None for k in ([model.ids[p]] if p in model.ids else model.fallback(p))]
+    return [k for p in held if p is not None for k in ([model.ids[p]] if p in model.ids else model.fallback(p))]
 
 
 def _best_path_long(chunk: str, model: Model) -> list[int]:
@@ -223,12 +238,12 @@ def _best_path_long(chunk: str, model: Model) -> list[int]:
     return out
 
 
-def decode_ids(ids: list[int], model: Model) -> str:
-    """The text of ids: bytes are joined, marks become spaces and the first one goes."""
-    of = {i: b for b, i in model.bytes.items()}
+def decode_ids(ids: list[int], model: Model, first: bool = True) -> str:
+    """The text of ids: bytes are joined, marks become spaces and, of a whole text, the first goes."""
+    of = model.byte_of
     raw = b"".join(bytes([of[i]]) if i in of else b"" if model.kinds[i] == 3 else model.pieces[i][0].encode() for i in ids)
     text = raw.decode("utf-8", "replace").replace(SPACE, " ")
-    return text[1:] if text.startswith(" ") else text
+    return text[1:] if first and text.startswith(" ") else text
 
 
 def decode(rows: DataFrame, model: Model, ids: str = "ids") -> DataFrame:
@@ -242,37 +257,71 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_pieces, ids and round_trip of every row of ``docs``.
 
     ``docs`` must give its rows in equal partitions each time it is read, as tables do.
+    Decoding joins its chunks' texts, so it is tried once for each chunk.
     """
     spark = docs.sparkSession
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    used = rows.select("row", F.explode(F.array_distinct(chunks(F.col("text")))).alias("chunk"))
-    words = used.groupBy("chunk").agg(F.count("*").alias("n"))
-    words = checkpointed(words)
+    told = spark.sparkContext.broadcast(model)
+
+    def count(batches):
+        for batch in batches:
+            found: Counter[str] = Counter()
+            for text in batch.column(0).to_pylist():
+                found.update(basic_chunks(text or ""))
+            used: Counter[str] = Counter()
+            for chunk, n in found.items():
+                for part in parts(chunk, told.value):
+                    if len(part) <= LONG:
+                        used[part] += n
+            yield pa.RecordBatch.from_arrays([pa.array(used.keys(), pa.string()), pa.array(used.values(), pa.int64())], ["chunk", "n"])
+
+    words = rows.select("text").mapInArrow(count, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n_used"))
     coded = written(encoded_chunks(words, model), "pieces")
-    top = words.where(F.length("chunk") <= LONG).orderBy(F.desc("n"), "chunk").limit(FREQUENT).select("chunk")
-    top = coded.join(F.broadcast(top), "chunk")
-    frequent = {r[0]: r[1] for r in top.collect()}
-    common = spark.createDataFrame([(c,) for c in frequent], "chunk string") if frequent else coded.select("chunk").limit(0)
-    rare = used.where(F.length("chunk") <= LONG).join(F.broadcast(common), "chunk", "left_anti")
-    rare = rare.join(coded, "chunk").groupBy("row").agg(F.collect_list(F.struct("chunk", "ids")).alias("own"))
-    rows = rows.join(rare, "row", "left").select("doc_id", "text", "own")
-    shared = spark.sparkContext.broadcast((frequent, model))
-
-    def join(batches):
-        frequent, model = shared.value
-        import re
-
-        cut = re.compile(CHUNK)
+    top = coded.orderBy(F.desc("n_used"), "chunk").limit(FREQUENT)
+    frequent = spark.sparkContext.broadcast({r[0]: tuple(r[1]) for r in top.select("chunk", "ids").collect()})
+
+    def rare(batches):
+        known, model = frequent.value, told.value
+        for batch in batches:
+            ids, out = array("q"), []
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = {p for c in set(basic_chunks(text.as_py() or "")) if c not in known for p in parts(c, model) if p not in known and len(p) <= LONG}
+                ids.extend([row] * len(own))
+                out += own
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], ["row", "chunk"])
+
+    own = rows.select("row", "text").mapInArrow(rare, "row long, chunk string").join(coded.select("chunk", "ids"), "chunk")
+    own = own.groupBy("row").agg(F.collect_list(F.struct("chunk", "ids")).alias("own"))
+    rows = rows.join(own, "row", "left").select("doc_id", "text", "own")
+
+    def together(batches):
+        known, model = frequent.value, told.value
+        seen, wrong = {}, set()
+
+        def put(chunk, mine):
+            out = []
+            for part in parts(chunk, model):
+                out += known[part] if part in known else mine[part] if part in mine else merge_long(part, model)
+            if decode_ids(out, model, first=False) != chunk.replace(SPACE, " "):
+                wrong.add(chunk)
+            return tuple(out)
+
         for batch in batches:
-            out, good = [], []
+            flat, ends, good = array("i"), array("i", [0]), []
             for text, own in zip(batch.column(1), batch.column(2), strict=True):
-                text = text.as_py() or ""
-                mine = {x["chunk"]: x["ids"] for x in own.as_py() or []}
-                ids = []
-                for c in cut.findall(SPACE + text.replace(" ", SPACE)) if text else []:
-                    ids += frequent[c] if c in frequent else mine[c] if c in mine else merge_long(c, model)
-                out.append(ids)
-                good.append(decode_ids(ids, model) == text.replace(SPACE, " "))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, out), pa.int64()), pa.array(out, pa.list_(pa.int32())), pa.array(good, pa.bool_())], ["doc_id", "n_pieces", "ids", "round_trip"])
-
-    return rows.mapInArrow(join, "doc_id bigint, n_pieces bigint, ids array<int>, round_trip boolean")
+                found = basic_chunks(text.as_py() or "")
+                new = {c for c in found if c not in seen}
+                if new:
+                    if len(seen) + len(new) > REMEMBERED:
+                        seen.clear()
+                        new = set(found)
+                    mine = {x["chunk"]: x["ids"] for x in own.as_py() or []}
+                    seen.update((c, put(c, mine)) for c in new)
+                flat.extend(chain.from_iterable(map(seen.__getitem__, found)))
+                ends.append(len(flat))
+                good.append(not wrong or wrong.isdisjoint(found))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+            sizes = pa.array([b - a for a, b in zip(ends, ends[1:])], pa.int64())  # noqa: B905
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, lists, pa.array(good, pa.bool_())], ["doc_id", "n_pieces", "ids", "round_trip"])
+
+    return rows.mapInArrow(together, "doc_id bigint, n_pieces bigint, ids array<int>, round_trip boolean")

@@ -271,7 +271,7 @@ def test_viterbi_equals_brute_force(spark):
         return options[-1]
 
     chunks = ["▁abab", "▁aba", "▁bb", "ab", "▁acb", "▁" + "ab" * 5]
-    got = {r["chunk"]: list(r["ids"]) for r in sentencepiece_codec.encoded_chunks(spark.createDataFrame([(c,) for c in chunks], "chunk string"), model).collect()}
+    got = {r["chunk"]: list(r["ids"]) for r in sentencepiece_codec.encoded_chunks(spark.createDataFrame([(c, 1) for c in chunks], "chunk string, n_used long"), model).collect()}
     price = lambda path: sum(scores.get(model.pieces[k][0], min(scores.values()) - 10) for k in path)
     for c in chunks:
         assert price(got[c]) == pytest.approx(best(c)[0])
