@@ -9,9 +9,9 @@ Jaccard similarity. Processes stop once they are later than all registers of the
 
 Registers are banded. Texts of equal multisets are one node; in each band's bucket all nodes
 are compared to one centre, exactly, by the overlap of the multisets. Where nodes of a bucket
-stay apart, they are looked at again in buckets of two bands, whose nodes are more alike and
-whose centres differ. So candidates grow with the nodes and not with the square of a bucket.
-Components of the links are the classes.
+stay apart, every pair of them that is not in one component yet is compared, too, in the first
+bucket that both share. Large buckets are dealt out as pairs of blocks, which give links only,
+so no table of pairs is ever made. Components of the links are the classes.
 
 Defined results: words are runs without blanks, in lower case; a text of one to four words
 is one shingle; a text without words (or null) is in a class of its own for each row's
@@ -37,8 +37,8 @@ BANDS, ROWS = 32, 6
 #: Shingles that one vectorised step takes together, unless one text alone has more.
 STEP = 200_000
 REMEMBERED = 300_000
-#: Each band is paired with so many that follow it, for a second look at what stays apart.
-PAIRED = 3
+#: Members of a block, about, of a bucket whose nodes stay apart; a group holds two blocks.
+BLOCK = 512
 _GOLD = 0x9E3779B97F4A7C15
 
 
@@ -188,6 +188,71 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.mapInArrow(check, "a long, b long")
 
 
+def _linked(group: list[tuple]) -> list[tuple[int, int]]:
+    """Links between members of a block pair; those inside a component so far are left out.
+
+    A member is (bucket, i, j, id, block, part, bands, shingles). If i and j differ, only members
+    of different blocks are compared; the rest are compared where i and j are equal.
+    """
+    buckets, i, j, ids, blocks, parts, bands, sets = zip(*group, strict=True)
+    block, keys, size = np.array(blocks), np.array(bands), np.array([int(n.sum()) for _, n in sets])
+    root, out = np.unique(parts, return_inverse=True)[1], []
+    for x in range(len(group) - 1):
+        rest = slice(x + 1, None)
+        # The sum of minima is at most the smaller size, that of maxima at least the larger.
+        fit = (root[rest] != root[x]) & (np.minimum(size[rest], size[x]) >= SIMILARITY * np.maximum(size[rest], size[x]))
+        if i[0] != j[0]:
+            fit &= block[rest] != block[x]
+        at = x + 1 + np.flatnonzero(fit)
+        for y in at[keys[x][(keys[at] == keys[x]).argmax(axis=1)] == buckets[0]]:
+            if root[y] != root[x] and similarity(sets[x], sets[y]) >= SIMILARITY:
+                out.append((ids[x], ids[y]))
+                root[root == root[y]] = root[x]
+    return out
+
+
+def _compare(batches):
+    hashes, group = _Hashes(), []
+
+    def links():
+        found = _linked(group) if group else []
+        group.clear()
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if group and group[0][:3] != row[:3]:
+                yield links()
+            group.append((*row[:-1], shingles(row[-1] or "", hashes)))
+    yield links()
+
+
+def apart(buckets: DataFrame, found: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) among all pairs that share a bucket and are in different parts of ``found``.
+
+    A large part of a bucket has blocks of its own, as its nodes need no comparison with each
+    other; block pairs of a single part are left out.
+    """
+    rows = buckets.select("bucket", "id").join(found.select(F.col("a").alias("id"), F.col("b").alias("part")), "id", "left").withColumn("part", F.coalesce("part", "id"))
+    sizes = rows.groupBy("bucket", "part").agg(F.count("*").alias("n"))
+    several = sizes.groupBy("bucket").agg(F.count("*").alias("parts")).where("parts > 1").select("bucket")
+    sizes = sizes.join(several, "bucket").withColumn("own", F.when(F.col("n") >= BLOCK // 4, F.col("part")).otherwise(-1))
+    blocks = sizes.groupBy("bucket", "own").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
+    dealt = sizes.select("bucket", "part", "own").join(blocks, ["bucket", "own"])
+    turn = F.when(F.col("own") < 0, F.xxhash64("part")).otherwise(F.xxhash64("id"))
+    rows = checkpointed(rows.join(dealt, ["bucket", "part"]).select("bucket", "id", "part", F.xxhash64("own", F.pmod(turn, F.col("blocks"))).alias("block")))
+    held = checkpointed(rows.groupBy("bucket", "block").agg(F.min("part").alias("lo"), F.max("part").alias("hi")))
+    x, y = held.alias("x"), held.alias("y")
+    differ = F.least("x.lo", "y.lo") < F.greatest("x.hi", "y.hi")
+    two = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.block") <= F.col("y.block")) & differ).select("x.bucket", F.col("x.block").alias("i"), F.col("y.block").alias("j"))
+    sides = two.select("bucket", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    sent = rows.join(sides, ["bucket", "block"])
+    members = sent.join(nodes.select("id", "bands"), "id").join(texts.withColumnRenamed("node", "id"), "id")
+    members = members.select("bucket", "i", "j", "id", "block", "part", "bands", "text").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "id")
+    return members.mapInArrow(_compare, "a long, b long")
+
+
 def distinct_nodes(sketch: DataFrame) -> DataFrame:
     """One row for each distinct multiset, whatever its copies, with a short number, id."""
     rows = sketch.where("node is not null").groupBy("node")
@@ -209,16 +274,7 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     tried = checkpointed(buckets.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct())
     found = components(verified(tried, texts))
     release(spark)
-    # Nodes of buckets that still hold several components, in buckets of two bands each.
-    parts = buckets.select("bucket", "id").join(found.select(F.col("a").alias("id"), F.col("b").alias("part")), "id", "left").select("bucket", "id", F.coalesce("part", "id").alias("part"))
-    apart = parts.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("bucket")
-    again = checkpointed(parts.join(apart, "bucket").select("id", "part").distinct())
-    keys = [F.xxhash64(F.col("bands")[i], F.col("bands")[(i + k) % BANDS], F.lit(i * BANDS + k)) for i in range(BANDS) for k in range(1, PAIRED + 1)]
-    deeper = again.join(nodes.select("id", "bands"), "id").select("id", "part", F.explode(F.array(*keys)).alias("key"))
-    centres = deeper.groupBy("key").agg(F.min("id").alias("centre"), F.min_by("part", "id").alias("centre_part"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi")
-    pairs = deeper.join(centres, "key").where("part <> centre_part").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-    pairs = checkpointed(pairs.join(tried, ["a", "b"], "left_anti"))
-    new = checkpointed(verified(pairs, texts))
+    new = checkpointed(apart(buckets, found, nodes, texts))
     if not new.isEmpty():
         found = components(found.unionByName(new))
     return found

@@ -150,6 +150,21 @@ def test_near_duplicates_equal_brute_force(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(expected.values()))
 
 
+def test_near_pairs_among_texts_of_one_template(spark, monkeypatch):
+    """All texts share boilerplate at 0.75, below the threshold; each has one partner at 0.82."""
+    common, texts = prose(300, 300), {}
+    for i in range(120):
+        own = [f"own{i}x{k}" for k in range(16)]
+        for side in range(2):
+            texts[i + 1000 * side] = " ".join([common, *own, *[f"tail{i}x{side}x{k}" for k in range(34)]])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    expected = brute_classes(texts)
+    assert len(set(expected.values())) == 120
+    for block in (minhash_dedup.BLOCK, 16):
+        monkeypatch.setattr(minhash_dedup, "BLOCK", block)
+        assert {r["doc_id"]: r["class_id"] for r in minhash_dedup.near_duplicates(docs).collect()} == expected
+
+
 def test_near_duplicates_of_odd_rows(spark, odd):
     got = minhash_dedup.near_duplicates(odd).collect()
     assert len(got) == odd.count()
