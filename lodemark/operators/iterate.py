@@ -31,23 +31,31 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int = 50) -> DataFrame:
     return found
 
 
-def cycles(edges: DataFrame, max_length: int = 6) -> DataFrame:
-    """(cycle, length): simple cycles up to a length, each once, from its least node on.
+def cycles(edges: DataFrame) -> DataFrame:
+    """(cycle, length): all simple cycles, each once, from its least node on.
 
-    Paths start at a node and only visit larger ones, so each cycle has one start.
+    Edges that no cycle can hold, from nodes without imports or importers, are dropped first,
+    until none is left. Paths start at a node and only visit larger ones, so each cycle has
+    one start; they grow until none is left.
     """
-    edges = edges.select("src", "dst").distinct()
+    edges = checkpointed(edges.select("src", "dst").distinct())
+    n, before = edges.count(), None
+    while n != before:
+        ends = edges.select(F.col("src").alias("node")).intersect(edges.select(F.col("dst").alias("node")))
+        edges = edges.join(ends.withColumnRenamed("node", "src"), "src", "left_semi").join(ends.withColumnRenamed("node", "dst"), "dst", "left_semi")
+        edges = checkpointed(edges.select("src", "dst"))
+        n, before = edges.count(), n
     paths = edges.where("dst >= src").select(F.col("src").alias("first"), F.col("dst").alias("last"), F.array("src", "dst").alias("path"))
-    out = None
-    for length in range(1, max_length + 1):
-        closed = paths.where("last = first").select(F.slice("path", 1, length).alias("cycle"), F.lit(length).alias("length"))
+    out, length = None, 1
+    while True:
+        closed = checkpointed(paths.where("last = first").select(F.slice("path", 1, length).alias("cycle"), F.lit(length).alias("length")))
         out = closed if out is None else out.unionByName(closed)
-        if length == max_length:
-            break
         open_ = paths.where("last <> first")
         step = open_.join(edges, open_["last"] == edges["src"]).where("dst >= first and (dst = first or not array_contains(path, dst))")
         paths = checkpointed(step.select("first", F.col("dst").alias("last"), F.concat("path", F.array("dst")).alias("path")))
-    return out
+        if paths.isEmpty():
+            return out
+        length += 1
 
 
 def contamination(nodes: DataFrame, edges: DataFrame, decay: float = 0.7, max_depth: int = 12) -> DataFrame:

@@ -126,7 +126,7 @@ def transitive_imports(g, start: int = 1):
 
 @query("import_cycles", f"WITH RECURSIVE {_EDGES}, p(first, last, path, n) AS (SELECT src, dst, [src], 1 FROM edges WHERE dst >= src UNION ALL SELECT first, dst, list_append(path, last), n + 1 FROM p JOIN edges ON last = src WHERE last <> first AND dst >= first AND n < 6 AND NOT list_contains(list_append(path, last), CASE WHEN dst = first THEN -1 ELSE dst END)) SELECT array_to_string(path, '>') AS cycle, n AS length FROM p WHERE last = first")
 def import_cycles(g):
-    """Import cycles of up to six modules."""
+    """All import cycles, of any length."""
     rows = iterate.cycles(iterate.checkpointed(import_edges(g)))
     return rows.select(F.array_join(F.transform("cycle", lambda x: x.cast("string")), ">").alias("cycle"), "length")
 

@@ -85,6 +85,13 @@ def test_graph(spark):
     assert dict(rows(iterate.contamination(nodes, edges)))[1] == pytest.approx(0.49)
 
 
+def test_cycles_of_any_length(spark):
+    ring = [(k, k % 8 + 1) for k in range(1, 9)]
+    tails = [(k, k + 1) for k in range(20, 30)] + [(30, 1), (8, 40), (40, 41)]
+    edges = spark.createDataFrame([*ring, *tails, (50, 51), (51, 50)], "src long, dst long")
+    assert rows(iterate.cycles(edges)) == [([1, 2, 3, 4, 5, 6, 7, 8], 8), ([50, 51], 2)]
+
+
 @pytest.mark.parametrize(
     "line, id",
     [
