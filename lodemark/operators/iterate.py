@@ -18,17 +18,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def reach(edges: DataFrame, seeds: DataFrame, max_depth: int = 50) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(node, depth): nodes reachable from the seeds along (src, dst), with the least depth."""
     found = checkpointed(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
-    front = found
-    for depth in range(1, max_depth + 1):
+    front, depth = found, 0
+    while True:
+        depth += 1
         step = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
         front = checkpointed(step.join(found.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
-            break
+            return found
         found = checkpointed(found.unionByName(front))
-    return found
 
 
 def cycles(edges: DataFrame) -> DataFrame:
@@ -58,21 +58,23 @@ def cycles(edges: DataFrame) -> DataFrame:
         length += 1
 
 
-def contamination(nodes: DataFrame, edges: DataFrame, decay: float = 0.7, max_depth: int = 12) -> DataFrame:
+def contamination(nodes: DataFrame, edges: DataFrame, decay: float = 0.7) -> DataFrame:
     """(node, value): the greater of a node's own value and ``decay`` times its dependencies'.
 
-    ``edges`` leads from a node to what it depends on. A value falls with each step, so it
-    comes to rest after as many steps as it can still win.
+    ``edges`` leads from a node to what it depends on. A step passes on the values that the
+    last one raised, until none is raised; a value falls with each step, so cycles end, too.
     """
-    state = checkpointed(nodes.select("node", F.col("own").cast("double").alias("value")))
-    for _ in range(max_depth):
-        up = edges.join(state.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg((F.max("value") * decay).alias("from_deps"))
-        new = checkpointed(state.join(up, "node", "left").select("node", "value", F.greatest("value", F.coalesce("from_deps", F.lit(0.0))).alias("new")))
-        changed = not new.where("new > value + 1e-12").isEmpty()
+    if not 0 <= decay < 1:
+        raise ValueError("decay must be at least 0 and less than 1")
+    state = checkpointed(nodes.select("node", F.greatest(F.col("own").cast("double"), F.lit(0.0)).alias("value")))
+    front = state
+    while True:
+        up = edges.join(front.select(F.col("node").alias("dst"), "value"), "dst").groupBy(F.col("src").alias("node")).agg((F.max("value") * decay).alias("from_deps"))
+        new = checkpointed(state.join(up, "node", "left").select("node", "value", F.greatest("value", "from_deps").alias("new")))
         state = new.select("node", F.col("new").alias("value"))
-        if not changed:
-            break
-    return state
+        front = new.where("new > value").select("node", F.col("new").alias("value"))
+        if front.isEmpty():
+            return state
 
 
 def dead_exports(exports: DataFrame, imports: DataFrame) -> DataFrame:

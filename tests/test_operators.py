@@ -92,6 +92,14 @@ def test_cycles_of_any_length(spark):
     assert rows(iterate.cycles(edges)) == [([1, 2, 3, 4, 5, 6, 7, 8], 8), ([50, 51], 2)]
 
 
+def test_fixpoints_come_to_rest_on_long_chains(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(60, 55)], "src long, dst long")
+    assert rows(iterate.reach(edges, spark.createDataFrame([(0,)], "node long"))) == [(k, k) for k in range(61)]
+    nodes = spark.createDataFrame([(k, float(k == 20)) for k in range(61)], "node long, own double")
+    got = dict(rows(iterate.contamination(nodes, edges)))
+    assert got == pytest.approx({k: 0.7 ** (20 - k) if k <= 20 else 0.0 for k in range(61)})
+
+
 @pytest.mark.parametrize(
     "line, id",
     [
