@@ -32,19 +32,42 @@ LICENSES = {
     "BSD-3-Clause": _BSD_HEAD + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n" + _BSD_TAIL,
     "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:\n1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.\n2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.\n3. This notice may not be removed or altered from any source distribution.",
 }
+#: Digests of the canonical forms of longer licences, as Debian's base-files has their whole texts.
+DIGESTS = {
+    "Apache-2.0": "84ed161685d232dab5187a7a7101279668d583e8fcead2d41433e4fd4a1dbe68",
+    "CC0-1.0": "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",
+    "GFDL-1.2": "15f6a8d360ffdecc988c29279c00f23e20de17f14f2a06572ab0d41de6e98b7b",
+    "GFDL-1.3": "2d36daeff2ad303badb6dee8149748be25e22974dd468e1e8a55cf40f16fc01d",
+    "GPL-1.0": "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224",
+    "GPL-2.0": "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821",
+    "GPL-3.0": "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a",
+    "LGPL-2.0": "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908",
+    "LGPL-2.1": "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891",
+    "LGPL-3.0": "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
+    "MPL-1.1": "fcb579371133afd771fed87cd5d8c6dc5648746c9945d4adf08ec5c79aba5c61",
+    "MPL-2.0": "9e79a7d513376f6fa1500e4df4f6276c6e7e61c5c3e28dcdb1acee24033acc56",
+}
 #: Notices that stand for a licence: each name below, in each of the forms.
 NOTICE_FORMS = ["Licensed under the {}.", "Licensed under {}.", "Released under the {}.", "Released under {}.", "This work is licensed under the {}.", "This work is licensed under {}.", "This software is licensed under the {}.", "SPDX-License-Identifier: {}"]
 NOTICE_NAMES = {
     "MIT": ["MIT License", "MIT"],
     "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache-2.0"],
-    "GPL-2.0": ["GNU General Public License, version 2", "GPL-2.0", "GPLv2"],
-    "GPL-3.0": ["GNU General Public License, version 3", "GPL-3.0", "GPLv3"],
+    "GPL-2.0": ["GNU General Public License, version 2", "GPL-2.0", "GPLv2", "GPL-2.0-only", "GPL-2.0-or-later"],
+    "GPL-3.0": ["GNU General Public License, version 3", "GPL-3.0", "GPLv3", "GPL-3.0-only", "GPL-3.0-or-later"],
+    "LGPL-2.1": ["GNU Lesser General Public License, version 2.1", "LGPL-2.1", "LGPLv2.1", "LGPL-2.1-only", "LGPL-2.1-or-later"],
+    "LGPL-3.0": ["GNU Lesser General Public License, version 3", "LGPL-3.0", "LGPLv3", "LGPL-3.0-only", "LGPL-3.0-or-later"],
+    "CC0-1.0": ["CC0 1.0 Universal", "CC0 1.0", "CC0-1.0"],
     "BSD-3-Clause": ["BSD 3-Clause License", "BSD-3-Clause"],
     "MPL-2.0": ["Mozilla Public License, version 2.0", "MPL-2.0"],
     "CC-BY-4.0": ["CC BY 4.0", "CC-BY-4.0"],
     "CC-BY-SA-4.0": ["CC BY-SA 4.0", "CC-BY-SA-4.0"],
     "CC-BY-NC-4.0": ["CC BY-NC 4.0", "CC-BY-NC-4.0"],
 }
+#: Lines of the standard headers of source files that name their licence.
+HEADER_LINES = {
+    "Apache-2.0": ['Licensed under the Apache License, Version 2.0 (the "License");', 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+}
 #: Spellings that count as equal, put in this order on the lower-case text.
 EQUAL_SPELLINGS = [("licence", "license"), ("favour", "favor"), ("behaviour", "behavior"), ("acknowledgement", "acknowledgment"), ("copyright owner", "copyright holder"), ("per cent", "percent"), ("https://", "http://"), ("©", "(c)"), ("&", " and ")]
 #: British -ise forms that licences use.
@@ -79,20 +102,25 @@ def _one_line(text: str) -> str:
     return re.sub(r"[ \n]+", " ", text).strip(" ")
 
 
+def _notices() -> list[tuple[str, str]]:
+    named = [(name, form.format(x)) for name, spelled in NOTICE_NAMES.items() for form in NOTICE_FORMS for x in spelled]
+    return named + [(name, line) for name, lines in HEADER_LINES.items() for line in lines]
+
+
 def known() -> list[tuple[str, str, bool]]:
     """(digest, licence, whether it is a notice) of all known texts; a digest has one licence."""
     rows = {}
     for name, text in LICENSES.items():
         rows[hashlib.sha256(_one_line(canonical_text(text)).encode()).hexdigest()] = (name, False)
-    for name, spelled in NOTICE_NAMES.items():
-        for form in NOTICE_FORMS:
-            for x in spelled:
-                rows.setdefault(hashlib.sha256(_one_line(canonical_text(form.format(x))).encode()).hexdigest(), (name, True))
+    for name, digest in DIGESTS.items():
+        rows[digest] = (name, False)
+    for name, notice in _notices():
+        rows.setdefault(hashlib.sha256(_one_line(canonical_text(notice)).encode()).hexdigest(), (name, True))
     return [(d, *x) for d, x in sorted(rows.items())]
 
 
 def _notice_length() -> int:
-    return max(len(_one_line(canonical_text(f.format(x)))) for f in NOTICE_FORMS for xs in NOTICE_NAMES.values() for x in xs)
+    return max(len(_one_line(canonical_text(notice))) for _, notice in _notices())
 
 
 def scan(docs: DataFrame, table: list[tuple[str, str, bool]] | None = None) -> DataFrame:

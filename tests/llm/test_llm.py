@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import zlib
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -462,6 +463,22 @@ def test_licences(spark, odd, tmp_path):
     assert len(license_scan.known()) < 300
 
 
+def test_long_licences_and_standard_headers(spark, tmp_path):
+    folder = Path("/usr/share/common-licenses")
+    files = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0"}
+    whole = [(k, (folder / f).read_text()) for k, f in files.items() if (folder / f).exists()]
+    header = '/*\n * Licensed under the Apache License, Version 2.0 (the "License");\n * you may not use this file\n */'
+    lines = [("Apache-2.0", header), ("LGPL-2.1", "# SPDX-License-Identifier: LGPL-2.1-or-later"), ("MPL-2.0", " * This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0.")]
+    docs = make(spark, [t for _, t in whole + lines])
+    got = license_scan.scan(docs)
+    found = {r["doc_id"]: r for r in got.collect()}
+    for i, (name, _) in enumerate(whole):
+        assert found[i]["license_id"] == name
+    for i, (name, _) in enumerate(lines, len(whole)):
+        assert found[i]["notices"] == name
+    duck_equal(spark, docs, got, license_scan.oracle_sql(), tmp_path)
+
+
 @pytest.mark.parametrize("share, epochs", [(0.5, 2), (0.05, 1), (1.7, 2), (2.5, 2)])
 def test_mixing_equals_sql(spark, odd, tmp_path, share, epochs):
     docs = odd.unionByName(make(spark, [prose(i, 5 + 13 * i % 90) for i in range(150)], 1000))
