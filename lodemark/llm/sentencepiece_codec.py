@@ -1,50 +1,59 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
 Texts are cut into chunks that no piece of the vocabulary spans (words, and signs after them).
-The distinct chunks of the corpus explode into their substrings of bounded length, an equi-join with the piece table
-leaves the lattice's edges, edges are grouped by chunk, and a Spark higher-order aggregate
-folds them into the ids. What is folded depends on the model file: a unigram model takes the
-best path (Viterbi); a BPE model, whose scores are merge priorities and not likelihoods,
-takes one merge of two neighbouring edges after the other, the best first, which gives the
-ids of the reference algorithm where a best path would not. Encoded chunks return to their
-documents: the most frequent FREQUENT by broadcast, all others by a join.
-
-Defined results: a null text counts as empty and has no ids. Repeated rows repeat. Chunks
-of more than LONG characters take the same fold in linearithmic time outside the lattice.
-Characters outside the vocabulary become their bytes' pieces, or the unknown piece in a
+The distinct chunks of the corpus explode into their substrings of bounded length, an equi-join
+with the piece table leaves the lattice's edges, edges are grouped by chunk, and a Spark
+higher-order aggregate folds the best path over them (Viterbi).
+
+One fold serves both kinds of model file. In a unigram model every step from one edge to the
+next is allowed and the sum of scores decides. In a BPE model scores are merge priorities, and
+a path is the model's own encoding just if no merge would cross the border of two neighbours
+before either of them had grown over it. That can be told from the two edges and the edges that
+cross the border, so steps that fail it are not allowed; one path is left to each position, the
+reference algorithm's.
+
+Texts meet the ids of their chunks by blocks: a block's texts become numbers of its distinct
+tokens, packed; the chunks go out to the lattice with block and number, their ids come back to
+the block. Nothing is collected, and no text is shuffled but as packed numbers.
+
+Defined results: a null text counts as empty and has no ids. Repeated rows repeat, null ids
+stay. Characters outside the vocabulary become their bytes' pieces, or the unknown piece in a
 model without them. ``round_trip`` tells if decoding gives the text back; it fails only where
-unknown pieces stand.
+unknown pieces or the mark of a space stand in the text.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
-from array import array
-from collections import Counter
+import struct
 from dataclasses import dataclass
-from itertools import chain
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
-
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Chunks whose ids are broadcast; the table never has more rows.
-FREQUENT = 100_000
-#: Characters of a chunk in the lattice; positions are packed in six bits.
-LONG = 60
+#: Characters of text in a block, about; a longer text is a block of its own.
+BLOCK = 1 << 25
+#: A key has a block's number within its partition (18 bits), the partition (21) and a chunk's number (24).
+CHUNK_BITS, PARTITION_BITS = 24, 21
+#: Blocks that share one encoding of a chunk; a frequent chunk is encoded again beyond them.
+SHARED_BITS = 12
+#: Positions that one turn of the outer fold takes.
+WINDOW = 64
+#: Tokens that one vectorised step of the second pass takes together, unless one text has more.
+STEP = 500_000
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
+_NEVER = 1 << 30
 #: A line feed is in no longer piece, and a space only leads one.
 CHUNK = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
 #: A sign after a letter; most vocabularies have no piece over both, which is checked.
 CUT = re.compile(r"(?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])(?=[#%$&*,.;:!?|])")
-#: Chunks that a worker remembers while it puts documents together.
-REMEMBERED = 400_000
 
 
 def _fields(data: bytes):
@@ -96,11 +105,37 @@ class Model:
     def fallback(self, char: str) -> list[int]:
         return [self.bytes[b] for b in char.encode()] if self.bytes else [self.unknown]
 
+    def raw(self, i: int) -> bytes:
+        """The bytes that a piece stands for in a text."""
+        if i in self.byte_of:
+            return bytes([self.byte_of[i]])
+        return b"" if self.kinds[i] == 3 else self.pieces[i][0].replace(SPACE, " ").encode()
+
+    def merges(self, piece: str) -> tuple[int, list[int]] | None:
+        """The border that a piece's last merge takes away, and for each inner border the rank of the merge that does.
+
+        None if merging its characters does not end in the piece; such a piece is never used.
+        """
+        ends, gone = list(range(len(piece) + 1)), [0] * (len(piece) - 1)
+        last = 0
+        while len(ends) > 2:
+            rank, k = min((self.ranks.get(piece[ends[k - 1] : ends[k + 1]], _NEVER), k) for k in range(1, len(ends) - 1))
+            if rank == _NEVER:
+                return None
+            last = ends.pop(k)
+            gone[last - 1] = rank
+        return last, gone
+
+    def table(self) -> list[tuple]:
+        """(piece, id, score, rank, border, gone) of each piece that a path may use; border 0 stands for none."""
+        if self.algorithm != BPE:
+            return [(p, i, float(self.pieces[i][1]), 0, 0, []) for p, i in self.ids.items()]
+        known = ((p, i, self.merges(p)) for p, i in self.ids.items())
+        return [(p, i, 0.0, self.ranks[p], *m) for p, i, m in known if m is not None]
+
 
 def read_model(path: str = MODEL) -> Model:
     """The model file, read on the driver; fields 1 (pieces) and 2 (trainer, with its type)."""
-    import struct
-
     pieces, kinds, algorithm = [], [], UNIGRAM
     for number, value in _fields(Path(path).read_bytes()):
         if number == 1:
@@ -122,128 +157,91 @@ def parts(chunk: str, model: Model) -> list[str]:
     return CUT.split(chunk) if model.cuts else [chunk]
 
 
-def lattice(words: DataFrame, model: Model) -> DataFrame:
-    """(chunk, n_used, edges): each substring that is a piece, each character that is in none.
-
-    ``words`` has each chunk once; partitioned by it, its substrings need no shuffle.
-
-    An edge is packed as rank, start, end and id, so that sorting puts the best first. The
-    piece table has the vocabulary's rows, so it is broadcast.
-    """
-    spark = words.sparkSession
-    pieces = spark.createDataFrame([(p, model.ranks[p], i) for p, i in model.ids.items()], "piece string, rank long, id long")
-    rows = words.withColumn("s", F.expr("explode(sequence(0, length(chunk) - 1))"))
-    rows = rows.withColumn("n", F.expr(f"explode(sequence(1, least({model.longest}, length(chunk) - s)))"))
-    rows = rows.withColumn("piece", F.expr("substring(chunk, s + 1, n)")).join(F.broadcast(pieces), "piece", "left")
-    rows = rows.where("id is not null or n = 1")
-    edge = F.expr(f"shiftleft(coalesce(rank, {_NO_RANK}L), 30) | shiftleft(bigint(s), 24) | shiftleft(bigint(s + n), 18) | coalesce(id, {_NO_ID}L)")
-    return rows.groupBy("chunk", "n_used").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+def tokens(text: str) -> list[str]:
+    """Runs between blanks, without the one blank before each; more blanks stay in front."""
+    if not text:
+        return []
+    text = text.replace(SPACE, " ")
+    if text[0] != " " and "  " not in text:
+        return text.split(" ")
+    return [t[1:] for t in re.findall(" +[^ ]*", " " + text)]
 
 
-_NO_RANK = _NO_ID = (1 << 18) - 1
-_S, _E, _ID = "(shiftright(x, 24) & 63)", "(shiftright(x, 18) & 63)", "(x & 262143)"
-#: Marks of an edge's start and end, and of the boundaries inside it, in a word of bits.
-_ENDS = "(shiftleft(1L, int(shiftright(x, 24) & 63)) | shiftleft(1L, int(shiftright(x, 18) & 63)))"
-_INNER = "(shiftleft(1L, int(shiftright(x, 18) & 63)) - shiftleft(2L, int(shiftright(x, 24) & 63)))"
+def named(chunk):
+    """A short key of a chunk: itself, or the digest of a long one, which no chunk equals."""
+    return F.when(F.length(chunk) <= WINDOW, chunk).otherwise(F.concat(F.lit("\n"), F.sha2(chunk, 256)))
 
 
-def fold_merges(edges: DataFrame) -> DataFrame:
-    """(chunk, n_used, path): boundaries start at every character; a merge takes one away.
+def lattice(words: DataFrame, model: Model, keys: list[str]) -> DataFrame:
+    """``words`` (chunk and other columns) with ``edges``, one row for each value of ``keys``.
 
-    Each turn takes the best edge both of whose ends are boundaries and that has one inside.
-    Only edges over two characters or more can merge, and these are few; their marks are made
-    once, and those whose ends are gone are dropped as the fold goes on.
+    An edge is a substring that is a piece, or a character that is in none (id -1). The piece
+    table has the vocabulary's rows, so it is broadcast; it is joined by the substring's digest
+    and then the substring. A frame that is partitioned by its keys is not shuffled again; all
+    that is no key goes with the edge of the first character only.
     """
-    rows = edges.withColumn("joins", F.expr(f"transform(filter(edges, x -> {_E} - {_S} > 1), x -> struct({_ENDS} as ends, {_INNER} as inside))"))
-    start = "struct(shiftleft(1L, length(chunk) + 1) - 1 as b, joins as left)"
-    left = "filter(z.left, x -> (z.b & x.ends) = x.ends and (z.b & x.inside) <> 0)"
-    pick = "filter(y.left, x -> bit_count(y.b & x.inside) = 1)[0].inside"
-    # One step prunes the edges, the next takes the first that merges two neighbours.
-    turn = f"case when size(z.left) = 0 then z else transform(array(struct(z.b as b, {left} as left)), y -> struct(case when size(y.left) = 0 then y.b else y.b & ~coalesce({pick}, 0L) end as b, y.left as left))[0] end"
-    rows = rows.withColumn("marks", F.expr(f"aggregate(sequence(1, length(chunk)), {start}, (z, i) -> {turn}, z -> z.b)"))
-    path = f"filter(edges, x -> (marks & {_ENDS}) = {_ENDS} and (marks & {_INNER}) = 0)"
-    ids = f"transform(sort_array(transform({path}, x -> shiftleft({_S}, 18) | {_ID})), x -> struct(int(shiftright(x, 18)) as s, int(x & 262143) as id))"
-    return rows.select("chunk", "n_used", F.expr(ids).alias("path"))
+    spark = words.sparkSession
+    table = model.table()
+    worst = min((x[2] for x in table), default=0.0) - 10.0
+    pieces = spark.createDataFrame(table, "piece string, id int, score double, m int, cut int, gone array<int>").withColumn("digest", F.xxhash64("piece"))
+    more = [c for c in words.columns if c not in keys]
+    rows = words.withColumn("w", F.expr(f"explode(sequence(0, (length(chunk) - 1) div {WINDOW}))"))
+    rows = rows.withColumn("part", F.expr(f"substring(chunk, int(w * {WINDOW}) + 1, {WINDOW + model.longest})"))
+    rows = rows.withColumn("k", F.expr(f"explode(sequence(0, least({WINDOW}, length(part)) - 1))"))
+    rows = rows.withColumn("n", F.expr(f"explode(sequence(1, least({model.longest}, length(part) - k)))"))
+    rows = rows.withColumn("sub", F.expr("substring(part, k + 1, n)")).withColumn("s", F.expr(f"int(w * {WINDOW}) + k"))
+    rows = rows.withColumn("rider", F.when((F.col("s") == 0) & (F.col("n") == 1), F.struct(*more)))
+    rows = rows.select(*keys, "s", "n", "sub", "rider")
+    rows = rows.join(F.broadcast(pieces), (F.xxhash64("sub") == F.col("digest")) & (F.col("sub") == F.col("piece")), "left").where("id is not null or n = 1")
+    edge = f"struct(s + n as e, s, coalesce(id, -1) as id, coalesce(score, {worst!r}D) as score, coalesce(m, 0) as m, if(cut > 0, s + cut, -1) as c, coalesce(gone, array()) as gone)"
+    rows = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.expr(edge))).alias("edges"), F.first("rider", ignorenulls=True).alias("rider"))
+    return rows.select(*keys, "rider.*", "edges")
 
 
 def fold_best_path(edges: DataFrame, model: Model) -> DataFrame:
-    """(chunk, n_used, path): Viterbi over the edges, by the sum of the pieces' scores.
+    """``edges`` with ``path``: the edges (s, e, id) of the best path of each chunk, in order.
 
-    The state holds the best (score, start, id) for each position so far; ties go to the
-    later start. A character without a piece costs ten more than the worst piece.
+    Each position keeps its best edge so far; ties go to the later start, then the larger id. A
+    step from edge b over border p to edge x is not allowed if a merge y that takes p away lies
+    in both, and starts and ends at borders that b and x still have when its turn comes; of equal
+    merges the left one is first. Long chunks are folded in windows of WINDOW positions, of which
+    only the last ones are carried on, so the time is linear in the chunk.
     """
-    levels = sorted({model.pieces[i][1] for i in model.ids.values()}, reverse=True)
-    worst = (levels[-1] if levels else 0.0) - 10.0
-    table = F.array(*[F.lit(float(s)) for s in levels])
-    rows = edges.withColumn("edges", F.transform("edges", lambda x: F.struct(F.shiftright(x, 24).bitwiseAND(F.lit(63)).cast("int").alias("s"), F.shiftright(x, 18).bitwiseAND(F.lit(63)).cast("int").alias("e"), x.bitwiseAND(F.lit(_NO_ID)).cast("int").alias("id"), F.coalesce(F.try_element_at(table, (F.shiftright(x, 30) + 1).cast("int")), F.lit(worst)).alias("score"))))
-    best = "array_max(transform(filter(edges, x -> x.e = p), x -> struct(best[x.s].score + x.score as score, x.s as s, x.id as id)))"
-    rows = rows.withColumn("best", F.expr(f"aggregate(sequence(1, length(chunk)), array(struct(0D as score, -1 as s, -1 as id)), (best, p) -> concat(best, array({best})))"))
-    back = "aggregate(sequence(1, length(chunk)), struct(length(chunk) as at, cast(array() as array<struct<s:int,id:int>>) as path), (z, i) -> case when z.at > 0 then struct(best[z.at].s as at, concat(array(struct(best[z.at].s as s, best[z.at].id as id)), z.path) as path) else z end, z -> z.path)"
-    return rows.select("chunk", "n_used", F.expr(back).alias("path"))
-
-
-def encoded_chunks(words: DataFrame, model: Model) -> DataFrame:
-    """(chunk, n_used, ids) of distinct chunks, through the lattice and its fold."""
-    edges = lattice(words, model)
-    rows = fold_merges(edges) if model.algorithm == BPE else fold_best_path(edges, model)
+    reach = model.longest
+    rows = edges.withColumn("starts", F.expr(f"filter(transform(edges, (x, i) -> if(i = 0 or (edges[i - 1].e - 1) div {WINDOW} <> (x.e - 1) div {WINDOW}, i, -1)), i -> i >= 0)"))
+    rows = rows.withColumn("parts", F.expr("transform(starts, (a, j) -> slice(edges, a + 1, if(j + 1 < size(starts), starts[j + 1], size(edges)) - a))"))
+    near = f"concat(if(j > 0, filter(parts[j - 1], y -> y.c > 0 and y.e > own[0].e - {reach}), array()), filter(own, y -> y.c > 0))"
+    rows = rows.withColumn("parts", F.expr(f"transform(parts, (own, j) -> struct(own, {near} as near))"))
+    b = "best[x.s - best[0].e]"
+    crossed = f"exists(w.cross[x.s - best[0].e], y -> y.e <= x.e and y.s >= {b}.s and (y.s = {b}.s or {b}.gone[y.s - {b}.s - 1] > y.m) and (y.e = x.e or x.gone[y.e - x.s - 1] >= y.m))"
+    step = f"array_max(transform(filter(w.own, x -> x.e = p and not {crossed}), x -> struct({b}.score + x.score as score, x.s as s, x.id as id, x.e as e, x.gone as gone)))"
+    window = f"aggregate(sequence(w.own[0].e, w.own[size(w.own) - 1].e), z.best, (best, p) -> concat(best, array({step})))"
+    cross = "transform(sequence(z.best[0].e, v.own[size(v.own) - 1].e), p -> filter(v.near, y -> y.c = p))"
+    kept = f"struct(slice(a, -least(size(a), {reach}), {reach}) as best, concat(z.log, array(transform(filter(a, x -> x.e > z.best[size(z.best) - 1].e), x -> struct(x.s as s, x.e as e, x.id as id)))) as log)"
+    turn = f"transform(transform(array(struct(v.own as own, {cross} as cross)), w -> {window}), a -> {kept})[0]"
+    start = "struct(array(struct(0D as score, 0 as s, -1 as id, 0 as e, cast(array() as array<int>) as gone)) as best, cast(array() as array<array<struct<s:int,e:int,id:int>>>) as log)"
+    rows = rows.withColumn("log", F.expr(f"aggregate(parts, {start}, (z, v) -> {turn}, z -> z.log)"))
+    inner = "aggregate(reverse(v), struct(z.at as at, cast(array() as array<struct<s:int,e:int,id:int>>) as path), (y, x) -> if(x.e = y.at, struct(x.s as at, concat(y.path, array(x)) as path), y))"
+    back = f"aggregate(reverse(log), struct(length(chunk) as at, cast(array() as array<array<struct<s:int,e:int,id:int>>>) as path), (z, v) -> transform(array({inner}), y -> struct(y.at as at, concat(z.path, array(y.path)) as path))[0], z -> reverse(flatten(z.path)))"
+    return rows.withColumn("path", F.expr(back)).drop("edges", "starts", "parts", "log")
+
+
+def encoded_chunks(words: DataFrame, model: Model, keys: list[str]) -> DataFrame:
+    """``words`` (each chunk once for its ``keys``) with ids, through the lattice and its fold."""
+    rows = fold_best_path(lattice(words, model, keys), model)
     first = model.bytes.get(0)
     if first is None:
         spell = f"array({model.unknown})"
     else:  # the pieces of the 256 bytes stand in order
         spell = f"transform(sequence(0, octet_length(substring(chunk, y.s + 1, 1)) - 1), k -> {first} + cast(conv(substring(hex(encode(substring(chunk, y.s + 1, 1), 'UTF-8')), 2 * k + 1, 2), 16, 10) as int))"
-    ids = F.expr(f"case when exists(path, y -> y.id = {_NO_ID}) then flatten(transform(path, y -> case when y.id = {_NO_ID} then {spell} else array(y.id) end)) else transform(path, y -> y.id) end")
-    return rows.select("chunk", "n_used", ids.alias("ids"))
-
-
-def merge_long(chunk: str, model: Model) -> list[int]:
-    """The merge fold with a heap, for chunks beyond LONG; best path for unigram models."""
-    if model.algorithm != BPE:
-        return _best_path_long(chunk, model)
-    held, left, right = list(chunk), list(range(-1, len(chunk) - 1)), [*range(1, len(chunk)), -1]
-    heap = []
-
-    def offer(i):
-        j = right[i]
-        if i >= 0 and j >= 0 and (rank := model.ranks.get(held[i] + held[j])) is not None:
-            heapq.heappush(heap, (rank, i, j, held[i] + held[j]))
-
-    for i in range(len(held) - 1):
-        offer(i)
-    while heap:
-        _, i, j, both = heapq.heappop(heap)
-        if held[i] is None or right[i] != j or held[j] is None or held[i] + held[j] != both:
-            continue
-        held[i], held[j], right[i] = both, None, right[j]
-        if right[i] >= 0:
-            left[right[i]] = i
-        offer(i)
-        if left[i] >= 0:
-            offer(left[i])
-    return [k for p in held if p is not None for k in ([model.ids[p]] if p in model.ids else model.fallback(p))]
-
-
-def _best_path_long(chunk: str, model: Model) -> list[int]:
-    worst = min((model.pieces[i][1] for i in model.ids.values()), default=0.0) - 10.0
-    best: list[tuple[float, int, int]] = [(0.0, -1, -1)]
-    for e in range(1, len(chunk) + 1):
-        options = [(best[s][0] + model.pieces[k][1], s, k) for s in range(max(0, e - model.longest), e) if (k := model.ids.get(chunk[s:e])) is not None]
-        if chunk[e - 1] not in model.ids:
-            options.append((best[e - 1][0] + worst, e - 1, _NO_ID))
-        best.append(max(options))
-    out, at = [], len(chunk)
-    while at:
-        _, s, k = best[at]
-        out[:0] = model.fallback(chunk[s:at]) if k == _NO_ID else [k]
-        at = s
-    return out
-
-
-def decode_ids(ids: list[int], model: Model, first: bool = True) -> str:
-    """The text of ids: bytes are joined, marks become spaces and, of a whole text, the first goes."""
-    of = model.byte_of
-    raw = b"".join(bytes([of[i]]) if i in of else b"" if model.kinds[i] == 3 else model.pieces[i][0].encode() for i in ids)
-    text = raw.decode("utf-8", "replace").replace(SPACE, " ")
-    return text[1:] if first and text.startswith(" ") else text
+    ids = F.expr(f"case when exists(path, y -> y.id < 0) then flatten(transform(path, y -> case when y.id < 0 then {spell} else array(y.id) end)) else path.id end")
+    return rows.withColumn("ids", ids).drop("path")
+
+
+def decode_ids(ids: list[int], model: Model) -> str:
+    """The text of ids: bytes are joined, marks become spaces and the first goes."""
+    text = b"".join(map(model.raw, ids)).decode("utf-8", "replace")
+    return text[1:] if text.startswith(" ") else text
 
 
 def decode(rows: DataFrame, model: Model, ids: str = "ids") -> DataFrame:
@@ -253,75 +251,175 @@ def decode(rows: DataFrame, model: Model, ids: str = "ids") -> DataFrame:
     return rows.withColumn("decoded", of(F.col(ids)))
 
 
+class _Numbers(dict):
+    """Numbers for keys in the order in which they come, from ``first`` on."""
+
+    def __init__(self, first: int = 0):
+        super().__init__()
+        self.first = first
+
+    def __missing__(self, key):
+        self[key] = n = len(self) + self.first
+        return n
+
+
+def _blocks(batches):
+    """For each block of a partition its key and its (doc_id, text) rows."""
+    partition, n, held, size = 0, 0, [], 0
+    for batch in batches:
+        partition = batch.column(2)[0].as_py() if batch.num_rows else partition
+        for at in range(0, batch.num_rows, 256):
+            ids, texts = (batch.column(k).slice(at, 256).to_pylist() for k in range(2))
+            for i, text in zip(ids, texts, strict=True):
+                held.append((i, text or ""))
+                size += len(held[-1][1])
+                if size >= BLOCK:
+                    yield (n << PARTITION_BITS | partition) << CHUNK_BITS, held
+                    n, held, size = n + 1, [], 0
+    if held:
+        yield (n << PARTITION_BITS | partition) << CHUNK_BITS, held
+
+
+def _numbered(rows, model: Model):
+    """The block's token numbers, the token count of each row, and for each token its chunks' numbers (from 1)."""
+    of, numbers, counts, seqs = _Numbers(), _Numbers(1), [], []
+    for _, text in rows:
+        own = tokens(text)
+        counts.append(len(own))
+        seqs.append(np.fromiter(map(of.__getitem__, own), np.uint32, len(own)))
+    pieces = [[numbers[p] for c in CHUNK.findall(SPACE + t.replace(" ", SPACE)) for p in parts(c, model)] for t in of]
+    return np.concatenate(seqs) if seqs else np.zeros(0, np.uint32), counts, pieces, numbers
+
+
+def _packed(rows, model: Model) -> bytes:
+    """All that the second pass needs of a block but the ids of its chunks.
+
+    Numbers are laid out byte by byte of equal weight, which packs them well.
+    """
+    seq, counts, pieces, numbers = _numbered(rows, model)
+    ids = np.array([0 if i is None else i for i, _ in rows], np.int64)
+    known = np.array([i is not None for i, _ in rows], np.uint8)
+    sums = np.array([xxhash.xxh64_intdigest(t.encode()) for _, t in rows], np.uint64)
+    sizes = np.fromiter(map(len, pieces), np.uint32, len(pieces))
+    flat = np.fromiter((k for own in pieces for k in own), np.uint32, int(sizes.sum()))
+    planes = [np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes() for x in (np.array(counts, np.uint32), sizes, flat, seq)]
+    data = b"".join([struct.pack("<5Q", len(rows), len(sizes), len(flat), len(seq), len(numbers)), ids.tobytes(), known.tobytes(), sums.tobytes(), *planes])
+    return zstandard.ZstdCompressor(level=3).compress(data)
+
+
+def _unpacked(data: bytes):
+    data = memoryview(zstandard.ZstdDecompressor().decompress(data))
+    n, t, f, q, chunks = struct.unpack_from("<5Q", data)
+    at = 40
+
+    def take(count: int, kind) -> np.ndarray:
+        nonlocal at
+        out = np.frombuffer(data, kind, count, at)
+        at += out.nbytes
+        return out
+
+    ids, known, sums = take(n, np.int64), take(n, np.uint8), take(n, np.uint64)
+    counts, sizes, flat, seq = (np.ascontiguousarray(take(4 * k, np.uint8).reshape(4, k).T).view(np.uint32).reshape(-1) for k in (n, t, f, q))
+    return ids, known, sums, counts, sizes, flat, seq, chunks
+
+
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of all runs, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+
+
+def _together(payload: bytes, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, model: Model):
+    """The result rows of a block from its packed texts and the ids of its chunks, in the order of their keys."""
+    docs, known, sums, counts, per_token, flat, seq, chunks = _unpacked(payload)
+    if len(keys) != chunks or not (keys == np.arange(1, chunks + 1)).all():
+        raise RuntimeError(f"{chunks} chunks went out and {len(keys)} came back: the input was not the same when it was read again")
+    flat = flat.astype(np.int64) - 1
+    starts = np.cumsum(sizes) - sizes
+    token_ids = ids[_runs(starts[flat], sizes[flat])]
+    owner = np.repeat(np.arange(len(per_token)), per_token)
+    token_sizes = np.bincount(owner, sizes[flat], len(per_token)).astype(np.int64)
+    raw = [model.raw(i) for i in range(len(model.pieces))]
+    raw_sizes = np.array([len(x) for x in raw], np.int64)
+    raw_starts, letters = np.cumsum(raw_sizes) - raw_sizes, np.frombuffer(b"".join(raw), np.uint8)
+    token_letters = letters[_runs(raw_starts[token_ids], raw_sizes[token_ids])]
+    token_widths = np.bincount(np.repeat(np.arange(len(per_token)), token_sizes), raw_sizes[token_ids], len(per_token)).astype(np.int64)
+    id_starts, letter_starts = np.cumsum(token_sizes) - token_sizes, np.cumsum(token_widths) - token_widths
+    ends = np.cumsum(counts, dtype=np.int64)
+    a = 0
+    while a < len(docs):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + STEP, "right")))
+        own = seq[(ends[a - 1] if a else 0) : ends[b - 1]].astype(np.int64)
+        out = token_ids[_runs(id_starts[own], token_sizes[own])]
+        bounds = np.concatenate([[0], ends[a:b] - (ends[a - 1] if a else 0)])
+        upto = np.concatenate([[0], np.cumsum(token_sizes[own])])[bounds]
+        good = np.zeros(b - a, bool)
+        for k in range(b - a):
+            digest, first = xxhash.xxh64(), 1
+            for at in range(bounds[k], bounds[k + 1], STEP):
+                part = own[at : min(at + STEP, bounds[k + 1])]
+                digest.update(token_letters[_runs(letter_starts[part], token_widths[part])][first:].tobytes())
+                first = 0
+            good[k] = digest.intdigest() == int(sums[a + k])
+        lists = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(out, pa.int32()))
+        doc_ids = pa.array(docs[a:b], pa.int64(), mask=known[a:b] == 0)
+        yield pa.RecordBatch.from_arrays([doc_ids, pa.array(np.diff(upto), pa.int64()), lists, pa.array(good)], ["doc_id", "n_pieces", "ids", "round_trip"])
+        a = b
+
+
 def encode(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_pieces, ids and round_trip of every row of ``docs``.
 
-    ``docs`` must give its rows in equal partitions each time it is read, as tables do.
-    Decoding joins its chunks' texts, so it is tried once for each chunk.
+    ``docs`` is read twice and must give its rows in equal partitions each time, as stored tables
+    do; if it does not, the second pass stops with an error.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    told = spark.sparkContext.broadcast(model)
-
-    def count(batches):
-        for batch in batches:
-            found: Counter[str] = Counter()
-            for text in batch.column(0).to_pylist():
-                found.update(basic_chunks(text or ""))
-            used: Counter[str] = Counter()
-            for chunk, n in found.items():
-                for part in parts(chunk, told.value):
-                    if len(part) <= LONG:
-                        used[part] += n
-            yield pa.RecordBatch.from_arrays([pa.array(used.keys(), pa.string()), pa.array(used.values(), pa.int64())], ["chunk", "n"])
-
-    words = rows.select("text").mapInArrow(count, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n_used"))
-    coded = written(encoded_chunks(words, model), "pieces")
-    top = coded.orderBy(F.desc("n_used"), "chunk").limit(FREQUENT)
-    frequent = spark.sparkContext.broadcast({r[0]: tuple(r[1]) for r in top.select("chunk", "ids").collect()})
-
-    def rare(batches):
-        known, model = frequent.value, told.value
-        for batch in batches:
-            ids, out = array("q"), []
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = {p for c in set(basic_chunks(text.as_py() or "")) if c not in known for p in parts(c, model) if p not in known and len(p) <= LONG}
-                ids.extend([row] * len(own))
-                out += own
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], ["row", "chunk"])
-
-    own = rows.select("row", "text").mapInArrow(rare, "row long, chunk string").join(coded.select("chunk", "ids"), "chunk")
-    own = own.groupBy("row").agg(F.collect_list(F.struct("chunk", "ids")).alias("own"))
-    rows = rows.join(own, "row", "left").select("doc_id", "text", "own")
-
-    def together(batches):
-        known, model = frequent.value, told.value
-        seen, wrong = {}, set()
-
-        def put(chunk, mine):
-            out = []
-            for part in parts(chunk, model):
-                out += known[part] if part in known else mine[part] if part in mine else merge_long(part, model)
-            if decode_ids(out, model, first=False) != chunk.replace(SPACE, " "):
-                wrong.add(chunk)
-            return tuple(out)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.spark_partition_id().alias("partition"))
+    told = docs.sparkSession.sparkContext.broadcast(model)
+
+    def out_chunks(batches):
+        for key, own in _blocks(batches):
+            numbers = _numbered(own, told.value)[3]
+            keys = np.fromiter(numbers.values(), np.int64, len(numbers)) + key
+            chunks = pa.array(numbers.keys(), pa.string())
+            for at in range(0, len(keys), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 50_000]), chunks.slice(at, 50_000)], ["key", "chunk"])
+
+    def out_texts(batches):
+        for key, own in _blocks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([_packed(own, told.value)], pa.binary())], ["key", "data"])
+
+    words = rows.mapInArrow(out_chunks, "key long, chunk string").withColumn("bucket", F.shiftright("key", CHUNK_BITS + SHARED_BITS))
+    words = words.select(named(F.col("chunk")).alias("name"), "bucket", "chunk", "key").repartition("name", "bucket")
+    words = words.groupBy("name", "bucket").agg(F.collect_list("key").alias("keys"), F.first("chunk").alias("chunk"))
+    coded = encoded_chunks(words, model, ["name", "bucket"])
+    data = F.concat(F.array_join(F.col("ids").cast("array<string>"), " "), F.lit(" ")).cast("binary")
+    back = coded.select(F.explode("keys").alias("key"), data.alias("data")).unionByName(rows.mapInArrow(out_texts, "key long, data binary"))
+    back = back.repartition(F.shiftright("key", CHUNK_BITS)).sortWithinPartitions("key")
+
+    def put_together(batches):
+        payload, keys, ids, sizes = None, [], [], []
+
+        def finish():
+            join = lambda held, kind: np.concatenate(held) if held else np.zeros(0, kind)
+            return _together(payload, join(keys, np.int64), join(ids, np.int64), join(sizes, np.int64), told.value)
 
         for batch in batches:
-            flat, ends, good = array("i"), array("i", [0]), []
-            for text, own in zip(batch.column(1), batch.column(2), strict=True):
-                found = basic_chunks(text.as_py() or "")
-                new = {c for c in found if c not in seen}
-                if new:
-                    if len(seen) + len(new) > REMEMBERED:
-                        seen.clear()
-                        new = set(found)
-                    mine = {x["chunk"]: x["ids"] for x in own.as_py() or []}
-                    seen.update((c, put(c, mine)) for c in new)
-                flat.extend(chain.from_iterable(map(seen.__getitem__, found)))
-                ends.append(len(flat))
-                good.append(not wrong or wrong.isdisjoint(found))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
-            sizes = pa.array([b - a for a, b in zip(ends, ends[1:])], pa.int64())  # noqa: B905
-            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, lists, pa.array(good, pa.bool_())], ["doc_id", "n_pieces", "ids", "round_trip"])
-
-    return rows.mapInArrow(together, "doc_id bigint, n_pieces bigint, ids array<int>, round_trip boolean")
+            key, at = batch.column(0).to_numpy(), 0
+            first = np.flatnonzero(key & ((1 << CHUNK_BITS) - 1) == 0)
+            for end in [*first.tolist(), batch.num_rows]:
+                if end > at:
+                    spelled = batch.column(1).slice(at, end - at)
+                    bounds = np.frombuffer(spelled.buffers()[1], np.int32)[spelled.offset : spelled.offset + end - at + 1]
+                    letters = np.frombuffer(spelled.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]
+                    keys.append(key[at:end] & ((1 << CHUNK_BITS) - 1))
+                    ids.append(np.fromstring(letters.tobytes().decode(), np.int64, sep=" "))
+                    sizes.append(np.add.reduceat((letters == 32).astype(np.int64), bounds[:-1] - bounds[0]))
+                if end < batch.num_rows:
+                    if payload is not None:
+                        yield from finish()
+                    payload, keys, ids, sizes = batch.column(1)[end].as_py(), [], [], []
+                at = end + 1
+        if payload is not None:
+            yield from finish()
+
+    return back.mapInArrow(put_together, "doc_id bigint, n_pieces bigint, ids array<int>, round_trip boolean")
