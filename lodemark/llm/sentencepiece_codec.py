@@ -50,10 +50,10 @@ STEP = 500_000
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 _NEVER = 1 << 30
-#: A line feed is in no longer piece, and a space only leads one.
-CHUNK = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
-#: A sign after a letter; most vocabularies have no piece over both, which is checked.
-CUT = re.compile(r"(?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])(?=[#%$&*,.;:!?|])")
+#: Where no piece spans: around a line feed, and in most vocabularies (it is checked) before a sign after a letter.
+LINES = re.compile("(?<=\n)|(?=\n)")
+SIGNS = "(?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])(?=[#%$&*,.;:!?|])"
+CUT = re.compile(f"{LINES.pattern}|{SIGNS}")
 
 
 def _fields(data: bytes):
@@ -100,7 +100,7 @@ class Model:
         inner = [p for p in self.ids if SPACE in p.lstrip(SPACE) or "\n" in p and p != "\n"]
         if inner:
             raise ValueError(f"pieces that span words are not supported: {inner[:3]}")
-        self.cuts = not any(CUT.search(p) for p in self.ids)
+        self.cuts = not any(re.search(SIGNS, p) for p in self.ids)
 
     def fallback(self, char: str) -> list[int]:
         return [self.bytes[b] for b in char.encode()] if self.bytes else [self.unknown]
@@ -147,16 +147,6 @@ def read_model(path: str = MODEL) -> Model:
     return Model(pieces, kinds, algorithm)
 
 
-def basic_chunks(text: str) -> list[str]:
-    """Words with the spaces before them marked, one space before all, and line feeds."""
-    return CHUNK.findall(SPACE + text.replace(" ", SPACE)) if text else []
-
-
-def parts(chunk: str, model: Model) -> list[str]:
-    """A chunk cut where no piece of the model spans."""
-    return CUT.split(chunk) if model.cuts else [chunk]
-
-
 def tokens(text: str) -> list[str]:
     """Runs between blanks, without the one blank before each; more blanks stay in front."""
     if not text:
@@ -167,6 +157,13 @@ def tokens(text: str) -> list[str]:
     return [t[1:] for t in re.findall(" +[^ ]*", " " + text)]
 
 
+def chunks(token: str, model: Model) -> list[str]:
+    """A token with its blanks marked, cut where no piece of the model spans."""
+    if token.isalpha():
+        return [SPACE + token]
+    return [c for c in (CUT if model.cuts else LINES).split(SPACE + token.replace(" ", SPACE)) if c]
+
+
 def named(chunk):
     """A short key of a chunk: itself, or the digest of a long one, which no chunk equals."""
     return F.when(F.length(chunk) <= WINDOW, chunk).otherwise(F.concat(F.lit("\n"), F.sha2(chunk, 256)))
@@ -178,51 +175,65 @@ def lattice(words: DataFrame, model: Model, keys: list[str]) -> DataFrame:
     An edge is a substring that is a piece, or a character that is in none (id -1). The piece
     table has the vocabulary's rows, so it is broadcast; it is joined by the substring's digest
     and then the substring. A frame that is partitioned by its keys is not shuffled again; all
-    that is no key goes with the edge of the first character only.
+    that is no key goes with the edge of the first character only. A running number leads the
+    keys, so that rows come in the order in which they are sorted for grouping.
     """
     spark = words.sparkSession
     table = model.table()
     worst = min((x[2] for x in table), default=0.0) - 10.0
+    if len({xxhash.xxh64_intdigest(p[0].encode(), 42) for p in table}) < len(table):
+        raise ValueError("two pieces share a digest")
     pieces = spark.createDataFrame(table, "piece string, id int, score double, m int, cut int, gone array<int>").withColumn("digest", F.xxhash64("piece"))
     more = [c for c in words.columns if c not in keys]
-    rows = words.withColumn("w", F.expr(f"explode(sequence(0, (length(chunk) - 1) div {WINDOW}))"))
+    rows = words.withColumn("row", F.monotonically_increasing_id())
+    rows = rows.withColumn("w", F.expr(f"explode(sequence(0, (length(chunk) - 1) div {WINDOW}))"))
     rows = rows.withColumn("part", F.expr(f"substring(chunk, int(w * {WINDOW}) + 1, {WINDOW + model.longest})"))
     rows = rows.withColumn("k", F.expr(f"explode(sequence(0, least({WINDOW}, length(part)) - 1))"))
     rows = rows.withColumn("n", F.expr(f"explode(sequence(1, least({model.longest}, length(part) - k)))"))
     rows = rows.withColumn("sub", F.expr("substring(part, k + 1, n)")).withColumn("s", F.expr(f"int(w * {WINDOW}) + k"))
     rows = rows.withColumn("rider", F.when((F.col("s") == 0) & (F.col("n") == 1), F.struct(*more)))
-    rows = rows.select(*keys, "s", "n", "sub", "rider")
-    rows = rows.join(F.broadcast(pieces), (F.xxhash64("sub") == F.col("digest")) & (F.col("sub") == F.col("piece")), "left").where("id is not null or n = 1")
-    edge = f"struct(s + n as e, s, coalesce(id, -1) as id, coalesce(score, {worst!r}D) as score, coalesce(m, 0) as m, if(cut > 0, s + cut, -1) as c, coalesce(gone, array()) as gone)"
-    rows = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.expr(edge))).alias("edges"), F.first("rider", ignorenulls=True).alias("rider"))
+    rows = rows.select("row", *keys, "s", "n", "sub", "rider")
+    # Joined by digest, then compared: two join keys would be looked up by their bytes, five times as slow.
+    rows = rows.join(F.broadcast(pieces), F.xxhash64("sub") == F.col("digest"), "left").where("n = 1 or sub = piece")
+    rows = rows.withColumn("known", F.expr("coalesce(sub = piece, false)"))
+    edge = f"struct(s + n as e, s, if(known, id, -1) as id, if(known, score, {worst!r}D) as score, if(known, m, 0) as m, if(known and cut > 0, s + cut, -1) as c, if(known, gone, array()) as gone)"
+    rows = rows.groupBy("row", *keys).agg(F.sort_array(F.collect_list(F.expr(edge))).alias("edges"), F.first("rider", ignorenulls=True).alias("rider"))
     return rows.select(*keys, "rider.*", "edges")
 
 
 def fold_best_path(edges: DataFrame, model: Model) -> DataFrame:
     """``edges`` with ``path``: the edges (s, e, id) of the best path of each chunk, in order.
 
-    Each position keeps its best edge so far; ties go to the later start, then the larger id. A
-    step from edge b over border p to edge x is not allowed if a merge y that takes p away lies
-    in both, and starts and ends at borders that b and x still have when its turn comes; of equal
-    merges the left one is first. Long chunks are folded in windows of WINDOW positions, of which
-    only the last ones are carried on, so the time is linear in the chunk.
+    The fold goes over the edges in the order of their ends. Each position keeps its best edge;
+    ties go to the later start, then the larger id. A step from edge b over border p to edge x
+    is not allowed if a merge y that takes p away lies in both, and starts and ends at borders
+    that b and x still have when its turn comes; of equal merges the left one is first. What y
+    asks of b is asked when y is met, as b is known by then. Long chunks are folded in windows,
+    of which only the last positions are carried on, so the time is linear in the chunk.
     """
     reach = model.longest
-    rows = edges.withColumn("starts", F.expr(f"filter(transform(edges, (x, i) -> if(i = 0 or (edges[i - 1].e - 1) div {WINDOW} <> (x.e - 1) div {WINDOW}, i, -1)), i -> i >= 0)"))
-    rows = rows.withColumn("parts", F.expr("transform(starts, (a, j) -> slice(edges, a + 1, if(j + 1 < size(starts), starts[j + 1], size(edges)) - a))"))
-    near = f"concat(if(j > 0, filter(parts[j - 1], y -> y.c > 0 and y.e > own[0].e - {reach}), array()), filter(own, y -> y.c > 0))"
-    rows = rows.withColumn("parts", F.expr(f"transform(parts, (own, j) -> struct(own, {near} as near))"))
-    b = "best[x.s - best[0].e]"
-    crossed = f"exists(w.cross[x.s - best[0].e], y -> y.e <= x.e and y.s >= {b}.s and (y.s = {b}.s or {b}.gone[y.s - {b}.s - 1] > y.m) and (y.e = x.e or x.gone[y.e - x.s - 1] >= y.m))"
-    step = f"array_max(transform(filter(w.own, x -> x.e = p and not {crossed}), x -> struct({b}.score + x.score as score, x.s as s, x.id as id, x.e as e, x.gone as gone)))"
-    window = f"aggregate(sequence(w.own[0].e, w.own[size(w.own) - 1].e), z.best, (best, p) -> concat(best, array({step})))"
-    cross = "transform(sequence(z.best[0].e, v.own[size(v.own) - 1].e), p -> filter(v.near, y -> y.c = p))"
-    kept = f"struct(slice(a, -least(size(a), {reach}), {reach}) as best, concat(z.log, array(transform(filter(a, x -> x.e > z.best[size(z.best) - 1].e), x -> struct(x.s as s, x.e as e, x.id as id)))) as log)"
-    turn = f"transform(transform(array(struct(v.own as own, {cross} as cross)), w -> {window}), a -> {kept})[0]"
-    start = "struct(array(struct(0D as score, 0 as s, -1 as id, 0 as e, cast(array() as array<int>) as gone)) as best, cast(array() as array<array<struct<s:int,e:int,id:int>>>) as log)"
-    rows = rows.withColumn("log", F.expr(f"aggregate(parts, {start}, (z, v) -> {turn}, z -> z.log)"))
-    inner = "aggregate(reverse(v), struct(z.at as at, cast(array() as array<struct<s:int,e:int,id:int>>) as path), (y, x) -> if(x.e = y.at, struct(x.s as at, concat(y.path, array(x)) as path), y))"
-    back = f"aggregate(reverse(log), struct(length(chunk) as at, cast(array() as array<array<struct<s:int,e:int,id:int>>>) as path), (z, v) -> transform(array({inner}), y -> struct(y.at as at, concat(z.path, array(y.path)) as path))[0], z -> reverse(flatten(z.path)))"
+    split = "transform(starts, (a, j) -> slice(edges, a + 1, if(j + 1 < size(starts), starts[j + 1], size(edges)) - a))"
+    rows = edges.withColumn("starts", F.expr(f"if(edges[size(edges) - 1].e <= {WINDOW}, array(0), filter(transform(edges, (x, i) -> if(i = 0 or (edges[i - 1].e - 1) div {WINDOW} <> (x.e - 1) div {WINDOW}, i, -1)), i -> i >= 0))"))
+    rows = rows.withColumn("parts", F.expr(f"if(size(starts) = 1, array(edges), {split})"))
+    entry = "struct({0}.score + x.score as score, x.s as s, x.id as id, x.e as e, x.gone as gone)"
+    if model.algorithm == BPE:
+        # Exactly one edge to each position is allowed.
+        b, c = "z.best[x.s - z.best[0].e]", "z.best[x.c - z.best[0].e]"
+        allowed = "not exists(z.live, y -> y.c = x.s and y.e <= x.e and (y.e = x.e or x.gone[y.e - x.s - 1] >= y.m))"
+        met = f"x.c > 0 and x.s >= {c}.s and (x.s = {c}.s or {c}.gone[x.s - {c}.s - 1] > x.m)"
+        best = f"if(z.best[size(z.best) - 1].e < x.e and {allowed}, array_append(z.best, {entry.format(b)}), z.best)"
+        live = f"if({met}, array_append(z.live, struct(x.c as c, x.e as e, x.m as m)), z.live)"
+        turn = f"struct({best} as best, {live} as live)"
+    else:
+        b, last = "z.best[x.s - z.best[0].e]", "z.best[size(z.best) - 1]"
+        new = entry.format(b)
+        turn = f"struct(case when {last}.e < x.e then array_append(z.best, {new}) when {new} > {last} then array_append(slice(z.best, 1, size(z.best) - 1), {new}) else z.best end as best, z.live as live)"
+    window = f"aggregate(own, struct(z.best as best, z.live as live), (z, x) -> {turn})"
+    kept = f"struct(slice(a.best, -least(size(a.best), {reach}), {reach}) as best, filter(a.live, y -> y.e > a.best[size(a.best) - 1].e - {reach}) as live, array_append(z.log, transform(filter(a.best, x -> x.e > z.best[size(z.best) - 1].e), x -> struct(x.s as s, x.e as e, x.id as id))) as log)"
+    start = "struct(array(struct(0D as score, 0 as s, -1 as id, 0 as e, cast(array() as array<int>) as gone)) as best, cast(array() as array<struct<c:int,e:int,m:int>>) as live, cast(array() as array<array<struct<s:int,e:int,id:int>>>) as log)"
+    rows = rows.withColumn("log", F.expr(f"aggregate(parts, {start}, (z, own) -> transform(array({window}), a -> {kept})[0], z -> z.log)"))
+    inner = "aggregate(reverse(v), struct(z.at as at, cast(array() as array<struct<s:int,e:int,id:int>>) as path), (y, x) -> if(x.e = y.at, struct(x.s as at, array_append(y.path, x) as path), y))"
+    back = f"aggregate(reverse(log), struct(length(chunk) as at, cast(array() as array<array<struct<s:int,e:int,id:int>>>) as path), (z, v) -> transform(array({inner}), y -> struct(y.at as at, array_append(z.path, y.path) as path))[0], z -> reverse(flatten(z.path)))"
     return rows.withColumn("path", F.expr(back)).drop("edges", "starts", "parts", "log")
 
 
@@ -287,7 +298,7 @@ def _numbered(rows, model: Model):
         own = tokens(text)
         counts.append(len(own))
         seqs.append(np.fromiter(map(of.__getitem__, own), np.uint32, len(own)))
-    pieces = [[numbers[p] for c in CHUNK.findall(SPACE + t.replace(" ", SPACE)) for p in parts(c, model)] for t in of]
+    pieces = [[numbers[c] for c in chunks(t, model)] for t in of]
     return np.concatenate(seqs) if seqs else np.zeros(0, np.uint32), counts, pieces, numbers
 
 
