@@ -26,7 +26,9 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 from dataclasses import dataclass
+from itertools import islice
 from pathlib import Path
 
 import numpy as np
@@ -46,14 +48,16 @@ SHARED_BITS = 12
 #: Positions that one turn of the outer fold takes.
 WINDOW = 64
 #: Tokens that one vectorised step of the second pass takes together, unless one text has more.
-STEP = 500_000
+STEP = 200_000
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 _NEVER = 1 << 30
 #: Where no piece spans: around a line feed, and in most vocabularies (it is checked) before a sign after a letter.
 LINES = re.compile("(?<=\n)|(?=\n)")
-SIGNS = "(?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])(?=[#%$&*,.;:!?|])"
+LETTER, SIGN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", "#%$&*,.;:!?|"
+SIGNS = f"(?<=[{LETTER}])(?=[{SIGN}])"
 CUT = re.compile(f"{LINES.pattern}|{SIGNS}")
+WORD_SIGN = re.compile(f"[{LETTER}]+[{SIGN}]")
 
 
 def _fields(data: bytes):
@@ -262,59 +266,64 @@ def decode(rows: DataFrame, model: Model, ids: str = "ids") -> DataFrame:
     return rows.withColumn("decoded", of(F.col(ids)))
 
 
-class _Numbers(dict):
-    """Numbers for keys in the order in which they come, from ``first`` on."""
+class _Tokens(dict):
+    """Numbers for a block's tokens in the order in which they come, and for their chunks, from 1 on.
 
-    def __init__(self, first: int = 0):
-        super().__init__()
-        self.first = first
+    Chunks are held without the mark in front, most as the token that they are, to save memory.
+    """
 
-    def __missing__(self, key):
-        self[key] = n = len(self) + self.first
+    def __init__(self, model: Model):
+        super().__init__()
+        self.model, self.marked, self.plain = model, {}, {}
+        self.sizes, self.flat = array("I"), array("I")
+
+    def __missing__(self, token: str) -> int:
+        self[token] = n = len(self)
+        if token.isalpha():
+            own = ((self.marked, token),)
+        elif self.model.cuts and WORD_SIGN.fullmatch(token):
+            own = ((self.marked, token[:-1]), (self.plain, token[-1]))
+        else:
+            own = [(self.marked, c[1:]) if c[0] == SPACE else (self.plain, c) for c in chunks(token, self.model)]
+        for known, chunk in own:
+            k = known.get(chunk)
+            if k is None:
+                known[chunk] = k = len(self.marked) + len(self.plain) + 1
+            self.flat.append(k)
+        self.sizes.append(len(own))
         return n
 
 
-def _blocks(batches):
-    """For each block of a partition its key and its (doc_id, text) rows."""
-    partition, n, held, size = 0, 0, [], 0
+def _blocks(batches, model: Model):
+    """(key, tokens, rows) of each block of a partition; a row is (doc_id, digest of the text, token numbers)."""
+    partition, n, held, size, known = 0, 0, [], 0, _Tokens(model)
     for batch in batches:
         partition = batch.column(2)[0].as_py() if batch.num_rows else partition
         for at in range(0, batch.num_rows, 256):
             ids, texts = (batch.column(k).slice(at, 256).to_pylist() for k in range(2))
             for i, text in zip(ids, texts, strict=True):
-                held.append((i, text or ""))
-                size += len(held[-1][1])
+                own = tokens(text or "")
+                held.append((i, xxhash.xxh64_intdigest((text or "").encode()), np.fromiter(map(known.__getitem__, own), np.uint32, len(own))))
+                size += len(text or "")
                 if size >= BLOCK:
-                    yield (n << PARTITION_BITS | partition) << CHUNK_BITS, held
-                    n, held, size = n + 1, [], 0
+                    yield (n << PARTITION_BITS | partition) << CHUNK_BITS, known, held
+                    n, held, size, known = n + 1, [], 0, _Tokens(model)
     if held:
-        yield (n << PARTITION_BITS | partition) << CHUNK_BITS, held
-
-
-def _numbered(rows, model: Model):
-    """The block's token numbers, the token count of each row, and for each token its chunks' numbers (from 1)."""
-    of, numbers, counts, seqs = _Numbers(), _Numbers(1), [], []
-    for _, text in rows:
-        own = tokens(text)
-        counts.append(len(own))
-        seqs.append(np.fromiter(map(of.__getitem__, own), np.uint32, len(own)))
-    pieces = [[numbers[c] for c in chunks(t, model)] for t in of]
-    return np.concatenate(seqs) if seqs else np.zeros(0, np.uint32), counts, pieces, numbers
+        yield (n << PARTITION_BITS | partition) << CHUNK_BITS, known, held
 
 
-def _packed(rows, model: Model) -> bytes:
+def _packed(known: _Tokens, rows) -> bytes:
     """All that the second pass needs of a block but the ids of its chunks.
 
     Numbers are laid out byte by byte of equal weight, which packs them well.
     """
-    seq, counts, pieces, numbers = _numbered(rows, model)
-    ids = np.array([0 if i is None else i for i, _ in rows], np.int64)
-    known = np.array([i is not None for i, _ in rows], np.uint8)
-    sums = np.array([xxhash.xxh64_intdigest(t.encode()) for _, t in rows], np.uint64)
-    sizes = np.fromiter(map(len, pieces), np.uint32, len(pieces))
-    flat = np.fromiter((k for own in pieces for k in own), np.uint32, int(sizes.sum()))
-    planes = [np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes() for x in (np.array(counts, np.uint32), sizes, flat, seq)]
-    data = b"".join([struct.pack("<5Q", len(rows), len(sizes), len(flat), len(seq), len(numbers)), ids.tobytes(), known.tobytes(), sums.tobytes(), *planes])
+    seq = np.concatenate([x for _, _, x in rows])
+    counts, sizes, flat = np.array([len(x) for _, _, x in rows], np.uint32), np.array(known.sizes, np.uint32), np.array(known.flat, np.uint32)
+    ids = np.array([0 if i is None else i for i, _, _ in rows], np.int64)
+    given = np.array([i is not None for i, _, _ in rows], np.uint8)
+    sums = np.array([x for _, x, _ in rows], np.uint64)
+    planes = [np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes() for x in (counts, sizes, flat, seq)]
+    data = b"".join([struct.pack("<5Q", len(rows), len(sizes), len(flat), len(seq), len(known.marked) + len(known.plain)), ids.tobytes(), given.tobytes(), sums.tobytes(), *planes])
     return zstandard.ZstdCompressor(level=3).compress(data)
 
 
@@ -337,7 +346,9 @@ def _unpacked(data: bytes):
 def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Places of all runs, one after the other."""
     ends = np.cumsum(sizes)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if total < 1 << 31 and (not len(starts) or int(starts.max()) < 1 << 31) else np.int64
+    return np.arange(total, dtype=kind) + np.repeat((starts - ends + sizes).astype(kind), sizes)
 
 
 def _together(payload: bytes, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, model: Model):
@@ -388,22 +399,23 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
     told = docs.sparkSession.sparkContext.broadcast(model)
 
     def out_chunks(batches):
-        for key, own in _blocks(batches):
-            numbers = _numbered(own, told.value)[3]
-            keys = np.fromiter(numbers.values(), np.int64, len(numbers)) + key
-            chunks = pa.array(numbers.keys(), pa.string())
-            for at in range(0, len(keys), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 50_000]), chunks.slice(at, 50_000)], ["key", "chunk"])
+        for key, known, _ in _blocks(batches, told.value):
+            for mark, own in ((SPACE, known.marked), ("", known.plain)):
+                pairs = iter(own.items())
+                while some := list(islice(pairs, 20_000)):
+                    yield pa.RecordBatch.from_arrays([pa.array([key + k for _, k in some], pa.int64()), pa.array([mark + c for c, _ in some], pa.string())], ["key", "chunk"])
 
     def out_texts(batches):
-        for key, own in _blocks(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([_packed(own, told.value)], pa.binary())], ["key", "data"])
-
-    words = rows.mapInArrow(out_chunks, "key long, chunk string").withColumn("bucket", F.shiftright("key", CHUNK_BITS + SHARED_BITS))
-    words = words.select(named(F.col("chunk")).alias("name"), "bucket", "chunk", "key").repartition("name", "bucket")
-    words = words.groupBy("name", "bucket").agg(F.collect_list("key").alias("keys"), F.first("chunk").alias("chunk"))
-    coded = encoded_chunks(words, model, ["name", "bucket"])
-    data = F.concat(F.array_join(F.col("ids").cast("array<string>"), " "), F.lit(" ")).cast("binary")
+        for key, known, own in _blocks(batches, told.value):
+            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([_packed(known, own)], pa.binary())], ["key", "data"])
+
+    words = rows.mapInArrow(out_chunks, "key long, chunk string")
+    long_ = F.when(F.length("chunk") > WINDOW, F.col("chunk")).alias("long")
+    words = words.select(named(F.col("chunk")).alias("name"), F.shiftright("key", CHUNK_BITS + SHARED_BITS).alias("bucket"), long_, "key").repartition("name", "bucket")
+    words = words.groupBy("name", "bucket").agg(F.collect_list("key").alias("keys"), F.first("long", ignorenulls=True).alias("long"))
+    coded = encoded_chunks(words.withColumn("chunk", F.coalesce("long", "name")).drop("long"), model, ["name", "bucket"])
+    width = 2 if len(model.pieces) <= 1 << 16 else 4
+    data = F.unhex(F.array_join(F.transform("ids", lambda x: F.lpad(F.hex(x), 2 * width, "0")), ""))
     back = coded.select(F.explode("keys").alias("key"), data.alias("data")).unionByName(rows.mapInArrow(out_texts, "key long, data binary"))
     back = back.repartition(F.shiftright("key", CHUNK_BITS)).sortWithinPartitions("key")
 
@@ -412,7 +424,7 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
 
         def finish():
             join = lambda held, kind: np.concatenate(held) if held else np.zeros(0, kind)
-            return _together(payload, join(keys, np.int64), join(ids, np.int64), join(sizes, np.int64), told.value)
+            return _together(payload, join(keys, np.int64), join(ids, np.uint32), join(sizes, np.int32).astype(np.int64), told.value)
 
         for batch in batches:
             key, at = batch.column(0).to_numpy(), 0
@@ -423,8 +435,8 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
                     bounds = np.frombuffer(spelled.buffers()[1], np.int32)[spelled.offset : spelled.offset + end - at + 1]
                     letters = np.frombuffer(spelled.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]
                     keys.append(key[at:end] & ((1 << CHUNK_BITS) - 1))
-                    ids.append(np.fromstring(letters.tobytes().decode(), np.int64, sep=" "))
-                    sizes.append(np.add.reduceat((letters == 32).astype(np.int64), bounds[:-1] - bounds[0]))
+                    ids.append(letters.copy().view(f">u{width}").astype(np.uint32))
+                    sizes.append(np.diff(bounds) // width)
                 if end < batch.num_rows:
                     if payload is not None:
                         yield from finish()
