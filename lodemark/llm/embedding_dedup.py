@@ -13,7 +13,9 @@ are nearer to 1. Unrelated vectors share a bucket with probability 5e-7.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components
 link with nothing: n_links 0, component_id their own vec_id, kept. Vectors of different
-lengths never link. Rows that share a vec_id are separate vectors. A null vec_id sorts last.
+lengths never link. Rows that share a vec_id are separate vectors. A vector with a null vec_id
+links and is counted like any other but gives a component no id: the component_id is null, and
+kept true, where all ids of a component are null.
 """
 
 from __future__ import annotations
@@ -113,9 +115,9 @@ def _compare(batches):
 
 def linked_nodes(named: DataFrame) -> DataFrame:
     """(node, n, root) for each block pair with links: links counted there, local component."""
-    distinct = named.where("node is not null").groupBy("node").agg(F.count("*").alias("n"), F.min("vec_id").alias("vec_id"))
-    distinct = named.join(distinct, ["node", "vec_id"]).dropDuplicates(["node"])
-    distinct = written(distinct.select("node", "n", "dim", "vector", "keys"), "vectors")
+    # Copies of a vector are equal in all but their id, so any of them serves; they combine before the shuffle.
+    distinct = named.where("node is not null").groupBy("node").agg(F.count("*").alias("n"), *[F.any_value(c).alias(c) for c in ("dim", "vector", "keys")])
+    distinct = written(distinct, "vectors")
     keyed = distinct.select("node", "dim", F.col("keys")[0].alias("first"), F.posexplode("keys").alias("t", "key"))
     sizes = keyed.groupBy("dim", "t", "key").agg(F.count("*").alias("size"), F.min("first").alias("lo"), F.max("first").alias("hi"))
     # A bucket whose members all share the first table's bucket owns no pair.
@@ -139,5 +141,5 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     parts = own.groupBy("part").agg(F.min("least").alias("component_id"))
     own = checkpointed(own.join(parts, "part").select("node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"))
     rows = named.select("vec_id", "node").join(own, "node", "left")
-    component = F.coalesce("component_id", "vec_id")
-    return rows.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    component = F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+    return rows.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

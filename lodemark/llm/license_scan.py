@@ -3,8 +3,9 @@
 A text is brought to a canonical form (case, copyright lines, punctuation and equivalent
 spellings), and the SHA-256 of the form is hash-joined to the digests of known licences.
 What is looked up is always an entire text: the whole document, and each whole line of it,
-as short notices stand on a line of their own. The known table is a fixed list of a few dozen
-rows, so it is broadcast; no document is shuffled.
+as short notices stand on a line of their own. Digests explode, one row each, and meet the
+known table in one hash join; it is broadcast if it is counted to be small. Only a document's
+id and its hits are shuffled, never its text.
 
 Defined results: a null text counts as empty, and an empty canonical form matches nothing
 (its digest is still given). Repeated rows give repeated result rows. Several notices are
@@ -20,6 +21,8 @@ import unicodedata
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import BROADCAST_ROWS
+
 # The licences' own words.
 _AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
 _BSD_HEAD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n"
@@ -119,29 +122,30 @@ def known() -> list[tuple[str, str, bool]]:
     return [(d, *x) for d, x in sorted(rows.items())]
 
 
-def _notice_length() -> int:
-    return max(len(_one_line(canonical_text(notice))) for _, notice in _notices())
-
-
 def scan(docs: DataFrame, table: list[tuple[str, str, bool]] | None = None) -> DataFrame:
     """doc_id, digest, license_id (of the whole text, or null), notices, n_notice_lines.
 
-    ``notices`` joins the licences of lines with a comma (empty if none). Lines longer than
-    the longest known notice cannot match, so they are not hashed.
+    ``notices`` joins the licences of lines with a comma (empty if none). ``table`` has the
+    digest of each canonical text, its licence, and whether it is a notice that stands on a
+    line; of repeated digests the first row counts.
     """
     spark: SparkSession = docs.sparkSession
-    table = known() if table is None else table
-    texts = spark.createDataFrame(table, "digest string, license_id string, is_notice boolean").select("digest", "license_id")
-    rows = docs.select("doc_id", canonical(F.col("text")).alias("_form"))
-    longest = F.lit(_notice_length())
-    lines = F.filter(F.transform(F.split("_form", "\n"), lambda x: F.trim(x)), lambda x: (F.length(x) > 0) & (F.length(x) <= longest))
-    rows = rows.select("doc_id", F.sha2(F.trim(F.regexp_replace("_form", "[ \n]+", " ")), 256).alias("digest"), lines.alias("_lines"))
-    rows = rows.withColumn("_hashed", F.transform("_lines", lambda x: F.sha2(x, 256)))
-    ids = F.create_map(*[F.lit(x) for d, name, notice in table if notice for x in (d, name)])
-    listed = F.array(*[F.lit(d) for d, _, notice in table if notice])
-    rows = rows.withColumn("_hits", F.when(F.arrays_overlap("_hashed", listed), F.filter(F.transform("_hashed", lambda h: ids[h]), lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>")))
-    rows = rows.select("doc_id", "digest", F.array_join(F.array_sort(F.array_distinct("_hits")), ",").alias("notices"), F.size("_hits").cast("long").alias("n_notice_lines"))
-    return rows.join(F.broadcast(texts), "digest", "left").select("doc_id", "digest", "license_id", "notices", "n_notice_lines")
+    rows_ = list({d: (d, name, bool(notice)) for d, name, notice in reversed(known() if table is None else table)}.values())
+    texts = spark.createDataFrame(rows_, "digest string, license string, is_notice boolean")
+    texts = F.broadcast(texts) if len(rows_) <= BROADCAST_ROWS else texts
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", canonical(F.col("text")).alias("form"))
+    lines = F.filter(F.transform(F.split("form", "\n"), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
+    whole = F.array(F.trim(F.regexp_replace("form", "[ \n]+", " ")))
+    rows = rows.select("row", "doc_id", F.posexplode(F.concat(whole, lines)).alias("line", "part"))
+    rows = rows.select("row", "doc_id", "line", F.sha2("part", 256).alias("digest")).join(texts, "digest", "left")
+    # The first is the whole text; of the others only known notices go on.
+    rows = rows.where("line = 0 or is_notice")
+    first = F.col("line") == 0
+    out = rows.groupBy("row").agg(
+        F.max(F.when(first, F.col("doc_id"))).alias("doc_id"), F.max(F.when(first, F.col("digest"))).alias("digest"), F.max(F.when(first, F.col("license"))).alias("license_id"),
+        F.array_join(F.array_sort(F.collect_set(F.when(~first, F.col("license")))), ",").alias("notices"), F.count_if(~first).alias("n_notice_lines"),
+    )
+    return out.drop("row")
 
 
 def oracle_sql() -> str:

@@ -16,7 +16,8 @@ so no table of pairs is ever made. Components of the links are the classes.
 Defined results: words are runs without blanks, in lower case; a text of one to four words
 is one shingle; a text without words (or null) is in a class of its own for each row's
 doc_id. The class id is the least doc_id of the class; kept is true for the document with
-that id. Rows that share doc_id and text share a result. A null doc_id is a class of its own.
+that id. Rows that share doc_id and text share a result. A null doc_id links like any other,
+but gives a class no id: the class id is null, and kept true, where a class has null ids only.
 """
 
 from __future__ import annotations
@@ -166,24 +167,28 @@ def _text_key(text):
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose multisets overlap to SIMILARITY; ``texts`` has node and text.
 
-    Only the texts of pairs are shuffled, once, to their pair. The ends of a counted, small
-    number of pairs are broadcast to the texts; more are joined by node.
+    Only the texts of pairs are shuffled: that of b once for each pair, that of a once for each
+    share of BLOCK of its pairs, so a centre of very many is not copied for each of them.
     """
-    end = lambda c, n: F.struct(F.col(c).alias("node"), F.lit(n).alias("side"))
-    ends = pairs.select("a", "b", F.inline(F.array(end("a", 0), end("b", 1))))
-    ends = F.broadcast(ends) if pairs.count() <= BROADCAST_ROWS else ends
-    text = lambda n: F.max(F.when(F.col("side") == n, F.col("text")))
-    rows = texts.join(ends, "node").groupBy("a", "b").agg(text(0).alias("text_a"), text(1).alias("text_b"))
+    shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("shares"))
+    dealt = checkpointed(pairs.join(shares, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("shares")).alias("share")))
+    ends = dealt.select("a", "share", F.col("b").alias("node")).unionByName(dealt.select("a", "share", F.col("a").alias("node")).distinct())
+    ends = F.broadcast(ends) if dealt.count() <= BROADCAST_ROWS else ends
+    rows = texts.join(ends, "node").select("a", "share", (F.col("node") != F.col("a")).alias("other"), "node", "text")
+    rows = rows.repartition("a", "share").sortWithinPartitions("a", "share", "other")
 
     def check(batches):
         hashes, last, own = _Hashes(), None, None
         for batch in batches:
-            good = []
-            for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
-                if a != last:
-                    last, own = a, shingles(x.as_py() or "", hashes)
-                good.append(similarity(own, shingles(y or "", hashes)) >= SIMILARITY)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+            a, b = [], []
+            for centre, share, other, node, text in zip(*(c.to_pylist() for c in batch.columns[:4]), batch.column(4), strict=True):
+                mine = shingles(text.as_py() or "", hashes)
+                if not other:
+                    last, own = (centre, share), mine
+                elif last == (centre, share) and similarity(own, mine) >= SIMILARITY:
+                    a.append(centre)
+                    b.append(node)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return rows.mapInArrow(check, "a long, b long")
 
@@ -256,7 +261,7 @@ def apart(buckets: DataFrame, found: DataFrame, nodes: DataFrame, texts: DataFra
 def distinct_nodes(sketch: DataFrame) -> DataFrame:
     """One row for each distinct multiset, whatever its copies, with a short number, id."""
     rows = sketch.where("node is not null").groupBy("node")
-    rows = rows.agg(F.min("doc_id").alias("least"), F.min_by(F.struct("doc_id", "text_key", "bands"), F.struct("doc_id", "text_key")).alias("row"))
+    rows = rows.agg(F.min("doc_id").alias("least"), F.min_by(F.struct("doc_id", "text_key", "bands"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("row"))
     rows = rows.select(F.monotonically_increasing_id().alias("id"), "node", "least", "row.*")
     return written(rows, "minhash-nodes")
 
@@ -269,7 +274,9 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     buckets = checkpointed(rows.join(shared.select("bucket", "centre"), "bucket"))
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _text_key(F.col("text")).alias("text_key"))
     wanted = nodes.select("id", "doc_id", "text_key").join(buckets.select("id").distinct(), "id")
-    texts = named.join(wanted, ["doc_id", "text_key"]).select(F.col("id").alias("node"), "text").dropDuplicates(["node"])
+    # A node whose copies all have a null id is found by that.
+    same = named["doc_id"].eqNullSafe(wanted["doc_id"]) & (named["text_key"] == wanted["text_key"])
+    texts = named.join(wanted, same).select(F.col("id").alias("node"), "text").dropDuplicates(["node"])
     texts = written(texts, "minhash-texts")
     tried = checkpointed(buckets.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct())
     found = components(verified(tried, texts))
@@ -289,12 +296,12 @@ def classes(docs: DataFrame) -> DataFrame:
     least = parts.groupBy("part").agg(F.min("least").alias("class_id"))
     parts = checkpointed(parts.join(least, "part").select("node", "part", "class_id"))
     rows = sketch.select("doc_id", "text_key", "node").join(parts, "node", "left")
-    return rows.select("doc_id", "text_key", "part", F.coalesce("class_id", "doc_id").alias("class_id"))
+    return rows.select("doc_id", "text_key", "part", F.when(F.col("part").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id and kept of every row of ``docs``."""
-    return classes(docs).select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
+    return classes(docs).select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

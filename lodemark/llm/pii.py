@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 
 KINDS = ["email", "ip", "card", "phone"]
 ADDED = ["tel", "iban", "ssn", "mail"]
-MAX_TOKENS, REACH = 9, 5
-#: A segment is kept only if its score beats leaving its tokens out by so much.
-MARGIN = 1.0
+MAX_TOKENS = 9
+#: Of equal scores the segmentation that covers more tokens wins.
+TIE = 1e-9
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -145,8 +145,6 @@ class SemiMarkov:
                 while b > a and text[b - 1] in _EDGE:
                     b -= 1
                 span = text[a:b]
-                if b - a > 120:
-                    break
                 if not _TRIGGER.search(span):
                     continue
                 out[j].append((i, a, b, segment_features(span, text[max(0, a - 14) : a], j - i)))
@@ -157,16 +155,17 @@ class SemiMarkov:
         return sum(w.get((kind, f), 0.0) for f in features)
 
     def best(self, ends: list[list]) -> list[tuple[int, str, int]]:
-        """Viterbi over segment ends: (start, kind, end) of the best labelled segmentation."""
+        """Viterbi over segment ends: (start, kind, end) of the best labelled segmentation.
+
+        All segments and types compete, as they do in training.
+        """
         value, back = [0.0], [None]
         for j in range(1, len(ends)):
             v, b = value[j - 1], None
             for i, x, y, f in ends[j]:
-                if "shapeless" in f:
-                    continue
                 for kind in ADDED:
-                    s = self.score(kind, f) - MARGIN
-                    if value[i] + s > v + 1e-9 and s > 0:
+                    s = self.score(kind, f) + TIE * (j - i)
+                    if value[i] + s > v:
                         v, b = value[i] + s, (i, x, kind, y)
             value.append(v)
             back.append(b)
@@ -266,12 +265,12 @@ def added_spans(text: str, base: list[tuple[int, int, int]], model: SemiMarkov)
     near, last = [], -1
     for k, (a, b) in enumerate(tokens):
         if _TRIGGER.search(text, a, b):
-            lo = max(0, k - REACH)
+            lo = max(0, k - MAX_TOKENS)
             if near and lo <= last:
-                near[-1][1] = k + REACH + 1
+                near[-1][1] = k + MAX_TOKENS + 1
             else:
-                near.append([lo, k + REACH + 1])
-            last = k + REACH + 1
+                near.append([lo, k + MAX_TOKENS + 1])
+            last = k + MAX_TOKENS + 1
     busy = [(s, e) for s, _, e in base]
     out, at = [], 0
     for lo, hi in near:
