@@ -26,13 +26,13 @@ from __future__ import annotations
 
 import re
 import struct
-from array import array
 from dataclasses import dataclass
-from itertools import islice
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -41,6 +41,8 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of text in a block, about; a longer text is a block of its own.
 BLOCK = 1 << 25
+#: Bytes of text that one vectorised step of the first pass takes together, unless one text has more.
+SLICE = 1 << 21
 #: A key has a block's number within its partition (18 bits), the partition (21) and a chunk's number (24).
 CHUNK_BITS, PARTITION_BITS = 24, 21
 #: Blocks that share one encoding of a chunk; a frequent chunk is encoded again beyond them.
@@ -151,21 +153,31 @@ def read_model(path: str = MODEL) -> Model:
     return Model(pieces, kinds, algorithm)
 
 
-def tokens(text: str) -> list[str]:
-    """Runs between blanks, without the one blank before each; more blanks stay in front."""
-    if not text:
-        return []
-    text = text.replace(SPACE, " ")
-    if text[0] != " " and "  " not in text:
-        return text.split(" ")
-    return [t[1:] for t in re.findall(" +[^ ]*", " " + text)]
+def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The runs between blanks of all texts, without the one blank before each, and how many each text has.
+
+    Further blanks stay in front of their run, as marks.
+    """
+    texts = pc.binary_replace_slice(texts, 0, 0, " ")
+    split = pc.split_pattern(pc.replace_substring(pc.replace_substring(texts, "  ", " " + SPACE), SPACE + " ", SPACE * 2), " ")
+    # What stands before the first blank is empty; an empty text leaves one more empty run.
+    bounds = split.offsets.to_numpy()
+    counts = np.diff(bounds) - 1
+    keep = np.ones(bounds[-1] - bounds[0], bool)
+    keep[bounds[:-1] - bounds[0]] = False
+    none = pc.equal(pc.binary_length(texts), 1).to_numpy(zero_copy_only=False)
+    keep[bounds[:-1][none] - bounds[0] + 1] = False
+    counts[none] = 0
+    return split.flatten().filter(pa.array(keep)), counts
 
 
 def chunks(token: str, model: Model) -> list[str]:
     """A token with its blanks marked, cut where no piece of the model spans."""
     if token.isalpha():
         return [SPACE + token]
-    return [c for c in (CUT if model.cuts else LINES).split(SPACE + token.replace(" ", SPACE)) if c]
+    if model.cuts and WORD_SIGN.fullmatch(token):
+        return [SPACE + token[:-1], token[-1]]
+    return [c for c in (CUT if model.cuts else LINES).split(SPACE + token) if c]
 
 
 def named(chunk):
@@ -266,69 +278,78 @@ def decode(rows: DataFrame, model: Model, ids: str = "ids") -> DataFrame:
     return rows.withColumn("decoded", of(F.col(ids)))
 
 
-class _Tokens(dict):
-    """Numbers for a block's tokens in the order in which they come, and for their chunks, from 1 on.
+@dataclass
+class _Block:
+    """A block's rows and the numbers of their tokens; all strings are Arrow's, outside Python's heap."""
 
-    Chunks are held without the mark in front, most as the token that they are, to save memory.
-    """
+    key: int
+    ids: pa.Array
+    sums: np.ndarray
+    counts: np.ndarray
+    seq: np.ndarray
+    tokens: pa.Array
+
+
+def _blocks(batches):
+    """The blocks of a partition; numbers are given in the order in which tokens come."""
+    n, size, held = 0, 0, []
+
+    def block():
+        ids, sums, counts, seqs, words = zip(*held, strict=True)
+        # Each slice has its own numbers; the slices' words are numbered once more together.
+        both = pa.concat_arrays(words).dictionary_encode()
+        own, starts = both.indices.to_numpy().astype(np.uint32), np.cumsum([0, *map(len, words)])
+        seq = np.concatenate([own[a:][x] for a, x in zip(starts, seqs, strict=False)])
+        return _Block((n << PARTITION_BITS | partition) << CHUNK_BITS, pa.concat_arrays(ids), np.concatenate(sums), np.concatenate(counts), seq, both.dictionary)
 
-    def __init__(self, model: Model):
-        super().__init__()
-        self.model, self.marked, self.plain = model, {}, {}
-        self.sizes, self.flat = array("I"), array("I")
-
-    def __missing__(self, token: str) -> int:
-        self[token] = n = len(self)
-        if token.isalpha():
-            own = ((self.marked, token),)
-        elif self.model.cuts and WORD_SIGN.fullmatch(token):
-            own = ((self.marked, token[:-1]), (self.plain, token[-1]))
-        else:
-            own = [(self.marked, c[1:]) if c[0] == SPACE else (self.plain, c) for c in chunks(token, self.model)]
-        for known, chunk in own:
-            k = known.get(chunk)
-            if k is None:
-                known[chunk] = k = len(self.marked) + len(self.plain) + 1
-            self.flat.append(k)
-        self.sizes.append(len(own))
-        return n
-
-
-def _blocks(batches, model: Model):
-    """(key, tokens, rows) of each block of a partition; a row is (doc_id, digest of the text, token numbers)."""
-    partition, n, held, size, known = 0, 0, [], 0, _Tokens(model)
     for batch in batches:
-        partition = batch.column(2)[0].as_py() if batch.num_rows else partition
-        for at in range(0, batch.num_rows, 256):
-            ids, texts = (batch.column(k).slice(at, 256).to_pylist() for k in range(2))
-            for i, text in zip(ids, texts, strict=True):
-                own = tokens(text or "")
-                held.append((i, xxhash.xxh64_intdigest((text or "").encode()), np.fromiter(map(known.__getitem__, own), np.uint32, len(own))))
-                size += len(text or "")
-                if size >= BLOCK:
-                    yield (n << PARTITION_BITS | partition) << CHUNK_BITS, known, held
-                    n, held, size, known = n + 1, [], 0, _Tokens(model)
+        partition = batch.column(2)[0].as_py() if batch.num_rows else 0
+        texts = pc.fill_null(batch.column(1), "")
+        upto, at = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64)), 0
+        while at < batch.num_rows:
+            before = int(upto[at - 1]) if at else 0
+            end = max(at + 1, int(np.searchsorted(upto, before + SLICE, "right")))
+            some = texts.slice(at, end - at)
+            words, counts = tokens(some)
+            coded = words.dictionary_encode()
+            sums = np.fromiter((xxhash.xxh64_intdigest(x.as_buffer()) for x in some), np.uint64, len(some))
+            held.append((batch.column(0).slice(at, end - at), sums, counts.astype(np.uint32), coded.indices.to_numpy(), coded.dictionary))
+            size += int(upto[end - 1]) - before
+            if size >= BLOCK:
+                yield block()
+                n, size, held = n + 1, 0, []
+            at = end
     if held:
-        yield (n << PARTITION_BITS | partition) << CHUNK_BITS, known, held
+        yield block()
+
+
+def _chunked(words: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """How many chunks each token has, the numbers of all of them (from 1), and the distinct chunks."""
+    sizes, found = [np.zeros(0, np.uint32)], [pa.array([], pa.string())]
+    for at in range(0, len(words), 20_000):
+        own = [chunks(t, model) for t in words.slice(at, 20_000).to_pylist()]
+        sizes.append(np.fromiter(map(len, own), np.uint32, len(own)))
+        found.append(pa.array(list(chain.from_iterable(own)), pa.string()))
+    coded = pa.concat_arrays(found).dictionary_encode()
+    return np.concatenate(sizes), coded.indices.to_numpy().astype(np.uint32) + np.uint32(1), coded.dictionary
 
 
-def _packed(known: _Tokens, rows) -> bytes:
+def _packed(block: _Block, model: Model) -> bytes:
     """All that the second pass needs of a block but the ids of its chunks.
 
     Numbers are laid out byte by byte of equal weight, which packs them well.
     """
-    seq = np.concatenate([x for _, _, x in rows])
-    counts, sizes, flat = np.array([len(x) for _, _, x in rows], np.uint32), np.array(known.sizes, np.uint32), np.array(known.flat, np.uint32)
-    ids = np.array([0 if i is None else i for i, _, _ in rows], np.int64)
-    given = np.array([i is not None for i, _, _ in rows], np.uint8)
-    sums = np.array([x for _, x, _ in rows], np.uint64)
-    planes = [np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes() for x in (counts, sizes, flat, seq)]
-    data = b"".join([struct.pack("<5Q", len(rows), len(sizes), len(flat), len(seq), len(known.marked) + len(known.plain)), ids.tobytes(), given.tobytes(), sums.tobytes(), *planes])
-    return zstandard.ZstdCompressor(level=3).compress(data)
+    sizes, flat, distinct = _chunked(block.tokens, model)
+    head = struct.pack("<5Q", len(block.ids), len(sizes), len(flat), len(block.seq), len(distinct))
+    out = zstandard.ZstdCompressor(level=3).compressobj()
+    parts = [out.compress(head + pc.fill_null(block.ids, 0).to_numpy().tobytes() + pc.is_valid(block.ids).to_numpy(zero_copy_only=False).astype(np.uint8).tobytes() + block.sums.tobytes())]
+    for x in (block.counts, sizes, flat, block.seq):
+        parts += [out.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4)[:, k]).tobytes()) for k in range(4)]
+    return b"".join([*parts, out.flush()])
 
 
 def _unpacked(data: bytes):
-    data = memoryview(zstandard.ZstdDecompressor().decompress(data))
+    data = memoryview(zstandard.ZstdDecompressor().decompressobj().decompress(data))
     n, t, f, q, chunks = struct.unpack_from("<5Q", data)
     at = 40
 
@@ -399,15 +420,15 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
     told = docs.sparkSession.sparkContext.broadcast(model)
 
     def out_chunks(batches):
-        for key, known, _ in _blocks(batches, told.value):
-            for mark, own in ((SPACE, known.marked), ("", known.plain)):
-                pairs = iter(own.items())
-                while some := list(islice(pairs, 20_000)):
-                    yield pa.RecordBatch.from_arrays([pa.array([key + k for _, k in some], pa.int64()), pa.array([mark + c for c, _ in some], pa.string())], ["key", "chunk"])
+        for block in _blocks(batches):
+            distinct = _chunked(block.tokens, told.value)[2]
+            for at in range(0, len(distinct), 20_000):
+                some = distinct.slice(at, 20_000)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(at + 1, at + 1 + len(some)) + block.key), some], ["key", "chunk"])
 
     def out_texts(batches):
-        for key, known, own in _blocks(batches, told.value):
-            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([_packed(known, own)], pa.binary())], ["key", "data"])
+        for block in _blocks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([block.key], pa.int64()), pa.array([_packed(block, told.value)], pa.binary())], ["key", "data"])
 
     words = rows.mapInArrow(out_chunks, "key long, chunk string")
     long_ = F.when(F.length("chunk") > WINDOW, F.col("chunk")).alias("long")
