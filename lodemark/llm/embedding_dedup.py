@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, written
+from .common import checkpointed, small_batches, written
 from .graph import components
 
 COSINE, TABLES, PROJECTIONS, WIDTH, SEED = 0.95, 80, 20, 2.0, 11
@@ -74,6 +74,7 @@ def nodes(vectors: DataFrame) -> DataFrame:
             types = (pa.string(), pa.int32(), pa.binary(), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], ["vec_id", "node", "dim", "vector", "keys"])
 
+    small_batches(vectors.sparkSession)
     return vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(read, NODES)
 
 

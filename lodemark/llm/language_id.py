@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import linear
-from .common import fold, md5_long
+from .common import fold, md5_long, small_batches
 
 SAMPLE, DIM = 2000, 4096
 #: Rows whose crc32 of the id leaves HELD_OUT by FOLDS are held out.
@@ -131,6 +131,7 @@ def predict(v: np.ndarray | None, model) -> tuple[str, float]:
 
 def identify(docs: DataFrame, bound: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row of ``docs``."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, bound))
 
     def read(batches):

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, checkpointed, release, written
+from .common import BROADCAST_ROWS, checkpointed, release, small_batches, written
 from .graph import components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -156,6 +156,7 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
                 found[i] = found[first]
             yield pa.RecordBatch.from_arrays([ids, keys, pa.array(nodes, pa.string()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "text_key", "node", "bands"])
 
+    small_batches(docs.sparkSession)
     rows_ = docs.select(F.col("doc_id").cast("long"), "text", _text_key(F.col("text")).alias("text_key"))
     return rows_.mapInArrow(read, "doc_id bigint, text_key string, node string, bands array<bigint>")
 

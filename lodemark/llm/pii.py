@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 KINDS = ["email", "ip", "card", "phone"]
 ADDED = ["tel", "iban", "ssn", "mail"]
 MAX_TOKENS = 9
@@ -310,6 +312,7 @@ def listed(base, added=()) -> str:
 
 def detect(docs: DataFrame, model: SemiMarkov | None = None) -> DataFrame:
     """doc_id, counts, digest of the base spans and all spans of every whole text."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model or trained())
 
     def read(batches):
@@ -339,6 +342,7 @@ def masked(text: str, model: SemiMarkov) -> str:
 
 def mask(docs: DataFrame, model: SemiMarkov | None = None) -> DataFrame:
     """``docs`` with personal data in ``text`` masked and ``n_chars``, if there, brought up to date."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model or trained())
     schema, names = docs.schema, docs.columns
     at = names.index("text")

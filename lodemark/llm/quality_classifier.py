@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import linear
-from .common import fold, labelled_sample
+from .common import fold, labelled_sample, small_batches
 
 SAMPLE, BITS, THRESHOLD = 6000, 18, 0.3
 #: Rows whose crc32 of the id leaves 0 by FOLDS are held out.
@@ -105,6 +105,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE):
 
 def classify(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of ``docs``."""
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, bound))
 
     def score(batches):

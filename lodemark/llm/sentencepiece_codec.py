@@ -38,6 +38,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of text in a block, about; a longer text is a block of its own.
 BLOCK = 1 << 25
@@ -303,7 +305,9 @@ def _blocks(batches):
         return _Block((n << PARTITION_BITS | partition) << CHUNK_BITS, pa.concat_arrays(ids), np.concatenate(sums), np.concatenate(counts), seq, both.dictionary)
 
     for batch in batches:
-        partition = batch.column(2)[0].as_py() if batch.num_rows else 0
+        if not batch.num_rows:
+            continue
+        partition = batch.column(2)[0].as_py()
         texts = pc.fill_null(batch.column(1), "")
         upto, at = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64)), 0
         while at < batch.num_rows:
@@ -318,9 +322,11 @@ def _blocks(batches):
             if size >= BLOCK:
                 yield block()
                 n, size, held = n + 1, 0, []
+                pa.default_memory_pool().release_unused()
             at = end
     if held:
         yield block()
+    pa.default_memory_pool().release_unused()
 
 
 def _chunked(words: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -416,6 +422,7 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
     ``docs`` is read twice and must give its rows in equal partitions each time, as stored tables
     do; if it does not, the second pass stops with an error.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.spark_partition_id().alias("partition"))
     told = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -437,7 +444,8 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
     coded = encoded_chunks(words.withColumn("chunk", F.coalesce("long", "name")).drop("long"), model, ["name", "bucket"])
     width = 2 if len(model.pieces) <= 1 << 16 else 4
     data = F.unhex(F.array_join(F.transform("ids", lambda x: F.lpad(F.hex(x), 2 * width, "0")), ""))
-    back = coded.select(F.explode("keys").alias("key"), data.alias("data")).unionByName(rows.mapInArrow(out_texts, "key long, data binary"))
+    # Texts go first, while no lattice fills the executors' memory beside the workers.
+    back = rows.mapInArrow(out_texts, "key long, data binary").unionByName(coded.select(F.explode("keys").alias("key"), data.alias("data")))
     back = back.repartition(F.shiftright("key", CHUNK_BITS)).sortWithinPartitions("key")
 
     def put_together(batches):
