@@ -46,12 +46,13 @@ def baseline_deviation(g):
 
 
 @query("evidence_blend", f"""WITH {_CHANGES}, {_BASE}, e AS (SELECT scan_id, least(1.0::DOUBLE, ai * 0.25::DOUBLE + {_SHAPE} * 0.25::DOUBLE + (scan_id % 10) / 10.0::DOUBLE * 0.25::DOUBLE + ({_DEV}) * 0.15::DOUBLE + CASE WHEN additions > 1000 AND commits = 1 THEN 0.2 ELSE 0 END::DOUBLE) AS s FROM (SELECT *, greatest(1, commits) AS c FROM base))
-    SELECT scan_id, round(s, 8) AS score, CASE WHEN s <= 0.2 THEN 'Likely Human' WHEN s <= 0.4 THEN 'Human with Tool Assistance' WHEN s <= 0.6 THEN 'Mixed Authorship' WHEN s <= 0.8 THEN 'Likely AI-Assisted' ELSE 'Strong AI Evidence' END AS band FROM e""")
+    SELECT scan_id, s AS score, CASE WHEN s <= 0.2 THEN 'Likely Human' WHEN s <= 0.4 THEN 'Human with Tool Assistance' WHEN s <= 0.6 THEN 'Mixed Authorship' WHEN s <= 0.8 THEN 'Likely AI-Assisted' ELSE 'Strong AI Evidence' END AS band FROM (SELECT scan_id, round(s, 6) AS s FROM e)""")
 def evidence_blend(g):
     a, c = F.col("additions"), F.col("commits")
     boost = F.when((a > 1000) & (c == 1), 0.2).otherwise(0.0)
     s = E.blend(F.col("ai"), E.change_behaviour(a, c, F.col("files")), F.col("scan_id") % 10 / 10.0, F.col("deviation"), F.lit(0.0), boost)
-    return with_baseline(g).select("scan_id", s.alias("s")).select("scan_id", F.round("s", 8).alias("score"), E.likelihood(F.col("s")).alias("band"))
+    # The band is that of the rounded score, so the order of a sum decides nothing.
+    return with_baseline(g).select("scan_id", F.round(s, 6).alias("score")).select("scan_id", "score", E.likelihood(F.col("score")).alias("band"))
 
 
 # Imports of a generated file, with the score expected by hand.
@@ -122,7 +123,7 @@ def roi(g, hours: float = 1.5, rate: float = 85.0, cost: float = 2000.0):
 def call_graph_reach(g):
     """Functions of each generated file that its entry points reach, over its own call edges."""
     from ..operators import structure
-    from .scanning import code_files
+    from .code import code_files
 
     return structure.call_edges(code_files(g))
 
@@ -131,6 +132,6 @@ def call_graph_reach(g):
 def taint_paths(g):
     """Assignments that carry user input to a sink within a file, with their lines."""
     from ..operators import structure
-    from .scanning import code_files
+    from .code import code_files
 
     return structure.taint_paths(code_files(g))

@@ -109,9 +109,15 @@ def dashboard_totals(g):
 _RANK = "CASE risk WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 1 ELSE 0 END"
 
 
-@query("scan_diff", f"""WITH ranked AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY created_at DESC, id DESC) AS k FROM scans),
-    one AS (SELECT f.repo, file_path, {_RANK} AS r FROM scan_files f JOIN ranked ON f.scan_id = id WHERE k = 2), two AS (SELECT f.repo, file_path, {_RANK} AS r FROM scan_files f JOIN ranked ON f.scan_id = id WHERE k = 1)
-    SELECT repo, file_path, CASE WHEN one.r IS NULL THEN 'new' WHEN two.r IS NULL THEN 'resolved' WHEN two.r > one.r THEN 'worsened' WHEN two.r < one.r THEN 'improved' ELSE 'unchanged' END AS change FROM one FULL JOIN two USING (repo, file_path)""")
+# The two last scans of each repository, and their files, each computed once and from the base tables alone.
+_LAST_TWO = f"""last_two AS MATERIALIZED (SELECT id AS scan_id, repo, k FROM (SELECT o_orderkey AS id, n_name || '/' || c_mktsegment AS repo, row_number() OVER (PARTITION BY n_name, c_mktsegment ORDER BY o_orderdate DESC, o_orderkey DESC) AS k
+      FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey) WHERE k <= 2),
+    own AS MATERIALIZED (SELECT scan_id, repo, k, 'src/' || replace(p_name, ' ', '_') AS file_path, max(l_quantity) AS q FROM last_two JOIN lineitem ON l_orderkey = scan_id JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3, 4)"""
+_BY_QUANTITY = "CASE WHEN q >= 46 THEN {} WHEN q >= 36 THEN {} WHEN q >= 21 THEN {} ELSE {} END"
+
+
+@query("scan_diff", f"""WITH {_LAST_TWO}, sides AS (SELECT repo, file_path, max({_BY_QUANTITY.format(4, 3, 2, 1)}) FILTER (k = 2) AS one, max({_BY_QUANTITY.format(4, 3, 2, 1)}) FILTER (k = 1) AS two FROM own GROUP BY 1, 2)
+    SELECT repo, file_path, CASE WHEN one IS NULL THEN 'new' WHEN two IS NULL THEN 'resolved' WHEN two > one THEN 'worsened' WHEN two < one THEN 'improved' ELSE 'unchanged' END AS change FROM sides""")
 def scan_diff(g):
     """How the files of each repository changed between its last two scans."""
     order = Window.partitionBy("repo").orderBy(F.desc("created_at"), F.desc("id"))
@@ -169,9 +175,8 @@ def inherit_attestation_within_pr(g):
     return rows.where("not has_r and source_scan is not null").select("scan_id", "file_path", "source_scan")
 
 
-@query("delta_merge", """WITH ranked AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY created_at DESC, id DESC) AS k FROM scans),
-    a AS (SELECT f.repo, file_path, risk, scan_id FROM scan_files f JOIN ranked ON f.scan_id = id WHERE k = 1), b AS (SELECT f.repo, file_path, risk, scan_id FROM scan_files f JOIN ranked ON f.scan_id = id WHERE k = 2)
-    SELECT * FROM a UNION ALL SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.repo = b.repo AND a.file_path = b.file_path)""")
+@query("delta_merge", f"""WITH {_LAST_TWO}, newest AS (SELECT *, min(k) OVER (PARTITION BY repo, file_path) AS first FROM own)
+    SELECT repo, file_path, {_BY_QUANTITY.format("'CRITICAL'", "'HIGH'", "'MEDIUM'", "'LOW'")} AS risk, scan_id FROM newest WHERE k = first""")
 def delta_merge(g):
     """The latest scan's files, and those of the scan before that it did not rescan."""
     order = Window.partitionBy("repo").orderBy(F.desc("created_at"), F.desc("id"))

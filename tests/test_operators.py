@@ -1,12 +1,14 @@
 """Building blocks on small literals: hits, misses, ties and empty tables."""
 
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
 
 from lodemark.functions import scalars
-from lodemark.operators import detectors, iterate, relational, signals, structure
+from lodemark.operators import authorship, detectors, iterate, relational, signals, structure
+from lodemark.plans import samples
 from lodemark.sources import formats
 from lodemark.sources.governance import quarantine, tenant
 from lodemark.streaming import events
@@ -124,7 +126,7 @@ def test_detector_hits(spark, line, id):
 def test_context_detectors(spark):
     files = {
         "taint.js": "const u = req.query.u\n\nfetch(u)",
-        "far.js": "const u = req.query.u" + "\n" * 12 + "fetch(u)",
+        "far.js": "go(req.query.u)" + "\n" * 12 + "fetch(u)",  # no name holds the input
         "toctou.js": "if (fs.existsSync(p)) {\n  fs.readFileSync(p)\n}",
         "cookie.js": "res.cookie('session', v, { path: '/' })",
         "safe.js": "res.cookie('session', v, {\n httpOnly: true,\n secure: true })",
@@ -155,8 +157,49 @@ def test_signals(spark):
     values = lambda *v: F.array(*[F.lit(x) for x in v])
     assert one(spark, signals.noisy_or(values(0.5, 0.5))) == pytest.approx(0.75)
     assert one(spark, signals.noisy_or(values(1.0, 0.2))) == pytest.approx(1.0)
-    scored = signals.score_files(spark.createDataFrame([("# This function helps\n# note that\n" * 5 + "result = data\n" * 9,), ("x",), ("",)], "content string")).select("ai").collect()
-    assert 0 < scored[0][0] < 1 and scored[1][0] == scored[2][0] == 0.0
+    level = lambda ai, *found: one(spark, signals.risk_level(values(*found) if found else F.array().cast("array<string>"), F.lit(ai)))
+    assert [level(0.1, "critical"), level(0.1, "high"), level(0.8), level(0.6), level(0.1, "low"), level(0.5)] == ["CRITICAL", "HIGH", "HIGH", "MEDIUM", "MEDIUM", "LOW"]
+
+
+def test_authorship_of_samples(spark):
+    """Signals worked out by hand for our samples; every signal has a column."""
+    files = [(end, lang, code) for end, lang, code in samples.CODE] + [("null", None, None), ("two", "typescript", "\n".join(["x"] * 70) + "\n" + samples.TYPESCRIPT)]
+    rows = {r["path"]: r for r in authorship.score(spark.createDataFrame(files, "path string, lang string, text string")).collect()}
+    names = {*authorship.CORE, *authorship.SECONDARY, *authorship.STYLE}
+    assert len(names) == 50 and all(0 <= r[n] <= 1 for r in rows.values() for n in names)
+    assert all(rows[k][n] == 0 for k in (".md", "null") for n in names)
+    assert rows["null"]["ai"] == pytest.approx(1 / (1 + math.exp(8 * 0.44)))
+    # Three handlers of one shape, each with a documented guard, a log with context and a typed error.
+    ts = rows[".ts"]
+    assert [ts[k] for k in ("structural-clones", "exception-specificity", "structured-logging", "jsdoc-completeness")] == pytest.approx([0.65, 1.0, 1.0, 0.90])
+    assert ts["import-exhaustiveness"] == pytest.approx(0.30 + 4 * 0.05)
+    # Typed functions, docstring sections, data class, three imported types and a walrus: .30 + .25 + .15 + .10 + .10, and f-strings .20.
+    assert rows[".py"]["language-specific"] == 1.0 and rows[".py"]["error-uniformity"] == 0.8
+    assert rows[".go"]["language-specific"] == pytest.approx(0.30 + 0.25 + 0.20 + 0.15)
+    # An image beacon (2), decoded code that is run (3), a literal admin (3): 8 points and the encoded text's 2 more.
+    assert rows[".js"]["backdoor-detection"] >= 0.85
+    assert rows["two"]["style-drift"] == 1.0 and ts["style-drift"] == 0.0
+
+
+def test_function_bodies():
+    js = "function a() { if (x) { y() } }\nconst b = (c) => { return c }\n"
+    assert [b.count("{") for b in authorship.bodies(js, "typescript")] == [2, 1]
+    py = "def a():\n    return 1\n\ndef b(x):\n    if x:\n        return 2\nz = 1\n"
+    assert authorship.bodies(py, "python") == ["def a():\n    return 1\n", "def b(x):\n    if x:\n        return 2"]
+    assert authorship.measures("", "python") == ([], [], 0, 0, 0)
+
+
+def test_named_taint(spark):
+    files = {
+        "far.js": "const u = req.query.u\n" + "\n" * 20 + "got(u)\ngot(v)",
+        "two.js": "const { a, b: c } = request.body\nel.outerHTML =a\nel.outerHTML =c",
+        "p.py": "url = request.args.get('u')\nx = 1\naxios(url)",
+        "none.js": "got(u)",
+    }
+    found = detectors.named_findings(spark.createDataFrame(list(files.items()), "path string, content string"))
+    ids = {(r["path"], r["line"], r["id"]) for r in found.collect()}
+    assert ids == {("far.js", 22, "ssrf"), ("p.py", 3, "ssrf")}  # .outerHTML = name is a pattern of its own
+    assert detectors.findings(spark.createDataFrame([("a", "x")], "path string, content string")).count() == 0
 
 
 def test_structure():
