@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,13 +48,25 @@ def provenance_risk(g):
 def chained(rows: DataFrame, key: str, order: str, payload: str) -> DataFrame:
     """(key, order, payload, prev_hash, entry_hash): each entry hashes the one before it.
 
-    A chain is sequential by nature, so it is one ordered fold for each key.
+    A chain is sequential by nature, so a sorted stream of each key's entries is folded as it
+    passes; nothing of a chain is held but its last hash.
     """
-    packed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(payload).alias("p")))).alias("e"))
-    start = "struct('GENESIS' as last, cast(array() as array<struct<o:bigint,p:string,prev:string,h:string>>) as done)"
-    step = "struct(sha2(concat(z.last, ':', x.o, ':', x.p), 256) as last, concat(z.done, array(struct(x.o as o, x.p as p, z.last as prev, sha2(concat(z.last, ':', x.o, ':', x.p), 256) as h))) as done)"
-    out = packed.select(key, F.expr(f"explode(aggregate(e, {start}, (z, x) -> {step}, z -> z.done))").alias("x"))
-    return out.select(key, F.col("x.o").alias(order), F.col("x.p").alias(payload), F.col("x.prev").alias("prev_hash"), F.col("x.h").alias("entry_hash"))
+
+    def link(batches):
+        last, hash_ = object(), ""
+        for batch in batches:
+            before, after = [], []
+            for k, o, p in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != last:
+                    last, hash_ = k, "GENESIS"
+                before.append(hash_)
+                hash_ = hashlib.sha256(f"{hash_}:{o}:{p}".encode()).hexdigest()
+                after.append(hash_)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.string()), pa.array(after, pa.string())], [key, order, payload, "prev_hash", "entry_hash"])
+
+    rows = rows.select(key, order, payload)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", prev_hash string, entry_hash string"
+    return rows.repartition(key).sortWithinPartitions(key, order).mapInArrow(link, schema)
 
 
 def verify_chain(rows: DataFrame, key: str, order: str, payload: str) -> DataFrame:
@@ -90,10 +105,27 @@ def attestation_hash(g):
 
 @query("baseline_ema", "SELECT user_id, count(*) AS n, round(list_reduce(list(value ORDER BY ts, event_id), lambda a, x, i: a + least(0.3::DOUBLE, 1.0::DOUBLE / i) * (x - a)), 6) AS ema FROM events GROUP BY 1")
 def baseline_ema(g):
-    """A developer's baseline: an ordered fold with a rate of 1 / n, 0.3 at most."""
-    packed = g.table("events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("e"))
-    step = "struct(z.n + 1 as n, case when z.n = 0 then x.value else z.v + least(0.3D, 1D / (z.n + 1)) * (x.value - z.v) end as v)"
-    return packed.select("user_id", F.size("e").cast("long").alias("n"), F.expr(f"round(aggregate(e, struct(0 as n, 0D as v), (z, x) -> {step}, z -> z.v), 6)").alias("ema"))
+    """A developer's baseline: an ordered fold with a rate of 1 / n, 0.3 at most, over a sorted stream of events."""
+
+    def fold(batches):
+        last, n, ema, out = None, 0, 0.0, []
+        for batch in batches:
+            for user, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if user != last:
+                    if n:
+                        out.append((last, n, ema))
+                    last, n, ema = user, 0, 0.0
+                n += 1
+                ema = value if n == 1 else ema + min(0.3, 1.0 / n) * (value - ema)
+        if n:
+            out.append((last, n, ema))
+        for at in range(0, len(out), 10_000):
+            users, counts, values = zip(*out[at : at + 10_000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(users, pa.int64()), pa.array(counts, pa.int64()), pa.array(values, pa.float64())], ["user_id", "n", "ema"])
+
+    events = g.table("events").select(F.col("user_id").cast("long"), F.col("value").cast("double"), "ts", "event_id")
+    events = events.repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id").select("user_id", "value")
+    return events.mapInArrow(fold, "user_id long, n long, ema double").select("user_id", "n", F.round("ema", 6).alias("ema"))
 
 
 _EDGES = "edges AS (SELECT p_partkey AS src, (p_partkey * 7 + 3) % (SELECT count(*) FROM part) AS dst FROM part WHERE p_size % 3 <> 0 UNION SELECT p_partkey, (p_partkey * 13 + 5) % (SELECT count(*) FROM part) FROM part WHERE p_size % 4 = 0)"
@@ -124,7 +156,7 @@ def transitive_imports(g, start: int = 1):
     return iterate.reach(edges, g.spark.createDataFrame([(start,)], "node long")).select("node")
 
 
-@query("import_cycles", f"WITH RECURSIVE {_EDGES}, p(first, last, path, n) AS (SELECT src, dst, [src], 1 FROM edges WHERE dst >= src UNION ALL SELECT first, dst, list_append(path, last), n + 1 FROM p JOIN edges ON last = src WHERE last <> first AND dst >= first AND n < 6 AND NOT list_contains(list_append(path, last), CASE WHEN dst = first THEN -1 ELSE dst END)) SELECT array_to_string(path, '>') AS cycle, n AS length FROM p WHERE last = first")
+@query("import_cycles", f"WITH RECURSIVE {_EDGES}, p(first, last, path, n) AS (SELECT src, dst, [src], 1 FROM edges WHERE dst >= src UNION ALL SELECT first, dst, list_append(path, last), n + 1 FROM p JOIN edges ON last = src WHERE last <> first AND dst >= first AND NOT list_contains(list_append(path, last), CASE WHEN dst = first THEN -1 ELSE dst END)) SELECT array_to_string(path, '>') AS cycle, n AS length FROM p WHERE last = first")
 def import_cycles(g):
     """All import cycles, of any length."""
     rows = iterate.cycles(iterate.checkpointed(import_edges(g)))
@@ -138,7 +170,7 @@ def dead_exports(g):
     return iterate.dead_exports(exports, import_edges(g).select(F.col("dst").alias("module"), F.lit("default").alias("name"))).select("module")
 
 
-@query("contamination", f"WITH RECURSIVE {_EDGES}, v(node, value, d) AS (SELECT p_partkey, CASE WHEN p_size = 50 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END, 0 FROM part UNION SELECT src, value * 0.7::DOUBLE, d + 1 FROM v JOIN edges ON dst = node WHERE d < 12 AND value > 0) SELECT node, round(max(value), 8) AS value FROM v GROUP BY 1")
+@query("contamination", f"WITH RECURSIVE {_EDGES}, v(node, value, d) AS (SELECT p_partkey, CASE WHEN p_size = 50 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END, 0 FROM part UNION SELECT src, value * 0.7::DOUBLE, d + 1 FROM v JOIN edges ON dst = node WHERE value > 1e-9 AND NOT EXISTS (SELECT 1 FROM part p WHERE p.p_partkey = src AND p.p_size = 50)) SELECT node, round(max(value), 8) AS value FROM v GROUP BY 1")
 def contamination(g):
     """Risk that modules take over from what they import, dependencies first."""
     nodes = g.table("part").select(F.col("p_partkey").alias("node"), F.when(F.col("p_size") == 50, 1.0).otherwise(0.0).alias("own"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import authorship, detectors, rules, signals
+from ..operators import authorship, bayes, detectors, rules, signals
 from .registry import query
 from .samples import CODE, SNIPPETS
 
@@ -130,3 +130,48 @@ def code_structure(g):
     from ..operators import structure
 
     return structure.parse(code_files(g))
+
+
+_IDENT = r"\b[a-zA-Z_]\w*\b"
+_PARTS = f"list_filter(string_split_regex(lower(regexp_replace(regexp_replace(array_to_string(regexp_extract_all(text, '{_IDENT}'), '_'), '([A-Z]+)([A-Z][a-z])', '\\1_\\2', 'g'), '([a-z0-9])([A-Z])', '\\1_\\2', 'g')), '_+'), lambda x: length(x) >= 2)"
+_WEIGHT = "CASE x " + " ".join(f"WHEN '{k}' THEN {ai - human!r}::DOUBLE" for k, (human, ai) in bayes.SUBTOKENS.items()) + " ELSE 0 END"
+_METRICS = ", ".join(f"{v}::DOUBLE AS {k}" if k != "loc" else "len(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> ''))::DOUBLE AS loc" for k, v in bayes.METRICS.items())
+_RATIO = "len(regexp_extract_all(text, '\\b(?:{0})\\b')) / greatest(1, len(regexp_extract_all(text, '\\w+')))::DOUBLE * 10"
+
+
+@query("nb_score", f"""WITH f AS ({_FILES}), b AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '\\w+'), lambda x: lower(x)), lambda x: length(x) > 1) AS w FROM f),
+    g AS (SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || '_' || w[i + 1])) AS p FROM b WHERE len(w) >= 20), c AS (SELECT doc_id, p, count(*) AS n FROM g GROUP BY 1, 2),
+    e AS (SELECT doc_id, CASE WHEN count(*) < 2 THEN 1 ELSE least(1, (log2(sum(n)) - sum(n * log2(n)) / sum(n)) / log2(count(*))) END AS e FROM c GROUP BY 1),
+    m AS (SELECT doc_id, {_PARTS} AS parts, {_RATIO.format('|'.join(bayes.KEYWORDS))} - {_RATIO.format('|'.join(bayes.HUMAN_KEYWORDS))} AS kw, {_METRICS} FROM f),
+    s AS (SELECT doc_id, {bayes.gaussian(bayes.MEAN_AI, bayes.SIGMA_AI)} AS ai, {bayes.gaussian(bayes.MEAN_HUMAN, bayes.SIGMA_HUMAN)} AS human, kw, coalesce(list_sum(list_transform(parts, lambda x: {_WEIGHT})), 0) / greatest(1, len(parts)) AS ev FROM m),
+    z AS (SELECT doc_id, ai, human, ln(0.45::DOUBLE / 0.55::DOUBLE) + ev + (ai - human) * 0.3 + 2 - coalesce(e, 1) * 4 + kw AS margin FROM s LEFT JOIN e USING (doc_id))
+    SELECT doc_id, round(1 / (1 + exp(-margin)), 6) AS probability, round(0.3 + 0.4 / (1 + exp(-margin)), 6) AS blended, round(least(1, abs(margin) / 20), 6) AS confidence, round(1 / (1 + exp(human - ai)), 6) AS structural FROM z""")
+def nb_score(g):
+    """Naive Bayes of each file, blended with an undecided heuristic score."""
+    rows = bayes.classify(code_files(g).select("doc_id", F.col("content").alias("text")), "doc_id")
+    return rows.select("doc_id", *[F.round(c, 6).alias(c) for c in ("probability", "blended", "confidence", "structural")])
+
+
+_START = "CASE token " + " ".join(f"WHEN '{k}' THEN {{{n}}}" for n, k in enumerate(bayes.SUBTOKENS)) + " ELSE -5.0 END"
+
+
+@query("nb_update", f"""WITH f AS (SELECT f.doc_id, quality = 0 AS is_ai, text FROM ({_FILES}) f JOIN labels l ON f.doc_id = l.doc_id WHERE quality IS NOT NULL), t AS (SELECT doc_id, is_ai, unnest({_PARTS}) AS token FROM f), n AS (SELECT doc_id, is_ai, token, count(*) / sum(count(*)) OVER (PARTITION BY doc_id) AS f FROM t GROUP BY 1, 2, 3)
+    SELECT token, round(({_START.format(*[v[0] for v in bayes.SUBTOKENS.values()])})::DOUBLE + 0.05 * coalesce(sum(f) FILTER (NOT is_ai), 0), 6) AS human, round(({_START.format(*[v[1] for v in bayes.SUBTOKENS.values()])})::DOUBLE + 0.05 * coalesce(sum(f) FILTER (is_ai), 0), 6) AS ai FROM n WHERE f >= 0.001 GROUP BY token""")
+def nb_update(g):
+    """Subtoken likelihoods after all labelled files."""
+    labels = g.table("labels").where("quality is not null").select("doc_id", (F.col("quality") == 0).alias("is_ai"))
+    rows = bayes.updated(code_files(g).join(labels, "doc_id").select(F.col("content").alias("text"), "is_ai"))
+    return rows.select("token", F.round("human", 6).alias("human"), F.round("ai", 6).alias("ai"))
+
+
+@query("explained_signals")
+def explained_signals(g):
+    """Firing signals of each file by tier, with their part of the score, the greatest first."""
+    rows = authorship_scores(g)
+    return authorship.explained(rows, "path")
+
+
+@query("function_scores")
+def function_scores(g):
+    """The first forty functions of each file, of five lines and fifty characters or more, scored by themselves."""
+    return authorship.function_scores(code_files(g).select("path", F.col("content").alias("text"), "lang"))

@@ -97,6 +97,7 @@ def sla_breaches(g):
       count(*) FILTER (risk = 'HIGH' AND sla_deadline < TIMESTAMP '{AS_OF}') AS bh FROM current_violations GROUP BY 1) USING (org_id)""")
 def dashboard_totals(g):
     """The headline numbers of each organisation."""
+    g = g.settle()
     late = F.col("sla_deadline") < F.lit(AS_OF).cast("timestamp_ntz")
     scans = g.scans.groupBy("org_id").agg(F.round(F.avg("ai"), 8).alias("overall_ai_pct"), F.count("*").alias("scan_count"), F.sum("file_count").alias("file_count"))
     rates = repo_stats(g).groupBy("org_id").agg(F.round(F.avg("attestation_rate"), 8).alias("attestation_rate"))

@@ -106,12 +106,3 @@ def doc_near_clone_jaccard(g):
     first = docs.groupBy("h").agg(F.min_by(F.struct(F.col("doc_id").alias("b"), F.col("w").alias("v")), "doc_id").alias("x")).select("h", "x.*")
     both = docs.join(first, "h").where("doc_id > b")
     return both.select(F.col("doc_id").alias("a"), "b", F.round(F.size(F.array_intersect("w", "v")) / F.size(F.array_union("w", "v")), 8).alias("jaccard"))
-
-
-@query("nb_score", "WITH t AS (SELECT doc_id, len(regexp_extract_all(text, '\\bthe\\b')) AS t1, len(regexp_extract_all(text, '[#$%&]')) AS t2, len(regexp_extract_all(text, '[0-9]')) AS t3 FROM documents) SELECT doc_id, round(1 / (1 + exp(-(ln(0.8::DOUBLE / 0.2::DOUBLE) + least(20, t1) * 0.05::DOUBLE - least(20, t2) * 0.4::DOUBLE - least(20, t3) * 0.02::DOUBLE))), 8) AS human FROM t")
-def nb_score(g):
-    """Naive Bayes with fixed log ratios: a prior and capped counts of tokens."""
-    count = lambda p: F.least(F.lit(20), F.regexp_count("text", F.lit(p)))
-    z = F.lit(0.8 / 0.2)
-    odds = F.log(z) + count(r"\bthe\b") * 0.05 - count("[#$%&]") * 0.4 - count("[0-9]") * 0.02
-    return g.table("documents").select("doc_id", F.round(1 / (1 + F.exp(-odds)), 8).alias("human"))

@@ -19,6 +19,7 @@ def now():
 
 def org_facts(g: Governance) -> DataFrame:
     """One row for each organisation: what most scores are functions of."""
+    g = g.settle()
     repos = repo_stats(g).groupBy("org_id").agg(
         F.avg("attestation_rate").alias("att"), F.stddev_pop("attestation_rate").alias("att_sd"), F.min("attestation_rate").alias("att_min"), F.stddev_pop("ai_pct").alias("ai_sd"),
         F.avg(_freshness(F.col("last_scan"))).alias("fresh"), F.sum("scan_count").alias("scans"), F.sum("file_count").alias("files"),
@@ -124,6 +125,7 @@ def posture(g):
     UNION ALL SELECT org_id, 'no_reviewer', 'low-attest::' || repo, repo, NULL FROM repo_stats WHERE attestation_rate < 0.6 AND scan_count > 0""")
 def derived_violations(g):
     """Six rules over the hub: unsigned files by risk, blocked deploys, AI limit, low coverage."""
+    g = g.settle()
     files = top_files(g).where("not attested and risk <> 'LOW'")
     risk = F.col("risk")
     pick = lambda a, b, c: F.when(risk == "CRITICAL", a).when(risk == "HIGH", b).otherwise(c)

@@ -11,6 +11,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.checkpoint import checkpointed
 from ..functions.scalars import hours
 
 #: All relative dates are measured from here; never from the clock.
@@ -77,6 +78,12 @@ class Governance:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    def settle(self) -> Governance:
+        """Write the files of all scans once, for a query that reads them many times."""
+        self.scan_files = checkpointed(self.scan_files)
+        self.file_rows = self.scan_files
+        return self
+
     def table(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise ValueError(f"no table {name}")

@@ -9,11 +9,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.checkpoint import shared_folder
+
 LATE = "10 minutes"
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -74,8 +77,10 @@ def baselines(rows: DataFrame) -> DataFrame:
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, ema = state.get if state.exists else (0, 0.0)
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        for value in rows["value"]:
+        # Only times, ids and values are held, as flat arrays, to put a batch in order.
+        parts = [(b["ts"].to_numpy(), b["event_id"].to_numpy(), b["value"].to_numpy()) for b in batches]
+        times, ids, values = (np.concatenate(x) for x in zip(*parts, strict=True))
+        for value in values[np.lexsort((ids, times))]:
             n += 1
             ema = value if n == 1 else ema + min(0.3, 1.0 / n) * (value - ema)
         state.update((n, float(ema)))
@@ -91,7 +96,7 @@ def run_once(rows: DataFrame, mode: str = "append", keys: list[str] | None = Non
     each other: with ``keys``, the row with the largest ``newest`` counts.
     """
     spark = rows.sparkSession
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = rows.schema
 
     def write(batch: DataFrame, number: int) -> None:
