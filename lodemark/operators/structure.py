@@ -5,6 +5,7 @@ A stateful scan of each file, in Arrow batches; the only Python in the scanning
 
 from __future__ import annotations
 
+import math
 import re
 
 import pyarrow as pa
@@ -126,3 +127,75 @@ def taint_paths(files: DataFrame, path: str = "path", content: str = "content")
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["path", "sink", "source_line", "sink_line", "flow", "confidence"])
 
     return files.select(files[path].cast("string"), content).mapInArrow(read, "path string, sink string, source_line int, sink_line int, flow string, confidence double")
+
+
+_EXPORT = re.compile(r"^\s*(?:export\s+(?:default\s+)?(?:async\s+)?(?:function|class|const|let|interface|type|enum)\s+(\w+)|module\.exports\.(\w+)\s*=|exports\.(\w+)\s*=)", re.M)
+_CLASS = re.compile(r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+|public\s+|final\s+)*class\s+(\w+)", re.M)
+# Usual names of entry points, and how a name is exported later.
+_ENTRY = re.compile(r"^(?:main|handler|index|server|app|init|start|bootstrap|run)$", re.I)
+_EXPORTED_AS = re.compile(r"exports\.\w+\s*=\s*(\w+)")
+_OPERATOR, _COMMENT = re.compile(r"[+\-*/%&|^~<>=!]{1,3}"), re.compile(r"\s*(?://|#|\*|/\*|<!--)")
+
+
+def reach_of(content: str) -> list[tuple[str, bool, int | None]]:
+    """(function, whether it is an entry point, least depth from one) of a file's functions.
+
+    Entry points are exported, where they are defined or later, or have a usual name.
+    """
+    names = list(dict.fromkeys(next(filter(None, m.groups())) for m in _FUNCTION.finditer(content)))
+    edges = edges_of(content)
+    exported = {next(filter(None, m.groups())) for m in _EXPORT.finditer(content)} | set(_EXPORTED_AS.findall(content))
+    entries = [n for n in names if n in exported or _ENTRY.match(n)]
+    depth, front, level = dict.fromkeys(entries, 0), set(entries), 0
+    while front:
+        level += 1
+        front = {b for a, b in edges if a in front and b not in depth}
+        depth |= dict.fromkeys(front, level)
+    return [(n, n in entries, depth.get(n)) for n in names]
+
+
+def metrics_of(content: str) -> tuple:
+    """Functions, classes, exports, complexity, nesting, share of comments and Halstead volume of a file."""
+    names, _, branches, deepest, _ = describe(content)
+    lines = [x for x in content.split("\n") if x.strip()]
+    operators, operands = _OPERATOR.findall(content), re.findall(r"\b[a-zA-Z_]\w*\b", content)
+    kinds = len(set(operators)) + len(set(operands))
+    volume = round((len(operators) + len(operands)) * math.log2(kinds)) if kinds > 1 else 0
+    comments = sum(bool(_COMMENT.match(x)) for x in lines) / len(lines) if lines else 0.0
+    return len(names), len(_CLASS.findall(content)), len(_EXPORT.findall(content)), len(names) + branches if names else 1, deepest, comments, volume, len(lines)
+
+
+def _each(files: DataFrame, path: str, content: str, schema: str, of) -> DataFrame:
+    """Rows (path, and what ``of`` gives for the content) of each file, in Arrow batches; null content is empty."""
+
+    def read(batches):
+        for batch in batches:
+            rows = [(p, *x) for p, c in zip(*(x.to_pylist() for x in batch.columns), strict=True) for x in of(c or "")]
+            fields = [f.split() for f in schema.split(", ")]
+            kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * len(fields)
+            yield pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
+
+    return files.select(files[path].cast("string"), content).mapInArrow(read, schema)
+
+
+def reachable(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    return _each(files, path, content, "path string, function string, is_entry boolean, depth int", reach_of)
+
+
+def measured(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    return _each(files, path, content, "path string, functions int, classes int, exports int, complexity int, nesting int, comments double, halstead bigint, loc int", lambda c: [metrics_of(c)])
+
+
+def clones(files: DataFrame) -> DataFrame:
+    """(path, first, second, jaccard): alike functions of each file (path, content, lang), by their skeletons' bigrams."""
+    from .authorship import clone_pairs
+
+    def read(batches):
+        for batch in batches:
+            rows = [(p, *x) for p, c, lang in zip(*(x.to_pylist() for x in batch.columns), strict=True) for x in clone_pairs(c or "", lang or "")]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["path", "first", "second", "jaccard"])
+
+    return files.select("path", "content", "lang").mapInArrow(read, "path string, first int, second int, jaccard double")

@@ -175,3 +175,11 @@ def explained_signals(g):
 def function_scores(g):
     """The first forty functions of each file, of five lines and fifty characters or more, scored by themselves."""
     return authorship.function_scores(code_files(g).select("path", F.col("content").alias("text"), "lang"))
+
+
+@query("clone_pairs")
+def clone_pairs(g):
+    """Functions of one file that are structural clones, all pairs."""
+    from ..operators import structure
+
+    return structure.clones(code_files(g))

@@ -24,13 +24,13 @@ def confusion_counts(hit, y) -> list:
     return [F.count_if(hit & (y == 1)).alias("tp"), F.count_if(hit & (y == 0)).alias("fp"), F.count_if(~hit & (y == 0)).alias("tn"), F.count_if(~hit & (y == 1)).alias("fn")]
 
 
-@query("confusion", f"WITH {_SCORED}, c AS (SELECT count(*) FILTER (score >= 0.2 AND y = 1) AS tp, count(*) FILTER (score >= 0.2 AND y = 0) AS fp, count(*) FILTER (score < 0.2 AND y = 0) AS tn, count(*) FILTER (score < 0.2 AND y = 1) AS fn FROM scored) SELECT tp, fp, tn, fn, round(CASE WHEN tp + fp = 0 THEN 1 ELSE tp::DOUBLE / (tp + fp) END, 8) AS precision, round(tp::DOUBLE / (tp + fn), 8) AS recall, round((tp + tn)::DOUBLE / (tp + fp + tn + fn), 8) AS accuracy, round(fp::DOUBLE / (fp + tn), 8) AS fpr FROM c")
+@query("confusion", f"WITH {_SCORED}, c AS (SELECT count(*) FILTER (score >= 0.2 AND y = 1) AS tp, count(*) FILTER (score >= 0.2 AND y = 0) AS fp, count(*) FILTER (score < 0.2 AND y = 0) AS tn, count(*) FILTER (score < 0.2 AND y = 1) AS fn FROM scored) SELECT tp, fp, tn, fn, round(CASE WHEN tp + fp = 0 THEN 1 ELSE tp::DOUBLE / (tp + fp) END, 8) AS precision, round(tp::DOUBLE / (tp + fn), 8) AS recall, round((tp + tn)::DOUBLE / (tp + fp + tn + fn), 8) AS accuracy, round(fp::DOUBLE / (fp + tn), 8) AS fpr, round(fn::DOUBLE / (fn + tp), 8) AS fnr, round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2.0::DOUBLE * tp / (2 * tp + fp + fn) END, 8) AS f1 FROM c")
 def confusion(g, threshold: float = 0.2, empty_precision: float = 1.0):
     """The four counts and their ratios; precision of no hits is a parameter."""
     c = scored(g).agg(*confusion_counts(F.col("score") >= threshold, F.col("y")))
     tp, fp, tn, fn = (F.col(k) for k in ("tp", "fp", "tn", "fn"))
     r = lambda x: F.round(x, 8)
-    return c.select("tp", "fp", "tn", "fn", r(ratio(tp, tp + fp, empty_precision)).alias("precision"), r(ratio(tp, tp + fn)).alias("recall"), r(ratio(tp + tn, tp + fp + tn + fn)).alias("accuracy"), r(ratio(fp, fp + tn)).alias("fpr"))
+    return c.select("tp", "fp", "tn", "fn", r(ratio(tp, tp + fp, empty_precision)).alias("precision"), r(ratio(tp, tp + fn)).alias("recall"), r(ratio(tp + tn, tp + fp + tn + fn)).alias("accuracy"), r(ratio(fp, fp + tn)).alias("fpr"), r(ratio(fn, fn + tp)).alias("fnr"), r(ratio(tp * 2.0, tp * 2 + fp + fn)).alias("f1"))
 
 
 @query("auc_exact", f"WITH {_SCORED}, r AS (SELECT y, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS rk FROM scored) SELECT round((sum(rk) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0)::DOUBLE / (count(*) FILTER (y = 1) * count(*) FILTER (y = 0)), 8) AS auc FROM r")
@@ -60,10 +60,12 @@ def auc_trapezoid(g):
     return rows.select(F.round(F.expr(area), 8).alias("auc"))
 
 
-@query("brier", f"WITH {_SCORED} SELECT round(avg(pow(score - y, 2)), 8) AS brier, round(avg(score) FILTER (y = 1) - avg(score) FILTER (y = 0), 8) AS separation, round(avg((score > y)::INT), 8) AS over_confident FROM scored")
+@query("brier", f"WITH {_SCORED} SELECT round(avg(pow(score - y, 2)), 8) AS brier, round(avg(score) FILTER (y = 1) - avg(score) FILTER (y = 0), 8) AS separation, round(count(*) FILTER (y = 0 AND score > 0.65) / greatest(1, count(*) FILTER (y = 0))::DOUBLE, 8) AS over_confident, round(count(*) FILTER (y = 1 AND score < 0.35) / greatest(1, count(*) FILTER (y = 1))::DOUBLE, 8) AS under_confident FROM scored")
 def brier(g):
+    """Calibration: squared error, distance of the classes' means, good rows scored high and bad ones scored low."""
     s, y = F.col("score"), F.col("y")
-    return scored(g).agg(F.round(F.avg(F.pow(s - y, 2)), 8).alias("brier"), F.round(F.avg(F.when(y == 1, s)) - F.avg(F.when(y == 0, s)), 8).alias("separation"), F.round(F.avg((s > y).cast("int")), 8).alias("over_confident"))
+    share = lambda label, test: F.round(F.count_if((y == label) & test) / F.greatest(F.lit(1), F.count_if(y == label)), 8)
+    return scored(g).agg(F.round(F.avg(F.pow(s - y, 2)), 8).alias("brier"), F.round(F.avg(F.when(y == 1, s)) - F.avg(F.when(y == 0, s)), 8).alias("separation"), share(0, s > 0.65).alias("over_confident"), share(1, s < 0.35).alias("under_confident"))
 
 
 _F1 = "CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2.0::DOUBLE * tp / (2 * tp + fp + fn) END"
@@ -86,13 +88,19 @@ def threshold_search(g):
 SIGNALS = {"pipes": r"\|", "hashes": "###", "token": "token = ", "phone": r"\+[0-9]"}
 
 
-@query("signal_likelihood", f"WITH d AS (SELECT text, 1 - quality AS y FROM documents JOIN labels USING (doc_id)) " + " UNION ALL ".join(f"SELECT '{k}' AS signal, round(avg(regexp_matches(text, '{p}')::INT) FILTER (y = 1), 8) AS fires_bad, round(avg(regexp_matches(text, '{p}')::INT) FILTER (y = 0), 8) AS fires_good FROM d" for k, p in SIGNALS.items()))
+_RATE = "CASE WHEN fp = 0 THEN CASE WHEN tp > 0 THEN 99 ELSE 1 END ELSE (tp / greatest(1, bad)::DOUBLE) / (fp / greatest(1, good)::DOUBLE) END"
+
+
+@query("signal_likelihood", "WITH d AS (SELECT text, 1 - quality AS y FROM documents JOIN labels USING (doc_id)), c AS (" + " UNION ALL ".join(f"SELECT '{k}' AS signal, count(*) FILTER (y = 1 AND regexp_matches(text, '{p}')) AS tp, count(*) FILTER (y = 0 AND regexp_matches(text, '{p}')) AS fp, count(*) FILTER (y = 1) AS bad, count(*) FILTER (y = 0) AS good FROM d" for k, p in SIGNALS.items()) + f") SELECT signal, round(tp / greatest(1, bad)::DOUBLE, 8) AS fires_bad, round(fp / greatest(1, good)::DOUBLE, 8) AS fires_good, round({_RATE}, 6) AS likelihood_ratio FROM c")
 def signal_likelihood(g):
-    """Fire rates of each signal among bad and good rows."""
+    """Fire rates of each signal among bad and good rows, and their ratio (99 if it fires on bad ones only)."""
     y = F.col("y")
-    rows = g.table("documents").select("doc_id", *[F.col("text").rlike(p).cast("int").alias(k) for k, p in SIGNALS.items()]).join(g.table("labels").select("doc_id", (1 - F.col("quality")).alias("y")), "doc_id")
-    rates = rows.agg(F.array(*[F.struct(F.lit(k).alias("signal"), F.round(F.avg(F.when(y == 1, F.col(k))), 8).alias("fires_bad"), F.round(F.avg(F.when(y == 0, F.col(k))), 8).alias("fires_good")) for k in SIGNALS]).alias("x"))
-    return rates.select(F.inline("x"))
+    rows = g.table("documents").select("doc_id", *[F.col("text").rlike(p).alias(k) for k, p in SIGNALS.items()]).join(g.table("labels").select("doc_id", (1 - F.col("quality")).alias("y")), "doc_id")
+    counts = F.array(*[F.struct(F.lit(k).alias("signal"), F.count_if((y == 1) & F.col(k)).alias("tp"), F.count_if((y == 0) & F.col(k)).alias("fp")) for k in SIGNALS])
+    rows = rows.agg(counts.alias("x"), F.greatest(F.lit(1), F.count_if(y == 1)).alias("bad"), F.greatest(F.lit(1), F.count_if(y == 0)).alias("good")).select("bad", "good", F.inline("x"))
+    bad, good = F.col("tp") / F.col("bad"), F.col("fp") / F.col("good")
+    ratio_ = F.when(F.col("fp") > 0, bad / good).when(F.col("tp") > 0, 99.0).otherwise(1.0)
+    return rows.select("signal", F.round(bad, 8).alias("fires_bad"), F.round(good, 8).alias("fires_good"), F.round(ratio_, 6).alias("likelihood_ratio"))
 
 
 @query("score_percentiles", f"WITH {_SCORED} SELECT y, " + ", ".join(f"round(quantile_cont(score, {p / 100}), 8) AS p{p}" for p in (10, 25, 50, 75, 90)) + " FROM scored GROUP BY 1")

@@ -8,22 +8,23 @@ from pyspark.sql import functions as F
 from ..operators import evidence as E
 from .registry import query
 
-_CHANGES = "changes AS (SELECT scan_id, pr_author, min(created_at) AS created_at, CAST(sum(line_count) AS BIGINT) * 12 AS additions, scan_id % 4 AS commits, count(*) AS files, avg(ai) AS ai FROM scan_files GROUP BY 1, 2)"
+_CHANGES = "changes AS (SELECT scan_id, pr_author, min(created_at) AS created_at, CAST(sum(line_count) AS BIGINT) * 12 AS additions, scan_id % 4 AS commits, scan_id % 47 AS minutes, count(*) AS files, avg(ai) AS ai FROM scan_files GROUP BY 1, 2)"
 
 
 def changes(g):
     """One row for each scan, as a pull request with its size."""
     rows = g.scan_files.groupBy("scan_id", "pr_author").agg(F.min("created_at").alias("created_at"), (F.sum("line_count") * 12).alias("additions"), F.count("*").alias("files"), F.avg("ai").alias("ai"))
-    return rows.withColumn("commits", F.col("scan_id") % 4)
+    return rows.withColumn("commits", F.col("scan_id") % 4).withColumn("minutes", F.col("scan_id") % 47)
 
 
 _SHAPE = """least(1.0::DOUBLE, CASE WHEN additions / c > 1000 THEN 0.3 WHEN additions / c > 500 THEN 0.2 WHEN additions / c > 200 THEN 0.1 ELSE 0 END::DOUBLE
-    + CASE WHEN c = 1 AND additions > 300 THEN 0.15 WHEN c <= 2 AND additions > 500 THEN 0.1 ELSE 0 END::DOUBLE + CASE WHEN files / c > 8 AND c <= 2 THEN 0.1 WHEN files / c > 5 THEN 0.05 ELSE 0 END::DOUBLE)"""
+    + CASE WHEN c = 1 AND additions > 300 THEN 0.15 WHEN c <= 2 AND additions > 500 THEN 0.1 ELSE 0 END::DOUBLE + CASE WHEN files / c > 8 AND c <= 2 THEN 0.1 WHEN files / c > 5 THEN 0.05 ELSE 0 END::DOUBLE
+    + CASE WHEN minutes < 10 AND additions > 200 THEN 0.2 WHEN minutes < 30 AND additions > 500 THEN 0.1 ELSE 0 END::DOUBLE)"""
 
 
 @query("change_behaviour", f"WITH {_CHANGES} SELECT scan_id, round({_SHAPE}, 8) AS score FROM (SELECT *, greatest(1, commits) AS c FROM changes)")
 def change_behaviour(g):
-    return changes(g).select("scan_id", F.round(E.change_behaviour(F.col("additions"), F.col("commits"), F.col("files")), 8).alias("score"))
+    return changes(g).select("scan_id", F.round(E.change_behaviour(F.col("additions"), F.col("commits"), F.col("files"), F.col("minutes")), 8).alias("score"))
 
 
 _BASE = "base AS (SELECT *, count(*) OVER w AS n, avg(additions) OVER w AS ml, avg(commits) OVER w AS mc, avg(files) OVER w AS mf FROM changes WINDOW w AS (PARTITION BY pr_author ORDER BY created_at, scan_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"
@@ -50,7 +51,7 @@ def baseline_deviation(g):
 def evidence_blend(g):
     a, c = F.col("additions"), F.col("commits")
     boost = F.when((a > 1000) & (c == 1), 0.2).otherwise(0.0)
-    s = E.blend(F.col("ai"), E.change_behaviour(a, c, F.col("files")), F.col("scan_id") % 10 / 10.0, F.col("deviation"), F.lit(0.0), boost)
+    s = E.blend(F.col("ai"), E.change_behaviour(a, c, F.col("files"), F.col("minutes")), F.col("scan_id") % 10 / 10.0, F.col("deviation"), F.lit(0.0), boost)
     # The band is that of the rounded score, so the order of a sum decides nothing.
     return with_baseline(g).select("scan_id", F.round(s, 6).alias("score")).select("scan_id", "score", E.likelihood(F.col("score")).alias("band"))
 
@@ -61,6 +62,11 @@ _SCORES = "(VALUES " + ", ".join(f"({k}, {v}::DOUBLE)" for k, (_, v) in enumerat
 
 
 def _pick(samples, column="doc_id"):
+    """The sample that a row's number picks, at the end of the document's whole text."""
+    return F.concat_ws("\n", F.coalesce("text", F.lit("")), _one(samples, column))
+
+
+def _one(samples, column="doc_id"):
     return F.element_at(F.array(*[F.lit(s) for s in samples]), (F.col(column) % len(samples) + 1).cast("int"))
 
 
@@ -91,7 +97,7 @@ PATHS = [("src/a.py", "python", ""), (".cursorrules", "text", "Cursor"), ("x/.gi
 @query("file_metadata", "SELECT doc_id, language, tools FROM documents JOIN (VALUES " + ", ".join(f"({k}, '{a}', '{b}')" for k, (_, a, b) in enumerate(PATHS)) + f") e(k, language, tools) ON doc_id % {len(PATHS)} = k")
 def file_metadata(g):
     """Language and assistant tooling told by the path."""
-    rows = g.table("documents").select("doc_id", _pick([p for p, _, _ in PATHS]).alias("path"))
+    rows = g.table("documents").select("doc_id", _one([p for p, _, _ in PATHS]).alias("path"))
     return rows.select("doc_id", E.language(F.col("path")).alias("language"), F.array_join(E.tool_of(F.col("path")), ",").alias("tools"))
 
 
@@ -121,17 +127,26 @@ def roi(g, hours: float = 1.5, rate: float = 85.0, cost: float = 2000.0):
 
 @query("call_graph_reach")
 def call_graph_reach(g):
-    """Functions of each generated file that its entry points reach, over its own call edges."""
+    """Functions of each file: whether they are entry points, and their least depth from one (null: not reached)."""
     from ..operators import structure
     from .code import code_files
 
-    return structure.call_edges(code_files(g))
+    return structure.reachable(code_files(g))
 
 
 @query("taint_paths")
 def taint_paths(g):
     """Assignments that carry user input to a sink within a file, with their lines."""
     from ..operators import structure
+    from .code import snippet_files
+
+    return structure.taint_paths(snippet_files(g))
+
+
+@query("code_metrics")
+def code_metrics(g):
+    """Functions, classes, exports, complexity, nesting, comments and Halstead volume of each file."""
+    from ..operators import structure
     from .code import code_files
 
-    return structure.taint_paths(code_files(g))
+    return structure.measured(code_files(g))

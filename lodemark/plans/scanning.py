@@ -99,10 +99,15 @@ def noisy_or(g):
     return g.scan_files.groupBy("scan_id").agg(F.round(signals.noisy_or(leaks), 8).alias("combined"))
 
 
-@query("doc_near_clone_jaccard", "SELECT a.doc_id AS a, b.doc_id AS b, round(len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))), 8) AS jaccard FROM (SELECT doc_id, list_distinct(string_split(text, ' ')) AS w, sha256(text[1:40]) AS h, text FROM documents) a JOIN (SELECT doc_id, list_distinct(string_split(text, ' ')) AS w, sha256(text[1:40]) AS h FROM documents) b ON a.h = b.h AND b.doc_id = (SELECT min(doc_id) FROM documents d WHERE d.text[1:40] = a.text[1:40]) WHERE a.doc_id > b.doc_id")
-def doc_near_clone_jaccard(g):
-    """Similarity of each document's words to the first with the same opening, one pair a document."""
-    docs = g.table("documents").select("doc_id", F.sha2(F.substring("text", 1, 40), 256).alias("h"), F.array_distinct(F.split("text", " ")).alias("w"))
-    first = docs.groupBy("h").agg(F.min_by(F.struct(F.col("doc_id").alias("b"), F.col("w").alias("v")), "doc_id").alias("x")).select("h", "x.*")
-    both = docs.join(first, "h").where("doc_id > b")
-    return both.select(F.col("doc_id").alias("a"), "b", F.round(F.size(F.array_intersect("w", "v")) / F.size(F.array_union("w", "v")), 8).alias("jaccard"))
+_HALVES = "list_filter(string_split(coalesce(text, ''), chr(10)), lambda x, i: (i - 1 < len(string_split(coalesce(text, ''), chr(10))) // 2) = {})"
+
+
+@query("vocabulary_overlap", f"WITH h AS (SELECT doc_id, list_distinct(list_filter(string_split(array_to_string({_HALVES.format('true')}, ' '), ' '), lambda x: x <> '')) AS a, list_distinct(list_filter(string_split(array_to_string({_HALVES.format('false')}, ' '), ' '), lambda x: x <> '')) AS b FROM documents) SELECT doc_id, round(CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 1 ELSE len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))) END, 8) AS jaccard FROM h")
+def vocabulary_overlap(g):
+    """Similarity of the words in a text's first and last half of lines, as sets."""
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    rows = g.table("documents").select("doc_id", lines.alias("x")).withColumn("k", F.floor(F.size("x") / 2).cast("int"))
+    words = lambda part: F.array_distinct(F.filter(F.split(F.array_join(part, " "), " "), lambda w: w != ""))
+    rows = rows.select("doc_id", words(F.slice("x", F.lit(1), F.col("k"))).alias("a"), words(F.slice("x", F.col("k") + 1, F.size("x") - F.col("k"))).alias("b"))
+    both = F.size(F.array_union("a", "b"))
+    return rows.select("doc_id", F.round(F.when(both == 0, 1.0).otherwise(F.size(F.array_intersect("a", "b")) / both), 8).alias("jaccard"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodemark.functions import scalars
-from lodemark.operators import authorship, detectors, iterate, relational, signals, structure
+from lodemark.operators import authorship, bayes, detectors, iterate, relational, signals, structure
 from lodemark.plans import samples
 from lodemark.sources import formats
 from lodemark.sources.governance import quarantine, tenant
@@ -189,6 +189,33 @@ def test_function_bodies():
     assert authorship.measures("", "python") == ([], [], 0, 0, 0)
 
 
+def test_calls_metrics_and_clones():
+    code = "export function a() { b(); }\nfunction b() { c(); }\nfunction c() { }\nfunction d() { }\nclass X { }\n// note"
+    assert structure.reach_of(code) == [("a", True, 0), ("b", False, 1), ("c", False, 2), ("d", False, None)]
+    assert structure.reach_of("") == []
+    functions, classes, exports, complexity, nesting, comments, volume, loc = structure.metrics_of(code)
+    assert (functions, classes, exports, complexity, nesting, loc) == (4, 1, 1, 4, 1, 6) and comments == pytest.approx(1 / 6) and volume > 0
+    assert structure.metrics_of("") == (0, 0, 0, 1, 0, 0.0, 0, 0)
+    pairs = authorship.clone_pairs(samples.TYPESCRIPT, "typescript")
+    assert [(i, j) for i, j, _ in pairs] == [(0, 1), (0, 2), (1, 2)] and all(x >= 0.72 for *_, x in pairs)
+
+
+def test_function_scores(spark):
+    rows = authorship.function_scores(spark.createDataFrame([("a.ts", samples.TYPESCRIPT, "typescript"), ("b", None, None)], "path string, text string, lang string")).collect()
+    assert [(r["path"], r["number"]) for r in sorted(rows)] == [("a.ts", 0), ("a.ts", 1), ("a.ts", 2)] and all(0 < r["ai"] < 1 for r in rows)
+
+
+def test_naive_bayes(spark):
+    files = [("ai", "handleResponse(payload); await validateResult(config);"), ("plain", "x = 1"), ("human", "var self = this; callback(arguments)"), ("null", None)]
+    rows = {r["k"]: r for r in bayes.classify(spark.createDataFrame(files, "k string, text string"), "k").collect()}
+    assert rows["ai"]["probability"] > rows["plain"]["probability"] > rows["human"]["probability"]
+    assert rows["ai"]["blended"] == pytest.approx(0.6 * 0.5 + 0.4 * rows["ai"]["probability"])
+    # One new token in two of the human example's two, one of ours once in the machine's two.
+    moved = {r["token"]: r for r in bayes.updated(spark.createDataFrame([("zebra zebra", False), ("result other", True)], "text string, is_ai boolean")).collect()}
+    assert (moved["zebra"]["human"], moved["zebra"]["ai"]) == (pytest.approx(-4.95), pytest.approx(-5.0))
+    assert (moved["result"]["human"], moved["result"]["ai"]) == (pytest.approx(-3.5), pytest.approx(-2.0 + 0.025))
+
+
 def test_named_taint(spark):
     files = {
         "far.js": "const u = req.query.u\n" + "\n" * 20 + "got(u)\ngot(v)",
