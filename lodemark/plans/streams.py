@@ -47,3 +47,30 @@ def stream_alerts_once(g):
     """One alert for each user and kind, however many events of it there are."""
     rows = events.alerts_once(log(g)).select("user_id", "event_type")
     return events.run_once(rows).distinct()
+
+
+@query("stream_presence", "WITH b AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 5 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, new DESC ROWS UNBOUNDED PRECEDING) AS k FROM b) SELECT user_id, min(ts) AS start, count(*) AS events FROM s GROUP BY user_id, k")
+def stream_presence(g):
+    """Who is there: sessions that end after five hours without an event, as a batch over the same operator."""
+    return plain(events.presence(g.table("events").withColumn("ts", F.col("ts").cast("timestamp"))))
+
+
+@query("stream_fixed_windows", """WITH l AS (SELECT user_id, list(epoch_us(ts) / 1e6 ORDER BY ts, event_id) AS t FROM events GROUP BY 1)
+    SELECT user_id, (z.w)::BIGINT AS windows, (z.l)::BIGINT AS limited FROM (SELECT user_id, list_reduce(list_prepend({'s': -1e18::DOUBLE, 'c': 0, 'w': 0, 'l': 0}, list_transform(t, lambda x: {'s': x::DOUBLE, 'c': 0, 'w': 0, 'l': 0})), lambda a, x: {'s': CASE WHEN x.s >= a.s + 3600 THEN x.s ELSE a.s END, 'c': CASE WHEN x.s >= a.s + 3600 THEN 1 ELSE a.c + 1 END, 'w': CASE WHEN x.s >= a.s + 3600 THEN a.w + 1 ELSE a.w END, 'l': CASE WHEN x.s < a.s + 3600 AND a.c + 1 > 5 THEN a.l + 1 ELSE a.l END}) AS z FROM l)""")
+def stream_fixed_windows(g):
+    """Rate windows that start at a user's first call."""
+    return events.run_once(events.fixed_windows(log(g)), "update", ["user_id"], "windows")
+
+
+@query("webhook_deliveries", """SELECT o_orderkey AS pr_number, ['github', 'gitlab', 'bitbucket'][(o_orderkey % 3)::INT + 1] AS host, 'team/r' || o_custkey % 9 AS repo, sha256(o_orderkey::VARCHAR)[1:8] AS head_sha, ['opened', 'update', 'open'][(o_orderkey % 3)::INT + 1] AS action FROM orders WHERE o_orderkey % 7 <> 0""")
+def webhook_deliveries(g):
+    """Deliveries of three hosts, each in its own shape; closed ones and odd ones are not read."""
+    k, sha = F.col("o_orderkey").cast("string"), F.substring(F.sha2(F.col("o_orderkey").cast("string"), 256), 1, 8)
+    repo, odd = F.concat(F.lit("team/r"), F.col("o_custkey") % 9), F.col("o_orderkey") % 7 == 0
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    one = text('{"action":"', F.when(odd, "closed").otherwise("opened"), '","pull_request":{"number":', k, ',"head":{"sha":"', sha, '"}},"repository":{"full_name":"', repo, '"}}')
+    two = text('{"object_kind":"', F.when(odd, "push").otherwise("merge_request"), '","object_attributes":{"iid":', k, ',"action":"update","last_commit":{"id":"', sha, '"}},"project":{"path_with_namespace":"', repo, '"}}')
+    three = text('{"pullrequest":{"id":', k, ',"state":"', F.when(odd, "MERGED").otherwise("OPEN"), '","source":{"commit":{"hash":"', sha, '"}}},"repository":{"full_name":"', repo, '"}}')
+    which = F.col("o_orderkey") % 3
+    good, _ = events.webhooks(g.table("orders").select(F.when(which == 0, one).when(which == 1, two).otherwise(three).alias("payload")))
+    return good.select(F.col("pr_number").cast("long").alias("pr_number"), "host", "repo", "head_sha", "action")

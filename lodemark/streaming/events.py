@@ -27,12 +27,30 @@ def source(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+#: What three hosts send of a pull request, as one schema; each fills its own part.
+DELIVERY = (
+    "action string, pull_request struct<number:int,head:struct<sha:string>>, repository struct<full_name:string>, "
+    "object_kind string, object_attributes struct<iid:int,action:string,last_commit:struct<id:string>>, project struct<path_with_namespace:string>, "
+    "pullrequest struct<id:int,state:string,source:struct<commit:struct<hash:string>>>"
+)
+
+
 def webhooks(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Parsed pull-request deliveries, and those that cannot be read, from a ``payload`` column."""
-    schema = "action string, repo string, pr_number int, head_sha string"
-    rows = raw.withColumn("body", F.from_json("payload", schema))
-    good = F.col("body").isNotNull() & F.col("body.repo").isNotNull() & F.col("body.pr_number").isNotNull()
-    return rows.where(good).select("body.*"), rows.where(~good).select("payload")
+    """(host, repo, pr_number, head_sha, action) of pull-request deliveries of three hosts, and those that cannot be read.
+
+    ``raw`` has a ``payload``; only deliveries that open or change a pull request are good.
+    """
+    rows = raw.withColumn("body", F.from_json("payload", DELIVERY))
+    b = lambda name: F.col(f"body.{name}")
+    merge = b("object_kind") == "merge_request"
+    host = F.when(b("pull_request.number").isNotNull(), "github").when(merge & b("object_attributes.iid").isNotNull(), "gitlab").when(b("pullrequest.id").isNotNull(), "bitbucket")
+    repo = F.coalesce(b("repository.full_name"), b("project.path_with_namespace"))
+    number = F.coalesce(b("pull_request.number"), b("object_attributes.iid"), b("pullrequest.id"))
+    sha = F.coalesce(b("pull_request.head.sha"), b("object_attributes.last_commit.id"), b("pullrequest.source.commit.hash"))
+    action = F.coalesce(b("action"), b("object_attributes.action"), F.lower(b("pullrequest.state")))
+    rows = rows.select("*", host.alias("host"), repo.alias("repo"), number.alias("pr_number"), sha.alias("head_sha"), action.alias("action"))
+    good = F.col("host").isNotNull() & F.col("repo").isNotNull() & F.col("action").isin("opened", "synchronize", "reopened", "open", "update", "reopen")
+    return rows.where(good).select("host", "repo", "pr_number", "head_sha", "action"), rows.where(~F.coalesce(good, F.lit(False))).select("payload")
 
 
 def of_user(rows: DataFrame, user_id: int) -> DataFrame:
@@ -89,6 +107,25 @@ def baselines(rows: DataFrame) -> DataFrame:
     return rows.groupBy("user_id").applyInPandasWithState(fold, "user_id long, n long, ema double", "n long, ema double", "update", GroupStateTimeout.NoTimeout)
 
 
+def fixed_windows(rows: DataFrame, width: float = 3600.0, limit: int = 5) -> DataFrame:
+    """(user_id, windows, limited): windows of ``width`` seconds that start at a user's first call after the last one's end.
+
+    The state is the open window's start and count; calls beyond ``limit`` in a window are limited.
+    """
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        start, count, windows, limited = state.get if state.exists else (-1e18, 0, 0, 0)
+        for t in np.sort(np.concatenate([b["ts"].astype("int64").to_numpy() / 1e9 if str(b["ts"].dtype).startswith("datetime64[ns") else b["ts"].to_numpy().astype("datetime64[us]").astype("int64") / 1e6 for b in batches])):
+            if t >= start + width:
+                start, count, windows = float(t), 0, windows + 1
+            count += 1
+            limited += count > limit
+        state.update((start, count, windows, limited))
+        yield pd.DataFrame({"user_id": [key[0]], "windows": [windows], "limited": [limited]})
+
+    return rows.groupBy("user_id").applyInPandasWithState(fold, "user_id long, windows long, limited long", "start double, count long, windows long, limited long", "update", GroupStateTimeout.NoTimeout)
+
+
 def run_once(rows: DataFrame, mode: str = "append", keys: list[str] | None = None, newest: str | None = None) -> DataFrame:
     """All that the stream gives for what its source holds now, as a batch table.
 

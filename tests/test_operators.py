@@ -251,9 +251,15 @@ def test_formats(spark):
 
 
 def test_webhooks(spark):
-    raw = spark.createDataFrame([('{"action":"opened","repo":"r","pr_number":3}',), ("{",), ('{"repo":"r"}',)], "payload string")
-    good, bad = events.webhooks(raw)
-    assert (good.count(), bad.count()) == (1, 2)
+    texts = [
+        '{"action":"opened","pull_request":{"number":3,"head":{"sha":"a"}},"repository":{"full_name":"r"}}',
+        '{"object_kind":"merge_request","object_attributes":{"iid":4,"action":"open"},"project":{"path_with_namespace":"g/r"}}',
+        '{"pullrequest":{"id":5,"state":"OPEN"},"repository":{"full_name":"b/r"}}',
+        "{", '{"repository":{"full_name":"r"}}', '{"action":"closed","pull_request":{"number":3},"repository":{"full_name":"r"}}', None,
+    ]
+    good, bad = events.webhooks(spark.createDataFrame([(t,) for t in texts], "payload string"))
+    assert rows(good.select("host", "pr_number")) == [("bitbucket", 5), ("github", 3), ("gitlab", 4)]
+    assert bad.count() == 4
 
 
 def test_taint_and_calls():
