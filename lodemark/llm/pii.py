@@ -181,6 +181,13 @@ class SemiMarkov:
                 j = i
         return out[::-1]
 
+    def forward(self, ends: list[list]) -> list[float]:
+        """For each token end, the log of the sum over all labelled segmentations up to it."""
+        out = [0.0]
+        for j in range(1, len(ends)):
+            out.append(_add([out[j - 1], *(out[i] + self.score(kind, f) for i, _, _, f in ends[j] for kind in ADDED)]))
+        return out
+
     def learn(self, examples: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = 6, rate: float = 0.3, shrink: float = 2e-3):
         """Ascend the conditional log-likelihood, by forward and backward sums over segments."""
         ready = []
@@ -193,9 +200,7 @@ class SemiMarkov:
             for ends, chosen in ready:
                 n = len(ends) - 1
                 local = [[(i, k, f, self.score(k, f)) for i, _, _, f in own for k in ADDED] for own in ends]
-                front, rear = [0.0] * (n + 1), [0.0] * (n + 1)
-                for j in range(1, n + 1):
-                    front[j] = _add([front[j - 1], *(front[i] + s for i, _, _, s in local[j])])
+                front, rear = self.forward(ends), [0.0] * (n + 1)
                 sums: list[list[float]] = [[] for _ in range(n + 1)]
                 for j in range(n, -1, -1):
                     rear[j] = _add([*sums[j], *([rear[j + 1]] if j < n else [])]) if j < n or sums[j] else 0.0

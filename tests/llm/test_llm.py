@@ -175,6 +175,28 @@ def test_near_duplicates_of_odd_rows(spark, odd):
     assert minhash_dedup.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_null_ids_link_near_duplicates(spark):
+    near = " ".join(prose(8, 300).split()[:-1] + ["other"])
+    rows = [(1, prose(8, 300)), (None, prose(8, 300)), (2, near), (None, prose(9, 300)), (None, prose(9, 300) + " more"), (7, prose(10, 50))]
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((str(r["doc_id"]), str(r["class_id"]), r["kept"]) for r in got.collect()) == sorted([("1", "1", True), ("None", "1", False), ("2", "1", False), ("None", "None", True), ("None", "None", True), ("7", "7", True)])
+
+
+def test_families_near_the_threshold_lose_no_link(spark):
+    """Texts of several templates, edited so that many pairs lie just above the threshold."""
+    rng, texts = random.Random(21), {}
+    for family in range(12):
+        base = prose(500 + family, 160).split()
+        for k in range(12):
+            words = list(base)
+            for _ in range(rng.randint(2, 5)):
+                words[rng.randrange(len(words))] = f"w{rng.randint(0, 10**6)}"
+            texts[family * 100 + k] = " ".join(words)
+    expected = brute_classes(texts)
+    got = {r["doc_id"]: r["class_id"] for r in minhash_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == expected
+
+
 def test_signatures_estimate_weighted_jaccard():
     hashes = minhash_dedup._Hashes()
     rng = random.Random(1)
@@ -234,6 +256,13 @@ def test_embeddings_equal_brute_force(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_null_and_repeated_vector_ids(spark):
+    rows = [(1, [1.0, 0.0, 0.1]), (None, [1.0, 0.0, 0.11]), (None, [0.0, 1.0, 0.0]), (None, [0.0, 1.0, 0.01]), (5, [0.0, 0.0, 1.0]), (5, [0.0, 0.01, 1.0]), (5, [0.0, 0.0, 1.0]), (None, None)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("node", F.lit("clash"))).collect()
+    expected = [("1", 1, "1", True), ("None", 1, "1", False), ("None", 1, "None", True), ("None", 1, "None", True), *[("5", 2, "5", True)] * 3, ("None", 0, "None", True)]
+    assert sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"]), r["kept"]) for r in got) == sorted(expected)
+
+
 def test_large_buckets_are_dealt_as_block_pairs(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 8)
     rng = np.random.default_rng(4)
@@ -249,49 +278,84 @@ def test_encoding_equals_the_library(spark, odd):
     import sentencepiece
 
     library = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
-    docs = data(spark, "documents").select("doc_id", "text").unionByName(odd.where("doc_id < 9 and not (doc_id = 6)").select((F.col("doc_id") + 10**6).alias("doc_id"), "text").distinct())
-    docs = docs.unionByName(spark.createDataFrame([(2 * 10**6, "née 漢字 😀\t  two  spaces  "), (2 * 10**6 + 1, "long" * 300)], "doc_id long, text string"))
+    more = ["née 漢字 😀\t  two  spaces  ", "long" * 300, "x" * 3000, " lead", "  ", "ab" * 5000, "aB3xQkthe" * 400, "\n\n a\nb \n"]
+    docs = data(spark, "documents").unionByName(odd.select("doc_id", "text", "lang", "source", "n_chars"))
+    docs = docs.unionByName(make(spark, more, 2 * 10**6).select(*docs.columns)).withColumn("ids", F.lit("clash")).withColumn("key", F.lit(1))
     model = sentencepiece_codec.read_model()
     coded = sentencepiece_codec.encode(docs, model)
-    got = {r["doc_id"]: r for r in coded.collect()}
-    for r in docs.collect():
-        assert got[r["doc_id"]]["ids"] == library.encode(r["text"] or "")
-        assert got[r["doc_id"]]["round_trip"] and got[r["doc_id"]]["n_pieces"] == len(got[r["doc_id"]]["ids"])
-    back = {r["doc_id"]: r["decoded"] for r in sentencepiece_codec.decode(coded, model).collect()}
-    assert back == {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    expected = sorted((str(r["doc_id"]), library.encode(r["text"] or "")) for r in docs.collect())
+    got = coded.collect()
+    assert sorted((str(r["doc_id"]), list(r["ids"])) for r in got) == expected
+    assert all(r["n_pieces"] == len(r["ids"]) for r in got)
+    # A text that holds the mark of a space does not come back; all others do.
+    marked = [r["doc_id"] for r in docs.collect() if "▁" in (r["text"] or "")]
+    assert sorted(r["doc_id"] for r in got if not r["round_trip"]) == sorted(marked) == [6]
+    texts = sorted(r["text"] or "" for r in docs.where("doc_id <> 6 or doc_id is null").collect())
+    assert sorted(r["decoded"] for r in sentencepiece_codec.decode(coded.where("doc_id <> 6 or doc_id is null"), model).collect()) == texts
     assert sentencepiece_codec.encode(docs.limit(0), model).count() == 0
 
 
-def test_rare_chunks_and_long_chunks_agree(spark, monkeypatch):
-    model = sentencepiece_codec.read_model()
-    docs = data(spark, "documents").limit(60)
-    full = sorted((r["doc_id"], r["ids"]) for r in sentencepiece_codec.encode(docs, model).collect())
-    monkeypatch.setattr(sentencepiece_codec, "FREQUENT", 10)
-    assert sorted((r["doc_id"], r["ids"]) for r in sentencepiece_codec.encode(docs, model).collect()) == full
-    monkeypatch.setattr(sentencepiece_codec, "LONG", 8)
-    assert sorted((r["doc_id"], r["ids"]) for r in sentencepiece_codec.encode(docs, model).collect()) == full
+@pytest.mark.parametrize("block, window", [(200, 64), (1 << 25, 7)])
+def test_small_blocks_and_windows_agree(spark, monkeypatch, block, window):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
+    docs = data(spark, "documents").where("doc_id % 5 = 0").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, "ab" * 100 + " " + "thequickbrown" * 9)], "doc_id long, text string"))
+    for name, value in (("BLOCK", block), ("SLICE", 300), ("WINDOW", window), ("STEP", 50)):
+        monkeypatch.setattr(sentencepiece_codec, name, value)
+    got = {r["doc_id"]: list(r["ids"]) for r in sentencepiece_codec.encode(docs, sentencepiece_codec.read_model()).collect()}
+    assert got == {r["doc_id"]: library.encode(r["text"]) for r in docs.collect()}
+
 
+def paths(spark, model, chunks):
+    words = spark.createDataFrame([(c, i) for i, c in enumerate(chunks)], "chunk string, i long").withColumn("name", F.col("chunk"))
+    return {r["chunk"]: list(r["ids"]) for r in sentencepiece_codec.encoded_chunks(words, model, ["name"]).collect()}
 
-def test_viterbi_equals_brute_force(spark):
+
+@pytest.mark.parametrize("window", [64, 3])
+def test_viterbi_equals_brute_force(spark, monkeypatch, window):
+    monkeypatch.setattr(sentencepiece_codec, "WINDOW", window)
     scores = {"▁": -2.0, "a": -3.0, "b": -3.5, "ab": -4.0, "▁a": -3.0, "ba": -5.0, "aba": -6.9, "▁ab": -5.5}
     model = sentencepiece_codec.Model([("<unk>", 0.0), *scores.items()], [2] + [1] * len(scores), sentencepiece_codec.UNIGRAM)
-    ids = model.ids
 
     def best(chunk):
-        options = [(0.0, [])]
+        options = [0.0]
         for e in range(1, len(chunk) + 1):
-            own = [(options[s][0] + scores[chunk[s:e]], [*options[s][1], ids[chunk[s:e]]]) for s in range(e) if chunk[s:e] in scores]
-            if chunk[e - 1] not in scores:
-                own.append((options[e - 1][0] + min(scores.values()) - 10, [*options[e - 1][1], 0]))
-            options.append(max(own, key=lambda o: o[0]))
+            own = [options[s] + scores[chunk[s:e]] for s in range(e) if chunk[s:e] in scores]
+            options.append(max(own or [options[e - 1] + min(scores.values()) - 10]))
         return options[-1]
 
-    chunks = ["▁abab", "▁aba", "▁bb", "ab", "▁acb", "▁" + "ab" * 5]
-    got = {r["chunk"]: list(r["ids"]) for r in sentencepiece_codec.encoded_chunks(spark.createDataFrame([(c, 1) for c in chunks], "chunk string, n_used long"), model).collect()}
+    chunks = ["▁abab", "▁aba", "▁bb", "ab", "▁acb", "▁" + "ab" * 5, "▁" + "abba" * 7, "c"]
     price = lambda path: sum(scores.get(model.pieces[k][0], min(scores.values()) - 10) for k in path)
-    for c in chunks:
-        assert price(got[c]) == pytest.approx(best(c)[0])
-        assert price(sentencepiece_codec.merge_long(c, model)) == pytest.approx(best(c)[0])
+    for chunk, path in paths(spark, model, chunks).items():
+        assert price(path) == pytest.approx(best(chunk))
+        assert "".join(model.pieces[k][0] if k else "?" for k in path) == re.sub("c", "?", chunk)
+
+
+def test_paths_of_merge_models_equal_merging(spark):
+    """Random vocabularies: the one path that is left is what merging the best neighbours gives."""
+    rng = random.Random(11)
+    for _ in range(4):
+        pieces = ["a", "b", "c"]
+        while len(pieces) < 24:
+            new = rng.choice(pieces) + rng.choice(pieces)
+            if len(new) <= 7 and new not in pieces:
+                pieces.append(new)
+        rank = {p: n for n, p in enumerate(pieces)}
+
+        def merged(word, rank=rank):
+            parts = list(word)
+            while True:
+                options = [(rank[x + y], i) for i, (x, y) in enumerate(zip(parts, parts[1:], strict=False)) if x + y in rank]
+                if not options:
+                    return parts
+                _, i = min(options)
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+        model = sentencepiece_codec.Model([("<unk>", 0.0), *((p, -float(n)) for p, n in rank.items())], [2] + [1] * len(pieces), sentencepiece_codec.BPE)
+        words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 25))) for _ in range(150)})
+        got = paths(spark, model, words)
+        assert {w: [model.pieces[k][0] for k in got[w]] for w in words} == {w: merged(w) for w in words}
 
 
 # Classifiers
@@ -419,6 +483,38 @@ def test_added_spans_are_precise_and_never_cross_base_ones():
     assert pii.find("plain words of 2024 with 17 parts", model) == ([], [])
 
 
+def every_segmentation(ends, at, chosen=()):
+    """All ways to label segments up to token ``at``: each as a tuple of (start, end, kind, features)."""
+    if at == 0:
+        yield chosen
+        return
+    yield from every_segmentation(ends, at - 1, chosen)
+    for i, a, b, f in ends[at]:
+        for kind in pii.ADDED:
+            yield from every_segmentation(ends, i, (*chosen, (a, b, kind, f)))
+
+
+def test_field_equals_exhaustive_segmentation():
+    model = pii.trained()
+    for text in ["call (826) 555-4081 now", "a 123-45-6789 b", "x [at] y . com", "DE44 5001 0517 5407 3249 31", "1 22 333", "joe(at)web.de 17"]:
+        tokens = [m.span() for m in re.finditer(r"\S+", text)]
+        ends = model.segments(text, tokens, lambda a, b: False)
+        total = lambda own: sum(model.score(k, f) for _, _, k, f in own)
+        every = list(every_segmentation(ends, len(tokens)))
+        found = model.best(ends)
+        best = max(every, key=total)
+        assert sum(model.score(k, f) for a, k, b in found for own in ends for _, x, y, f in own if (x, y) == (a, b)) == pytest.approx(total(best))
+        assert model.forward(ends)[-1] == pytest.approx(np.log(sum(np.exp(total(o)) for o in every)))
+
+
+def test_long_segments_are_found_whole():
+    model = pii.trained()
+    text = "write joe [at] alpha . beta . gamma . com"
+    assert [(k, text[s:e]) for s, k, e in pii.added_spans(text, [], model)] == [("mail", "joe [at] alpha . beta . gamma . com")]
+    long = "write " + "j" * 150 + " [at] " + "d" * 150 + " . com"
+    assert [(k, long[s:e]) for s, k, e in pii.added_spans(long, [], model)] == [("mail", long[6:])]
+
+
 def test_personal_data_of_odd_rows(spark, odd):
     text = "me@x.org 😀 8.8.8.8 call (826) 555-4081"
     docs = odd.unionByName(make(spark, [text], 500))
@@ -463,6 +559,14 @@ def test_licences(spark, odd, tmp_path):
     assert len(license_scan.known()) < 300
 
 
+def test_own_table_of_long_notices(spark):
+    notice = "our own notice " + "word " * 80
+    digest = hashlib.sha256(license_scan._one_line(license_scan.canonical_text(notice)).encode()).hexdigest()
+    docs = make(spark, [f"intro\n{notice}\nend", notice, "none"])
+    got = {r["doc_id"]: r for r in license_scan.scan(docs, [(digest, "Own-1", True), (digest, "Own-1", True)]).collect()}
+    assert [(got[i]["notices"], got[i]["license_id"]) for i in range(3)] == [("Own-1", None), ("Own-1", "Own-1"), ("", None)]
+
+
 def test_long_licences_and_standard_headers(spark, tmp_path):
     folder = Path("/usr/share/common-licenses")
     files = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0"}
@@ -498,6 +602,12 @@ def test_mixing_keeps_to_budgets(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_ignores_weights_of_zero(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SOURCE_WEIGHTS", {"src0": 0.0, "src1": -2.0})
+    docs = make(spark, [prose(i, 30) for i in range(60)])
+    assert {r["source"] for r in mixing.mix(docs).collect()} == {"src2"}
+
+
 # Registry and pipeline
 
 
@@ -528,3 +638,26 @@ def test_pipeline(spark):
     library = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
     assert out and all(r["ids"] == library.encode(texts[r["doc_id"]]) for r in out)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "minhash_dedup", "pii", "source_mixing", "sentencepiece"]
+
+
+@pytest.fixture
+def odd_folder(spark, odd, labels, tmp_path):
+    odd.unionByName(make(spark, [prose(i, 80) for i in range(30)], 1000)).coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    return str(tmp_path)
+
+
+def test_pipeline_of_odd_and_empty_tables(spark, odd_folder, tmp_path_factory):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{odd_folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, odd_folder)
+        assert after.columns == docs.columns, name
+        assert stage(spark, docs.limit(0), odd_folder).count() == 0, name
+    out = corpus_pipeline.run(spark, odd_folder).collect()
+    assert out and all(r["n_pieces"] == len(r["ids"]) for r in out)
+    empty = str(tmp_path_factory.mktemp("empty"))
+    docs.limit(0).write.parquet(f"{empty}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{empty}/labels.parquet")
+    assert corpus_pipeline.run(spark, empty).count() == 0
