@@ -214,7 +214,11 @@ def lattice(words: DataFrame, model: Model, keys: list[str]) -> DataFrame:
     # Joined by digest, then compared: two join keys would be looked up by their bytes, five times as slow.
     rows = rows.join(F.broadcast(pieces), F.xxhash64("sub") == F.col("digest"), "left").where("n = 1 or sub = piece")
     rows = rows.withColumn("known", F.expr("coalesce(sub = piece, false)"))
-    edge = f"struct(s + n as e, s, if(known, id, -1) as id, if(known, score, {worst!r}D) as score, if(known, m, 0) as m, if(known and cut > 0, s + cut, -1) as c, if(known, gone, array()) as gone)"
+    edge = "s + n as e, s, if(known, id, -1) as id, "
+    if model.algorithm == BPE:
+        edge = f"struct({edge}if(known, m, 0) as m, if(known and cut > 0, s + cut, -1) as c, if(known, gone, array()) as gone)"
+    else:
+        edge = f"struct({edge}if(known, score, {worst!r}D) as score)"
     rows = rows.groupBy("row", *keys).agg(F.sort_array(F.collect_list(F.expr(edge))).alias("edges"), F.first("rider", ignorenulls=True).alias("rider"))
     return rows.select(*keys, "rider.*", "edges")
 
@@ -232,27 +236,29 @@ def fold_best_path(edges: DataFrame, model: Model) -> DataFrame:
     reach = model.longest
     split = "transform(starts, (a, j) -> slice(edges, a + 1, if(j + 1 < size(starts), starts[j + 1], size(edges)) - a))"
     rows = edges.withColumn("starts", F.expr(f"if(edges[size(edges) - 1].e <= {WINDOW}, array(0), filter(transform(edges, (x, i) -> if(i = 0 or (edges[i - 1].e - 1) div {WINDOW} <> (x.e - 1) div {WINDOW}, i, -1)), i -> i >= 0))"))
-    rows = rows.withColumn("parts", F.expr(f"if(size(starts) = 1, array(edges), {split})"))
-    entry = "struct({0}.score + x.score as score, x.s as s, x.id as id, x.e as e, x.gone as gone)"
     if model.algorithm == BPE:
         # Exactly one edge to each position is allowed.
-        b, c = "z.best[x.s - z.best[0].e]", "z.best[x.c - z.best[0].e]"
+        entry, first, kind = "struct(x.s as s, x.id as id, x.e as e, x.gone as gone)", "struct(0 as s, -1 as id, 0 as e, cast(array() as array<int>) as gone)", "struct<c:int,e:int,m:int>"
+        c = "z.best[x.c - z.best[0].e]"
         allowed = "not exists(z.live, y -> y.c = x.s and y.e <= x.e and (y.e = x.e or x.gone[y.e - x.s - 1] >= y.m))"
         met = f"x.c > 0 and x.s >= {c}.s and (x.s = {c}.s or {c}.gone[x.s - {c}.s - 1] > x.m)"
-        best = f"if(z.best[size(z.best) - 1].e < x.e and {allowed}, array_append(z.best, {entry.format(b)}), z.best)"
+        best = f"if(z.best[size(z.best) - 1].e < x.e and {allowed}, array_append(z.best, {entry}), z.best)"
         live = f"if({met}, array_append(z.live, struct(x.c as c, x.e as e, x.m as m)), z.live)"
         turn = f"struct({best} as best, {live} as live)"
     else:
-        b, last = "z.best[x.s - z.best[0].e]", "z.best[size(z.best) - 1]"
-        new = entry.format(b)
+        first, kind = "struct(0D as score, 0 as s, -1 as id, 0 as e)", "struct<c:int,e:int,m:int>"
+        last = "z.best[size(z.best) - 1]"
+        new = "struct(z.best[x.s - z.best[0].e].score + x.score as score, x.s as s, x.id as id, x.e as e)"
         turn = f"struct(case when {last}.e < x.e then array_append(z.best, {new}) when {new} > {last} then array_append(slice(z.best, 1, size(z.best) - 1), {new}) else z.best end as best, z.live as live)"
+    none, step = "cast(array() as array<struct<s:int,e:int,id:int>>)", "struct(x.s as s, x.e as e, x.id as id)"
+    begin = f"array({first}) as best, cast(array() as array<{kind}>) as live"
+    inner = f"aggregate(reverse({{0}}), struct({{1}} as at, {none} as path), (y, x) -> if(x.e = y.at and x.e > 0, struct(x.s as at, array_append(y.path, {step}) as path), y))"
+    whole = f"transform(array(aggregate(edges, struct({begin}), (z, x) -> {turn}, z -> z.best)), b -> reverse({inner.format('b', 'length(chunk)')}.path))[0]"
     window = f"aggregate(own, struct(z.best as best, z.live as live), (z, x) -> {turn})"
-    kept = f"struct(slice(a.best, -least(size(a.best), {reach}), {reach}) as best, filter(a.live, y -> y.e > a.best[size(a.best) - 1].e - {reach}) as live, array_append(z.log, transform(filter(a.best, x -> x.e > z.best[size(z.best) - 1].e), x -> struct(x.s as s, x.e as e, x.id as id))) as log)"
-    start = "struct(array(struct(0D as score, 0 as s, -1 as id, 0 as e, cast(array() as array<int>) as gone)) as best, cast(array() as array<struct<c:int,e:int,m:int>>) as live, cast(array() as array<array<struct<s:int,e:int,id:int>>>) as log)"
-    rows = rows.withColumn("log", F.expr(f"aggregate(parts, {start}, (z, own) -> transform(array({window}), a -> {kept})[0], z -> z.log)"))
-    inner = "aggregate(reverse(v), struct(z.at as at, cast(array() as array<struct<s:int,e:int,id:int>>) as path), (y, x) -> if(x.e = y.at, struct(x.s as at, array_append(y.path, x) as path), y))"
-    back = f"aggregate(reverse(log), struct(length(chunk) as at, cast(array() as array<array<struct<s:int,e:int,id:int>>>) as path), (z, v) -> transform(array({inner}), y -> struct(y.at as at, array_append(z.path, y.path) as path))[0], z -> reverse(flatten(z.path)))"
-    return rows.withColumn("path", F.expr(back)).drop("edges", "starts", "parts", "log")
+    kept = f"struct(slice(a.best, -least(size(a.best), {reach}), {reach}) as best, filter(a.live, y -> y.e > a.best[size(a.best) - 1].e - {reach}) as live, array_append(z.log, transform(filter(a.best, x -> x.e > z.best[size(z.best) - 1].e), x -> {step})) as log)"
+    log = f"aggregate({split}, struct({begin}, cast(array() as array<array<struct<s:int,e:int,id:int>>>) as log), (z, own) -> transform(array({window}), a -> {kept})[0], z -> z.log)"
+    back = f"aggregate(reverse({log}), struct(length(chunk) as at, cast(array() as array<array<struct<s:int,e:int,id:int>>>) as path), (z, v) -> transform(array({inner.format('v', 'z.at')}), y -> struct(y.at as at, array_append(z.path, y.path) as path))[0], z -> reverse(flatten(z.path)))"
+    return rows.withColumn("path", F.expr(f"if(size(starts) = 1, {whole}, {back})")).drop("edges", "starts")
 
 
 def encoded_chunks(words: DataFrame, model: Model, keys: list[str]) -> DataFrame:
@@ -330,14 +336,28 @@ def _blocks(batches):
 
 
 def _chunked(words: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """How many chunks each token has, the numbers of all of them (from 1), and the distinct chunks."""
-    sizes, found = [np.zeros(0, np.uint32)], [pa.array([], pa.string())]
-    for at in range(0, len(words), 20_000):
-        own = [chunks(t, model) for t in words.slice(at, 20_000).to_pylist()]
-        sizes.append(np.fromiter(map(len, own), np.uint32, len(own)))
-        found.append(pa.array(list(chain.from_iterable(own)), pa.string()))
+    """How many chunks each token has, the numbers of all of them (from 1), and the distinct chunks.
+
+    Words, and words with one sign after them, are most of all tokens and are cut together.
+    """
+    plain = pc.utf8_is_alpha(words).to_numpy(zero_copy_only=False)
+    signed = np.zeros(len(words), bool)
+    if model.cuts:
+        signed = pc.match_substring_regex(words, f"^[{LETTER}]+[{SIGN}]$").to_numpy(zero_copy_only=False) & ~plain
+    other = ~plain & ~signed
+    marked = lambda x: pc.binary_replace_slice(x, 0, 0, SPACE)
+    stems = words.filter(pa.array(signed))
+    rest = [chunks(t, model) for t in words.filter(pa.array(other)).to_pylist()]
+    found = [marked(words.filter(pa.array(plain))), marked(pc.utf8_slice_codeunits(stems, 0, -1)), pc.utf8_slice_codeunits(stems, -1), pa.array(list(chain.from_iterable(rest)), pa.string())]
     coded = pa.concat_arrays(found).dictionary_encode()
-    return np.concatenate(sizes), coded.indices.to_numpy().astype(np.uint32) + np.uint32(1), coded.dictionary
+    numbers = np.split(coded.indices.to_numpy().astype(np.uint32) + np.uint32(1), np.cumsum([len(x) for x in found])[:-1])
+    sizes = np.where(signed, 2, 1)
+    sizes[other] = np.fromiter(map(len, rest), np.int64, len(rest))
+    starts = np.cumsum(sizes) - sizes
+    flat = np.zeros(int(sizes.sum()), np.uint32)
+    flat[starts[plain]], flat[starts[signed]], flat[starts[signed] + 1] = numbers[:3]
+    flat[_runs(starts[other], sizes[other])] = numbers[3]
+    return sizes.astype(np.uint32), flat, coded.dictionary
 
 
 def _packed(block: _Block, model: Model) -> bytes:
