@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.checkpoint import checkpointed, shared_folder  # noqa: F401
+
 #: Rows of a table that may be broadcast; the callers count before they use it.
 BROADCAST_ROWS = 100_000
 
@@ -35,24 +38,33 @@ def md5_long(*parts):
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a copy in the shared checkpoint folder.
+_SCRATCH: list[list[str]] = []
 
-    The folder is the one that the cluster names in ``spark.checkpoint.dir``; a folder of
-    our own is set only where the session has none, as in tests.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or "/tmp/checkpoints")
-    return df.checkpoint(eager=True)
+
+@contextmanager
+def scratch():
+    """A list that fills with the paths of all tables written to the shared folder inside."""
+    own: list[str] = []
+    _SCRATCH.append(own)
+    try:
+        yield own
+    finally:
+        _SCRATCH.remove(own)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, for a table that a later step reads again."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    for own in _SCRATCH:
+        own.append(path)
+    return path
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables of the shared folder that nothing reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

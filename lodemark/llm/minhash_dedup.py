@@ -171,8 +171,11 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     Only the texts of pairs are shuffled: that of b once for each pair, that of a once for each
     share of BLOCK of its pairs, so a centre of very many is not copied for each of them.
     """
-    shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("shares"))
-    dealt = checkpointed(pairs.join(shares, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("shares")).alias("share")))
+    # Only centres of many are in the table of shares, so no join brings a centre's pairs together.
+    shares = checkpointed(pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("shares")).where("shares > 1"))
+    shares = F.broadcast(shares) if shares.count() <= BROADCAST_ROWS else shares
+    dealt = pairs.join(shares, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("shares", F.lit(1))).alias("share"))
+    dealt = checkpointed(dealt)
     ends = dealt.select("a", "share", F.col("b").alias("node")).unionByName(dealt.select("a", "share", F.col("a").alias("node")).distinct())
     ends = F.broadcast(ends) if dealt.count() <= BROADCAST_ROWS else ends
     rows = texts.join(ends, "node").select("a", "share", (F.col("node") != F.col("a")).alias("other"), "node", "text")

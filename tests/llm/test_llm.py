@@ -655,7 +655,12 @@ def test_pipeline_of_odd_and_empty_tables(spark, odd_folder, tmp_path_factory):
         after = stage(spark, docs, odd_folder)
         assert after.columns == docs.columns, name
         assert stage(spark, docs.limit(0), odd_folder).count() == 0, name
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = {x.name for x in shared.iterdir()}
     out = corpus_pipeline.run(spark, odd_folder).collect()
+    # Of all tables written on the way only the last stage's input is left.
+    left = [x.name for x in shared.iterdir() if x.name not in before and (x / "_SUCCESS").exists()]
+    assert [x.rsplit("-", 1)[0] for x in left] == ["pipeline-source_mixing"]
     assert out and all(r["n_pieces"] == len(r["ids"]) for r in out)
     empty = str(tmp_path_factory.mktemp("empty"))
     docs.limit(0).write.parquet(f"{empty}/documents.parquet")
