@@ -443,6 +443,8 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
     do; if it does not, the second pass stops with an error.
     """
     small_batches(docs.sparkSession)
+    # Counts given by hand are not merged again: a partition of words grows to many times its size as a lattice.
+    spread = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * docs.rdd.getNumPartitions())
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.spark_partition_id().alias("partition"))
     told = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -459,14 +461,14 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
 
     words = rows.mapInArrow(out_chunks, "key long, chunk string")
     long_ = F.when(F.length("chunk") > WINDOW, F.col("chunk")).alias("long")
-    words = words.select(named(F.col("chunk")).alias("name"), F.shiftright("key", CHUNK_BITS + SHARED_BITS).alias("bucket"), long_, "key").repartition("name", "bucket")
+    words = words.select(named(F.col("chunk")).alias("name"), F.shiftright("key", CHUNK_BITS + SHARED_BITS).alias("bucket"), long_, "key").repartition(spread, "name", "bucket")
     words = words.groupBy("name", "bucket").agg(F.collect_list("key").alias("keys"), F.first("long", ignorenulls=True).alias("long"))
     coded = encoded_chunks(words.withColumn("chunk", F.coalesce("long", "name")).drop("long"), model, ["name", "bucket"])
     width = 2 if len(model.pieces) <= 1 << 16 else 4
     data = F.unhex(F.array_join(F.transform("ids", lambda x: F.lpad(F.hex(x), 2 * width, "0")), ""))
     # Texts go first, while no lattice fills the executors' memory beside the workers.
     back = rows.mapInArrow(out_texts, "key long, data binary").unionByName(coded.select(F.explode("keys").alias("key"), data.alias("data")))
-    back = back.repartition(F.shiftright("key", CHUNK_BITS)).sortWithinPartitions("key")
+    back = back.repartition(spread, F.shiftright("key", CHUNK_BITS)).sortWithinPartitions("key")
 
     def put_together(batches):
         payload, keys, ids, sizes = None, [], [], []
