@@ -487,3 +487,87 @@ def risk_summary(g):
     rows = current_violations(g).join(rows, ["scan_id", "file_path"])
     late = hours_between(F.col("at"), now()) / 24 - 30
     return rows.groupBy("org_id").agg(F.count("*").alias("open_risks"), F.count_if(late > 0).alias("overdue"), F.count_if(by(25, 16, 9, 4) >= 20).alias("critical"), F.round(F.avg(by(25, 16, 9, 4)), 6).alias("avg_inherent"), F.round(F.avg(by(15, 12, 6, 2)), 6).alias("avg_residual"))
+
+
+# Weights of a vector's parts; vectors of findings (attack complexity, privileges, interaction, scope changed, C, I, A).
+AC, PR, UI = {"L": 0.77, "H": 0.44}, {"N": 0.85, "L": 0.62}, {"N": 0.85, "R": 0.62}
+PROFILES = {
+    "sql-injection": ("L", "N", "N", True, 0.56, 0.56, 0.56), "xss": ("L", "N", "R", True, 0.56, 0.56, 0), "command-injection": ("L", "N", "N", True, 0.56, 0.56, 0.56), "path-traversal": ("L", "N", "N", False, 0.56, 0.22, 0), "eval-exec": ("L", "N", "N", True, 0.56, 0.56, 0.56), "ssrf": ("L", "N", "N", True, 0.56, 0.22, 0),
+    "hardcoded-secret": ("L", "N", "N", True, 0.56, 0.56, 0.22), "insecure-deserialization": ("H", "N", "N", True, 0.56, 0.56, 0.56), "weak-crypto": ("H", "N", "N", False, 0.22, 0.22, 0), "prototype-pollution": ("L", "N", "N", True, 0.56, 0.56, 0.22), "open-redirect": ("L", "N", "R", False, 0.22, 0.22, 0), "insecure-randomness": ("H", "N", "N", False, 0.22, 0.22, 0),
+    "weak-cors": ("L", "N", "R", True, 0.56, 0.56, 0), "backdoor-detection": ("L", "N", "N", True, 0.56, 0.56, 0.56), "pii-in-logs": ("L", "L", "N", False, 0.56, 0, 0), "timing-attack": ("H", "N", "N", False, 0.22, 0, 0), "cookie-insecurity": ("L", "N", "R", False, 0.22, 0.22, 0), "header-injection": ("L", "N", "N", False, 0.22, 0.22, 0),
+    "nosql-injection": ("L", "N", "N", True, 0.56, 0.56, 0), "ldap-injection": ("L", "N", "N", True, 0.56, 0.22, 0), "jwt-bypass": ("L", "N", "N", True, 0.56, 0.56, 0), "ssti": ("L", "N", "N", True, 0.56, 0.56, 0.56), "xxe": ("L", "N", "N", False, 0.56, 0.22, 0.22), "mass-assignment": ("L", "L", "N", False, 0.22, 0.56, 0), "redos": ("L", "N", "N", False, 0, 0, 0.56),
+}
+DEFAULT_PROFILE = ("L", "N", "N", False, 0.22, 0.22, 0)
+REACHED = {"unreachable": 0.30, "reachable": 0.65, "tainted-path": 1.00, "entry-point": 1.15}
+GUARDED = r"\b(?:authenticate|authorize|verifyToken|checkAuth|requireAuth|isAuthenticated|passport\.authenticate|jwt\.verify|session\.user)\b"
+LIMITED = r"\b(?:rateLimit|throttle|rateLimiter|rate_limit|checkRateLimit)\b"
+
+
+def base_score(profile) -> float:
+    """The base score of a vector from the network, to one place."""
+    complexity, privileges, interaction, changed, *loss = profile
+    kept = 1.0
+    for x in loss:
+        kept *= 1 - x
+    lost = 1 - kept
+    impact = 7.52 * (lost - 0.029) - 3.25 * (lost - 0.02) ** 15 if changed else 6.42 * lost
+    if impact <= 0:
+        return 0.0
+    ease = 8.22 * 0.85 * AC[complexity] * PR[privileges] * UI[interaction]
+    return int(min(10.0, (1.08 if changed else 1.0) * (impact + ease)) * 10 + 0.5) / 10
+
+
+_CONTEXTS = ["", "app.use(requireAuth)", "rateLimit({})\nauthorize(u)", "x = 1"]
+_BASES = ", ".join(f"('{k}', {base_score(v)}::DOUBLE)" for k, v in PROFILES.items())
+_AT = ", ".join(f"({k}, {n}, '{i}')" for k, (_, found) in enumerate(SNIPPETS) for n, i in found)
+
+
+def guarded_files(g):
+    """Snippets after a line or two of context, at the end of whole texts; ``above`` counts the lines before the snippet."""
+    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("doc_id") % len(values) + 1).cast("int"))
+    head = F.concat_ws("\n", F.coalesce("text", F.lit("")), F.rpad(F.lit(""), 30, "\n"), pick(_CONTEXTS))
+    rows = g.table("documents").select("doc_id", F.concat(F.lit("src/f"), "doc_id", F.lit(".ts")).alias("path"), head.alias("head"), pick(["\n".join(x) for x, _ in SNIPPETS]).alias("code"))
+    return rows.select("doc_id", "path", F.concat_ws("\n", "head", "code").alias("content"), F.size(F.split("head", "\n")).alias("above"))
+
+
+@query("exploitability_context", f"""WITH b(id, base) AS (VALUES {_BASES}), e(k, n, id) AS (VALUES {_AT}), f AS (SELECT doc_id, id, n, coalesce(base, {base_score(DEFAULT_PROFILE)}) AS base, doc_id % {len(_CONTEXTS)} AS c FROM documents JOIN e ON doc_id % {len(SNIPPETS)} = k LEFT JOIN b USING (id)),
+    s AS (SELECT *, base * 0.65::DOUBLE * CASE WHEN c = 1 OR c = 2 THEN 0.7::DOUBLE ELSE 1 END * CASE WHEN c = 2 AND n <= 18 THEN 0.85::DOUBLE ELSE 1 END AS adj FROM f)
+    SELECT 'src/f' || doc_id || '.ts' AS path, id, base, floor(least(10, adj) * 10 + 0.5) / 10 AS score, CASE WHEN adj >= 8 THEN 'immediate' WHEN adj >= 6 THEN 'sprint' WHEN adj >= 4 THEN 'backlog' ELSE 'monitor' END AS urgency FROM s""")
+def exploitability_context(g, reach: str = "reachable"):
+    """Base score of each finding, less where the twenty lines before or five after guard or limit it.
+
+    Lines with a guard are few; they meet the findings by path and then by distance.
+    """
+    files = guarded_files(g)
+    found = detectors.findings(files).join(files.select("path", "above"), "path").where("line > above").select("path", "id", "line")
+    marks = detectors.lines_of(files).select("path", F.col("line").alias("at"), F.col("text").rlike(GUARDED).alias("auth"), F.col("text").rlike(LIMITED).alias("slow")).where("auth or slow")
+    near = found.join(marks, "path", "left").groupBy("path", "id", "line")
+    inside = (F.col("at") > F.col("line") - 20) & (F.col("at") <= F.col("line") + 5)
+    flag = lambda c: F.coalesce(F.bool_or(inside & F.col(c)), F.lit(False))
+    rows = near.agg(flag("auth").alias("auth"), flag("slow").alias("slow"))
+    bases = g.spark.createDataFrame([(k, base_score(v)) for k, v in PROFILES.items()], "id string, base double")
+    rows = rows.join(F.broadcast(bases), "id", "left").withColumn("base", F.coalesce("base", F.lit(base_score(DEFAULT_PROFILE))))
+    adj = F.col("base") * REACHED[reach] * F.when(F.col("auth"), 0.70).otherwise(1.0) * F.when(F.col("slow"), 0.85).otherwise(1.0)
+    urgency = F.when(adj >= 8, "immediate").when(adj >= 6, "sprint").when(adj >= 4, "backlog").otherwise("monitor")
+    return rows.select("path", "id", "base", (F.floor(F.least(F.lit(10.0), adj) * 10 + 0.5) / 10).alias("score"), urgency.alias("urgency"))
+
+
+@query("settings_merged", "SELECT c_custkey, map_extract_value(MAP {'theme': 'light', 'rows': '10', 'beta': 'off'}, k) AS base, k AS name, CASE k WHEN 'rows' THEN (c_custkey % 50)::VARCHAR WHEN 'beta' THEN CASE WHEN c_custkey % 3 = 0 THEN 'on' ELSE 'off' END ELSE 'light' END AS value FROM customer, (SELECT unnest(['theme', 'rows', 'beta']) AS k)")
+def settings_merged(g):
+    """Defaults merged with each customer's settings; the later map wins."""
+    base = {"theme": "light", "rows": "10", "beta": "off"}
+    first = F.create_map(*[F.lit(x) for kv in base.items() for x in kv])
+    own = F.when(F.col("c_custkey") % 3 == 0, F.create_map(F.lit("rows"), (F.col("c_custkey") % 50).cast("string"), F.lit("beta"), F.lit("on"))).otherwise(F.create_map(F.lit("rows"), (F.col("c_custkey") % 50).cast("string")))
+    merged = F.map_concat(F.map_filter(first, lambda k, _: ~F.array_contains(F.map_keys("own"), k)), F.col("own"))
+    rows = g.table("customer").select("c_custkey", own.alias("own")).select("c_custkey", F.explode(merged).alias("name", "value"))
+    return rows.select("c_custkey", first[F.col("name")].alias("base"), "name", "value")
+
+
+@query("single_row", "SELECT r_regionkey, r_name FROM region WHERE r_regionkey = 3")
+def single_row(g):
+    """The one row that a key names; more than one is an error, none an empty table."""
+    from ..operators import relational
+
+    rows = g.table("region").where("r_regionkey = 3").select("r_regionkey", "r_name")
+    found = relational.single(rows)
+    return g.spark.createDataFrame([found] if found else [], rows.schema)
