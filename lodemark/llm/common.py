@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +32,19 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
+def give_back() -> None:
+    """Return a worker's free memory to the system; an idle worker would keep it while others need it."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only one C library has this call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def md5_long(*parts):
     """60 bits of the md5 of the parts' text, joined by ``:``; null parts are empty."""
     text = F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("")) if not isinstance(p, str) else F.lit(p) for p in parts])

@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import give_back, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of text in a block, about; a longer text is a block of its own.
@@ -328,11 +328,10 @@ def _blocks(batches):
             if size >= BLOCK:
                 yield block()
                 n, size, held = n + 1, 0, []
-                pa.default_memory_pool().release_unused()
             at = end
     if held:
-        yield block()
-    pa.default_memory_pool().release_unused()
+        last, held = block(), []
+        yield last
 
 
 def _chunked(words: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -454,10 +453,14 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
             for at in range(0, len(distinct), 20_000):
                 some = distinct.slice(at, 20_000)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(at + 1, at + 1 + len(some)) + block.key), some], ["key", "chunk"])
+        block = distinct = some = None
+        give_back()
 
     def out_texts(batches):
         for block in _blocks(batches):
             yield pa.RecordBatch.from_arrays([pa.array([block.key], pa.int64()), pa.array([_packed(block, told.value)], pa.binary())], ["key", "data"])
+        block = None
+        give_back()
 
     words = rows.mapInArrow(out_chunks, "key long, chunk string")
     long_ = F.when(F.length("chunk") > WINDOW, F.col("chunk")).alias("long")
@@ -495,5 +498,7 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
                 at = end + 1
         if payload is not None:
             yield from finish()
+        payload, keys, ids, sizes = None, [], [], []
+        give_back()
 
     return back.mapInArrow(put_together, "doc_id bigint, n_pieces bigint, ids array<int>, round_trip boolean")
