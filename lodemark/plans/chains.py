@@ -251,3 +251,71 @@ def exploitability(g):
     rows = g.table("part").join(F.broadcast(base), "p_type", "left")
     score = F.coalesce("base", F.lit(6.5)) * factor * F.when(F.col("p_size") % 2 == 0, 0.7).otherwise(1.0) * F.when(F.col("p_size") % 3 == 0, 0.85).otherwise(1.0)
     return rows.select("p_partkey", F.round(F.least(F.lit(10.0), score), 8).alias("score"))
+
+
+# Subjects that name a machine as the author.
+MACHINE_SUBJECTS = [
+    r"(?i)^(?:generated|auto-generated|ai-generated|copilot|gpt|claude|gemini)\b", r"(?i)^(?:feat|fix|chore|refactor)\(.+\):\s+(?:implement|add|update|create)\s+\w+\s+(?:with|using|via)\s+(?:AI|ChatGPT|Copilot|Claude|Gemini)", r"(?i)bulk\s+(?:generate|generated|update|commit)", r"(?i)^\[AI\]",
+    r"(?i)\b(?:ChatGPT|Copilot|Claude|Gemini|Cursor)\b.*\bgenerat", r"(?i)\b(?:windsurf|devin|aider|cline|codeium|cursor\s*agent|replit\s*agent)\b", r"(?i)co-authored-by:\s*(?:claude|cursor|copilot|chatgpt|gpt|gemini|devin|windsurf|aider|cline|codeium)", r"(?i)generated with\s*\[?(?:claude code|cursor|copilot|windsurf|devin|aider|cline)\]?", "🤖",
+]
+_SUBJECTS = ["fix typo", "[AI] add tests", "Bulk update of files", "feat(core): add cache using Copilot", "merge"]
+_MACHINE = " OR ".join("regexp_matches(subject, '" + p.replace("'", "''") + "')" for p in MACHINE_SUBJECTS)
+_LOG = f"""log AS (SELECT event_id, user_id % 3 AS repo, 'n' || user_id % 2 AS name, 'u' || user_id || '@d' || (user_id + event_id % 2) % 4 AS email, CAST(floor(epoch(ts)) AS BIGINT) AS s, CASE WHEN event_id % 101 = 0 THEN 'B' WHEN value > 40 THEN 'G' ELSE 'N' END AS gpg, event_type = 'signup' AS is_merge, [{', '.join(repr(x) for x in _SUBJECTS)}][(event_id % 5)::INT + 1] AS subject FROM events),
+    authors AS (SELECT repo, email, min_by(name, (s, event_id)) AS name, count(*) AS n, (max(s) - min(s)) / nullif(count(*) - 1, 0)::DOUBLE AS gap, max(w) AS burst FROM (SELECT *, count(*) OVER (PARTITION BY repo, email ORDER BY s RANGE BETWEEN CURRENT ROW AND 3599 FOLLOWING) AS w FROM log) GROUP BY 1, 2),
+    rates AS (SELECT repo, count(*) FILTER (NOT is_merge) AS own, count(*) FILTER (gpg = 'G') / nullif(count(*) FILTER (NOT is_merge), 0)::DOUBLE AS signed, count(*) FILTER (NOT is_merge AND gpg = 'G') / nullif(count(*) FILTER (NOT is_merge), 0)::DOUBLE AS rate FROM log GROUP BY 1),
+    risks AS (SELECT repo, 'low-signature-rate' AS kind, CASE WHEN signed < 0.2 THEN 'high' ELSE 'medium' END AS severity, 1 AS n FROM rates WHERE signed < 0.5 AND own > 5
+      UNION ALL SELECT repo, 'bad-gpg-signature', 'high', count(*) FROM log WHERE gpg = 'B' GROUP BY 1 UNION ALL SELECT repo, 'burst-commit-pattern', CASE WHEN burst > 15 THEN 'high' ELSE 'medium' END, count(*) FROM authors WHERE burst > 8 GROUP BY 1, 3
+      UNION ALL SELECT repo, 'machine-commit-velocity', 'medium', count(*) FROM authors WHERE n > 5 AND gap > 0 AND gap < 120 GROUP BY 1 UNION ALL SELECT repo, 'unknown-contributor', 'low', count(*) FROM authors WHERE n = 1 AND burst > 1 GROUP BY 1
+      UNION ALL SELECT repo, 'ai-generated-commit', 'low', count(*) FROM log WHERE {_MACHINE} GROUP BY 1 UNION ALL SELECT repo, 'email-domain-mismatch', 'low', count(*) FROM (SELECT repo, name FROM authors GROUP BY 1, 2 HAVING count(DISTINCT split_part(email, '@', 2)) > 2) GROUP BY 1)"""
+
+
+def provenance(log: DataFrame) -> DataFrame:
+    """(repo, kind, severity, n): the seven risks of a log of commits.
+
+    ``log`` has repo, name, email, s (seconds), gpg, is_merge, subject and event_id. All counts combine
+    before they are shuffled; only the burst window sorts an author's commits.
+    """
+    hour = Window.partitionBy("repo", "email").orderBy("s").rangeBetween(Window.currentRow, 3599)
+    authors = log.withColumn("w", F.count("*").over(hour)).groupBy("repo", "email").agg(
+        F.min_by("name", F.struct("s", "event_id")).alias("name"), F.count("*").alias("n"), ((F.max("s") - F.min("s")) / F.nullif(F.count("*") - 1, F.lit(0))).alias("gap"), F.max("w").alias("burst"),
+    )
+    machine = F.lit(False)
+    for p in MACHINE_SUBJECTS:
+        machine = machine | F.col("subject").rlike(p)
+    one = log.groupBy("repo").agg(F.count_if(~F.col("is_merge")).alias("own"), F.count_if(F.col("gpg") == "G").alias("good"), F.count_if(F.col("gpg") == "B").alias("bad"), F.count_if(machine).alias("machine"))
+    two = authors.groupBy("repo").agg(
+        F.count_if((F.col("burst") > 8) & (F.col("burst") <= 15)).alias("some"), F.count_if(F.col("burst") > 15).alias("many"), F.count_if((F.col("n") > 5) & (F.col("gap") > 0) & (F.col("gap") < 120)).alias("fast"), F.count_if((F.col("n") == 1) & (F.col("burst") > 1)).alias("new"),
+    )
+    names = authors.groupBy("repo", "name").agg(F.count_distinct(F.split("email", "@")[1]).alias("domains")).groupBy("repo").agg(F.count_if(F.col("domains") > 2).alias("mixed"))
+    signed = F.col("good") / F.nullif(F.col("own"), F.lit(0))
+    risk = lambda kind, severity, n: F.struct(F.lit(kind).alias("kind"), severity.alias("severity"), n.cast("long").alias("n"))
+    low, medium, high = F.lit("low"), F.lit("medium"), F.lit("high")
+    every = F.array(
+        risk("low-signature-rate", F.when(signed < 0.2, "high").otherwise("medium"), F.coalesce(((signed < 0.5) & (F.col("own") > 5)).cast("int"), F.lit(0))), risk("bad-gpg-signature", high, F.col("bad")), risk("burst-commit-pattern", medium, F.col("some")),
+        risk("burst-commit-pattern", high, F.col("many")), risk("machine-commit-velocity", medium, F.col("fast")), risk("unknown-contributor", low, F.col("new")), risk("ai-generated-commit", low, F.col("machine")), risk("email-domain-mismatch", low, F.col("mixed")),
+    )
+    return one.join(two, "repo").join(names, "repo").select("repo", F.inline(every)).where("n > 0")
+
+
+def commit_log(g) -> DataFrame:
+    """The event log as commits of three repositories."""
+    k, u = F.col("event_id"), F.col("user_id")
+    subject = F.element_at(F.array(*[F.lit(s) for s in _SUBJECTS]), (k % 5 + 1).cast("int"))
+    gpg = F.when(k % 101 == 0, "B").when(F.col("value") > 40, "G").otherwise("N")
+    return g.table("events").select("event_id", (u % 3).alias("repo"), F.concat(F.lit("n"), u % 2).alias("name"), F.concat(F.lit("u"), u, F.lit("@d"), (u + k % 2) % 4).alias("email"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("s"), gpg.alias("gpg"), (F.col("event_type") == "signup").alias("is_merge"), subject.alias("subject"))
+
+
+@query("provenance_risks", f"WITH {_LOG} SELECT repo, kind, severity, n::BIGINT AS n FROM risks")
+def provenance_risks(g):
+    return provenance(commit_log(g))
+
+
+@query("provenance_summary", f"WITH {_LOG}, p AS (SELECT repo, sum(n * CASE severity WHEN 'high' THEN 0.20 WHEN 'medium' THEN 0.08 ELSE 0.02 END)::DOUBLE AS p FROM risks GROUP BY 1) SELECT repo, round(rate, 8) AS signed_rate, round(least(1, greatest(0, 1 - rate) * 0.30 + least(0.70, coalesce(p, 0))), 8) AS score FROM rates LEFT JOIN p USING (repo)")
+def provenance_summary(g):
+    """Share of signed commits, and the score: 0.30 for unsigned ones and up to 0.70 for risks by severity."""
+    log = commit_log(g)
+    weight = F.when(F.col("severity") == "high", 0.20).when(F.col("severity") == "medium", 0.08).otherwise(0.02)
+    penalty = provenance(log).groupBy("repo").agg(F.sum(F.col("n") * weight).alias("p"))
+    rates = log.where("not is_merge").groupBy("repo").agg((F.count_if(F.col("gpg") == "G") / F.count("*")).alias("rate"))
+    score = F.greatest(F.lit(0.0), 1 - F.col("rate")) * 0.30 + F.least(F.lit(0.70), F.coalesce("p", F.lit(0.0)))
+    return rates.join(penalty, "repo", "left").select("repo", F.round("rate", 8).alias("signed_rate"), F.round(F.least(F.lit(1.0), score), 8).alias("score"))

@@ -76,12 +76,14 @@ class Governance:
     """The tables of one directory; nothing is read before an action."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir, self.settled = spark, sf_dir, False
 
     def settle(self) -> Governance:
         """Write the files of all scans once, for a query that reads them many times."""
-        self.scan_files = checkpointed(self.scan_files)
-        self.file_rows = self.scan_files
+        if not self.settled:
+            self.scan_files = checkpointed(self.scan_files)
+            self.file_rows = self.scan_files
+            self.settled = True
         return self
 
     def table(self, name: str) -> DataFrame:
