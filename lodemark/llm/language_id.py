@@ -7,7 +7,8 @@ descent on at most SAMPLE rows of the training folds; every whole text is scored
 
 Defined results: ``und`` with score 0 if the text is null or has no letter, or if nothing
 could be learned. A language outside FAMILIES is a family of its own. Equal votes and
-margins go to the alphabetically first language. Repeated rows get equal results.
+margins go to the alphabetically first language. Repeated rows get equal results. Of training
+rows that share an id the first by language, then by content, counts.
 """
 
 from __future__ import annotations
@@ -105,7 +106,7 @@ def fit(docs: DataFrame, bound: int = SAMPLE):
                 if (v := vector(text or "")) is not None:
                     yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([lang]), pa.array([v.astype(np.float32).tobytes()], pa.binary())], ["doc_id", "lang", "v"])
 
-    got = rows.mapInArrow(read, "doc_id bigint, lang string, v binary").toPandas().sort_values(["doc_id", "lang"], kind="stable").drop_duplicates("doc_id")
+    got = rows.mapInArrow(read, "doc_id bigint, lang string, v binary").toPandas().sort_values(["doc_id", "lang", "v"], kind="stable").drop_duplicates("doc_id")
     if not len(got):
         return {}, {}, {}
     return train(np.stack([np.frombuffer(v, np.float32) for v in got["v"]]).astype(float), list(got["lang"]))

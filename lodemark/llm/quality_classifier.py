@@ -98,8 +98,9 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(sets, pa.list_(pa.int32()))], ["doc_id", "label", "k"])
 
     got = rows.mapInArrow(read, "doc_id bigint, label int, k array<int>").toPandas()
-    got["size"] = got["k"].map(len)
-    got = got.sort_values(["doc_id", "size"], kind="stable").drop_duplicates("doc_id")
+    # Of rows that share an id the one of fewest indicators counts, then the first by their numbers.
+    got["size"], got["bytes"] = got["k"].map(len), got["k"].map(lambda k: np.asarray(k, ">i4").tobytes())
+    got = got.sort_values(["doc_id", "size", "bytes"], kind="stable").drop_duplicates("doc_id")
     return train([np.asarray(k, np.int32) for k in got["k"]], got["label"].to_numpy())
 
 

@@ -379,6 +379,17 @@ def test_quality_of_odd_rows_and_without_labels(spark, odd, labels):
     assert quality_classifier.classify(odd.limit(0), labels).count() == 0
 
 
+def test_repeated_ids_give_one_model_in_any_order(spark):
+    rows = [(i, prose(i, 30 + i % 3), "en" if i % 2 else "de") for i in range(40)] + [(i, prose(90 + i, 30 + i % 3), "en" if i % 2 else "de") for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    found = []
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, lang string")
+        scores = sorted((r["doc_id"], r["score"]) for r in quality_classifier.classify(docs, labels).collect())
+        found.append((scores, sorted((r["doc_id"], r["lang_pred"], r["score"]) for r in language_id.identify(docs).collect())))
+    assert found[0] == found[1]
+
+
 def test_linear_model_separates():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(200, 5))
@@ -388,6 +399,21 @@ def test_linear_model_separates():
     assert (np.sign(linear.scores(rows, w)) == y).mean() > 0.97
 
 
+def test_linear_model_is_the_least_of_its_objective():
+    """The dual solver's weights against plain descent on the primal objective."""
+    rng = np.random.default_rng(5)
+    x = np.hstack([rng.normal(size=(60, 4)), np.ones((60, 1))])
+    y, cost = np.where(x[:, 0] - x[:, 1] + rng.normal(size=60) * 0.5 > 0, 1.0, -1.0), rng.uniform(0.2, 2.0, 60)
+    price = lambda w: w @ w / 2 + (cost * np.maximum(0.0, 1 - y * (x @ w))).sum()
+    best, w = np.inf, np.zeros(5)
+    for step in range(1, 60_000):
+        on = y * (x @ w) < 1
+        w = w - (w - (cost[on] * y[on]) @ x[on]) / (step + 10)
+        best = min(best, price(w))
+    found = linear.fit([(np.arange(4), v[:4]) for v in x], y, 4, cost, epochs=400)
+    assert price(found) <= best * 1.002
+
+
 def test_languages_on_held_out_rows(spark, odd):
     got = language_id.identify(data(spark, "documents")).join(data(spark, "documents").select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in got if r["held_out"]]
