@@ -571,3 +571,62 @@ def single_row(g):
     rows = g.table("region").where("r_regionkey = 3").select("r_regionkey", "r_name")
     found = relational.single(rows)
     return g.spark.createDataFrame([found] if found else [], rows.schema)
+
+
+# What each role may do; rights that a role does not name are absent, not refused.
+RIGHTS = "can_attest_critical can_attest_high can_attest_medium can_resolve_violations can_manage_incidents can_view_secrets can_export_data can_manage_policies can_manage_team can_manage_integrations can_view_audit_log can_trigger_scans can_create_reports can_manage_billing".split()
+ROLE_RIGHTS = {
+    "platform_admin": {"all": True},
+    "admin": dict.fromkeys(RIGHTS, True),
+    "security_reviewer": {k: k not in ("can_export_data", "can_manage_policies", "can_manage_team") for k in RIGHTS if k not in ("can_manage_integrations", "can_manage_billing")},
+    "developer": {"can_attest_critical": False, "can_attest_high": False, "can_attest_medium": True, "can_resolve_violations": False, "can_view_secrets": False, "can_view_audit_log": False, "can_trigger_scans": True, "can_create_reports": False},
+    "auditor": {"can_attest_critical": False, "can_attest_high": False, "can_view_secrets": True, "can_export_data": True, "can_view_audit_log": True, "can_create_reports": True, "can_trigger_scans": False},
+}
+_ROLES = [*ROLE_RIGHTS, "guest"]
+
+
+def user_rights(role, custom):
+    """The rights of a role as a map, with a custom role's map over them (the later wins); unknown roles have none."""
+    base = F.create_map().cast("map<string,boolean>")
+    for name, rights in ROLE_RIGHTS.items():
+        base = F.when(role == name, F.create_map(*[F.lit(x) for kv in rights.items() for x in kv])).otherwise(base)
+    own = F.coalesce(custom, F.create_map().cast("map<string,boolean>"))
+    return F.map_concat(F.map_filter(base, lambda k, _: ~F.array_contains(F.map_keys(own), k)), own)
+
+
+def check_permission(rights, right):
+    """Whether a map of rights allows one: ``all`` allows every one, an absent one is refused."""
+    return F.coalesce(F.try_element_at(rights, F.lit("all")), F.lit(False)) | F.coalesce(F.try_element_at(rights, right), F.lit(False))
+
+
+_GRANTED = ", ".join(f"('{r}', '{k}', {str(v).lower()})" for r, rights in ROLE_RIGHTS.items() for k, v in rights.items())
+
+
+@query("permission_checks", f"""WITH g(role, name, ok) AS (VALUES {_GRANTED}), m AS (SELECT c_custkey, [{', '.join(repr(r) for r in _ROLES)}][(c_custkey % {len(_ROLES)})::INT + 1] AS role FROM customer), r AS (SELECT unnest([{', '.join(repr(k) for k in RIGHTS)}]) AS name)
+    SELECT c_custkey, r.name AS permission, coalesce(EXISTS (SELECT 1 FROM g WHERE g.role = m.role AND g.name = 'all'), false) OR CASE WHEN c_custkey % 9 = 0 AND r.name = 'can_export_data' THEN true WHEN c_custkey % 9 = 0 AND r.name = 'can_attest_medium' THEN false ELSE coalesce(g.ok, false) END AS allowed FROM m CROSS JOIN r LEFT JOIN g ON g.role = m.role AND g.name = r.name""")
+def permission_checks(g):
+    """Every right of every member, by role and custom role."""
+    k = F.col("c_custkey")
+    role = F.element_at(F.array(*[F.lit(r) for r in _ROLES]), (k % len(_ROLES) + 1).cast("int"))
+    custom = F.when(k % 9 == 0, F.create_map(F.lit("can_export_data"), F.lit(True), F.lit("can_attest_medium"), F.lit(False)))
+    rows = g.table("customer").select(k, user_rights(role, custom).alias("rights"))
+    rows = rows.select("c_custkey", "rights", F.explode(F.array(*[F.lit(r) for r in RIGHTS])).alias("permission"))
+    return rows.select("c_custkey", "permission", check_permission(F.col("rights"), F.col("permission")).alias("allowed"))
+
+
+@query("scan_increment", """WITH c AS (SELECT scan_id, repo, file_path, created_at, sha256(file_path || ':' || line_count || ':' || max_q::INT) AS h FROM scan_files), s AS (SELECT *, lag(h) OVER (PARTITION BY repo, file_path ORDER BY created_at, scan_id) AS before FROM c)
+    SELECT scan_id, count(*) AS files, count(*) FILTER (before = h) AS skipped FROM s GROUP BY 1""")
+def scan_increment(g):
+    """Files of each scan, and those an incremental scan skips as their last version has the same content."""
+    hashed = g.scan_files.select("scan_id", "repo", "file_path", "created_at", F.sha2(F.concat_ws(":", "file_path", "line_count", F.col("max_q").cast("int")), 256).alias("h"))
+    before = F.lag("h").over(Window.partitionBy("repo", "file_path").orderBy("created_at", "scan_id"))
+    return hashed.withColumn("before", before).groupBy("scan_id").agg(F.count("*").alias("files"), F.count_if(F.col("before") == F.col("h")).alias("skipped"))
+
+
+@query("framework_report", f"WITH {_FACTS} SELECT org_id, ['attestation', 'coverage', 'automation'][k] AS metric, round([att * 100, least(100, files / greatest(1, scans)::DOUBLE * 10), 100 * (1 - least(1, ai))][k], 6) AS value, CASE WHEN [att * 100, least(100, files / greatest(1, scans)::DOUBLE * 10), 100 * (1 - least(1, ai))][k] >= 80 THEN 'good' WHEN [att * 100, least(100, files / greatest(1, scans)::DOUBLE * 10), 100 * (1 - least(1, ai))][k] >= 50 THEN 'fair' ELSE 'poor' END AS bar FROM facts, (SELECT unnest([1, 2, 3]) AS k)")
+def framework_report(g):
+    """Rows of a framework's report: a metric, its value and the colour of its bar."""
+    rows = org_facts(g)
+    value = {"attestation": F.col("att") * 100, "coverage": F.least(F.lit(100.0), F.col("files") / F.greatest(F.lit(1), F.col("scans")) * 10), "automation": (1 - F.least(F.lit(1.0), F.col("ai"))) * 100}
+    rows = rows.select("org_id", F.inline(F.array(*[F.struct(F.lit(k).alias("metric"), v.cast("double").alias("v")) for k, v in value.items()])))
+    return rows.select("org_id", "metric", F.round("v", 6).alias("value"), F.when(F.col("v") >= 80, "good").when(F.col("v") >= 50, "fair").otherwise("poor").alias("bar"))
