@@ -183,3 +183,11 @@ def clone_pairs(g):
     from ..operators import structure
 
     return structure.clones(code_files(g))
+
+
+@query("ssa_paths")
+def ssa_paths(g):
+    """Single-assignment form of each function: blocks, joins, versions, and input that reaches a sink."""
+    from ..operators import ssa
+
+    return ssa.ssa_paths(code_files(g))

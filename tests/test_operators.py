@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodemark.functions import scalars
-from lodemark.operators import authorship, bayes, detectors, iterate, relational, signals, structure
+from lodemark.operators import authorship, bayes, detectors, iterate, relational, signals, ssa, structure
 from lodemark.plans import samples
 from lodemark.sources import formats
 from lodemark.sources.governance import quarantine, tenant
@@ -216,6 +216,23 @@ def test_naive_bayes(spark):
     assert (moved["result"]["human"], moved["result"]["ai"]) == (pytest.approx(-3.5), pytest.approx(-2.0 + 0.025))
 
 
+def test_single_assignment_form():
+    body = "function f(req) {\n  let a = req.query.q\n  if (a) {\n    a = clean(a)\n  } else {\n    a = 1\n  }\n  db.query(a)\n  a = 2\n  db.query(a)\n}"
+    after = ssa.flow(body.split("\n"))
+    assert {k: v for k, v in after.items() if v} == {0: {1}, 1: {2}, 2: {3, 4}, 3: {7}, 4: {5}, 5: {7}, 7: {8}, 8: {9}, 9: {10}}
+    near, frontier = ssa.dominators(after)
+    assert (near[7], near[3], near[5]) == (2, 2, 4) and frontier[3] == frontier[5] == {7} and not frontier[2]
+    form = ssa.converted(body)
+    # One join of a before the first sink; the second sink's a is clean again.
+    assert (form["joins"], form["versions"]) == (["a.1"], 5)
+    assert form["paths"] == [("query", 2, 8, "a.1")]
+    loop = "function g(req) {\n  let x = 1\n  while (x) {\n    db.query(x)\n    x = req.body.b\n  }\n}"
+    assert ssa.converted(loop)["paths"] == [("query", 5, 4, "x.1")]
+    branch = "function h(req) {\n  let x = 0\n  if (a) {\n    x = req.body.b\n    return x\n  } else if (b) {\n    x = 2\n  }\n  db.query(x)\n}"
+    assert ssa.converted(branch)["paths"] == []
+    assert ssa.converted("")["paths"] == []
+
+
 def test_named_taint(spark):
     files = {
         "far.js": "const u = req.query.u\n" + "\n" * 20 + "got(u)\ngot(v)",
