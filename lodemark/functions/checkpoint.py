@@ -7,6 +7,10 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders of local sessions that name none.
+_OWN: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``.
 
@@ -18,9 +22,10 @@ def shared_folder(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = f"file://{tempfile.mkdtemp(prefix='lodemark-')}"
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    own = spark.sparkContext.applicationId
+    if own not in _OWN:
+        _OWN[own] = f"file://{tempfile.mkdtemp(prefix='lodemark-')}"
+    return _OWN[own]
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
