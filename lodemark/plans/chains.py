@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 from ..operators import iterate
 from .registry import query
 
-_COMMITS = "(SELECT event_id, user_id, ts, value, CAST(epoch(ts) AS BIGINT) AS s FROM events)"
-
-
 def commits(g) -> DataFrame:
     return g.table("events").select("event_id", "user_id", "ts", "value", F.unix_seconds(F.col("ts").cast("timestamp")).alias("s"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import clamp, half_up, hours_between, ratio, upper_median
+from ..functions.scalars import clamp, half_up, hours_between, ratio
 from ..operators import relational as R
 from ..sources.governance import AS_OF
 from .governance import weekly

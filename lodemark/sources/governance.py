@@ -51,7 +51,6 @@ SQL = {
     "daily": """SELECT org_id, created_at::DATE AS day, count(*) FILTER (overall_risk = 'CRITICAL') AS critical_count, count(*) FILTER (overall_risk = 'HIGH') AS high_count,
         count(*) FILTER (overall_risk = 'MEDIUM') AS medium_count, count(*) FILTER (overall_risk IN ('LOW', 'UNKNOWN')) AS low_count, count(*) AS scan_count, avg(ai) AS avg_ai FROM scans GROUP BY 1, 2""",
 }
-_NEEDS = {k: [x for x in SQL if x != k and f" {x}" in v] for k, v in SQL.items()}
 
 
 def oracle(sql: str) -> str:
