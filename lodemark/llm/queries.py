@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, language_id, license_scan, minhash_dedup, mixing, pii, quality_classifier, quality_rules, sentencepiece_codec, token_count
+from . import conversation_repair, embedding_dedup, language_id, license_scan, minhash_dedup, mixing, pii, quality_classifier, quality_rules, sentencepiece_codec, token_count
 from .common import table
 
 
@@ -46,6 +46,10 @@ def op10_quality_rules(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_conversation_repair(spark, sf_dir):
+    return conversation_repair.report(table(spark, sf_dir, "conversations"))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
