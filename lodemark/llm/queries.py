@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import conversation_repair, embedding_dedup, language_id, license_scan, minhash_dedup, mixing, pii, quality_classifier, quality_rules, sentencepiece_codec, token_alignment, token_count
+from . import conversation_repair, embedding_dedup, language_id, license_scan, minhash_dedup, mixing, ngram_model, pii, quality_classifier, quality_rules, sentencepiece_codec, token_alignment, token_count
 from .common import table
 
 
@@ -46,6 +46,10 @@ def op10_quality_rules(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_lm_scoring(spark, sf_dir):
+    return ngram_model.perplexity(table(spark, sf_dir, "documents"))
+
+
 def op12_token_alignment(spark, sf_dir):
     return token_alignment.align(table(spark, sf_dir, "documents"))
 
