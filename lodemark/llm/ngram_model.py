@@ -42,7 +42,7 @@ ORDER = 2
 #: Rows whose crc32 of the id leaves HELD_OUT by FOLDS are held out.
 FOLDS, HELD_OUT = 10, 0
 #: Tokens of a block, and on average of a shard. Rows between blocks and shards are their product.
-BLOCK_TOKENS, SHARD_TOKENS = 4_000_000, 2_000_000
+BLOCK_TOKENS, SHARD_TOKENS = 2_500_000, 2_000_000
 #: Share of the tokens from which on a word is hot.
 HOT = 1 / 1000
 #: Bytes of a count of the whole corpus.
@@ -146,12 +146,12 @@ class Grams:
         #: Number of each place's word in ``vocabulary``, and the documents' first places.
         self.vocabulary, self.sizes = words, sizes + 1
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
-        self.word = np.empty(int(self.starts[-1]), np.int64)
+        self.word = np.empty(int(self.starts[-1]), np.int32)
         ends = np.zeros(len(self.word), bool)
         ends[self.starts[1:] - 1] = True
         self.word[ends], self.word[~ends] = len(words) - 1, tokens
-        doc = np.repeat(np.arange(len(sizes)), self.sizes)
-        places = np.arange(len(self.word)) + (doc + 1) * (order - 1)
+        del ends, tokens
+        places = np.arange(len(self.word)) + np.repeat((np.arange(len(sizes)) + 1) * (order - 1), self.sizes)
         line = np.full(len(self.word) + len(sizes) * (order - 1), START)
         line[places] = words[self.word]
         hashes = [None, line]
@@ -409,7 +409,6 @@ def _train_level(table: DataFrame, model: Model, level: int) -> None:
     else:
         model.hot_contexts |= {i: tuple(v) for (kind, i), v in sums.items() if kind == "context"}
     model.discounts[level] = discounts(seen)
-    release(table.sparkSession)
 
 
 def train(table: DataFrame, order: int = ORDER, shard_tokens: int = SHARD_TOKENS, hot: float = HOT) -> Model:
@@ -423,6 +422,7 @@ def train(table: DataFrame, order: int = ORDER, shard_tokens: int = SHARD_TOKENS
     model = Model(scratch_path(spark, "ngrams"), order, max(1, -(-total // shard_tokens)), np.unique(np.append(words, [START, END])))
     for level in range(1, order + 1):
         _train_level(table, model, level)
+        release(spark)  # the level's shuffle, now that nothing holds its plan
     return model
 
 
