@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import half_up, hours_between, risk_rank
 from ..operators import detectors
 from ..sources.governance import AS_OF
-from .chains import import_edges, match_cves
+from .chains import match_cves
 from .code import _FILES, _quote, code_files, snippet_files
 from .governance import repo_stats, top_files
 from .registry import query
@@ -341,15 +341,6 @@ def dependency_report(g):
     return rows.select("manifest", "critical", "high", "medium", F.round(F.greatest(F.lit(0.0), score), 8).alias("score"))
 
 
-@query("cross_file_taint", "WITH edges AS (SELECT p_partkey AS src, (p_partkey * 7 + 3) % (SELECT count(*) FROM part) AS dst FROM part WHERE p_size % 3 <> 0 UNION SELECT p_partkey, (p_partkey * 13 + 5) % (SELECT count(*) FROM part) FROM part WHERE p_size % 4 = 0), t AS (SELECT l_partkey AS module, max_by(l_linenumber, (l_discount, -l_orderkey, -l_linenumber)) AS sink_line, max(l_discount) * 10 AS confidence FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) SELECT src AS consumer, dst AS source, sink_line, round(confidence, 8) AS confidence FROM edges JOIN t ON dst = module WHERE round(confidence, 9) >= 0.5")
-def cross_file_taint(g):
-    """Importers of modules with a taint path of their own: the best path of each, at confidence 0.5 or more."""
-    order = F.struct("l_discount", -F.col("l_orderkey"), -F.col("l_linenumber"))
-    taints = g.table("lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_partkey").alias("dst")).agg(F.max_by("l_linenumber", order).alias("sink_line"), (F.max("l_discount") * 10).alias("confidence"))
-    rows = import_edges(g).join(taints.where(F.round("confidence", 9) >= 0.5), "dst")
-    return rows.select(F.col("src").alias("consumer"), F.col("dst").alias("source"), "sink_line", F.round("confidence", 8).alias("confidence"))
-
-
 _HMAC_KEY = b"export-key"
 _INNER, _OUTER = (bytes(b ^ p for b in _HMAC_KEY.ljust(64, b"\0")).hex() for p in (0x36, 0x5C))
 
@@ -517,41 +508,6 @@ def base_score(profile) -> float:
     return int(min(10.0, (1.08 if changed else 1.0) * (impact + ease)) * 10 + 0.5) / 10
 
 
-_CONTEXTS = ["", "app.use(requireAuth)", "rateLimit({})\nauthorize(u)", "x = 1"]
-_BASES = ", ".join(f"('{k}', {base_score(v)}::DOUBLE)" for k, v in PROFILES.items())
-_AT = ", ".join(f"({k}, {n}, '{i}')" for k, (_, found) in enumerate(SNIPPETS) for n, i in found)
-
-
-def guarded_files(g):
-    """Snippets after a line or two of context, at the end of whole texts; ``above`` counts the lines before the snippet."""
-    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("doc_id") % len(values) + 1).cast("int"))
-    head = F.concat_ws("\n", F.coalesce("text", F.lit("")), F.rpad(F.lit(""), 30, "\n"), pick(_CONTEXTS))
-    rows = g.table("documents").select("doc_id", F.concat(F.lit("src/f"), "doc_id", F.lit(".ts")).alias("path"), head.alias("head"), pick(["\n".join(x) for x, _ in SNIPPETS]).alias("code"))
-    return rows.select("doc_id", "path", F.concat_ws("\n", "head", "code").alias("content"), F.size(F.split("head", "\n")).alias("above"))
-
-
-@query("exploitability_context", f"""WITH b(id, base) AS (VALUES {_BASES}), e(k, n, id) AS (VALUES {_AT}), f AS (SELECT doc_id, id, n, coalesce(base, {base_score(DEFAULT_PROFILE)}) AS base, doc_id % {len(_CONTEXTS)} AS c FROM documents JOIN e ON doc_id % {len(SNIPPETS)} = k LEFT JOIN b USING (id)),
-    s AS (SELECT *, base * 0.65::DOUBLE * CASE WHEN c = 1 OR c = 2 THEN 0.7::DOUBLE ELSE 1 END * CASE WHEN c = 2 AND n <= 18 THEN 0.85::DOUBLE ELSE 1 END AS adj FROM f)
-    SELECT 'src/f' || doc_id || '.ts' AS path, id, base, floor(least(10, adj) * 10 + 0.5) / 10 AS score, CASE WHEN adj >= 8 THEN 'immediate' WHEN adj >= 6 THEN 'sprint' WHEN adj >= 4 THEN 'backlog' ELSE 'monitor' END AS urgency FROM s""")
-def exploitability_context(g, reach: str = "reachable"):
-    """Base score of each finding, less where the twenty lines before or five after guard or limit it.
-
-    Lines with a guard are few; they meet the findings by path and then by distance.
-    """
-    files = guarded_files(g)
-    found = detectors.findings(files).join(files.select("path", "above"), "path").where("line > above").select("path", "id", "line")
-    marks = detectors.lines_of(files).select("path", F.col("line").alias("at"), F.col("text").rlike(GUARDED).alias("auth"), F.col("text").rlike(LIMITED).alias("slow")).where("auth or slow")
-    near = found.join(marks, "path", "left").groupBy("path", "id", "line")
-    inside = (F.col("at") > F.col("line") - 20) & (F.col("at") <= F.col("line") + 5)
-    flag = lambda c: F.coalesce(F.bool_or(inside & F.col(c)), F.lit(False))
-    rows = near.agg(flag("auth").alias("auth"), flag("slow").alias("slow"))
-    bases = g.spark.createDataFrame([(k, base_score(v)) for k, v in PROFILES.items()], "id string, base double")
-    rows = rows.join(F.broadcast(bases), "id", "left").withColumn("base", F.coalesce("base", F.lit(base_score(DEFAULT_PROFILE))))
-    adj = F.col("base") * REACHED[reach] * F.when(F.col("auth"), 0.70).otherwise(1.0) * F.when(F.col("slow"), 0.85).otherwise(1.0)
-    urgency = F.when(adj >= 8, "immediate").when(adj >= 6, "sprint").when(adj >= 4, "backlog").otherwise("monitor")
-    return rows.select("path", "id", "base", (F.floor(F.least(F.lit(10.0), adj) * 10 + 0.5) / 10).alias("score"), urgency.alias("urgency"))
-
-
 @query("settings_merged", "SELECT c_custkey, map_extract_value(MAP {'theme': 'light', 'rows': '10', 'beta': 'off'}, k) AS base, k AS name, CASE k WHEN 'rows' THEN (c_custkey % 50)::VARCHAR WHEN 'beta' THEN CASE WHEN c_custkey % 3 = 0 THEN 'on' ELSE 'off' END ELSE 'light' END AS value FROM customer, (SELECT unnest(['theme', 'rows', 'beta']) AS k)")
 def settings_merged(g):
     """Defaults merged with each customer's settings; the later map wins."""

@@ -125,64 +125,6 @@ def baseline_ema(g):
     return events.mapInArrow(fold, "user_id long, n long, ema double").select("user_id", "n", F.round("ema", 6).alias("ema"))
 
 
-_EDGES = "edges AS (SELECT p_partkey AS src, (p_partkey * 7 + 3) % (SELECT count(*) FROM part) AS dst FROM part WHERE p_size % 3 <> 0 UNION SELECT p_partkey, (p_partkey * 13 + 5) % (SELECT count(*) FROM part) FROM part WHERE p_size % 4 = 0)"
-
-
-def import_edges(g) -> DataFrame:
-    """src imports dst: a graph over the parts, as modules."""
-    part = g.table("part")
-    n = part.agg(F.count("*").alias("n"))
-    rows = part.crossJoin(F.broadcast(n))
-    k = F.col("p_partkey")
-    one = rows.where("p_size % 3 <> 0").select(k.alias("src"), ((k * 7 + 3) % F.col("n")).alias("dst"))
-    two = rows.where("p_size % 4 = 0").select(k.alias("src"), ((k * 13 + 5) % F.col("n")).alias("dst"))
-    return one.unionByName(two).distinct()
-
-
-@query("import_reach", f"WITH RECURSIVE {_EDGES}, r(node) AS (SELECT p_partkey FROM part WHERE p_size = 50 UNION SELECT src FROM edges JOIN r ON dst = node) SELECT node FROM r")
-def import_reach(g):
-    """All modules that import a tainted one, directly or through others."""
-    back = iterate.checkpointed(import_edges(g).select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    seeds = g.table("part").where("p_size = 50").select(F.col("p_partkey").alias("node"))
-    return iterate.reach(back, seeds).select("node")
-
-
-@query("transitive_imports", f"WITH RECURSIVE {_EDGES}, r(node) AS (SELECT 1::BIGINT UNION SELECT dst FROM edges JOIN r ON src = node) SELECT node FROM r")
-def transitive_imports(g, start: int = 1):
-    edges = iterate.checkpointed(import_edges(g))
-    return iterate.reach(edges, g.spark.createDataFrame([(start,)], "node long")).select("node")
-
-
-@query("import_cycles", f"WITH RECURSIVE {_EDGES}, p(first, last, path, n) AS (SELECT src, dst, [src], 1 FROM edges WHERE dst >= src UNION ALL SELECT first, dst, list_append(path, last), n + 1 FROM p JOIN edges ON last = src WHERE last <> first AND dst >= first AND NOT list_contains(list_append(path, last), CASE WHEN dst = first THEN -1 ELSE dst END)) SELECT array_to_string(path, '>') AS cycle, n AS length FROM p WHERE last = first")
-def import_cycles(g):
-    """All import cycles, of any length."""
-    rows = iterate.cycles(iterate.checkpointed(import_edges(g)))
-    return rows.select(F.array_join(F.transform("cycle", lambda x: x.cast("string")), ">").alias("cycle"), "length")
-
-
-@query("dead_exports", f"WITH {_EDGES} SELECT p_partkey AS module FROM part WHERE p_partkey NOT IN (SELECT dst FROM edges)")
-def dead_exports(g):
-    """Modules whose export nothing imports."""
-    exports = g.table("part").select(F.col("p_partkey").alias("module"), F.lit("default").alias("name"))
-    return iterate.dead_exports(exports, import_edges(g).select(F.col("dst").alias("module"), F.lit("default").alias("name"))).select("module")
-
-
-@query("contamination", f"WITH RECURSIVE {_EDGES}, v(node, value, d) AS (SELECT p_partkey, CASE WHEN p_size = 50 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END, 0 FROM part UNION SELECT src, value * 0.7::DOUBLE, d + 1 FROM v JOIN edges ON dst = node WHERE value > 1e-9 AND NOT EXISTS (SELECT 1 FROM part p WHERE p.p_partkey = src AND p.p_size = 50)) SELECT node, round(max(value), 8) AS value FROM v GROUP BY 1")
-def contamination(g):
-    """Risk that modules take over from what they import, dependencies first."""
-    nodes = g.table("part").select(F.col("p_partkey").alias("node"), F.when(F.col("p_size") == 50, 1.0).otherwise(0.0).alias("own"))
-    rows = iterate.contamination(nodes, iterate.checkpointed(import_edges(g)))
-    return rows.select("node", F.round("value", 8).alias("value"))
-
-
-@query("import_resolution", "SELECT p_partkey AS importer, 'lib/m' || p_partkey % 50 || CASE p_partkey % 50 % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '.js' ELSE '/index.ts' END AS path FROM part")
-def import_resolution(g):
-    """Imports without extension resolved to the first file that exists."""
-    imports = g.table("part").select(F.col("p_partkey").alias("importer"), F.concat(F.lit("lib/m"), F.col("p_partkey") % 50).alias("target"))
-    k = F.col("k")
-    files = g.spark.range(50).toDF("k").select(F.explode(F.when(k % 3 == 0, F.array(F.lit(".ts"), F.lit(".js"))).when(k % 3 == 1, F.array(F.lit(".js"), F.lit("/index.ts"))).otherwise(F.array(F.lit("/index.ts")))).alias("e"), "k")
-    return iterate.resolve_imports(imports, files.select(F.concat(F.lit("lib/m"), "k", "e").alias("path"))).select("importer", "path")
-
 
 # Package, first vulnerable version (or none) and first fixed one, severity.
 CVE_RANGES = [("small ring", None, "12.2.3", "high"), ("red widget", "10.0.0", "20.0.0", "critical"), ("blue gear", None, "30.1.0", "medium"), ("steel bolt", "5.0.0", "45.2.2", "high"), ("large bolt", None, "25.0.0", "low")]
@@ -234,22 +176,6 @@ def typosquat(g):
     return typosquats(packages)
 
 
-# CVSS base by vulnerability class, and the factor of each reachability.
-CVSS = {"ECONOMY": 9.8, "STANDARD": 7.5, "PROMO": 8.1, "SMALL": 5.3}
-REACH = {"unreachable": 0.30, "conditional": 0.65, "reachable": 1.0, "entry_point": 1.15}
-
-
-@query("exploitability", "SELECT p_partkey, round(least(10.0, coalesce(base, 6.5)::DOUBLE * CASE p_partkey % 4 WHEN 0 THEN 0.30 WHEN 1 THEN 0.65 WHEN 2 THEN 1.0 ELSE 1.15 END::DOUBLE * CASE WHEN p_size % 2 = 0 THEN 0.7 ELSE 1 END::DOUBLE * CASE WHEN p_size % 3 = 0 THEN 0.85 ELSE 1 END::DOUBLE), 8) AS score FROM part LEFT JOIN (VALUES " + ", ".join(f"('{k}', {v})" for k, v in CVSS.items()) + ") c(kind, base) ON p_type = kind")
-def exploitability(g):
-    """CVSS base (6.5 where unknown) times reachability, authentication and rate limit."""
-    base = g.spark.createDataFrame(list(CVSS.items()), "p_type string, base double")
-    k = F.col("p_partkey") % 4
-    factor = F.when(k == 0, REACH["unreachable"]).when(k == 1, REACH["conditional"]).when(k == 2, REACH["reachable"]).otherwise(REACH["entry_point"])
-    rows = g.table("part").join(F.broadcast(base), "p_type", "left")
-    score = F.coalesce("base", F.lit(6.5)) * factor * F.when(F.col("p_size") % 2 == 0, 0.7).otherwise(1.0) * F.when(F.col("p_size") % 3 == 0, 0.85).otherwise(1.0)
-    return rows.select("p_partkey", F.round(F.least(F.lit(10.0), score), 8).alias("score"))
-
-
 # Subjects that name a machine as the author.
 MACHINE_SUBJECTS = [
     r"(?i)^(?:generated|auto-generated|ai-generated|copilot|gpt|claude|gemini)\b", r"(?i)^(?:feat|fix|chore|refactor)\(.+\):\s+(?:implement|add|update|create)\s+\w+\s+(?:with|using|via)\s+(?:AI|ChatGPT|Copilot|Claude|Gemini)", r"(?i)bulk\s+(?:generate|generated|update|commit)", r"(?i)^\[AI\]",

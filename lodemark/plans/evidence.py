@@ -125,15 +125,6 @@ def roi(g, hours: float = 1.5, rate: float = 85.0, cost: float = 2000.0):
     return g.attestations.groupBy("org_id").agg(F.round(saved, 4).alias("saved"), F.round(saved - cost, 4).alias("net"))
 
 
-@query("call_graph_reach")
-def call_graph_reach(g):
-    """Functions of each file: whether they are entry points, and their least depth from one (null: not reached)."""
-    from ..operators import structure
-    from .code import code_files
-
-    return structure.reachable(code_files(g))
-
-
 @query("taint_paths")
 def taint_paths(g):
     """Assignments that carry user input to a sink within a file, with their lines."""

@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import business, chains, code, evaluation, evidence, governance, lifecycle, scanning, scores, sources, streams, trends  # noqa: F401
+    from . import business, chains, code, evaluation, evidence, governance, lifecycle, modules, scanning, scores, sources, streams, trends  # noqa: F401
 
     return {k: (lambda spark, sf_dir, f=f: f(Governance(spark, sf_dir))) for k, f in _QUERIES.items()}
 
