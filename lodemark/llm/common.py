@@ -99,6 +99,21 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Inside, an action's shuffle files go when it ends, and not when the driver's garbage happens to be collected.
+
+    For actions whose result is written or collected; the session's own setting is restored.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, keep=None) -> DataFrame:
     """At most ``bound`` labelled rows (doc_id, label), those with the least md5 of the id.
 

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, fold, give_back, release, scratch_path, small_batches, written
+from .common import discard, fold, give_back, scratch_path, shuffles_dropped, small_batches, written
 
 #: Words of an n-gram. Three need about twice the disk and time of two.
 ORDER = 2
@@ -82,6 +82,15 @@ def unpacked(b: bytes, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def rising(x: np.ndarray) -> bytes:
+    """Sorted hashes as the steps between them, whose upper bytes are few."""
+    return packed(np.diff(x, prepend=np.uint64(0)), 8)
+
+
+def risen(b: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(b, 8), dtype=np.uint64)
+
+
 class _Words(dict):
     def __missing__(self, word):
         self[word] = n = len(self)
@@ -204,7 +213,7 @@ def stated(g: Grams, level: int, top: int, shards: int, hot: np.ndarray):
         counts = np.bincount(row, minlength=len(key)).astype(np.uint64)
         for k, s, e in _parts(shard):
             heads = _edges(context[s:e])
-            yield k, packed(context[s:e][heads], 8), packed(_sizes(heads, e - s), 4), packed(last[s:e], 5), packed(counts[s:e], 4), b"", b""
+            yield k, rising(context[s:e][heads]), packed(_sizes(heads, e - s), 4), packed(last[s:e], 5), packed(counts[s:e], 4), b"", b""
         return
     longer, first = np.unique(g.key[level + 1], return_index=True)
     key = g.key[level][first]
@@ -231,7 +240,7 @@ def stated(g: Grams, level: int, top: int, shards: int, hot: np.ndarray):
                     n[at] = 0
                 seen.add(words[at])
             times = packed(n, 4)
-        yield k, packed(context[s:e][each][heads], 8), packed(_sizes(heads, len(each)), 4), packed(last[s:e][each], 5) if level > 1 else b"", packed(_sizes(each, e - s), 4), packed(longer[s:e] & LOW, 5), times
+        yield k, rising(context[s:e][each][heads]), packed(_sizes(heads, len(each)), 4), packed(last[s:e][each], 5) if level > 1 else b"", packed(_sizes(each, e - s), 4), packed(longer[s:e] & LOW, 5), times
 
 
 def _parts(shard: np.ndarray):
@@ -249,7 +258,7 @@ class Shard:
         self.gathered, self.n = [], 0
 
     def add(self, heads, members, words, counts, lefts, raw):
-        heads, counts = unpacked(heads, 8), unpacked(counts, 4)
+        heads, counts = risen(heads), unpacked(counts, 4)
         context = np.repeat(heads, unpacked(members, 4).astype(np.int64))
         key = context if self.level == 1 else mix(context, unpacked(words, 5))
         if self.level == self.top:
@@ -421,8 +430,8 @@ def train(table: DataFrame, order: int = ORDER, shard_tokens: int = SHARD_TOKENS
     words = np.array([r["word"] for r in often.select("word").collect()], np.int64).astype(np.uint64)  # at most 1 / hot words
     model = Model(scratch_path(spark, "ngrams"), order, max(1, -(-total // shard_tokens)), np.unique(np.append(words, [START, END])))
     for level in range(1, order + 1):
-        _train_level(table, model, level)
-        release(spark)  # the level's shuffle, now that nothing holds its plan
+        with shuffles_dropped(spark):
+            _train_level(table, model, level)
     return model
 
 
@@ -450,7 +459,7 @@ def answers(table: DataFrame, model: Model) -> DataFrame:
                     shard, context, key, last, _ = asked(g, level, shards, hot)
                     for k, s, e in _parts(shard):
                         heads = _edges(context[s:e])
-                        row = (packed(context[s:e][heads], 8), packed(_sizes(heads, e - s), 4), packed(last[s:e], 5)) if level > 1 else (b"", b"", packed(key[s:e], 8))
+                        row = (rising(context[s:e][heads]), packed(_sizes(heads, e - s), 4), packed(last[s:e], 5)) if level > 1 else (b"", b"", rising(key[s:e]))
                         yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([level], pa.int32()), pa.array([block], pa.int64()), *(pa.array([x], pa.binary()) for x in row)], ["shard", "level", "block", "heads", "members", "words"])
                 give_back()
 
@@ -463,10 +472,10 @@ def answers(table: DataFrame, model: Model) -> DataFrame:
                     grams, contexts = mapped(model.file(level, shard, "grams")), mapped(model.file(level, shard, "contexts"))
                 none = np.zeros(0, np.uint64)
                 if level == 1:
-                    at, there = _found(grams.get("key", none), unpacked(words, 8))
+                    at, there = _found(grams.get("key", none), risen(words))
                     counts, sums = packed(_picked(grams.get("count", none), at, there), WIDE), packed(_picked(grams.get("occurs", none), at, there), WIDE)
                 else:
-                    heads = unpacked(heads, 8)
+                    heads = risen(heads)
                     key = mix(np.repeat(heads, unpacked(members, 4).astype(np.int64)), unpacked(words, 5))
                     at, there = _found(grams.get("key", none), key)
                     counts = packed(_picked(grams.get("count", none), at, there), WIDE)
@@ -566,7 +575,7 @@ def perplexity(docs: DataFrame, order: int = ORDER, block_tokens: int = BLOCK_TO
     spark = docs.sparkSession
     table = written(blocks(docs, fold(F.col("doc_id"), FOLDS) == HELD_OUT, block_tokens, hot), "tokens")
     model = train(table, order, shard_tokens, hot)
-    answered = written(answers(table, model), "answers")
-    release(spark)
+    with shuffles_dropped(spark):
+        answered = written(answers(table, model), "answers")
     discard(spark, [model.uri])
     return scores(table, model, answered)
