@@ -22,14 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 BATCH_ROWS = 1000
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Lower the session's rows per Arrow batch to BATCH_ROWS; a lower setting stays.
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Lower the session's rows per Arrow batch; a lower setting stays.
 
-    A batch of whole texts is held by the JVM, outside its heap, and by the worker at once.
+    A batch of whole texts is held by the JVM, outside its heap, and by the worker at once. Spark reads the
+    setting when a plan runs, after the operator has returned it, so it cannot be set back here.
     """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
 
 
 def give_back() -> None:

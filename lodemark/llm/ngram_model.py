@@ -45,6 +45,8 @@ FOLDS, HELD_OUT = 10, 0
 BLOCK_TOKENS, SHARD_TOKENS = 2_500_000, 2_000_000
 #: Share of the tokens from which on a word is hot.
 HOT = 1 / 1000
+#: Rows handed to a worker at once; those between blocks and shards take some 100 kB.
+ROWS = 64
 #: Bytes of a count of the whole corpus.
 WIDE = 6
 #: Entries that a shard gathers before it adds them up.
@@ -127,7 +129,7 @@ class _Writer:
 
 def blocks(docs: DataFrame, held, block_tokens: int = BLOCK_TOKENS, hot: float = HOT) -> DataFrame:
     """One row a block of documents; ``held`` is a condition on those that are not trained on."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, ROWS)
 
     def read(batches):
         number, block = TaskContext.get().partitionId() << 24, _Writer(hot)
