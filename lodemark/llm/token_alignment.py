@@ -33,9 +33,9 @@ from .common import give_back, small_batches, written
 
 A_FILE, B_FILE = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text laid out at once (a longer text alone), and of a block.
-SLICE_BYTES, BLOCK_BYTES = 2 << 20, 32 << 20
+SLICE_BYTES, BLOCK_BYTES = 2 << 20, 16 << 20
 #: Runs remembered in a worker, and rows of pairs handed to Spark at once.
-REMEMBERED, ROWS = 300_000, 1 << 16
+REMEMBERED, ROWS = 200_000, 1 << 16
 #: Pairs of one group from which on they are counted by distinct ids.
 WIDE = 4096
 #: A pair is a * SPAN + b; both ids are less.
