@@ -42,7 +42,7 @@ ORDER = 2
 #: Rows whose crc32 of the id leaves HELD_OUT by FOLDS are held out.
 FOLDS, HELD_OUT = 10, 0
 #: Tokens of a block, and on average of a shard. Rows between blocks and shards are their product.
-BLOCK_TOKENS, SHARD_TOKENS = 2_500_000, 2_000_000
+BLOCK_TOKENS, SHARD_TOKENS = 2_000_000, 2_000_000
 #: Share of the tokens from which on a word is hot.
 HOT = 1 / 1000
 #: Rows handed to a worker at once; those between blocks and shards take some 100 kB.
@@ -165,13 +165,21 @@ class Grams:
         places = np.arange(len(self.word)) + np.repeat((np.arange(len(sizes)) + 1) * (order - 1), self.sizes)
         line = np.full(len(self.word) + len(sizes) * (order - 1), START)
         line[places] = words[self.word]
-        hashes = [None, line]
+        self.places = places.astype(np.int32)
+        del places
+        self.hashes = [None, line]
         for _ in range(2, order + 1):
-            following = mix(hashes[-1][:-1], line[1:] & LOW)
-            hashes.append(np.concatenate([line[:1], following]))
-        self.key = [None] + [h[places] for h in hashes[1:]]
-        self.context = [None, None] + [h[places - 1] for h in hashes[1:-1]]
-        self.last = words[self.word] & LOW
+            self.hashes.append(np.concatenate([line[:1], mix(self.hashes[-1][:-1], line[1:] & LOW)]))
+
+    def keys(self, level: int) -> np.ndarray:
+        """Hash of the n-gram that ends at each place."""
+        return self.hashes[level][self.places]
+
+    def of(self, level: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Key, context and last word of the n-grams that end at some places."""
+        places = self.places[at]
+        context = self.hashes[level - 1][places - 1] if level > 1 else np.zeros(len(at), np.uint64)
+        return self.hashes[level][places], context, self.hashes[1][places] & LOW
 
 
 def _edges(*sorted_arrays: np.ndarray) -> np.ndarray:
@@ -197,8 +205,8 @@ def asked(g: Grams, level: int, shards: int, hot: np.ndarray):
         context, last = np.zeros(len(key), np.uint64), key
         shard = np.where(np.isin(key, hot), -1, shard_of(key, shards))
     else:
-        key, first, row = np.unique(g.key[level], return_index=True, return_inverse=True)
-        context, last = g.context[level][first], g.last[first]
+        key, first, row = np.unique(g.keys(level), return_index=True, return_inverse=True)
+        _, context, last = g.of(level, first)
         shard = shard_of(np.where(np.isin(context, hot), key, context) if level == 2 else context, shards)
     order = np.lexsort((key, context, shard))
     rank = np.empty(len(order), np.int64)
@@ -217,9 +225,9 @@ def stated(g: Grams, level: int, top: int, shards: int, hot: np.ndarray):
             heads = _edges(context[s:e])
             yield k, rising(context[s:e][heads]), packed(_sizes(heads, e - s), 4), packed(last[s:e], 5), packed(counts[s:e], 4), b"", b""
         return
-    longer, first = np.unique(g.key[level + 1], return_index=True)
-    key = g.key[level][first]
-    context = key if level == 1 else g.context[level][first]
+    longer, first = np.unique(g.keys(level + 1), return_index=True)
+    key, context, last = g.of(level, first)
+    context = key if level == 1 else context
     if level == 1:
         shard = shard_of(np.where(np.isin(key, hot), longer, key), shards)
         raw = np.bincount(g.word, minlength=len(g.vocabulary))
@@ -227,7 +235,7 @@ def stated(g: Grams, level: int, top: int, shards: int, hot: np.ndarray):
     else:
         shard = shard_of(np.where(np.isin(context, hot), key, context) if level == 2 else context, shards)
     order = np.lexsort((longer, key, context, shard))
-    shard, context, key, longer, last = shard[order], context[order], key[order], longer[order], g.last[first][order]
+    shard, context, key, longer, last = shard[order], context[order], key[order], longer[order], last[order]
     # A hot word stands in several shards; its occurrences go to the first of them.
     seen = set()
     for k, s, e in _parts(shard):
