@@ -118,10 +118,10 @@ def shuffles_dropped(spark: SparkSession):
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, keep=None) -> DataFrame:
     """At most ``bound`` labelled rows (doc_id, label), those with the least md5 of the id.
 
-    Rows whose id or label is null are left out; of repeated ids the smallest label counts.
+    Rows whose id is null or whose label is not 0 or 1 are left out; of repeated ids the smallest label counts.
     ``keep`` is a condition on ``doc_id`` (a fold). Only ids that ``docs`` holds are drawn.
     """
-    rows = labels.select(F.col("doc_id"), F.col(label).cast("int").alias("label")).dropna()
+    rows = labels.select(F.col("doc_id"), F.col(label).cast("int").alias("label")).dropna().where(F.col("label").isin(0, 1))
     if keep is not None:
         rows = rows.where(keep(F.col("doc_id")))
     rows = rows.groupBy("doc_id").agg(F.min("label").alias("label"))
@@ -129,6 +129,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int,
     return rows.orderBy(md5_long(F.col("doc_id")), "doc_id").limit(bound)
 
 
+def one_each(docs: DataFrame, sample: DataFrame, *first) -> DataFrame:
+    """One row for each id of a bounded ``sample``: of rows that share it the least by ``first``, then by the text's md5.
+
+    Rows combine before they are shuffled, so no more than the sample's bound ever comes together.
+    """
+    rows = docs.join(F.broadcast(sample), "doc_id")
+    rest = [c for c in rows.columns if c != "doc_id"]
+    order = F.struct(*first, F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("by_text"))
+    return rows.groupBy("doc_id").agg(F.min_by(F.struct(*rest), order).alias("_row")).select("doc_id", "_row.*")
+
+
 def fold(doc_id, modulus: int):
     """crc32 of the id as text, modulo ``modulus``."""
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus

@@ -8,7 +8,7 @@ descent on at most SAMPLE rows of the training folds; every whole text is scored
 Defined results: ``und`` with score 0 if the text is null or has no letter, or if nothing
 could be learned. A language outside FAMILIES is a family of its own. Equal votes and
 margins go to the alphabetically first language. Repeated rows get equal results. Of training
-rows that share an id the first by language, then by content, counts.
+rows that share an id the first by language, then by its text's md5, counts.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import linear
-from .common import fold, md5_long, small_batches
+from .common import fold, md5_long, one_each, small_batches
 
 SAMPLE, DIM = 2000, 4096
 #: Rows whose crc32 of the id leaves HELD_OUT by FOLDS are held out.
@@ -97,8 +97,8 @@ def train(vectors: np.ndarray, langs: list[str]):
 
 def fit(docs: DataFrame, bound: int = SAMPLE):
     rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD_OUT))
-    ids = rows.select("doc_id").orderBy(md5_long(F.col("doc_id")), "doc_id").limit(bound).distinct()
-    rows = rows.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "lang", "text")
+    ids = rows.select("doc_id").distinct().orderBy(md5_long(F.col("doc_id")), "doc_id").limit(bound)
+    rows = one_each(rows.select("doc_id", "lang", "text"), ids, F.col("lang")).select("doc_id", "lang", "text")
 
     def read(batches):
         for b in batches:
@@ -106,7 +106,7 @@ def fit(docs: DataFrame, bound: int = SAMPLE):
                 if (v := vector(text or "")) is not None:
                     yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([lang]), pa.array([v.astype(np.float32).tobytes()], pa.binary())], ["doc_id", "lang", "v"])
 
-    got = rows.mapInArrow(read, "doc_id bigint, lang string, v binary").toPandas().sort_values(["doc_id", "lang", "v"], kind="stable").drop_duplicates("doc_id")
+    got = rows.mapInArrow(read, "doc_id bigint, lang string, v binary").toPandas().sort_values("doc_id", kind="stable")
     if not len(got):
         return {}, {}, {}
     return train(np.stack([np.frombuffer(v, np.float32) for v in got["v"]]).astype(float), list(got["lang"]))

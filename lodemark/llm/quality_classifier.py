@@ -9,7 +9,8 @@ logistic fit on rows that the model has not seen.
 Fitting uses at most SAMPLE labelled rows of the training folds; every whole text is scored.
 
 Defined results: a null or empty text has only shape indicators and is scored like any
-other. Without labels of both classes all scores are the share of label 1 (0.5 without any).
+other. Labels other than 0 and 1 are left out. Of training rows that share an id the first by their texts' md5
+counts. Without labels of both classes all scores are the share of label 1 (0.5 without any).
 Repeated rows get equal scores.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import linear
-from .common import fold, labelled_sample, small_batches
+from .common import fold, labelled_sample, one_each, small_batches
 
 SAMPLE, BITS, THRESHOLD = 6000, 18, 0.3
 #: Rows whose crc32 of the id leaves 0 by FOLDS are held out.
@@ -89,7 +90,7 @@ def _scaled(indicators: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, np.n
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE):
     sample = labelled_sample(docs, labels, "quality", bound, keep=lambda i: fold(i, FOLDS) != 0)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label")
+    rows = one_each(docs.select("doc_id", "text"), sample).select("doc_id", "text", "label")
 
     def read(batches):
         ids = _Ids()
@@ -98,9 +99,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(sets, pa.list_(pa.int32()))], ["doc_id", "label", "k"])
 
     got = rows.mapInArrow(read, "doc_id bigint, label int, k array<int>").toPandas()
-    # Of rows that share an id the one of fewest indicators counts, then the first by their numbers.
-    got["size"], got["bytes"] = got["k"].map(len), got["k"].map(lambda k: np.asarray(k, ">i4").tobytes())
-    got = got.sort_values(["doc_id", "size", "bytes"], kind="stable").drop_duplicates("doc_id")
+    got = got.sort_values("doc_id", kind="stable")
     return train([np.asarray(k, np.int32) for k in got["k"]], got["label"].to_numpy())
 
 

@@ -17,7 +17,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample
+from .common import labelled_sample, one_each
 
 #: Labelled rows that the learner sees at most.
 SAMPLE = 20_000
@@ -152,11 +152,9 @@ def learn(rows: list[tuple[list[float], int]]) -> list[list[tuple[str, str, floa
 def learn_from(docs: DataFrame, labels: DataFrame) -> list[list[tuple[str, str, float]]]:
     """The rules for ``docs``, from at most SAMPLE of its labelled rows."""
     sample = labelled_sample(docs, labels, "quality", SAMPLE)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    rows = with_features(statistics(rows, "label"))
+    rows = with_features(statistics(one_each(docs.select("doc_id", "text"), sample), "label"))
     got = rows.select("doc_id", "label", base_failed(), *[f"f_{k}" for k in FEATURES]).collect()
-    seen = {r[0]: (list(r[3:]), int(r[1] == 0)) for r in sorted(got, key=lambda r: (r[0], r[3:]), reverse=True) if not r[2]}
-    return learn([seen[k] for k in sorted(seen)])
+    return learn([(list(r[3:]), int(r[1] == 0)) for r in sorted(got, key=lambda r: r[0]) if not r[2]])
 
 
 def verdict(rules: list[list[tuple[str, str, float]]]):

@@ -692,3 +692,21 @@ def test_pipeline_of_odd_and_empty_tables(spark, odd_folder, tmp_path_factory):
     docs.limit(0).write.parquet(f"{empty}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{empty}/labels.parquet")
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_rows_of_one_id_stay_apart_from_the_driver(spark, monkeypatch):
+    """However many rows share an id, no more than one of them is fitted on; odd labels are left out."""
+    texts = [prose(i, 60) for i in range(30)]
+    docs = make(spark, texts).unionByName(spark.createDataFrame([(3, f"copy {i} {texts[3]}", "en", "s", 1, "x", "y", "z") for i in range(3000)], SCHEMA))
+    labels = spark.createDataFrame([(i, q, 0) for i, q in enumerate([0, 1, 2, -1, -3, 1, 0] * 4)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(quality_classifier, "train", lambda sets, y: seen.append(list(y)) or (np.zeros(1 << 18), 0.0, 1.0, 0.0, np.zeros(1 << 18)))
+    quality_classifier.fit(docs, labels)
+    assert set(seen[0]) == {0, 1} and len(seen[0]) <= 30
+    monkeypatch.setattr(language_id, "train", lambda vectors, langs: seen.append(langs))
+    language_id.fit(docs)
+    assert len(seen[1]) <= 30
+    monkeypatch.setattr(quality_rules, "learn", lambda rows: seen.append(rows) or [])
+    quality_rules.learn_from(docs, labels)
+    assert len(seen[2]) <= 30
+    assert quality_classifier.classify(docs, labels).count() == 3030
