@@ -28,15 +28,18 @@ LOOPS = [
     (r"""(?:[^"'\n]*\{[^}]+\}){2,}[^"'\n]*["']""", r"""(?:[^"'\n]*\{[^}]+\}){2}(?:(?:[^"'\n]*\{[^}]+\})*+[^"'\n]*["']|[^"'\n]*["'])"""),
     (r"(?:(?!\})[\s\S])", r"[^}]"),
     (r"\s*(?:!|\s*)\w+", r"\s*!?\w+"),
+    (r"\s*(?:\{[^}]*\})?\s*", r"\s*+(?:\{[^}]*+\}\s*+)?"),
+    (r"\s*[\w\s]+─{2,}", r"[\w\s]++─{2,}"),
+    (r"(?:import|require).*\bzod\b|", r"(?:import|require)(?:(?!import|require|\bzod\b).)*+\bzod\b|"),
+    (r"\(\s*(?:f[\"']|[^)]*\+)", r"\(\s*+(?:f[\"']|(?:(?!os\.popen\s*\()[^)+])*+\+)"),
+    (r"algorithms?\s*[:=]\s*\[.*[\"']none[\"']", r"algorithms?\s*+[:=]\s*+\[(?:(?!algorithms?\s*[:=]\s*\[|[\"']none[\"']).)*+[\"']none[\"']"),
 ]
 
 
 @cache
 def java(pattern: str) -> str:
     """The pattern for Java: word borders between ASCII letters, as the tables mean them, and loops without frames."""
-    for loop, form in LOOPS:
-        pattern = pattern.replace(loop, form)
-    return pattern.replace(r"\b", r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))")
+    return loops(pattern).replace(r"\b", r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))")
 
 
 def _needs(tree) -> list:
@@ -66,6 +69,41 @@ def _needs(tree) -> list:
     return [*out, run] if run else out
 
 
+#: Gaps between the two ends of a pattern, and what they are made of.
+GAPS = {"[^)]*": "[^)]", ".*": "."}
+
+
+@cache
+def tempered(pattern: str) -> str:
+    """A form that finds a match in the same texts, in time linear in them, where one gap parts a pattern in two.
+
+    From a beginning the gap runs to the next end and stops at another beginning, which finds that end itself.
+    """
+    flags = "(?i)" if pattern.startswith("(?i)") else ""
+    rest, depth, at, gaps = pattern[len(flags) :], 0, 0, []
+    while at < len(rest):
+        gap = next((g for g in GAPS if depth == 0 and rest.startswith(g, at)), None)
+        if gap:
+            gaps.append((at, gap))
+            at += len(gap)
+        elif rest[at] == "\\":
+            at += 2
+        elif rest[at] == "[":
+            at = rest.index("]", at + 2) + 1
+        else:
+            depth += {"(": 1, ")": -1}.get(rest[at], 0)
+            if rest[at] == "|" and depth == 0:
+                return pattern
+            at += 1
+    if len(gaps) != 1:
+        return pattern
+    ((at, gap),) = gaps
+    first, last = rest[:at], rest[at + len(gap) :]
+    if not first or not last or last == "\\)":
+        return pattern
+    return f"{flags}{first}(?:(?!{first}|{last}){GAPS[gap]})*+{last}"
+
+
 #: More alternatives than this are not asked for one by one.
 ALTERNATIVES = 8
 
@@ -77,14 +115,15 @@ def _words(wanted: list) -> tuple[str, ...]:
 
 @cache
 def needs(pattern: str) -> tuple[bool, tuple]:
-    """Whether case counts, and the longest and the last literal that a match holds; each a tuple of alternatives."""
+    """Whether case counts, and the longest and the last literals that a match holds; each a tuple of alternatives."""
     from re import _parser
 
     parsed = _parser.parse(pattern)
     folded = bool(parsed.state.flags & re.I) or "(?i:" in pattern
     each = [(w,) if isinstance(w, str) else _words(w) for w in _needs(parsed)]
     each = [w for w in each if len(w) <= ALTERNATIVES]
-    kept = dict.fromkeys([max(each, key=lambda w: min(map(len, w))), each[-1]]) if each else ()
+    words = [w for w in each if min(map(len, w)) > 2]
+    kept = dict.fromkeys([max(each, key=lambda w: min(map(len, w))), *words[-1:], each[-1]]) if each else ()
     return not folded, tuple(kept)
 
 
@@ -106,7 +145,7 @@ def worth(text: Column, pattern: str, lowered: Column | None = None) -> Column:
 
 def found(text: Column, pattern: str) -> Column:
     """Whether the pattern matches somewhere in the text."""
-    return worth(text, pattern) & text.rlike(java(pattern))
+    return worth(text, pattern) & text.rlike(java(tempered(pattern)))
 
 
 def one_of(patterns: list[str]) -> str:
@@ -114,9 +153,15 @@ def one_of(patterns: list[str]) -> str:
     return "|".join(f"(?i:{p[4:]})" if p.startswith("(?i)") else f"(?:{p})" for p in patterns)
 
 
+def loops(pattern: str) -> str:
+    for loop, form in LOOPS:
+        pattern = pattern.replace(loop, form)
+    return pattern
+
+
 def found_any(text: Column, patterns: list[str], lowered: Column | None = None) -> Column:
     """Whether one of Java's own patterns matches somewhere in the text."""
-    return _any([worth(text, p, lowered) for p in patterns]) & text.rlike(one_of(patterns))
+    return _any([worth(text, p, lowered) for p in patterns]) & text.rlike(one_of([loops(tempered(p)) for p in patterns]))
 
 
 def counted(text: Column, pattern: str) -> Column:
