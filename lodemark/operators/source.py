@@ -447,6 +447,22 @@ def describe(text: str, lang: str) -> dict:
     return {"functions": rows, "classes": classes, "imports": taken, "exports": given, "calls": calls, "flows": flowing, "measures": _measures(text, code, lines, deep, rows, classes)}
 
 
+def bodies(text: str, lang: str) -> list[str]:
+    """The source of each function or method, of any length and language, header included; a nested one stands in its outer's too."""
+    code = blanked(text, lang)
+    close, commas, _ = matched(code)
+    out = []
+    for s in scopes(code, text, lang, close, commas):
+        if s.kind != "class":
+            start = text.rfind("\n", 0, s.start) + 1 if text[text.rfind("\n", 0, s.start) + 1 : s.start].strip() in _LEADS else s.start
+            out.append(text[start : s.end + (lang != "python")])
+    return out
+
+
+#: Words before a function's name on its line that belong to it.
+_LEADS = frozenset(["", "function", "async function", "export function", "export async function", "export default function", "const", "let", "var", "export const", "async", "func", "def", "async def"])
+
+
 def _indent_depth(code: str, s: Scope) -> int:
     """Steps of indent within a block, less one for its own."""
     widths, most = [], 0
@@ -464,7 +480,7 @@ _COMMENT = re.compile(r"\s*+(?://|#|\*|/\*|<!--)")
 
 def _measures(text: str, code: str, lines: list[int], deep: dict[int, int], functions: list[dict], classes: list[dict]) -> dict:
     """Measures of the whole file."""
-    filled = [x for x in text.split("\n") if x.strip()]
+    filled = [x for x in text.split("\n") if x.strip(" \t\r\f")]
     sizes = [f["end_line"] - f["line"] + 1 for f in functions]
     volume = [f["volume"] for f in functions]
     callbacks = depth = 0

@@ -160,7 +160,8 @@ def converted(body: str, first: int = 1) -> dict:
     for n in near:
         for b in after.get(n, ()):
             back[b] += 1
-    blocks = sum(1 for n in near if n == 0 or back[n] != 1 or any(len(after[p]) > 1 for p in near if n in after.get(p, ())))
+    forked = {b for n in near if len(after.get(n, ())) > 1 for b in after[n]}
+    blocks = sum(1 for n in near if n == 0 or back[n] != 1 or n in forked)
     return {"blocks": blocks, "joins": sorted(made.values()), "versions": sum(count.values()), "paths": paths}
 
 
@@ -169,7 +170,7 @@ def ssa_paths(files: DataFrame) -> DataFrame:
 
     A function without a taint path has one row with a null sink; lines count from the function's first.
     """
-    from .authorship import bodies
+    from .source import bodies
 
     names = ["path", "number", "blocks", "joins", "versions", "sink", "source_line", "sink_line", "version", "confidence"]
     kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.float64())

