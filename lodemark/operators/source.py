@@ -306,7 +306,7 @@ def exports(text: str, code: str, lang: str, lines: list[int], found: list[Scope
             kind = g["kind"].split()[-1]
             out.append((g["name"], g["name"], _KIND.get(kind, kind), line))
         elif g["default"]:
-            own = re.compile(r"[ \t]*+(?:async[ \t]++)?(?:function|class)?[ \t]*+\*?[ \t]*+([\w$]++)?").match(code, m.end())
+            own = re.compile(r"[ \t]*+(?:async[ \t]++)?(?:function\b|class\b)?[ \t]*+\*?[ \t]*+([A-Za-z_$][\w$]*+)?").match(code, m.end())
             out.append(("default", own[1] or "default", "default", line))
         else:
             out += [(here, n, "re-export" if g["again"] else "const", line) for n, here in _named(g["names"])]

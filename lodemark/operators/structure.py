@@ -59,31 +59,6 @@ def parse(files: DataFrame, path: str = "path", content: str = "content") -> Dat
     return files.select(files[path].cast("string"), content).mapInArrow(read, SCHEMA)
 
 
-def edges_of(content: str) -> list[tuple[str, str]]:
-    """(caller, callee) between a file's own functions; code outside them is ``<module>``.
-
-    A function's body runs from its name to the next function's.
-    """
-    found = list(_FUNCTION.finditer(content))
-    names = [next(filter(None, m.groups())) for m in found]
-    bodies = [("<module>", content[: found[0].start()] if found else content)]
-    for k, m in enumerate(found):
-        bodies.append((names[k], content[m.end() : found[k + 1].start() if k + 1 < len(found) else len(content)]))
-    return sorted({(caller, m[1]) for caller, body in bodies for m in _CALL.finditer(body) if m[1] in names and m[1] != caller})
-
-
-def call_edges(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """(path, caller, callee) of each file."""
-
-    def read(batches):
-        for batch in batches:
-            rows = [(p, *e) for p, c in zip(*(x.to_pylist() for x in batch.columns), strict=True) for e in edges_of(c or "")]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["path", "caller", "callee"])
-
-    return files.select(files[path].cast("string"), content).mapInArrow(read, "path string, caller string, callee string")
-
-
 _ASSIGN = re.compile(r"^\s*(?:const|let|var)?\s*(\w+)\s*=(?!=)\s*(.+)$")
 _SOURCE = re.compile(r"\b(?:req|request)\.(?:query|body|params|headers|args|form)\b|\buser(?:Input|Data)\b|\binput\s*\(")
 _SINK = re.compile(r"\b(eval|exec|query|execute|fetch|system|innerHTML|write)\b\s*(?:\(|=)\s*(.*)$")
@@ -131,29 +106,9 @@ def taint_paths(files: DataFrame, path: str = "path", content: str = "content")
 
 _EXPORT = re.compile(r"^\s*(?:export\s+(?:default\s+)?(?:async\s+)?(?:function|class|const|let|interface|type|enum)\s+(\w+)|module\.exports\.(\w+)\s*=|exports\.(\w+)\s*=)", re.M)
 _CLASS = re.compile(r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+|public\s+|final\s+)*class\s+(\w+)", re.M)
-# Usual names of entry points, and how a name is exported later.
-_ENTRY = re.compile(r"^(?:main|handler|index|server|app|init|start|bootstrap|run)$", re.I)
-_EXPORTED_AS = re.compile(r"exports\.\w+\s*=\s*(\w+)")
 _OPERATOR, _COMMENT = re.compile(r"[+\-*/%&|^~<>=!]{1,3}"), re.compile(r"\s*(?://|#|\*|/\*|<!--)")
 
 
-def reach_of(content: str) -> list[tuple[str, bool, int | None]]:
-    """(function, whether it is an entry point, least depth from one) of a file's functions.
-
-    Entry points are exported, where they are defined or later, or have a usual name.
-    """
-    names = list(dict.fromkeys(next(filter(None, m.groups())) for m in _FUNCTION.finditer(content)))
-    edges = edges_of(content)
-    exported = {next(filter(None, m.groups())) for m in _EXPORT.finditer(content)} | set(_EXPORTED_AS.findall(content))
-    entries = [n for n in names if n in exported or _ENTRY.match(n)]
-    depth, front, level = dict.fromkeys(entries, 0), set(entries), 0
-    while front:
-        level += 1
-        front = {b for a, b in edges if a in front and b not in depth}
-        depth |= dict.fromkeys(front, level)
-    return [(n, n in entries, depth.get(n)) for n in names]
-
-
 def metrics_of(content: str) -> tuple:
     """Functions, classes, exports, complexity, nesting, share of comments and Halstead volume of a file."""
     names, _, branches, deepest, _ = describe(content)
@@ -179,23 +134,19 @@ def _each(files: DataFrame, path: str, content: str, schema: str, of) -> DataFra
     return files.select(files[path].cast("string"), content).mapInArrow(read, schema)
 
 
-def reachable(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    return _each(files, path, content, "path string, function string, is_entry boolean, depth int", reach_of)
-
-
 def measured(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     return _each(files, path, content, "path string, functions int, classes int, exports int, complexity int, nesting int, comments double, halstead bigint, loc int", lambda c: [metrics_of(c)])
 
 
 def clones(files: DataFrame) -> DataFrame:
-    """(path, first, second, jaccard): alike functions of each file (path, content, lang), by their skeletons' bigrams."""
-    from .authorship import clone_pairs
+    """(path, number, group, links): functions of each file (path, content, lang) that are clones of others of it."""
+    from .authorship import clone_groups
 
     def read(batches):
         for batch in batches:
-            rows = [(p, *x) for p, c, lang in zip(*(x.to_pylist() for x in batch.columns), strict=True) for x in clone_pairs(c or "", lang or "")]
+            rows = [(p, *x) for p, c, lang in zip(*(x.to_pylist() for x in batch.columns), strict=True) for x in clone_groups(c or "", lang or "")]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            kinds = (pa.string(), pa.int32(), pa.int32(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["path", "first", "second", "jaccard"])
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["path", "number", "group", "links"])
 
-    return files.select("path", "content", "lang").mapInArrow(read, "path string, first int, second int, jaccard double")
+    return files.select("path", "content", "lang").mapInArrow(read, "path string, number int, group int, links int")

@@ -186,7 +186,7 @@ def function_scores(g):
 
 @query("clone_pairs")
 def clone_pairs(g):
-    """Functions of one file that are structural clones, all pairs."""
+    """Functions that are structural clones of others of their file: group and number of direct clones."""
     from ..operators import structure
 
     return structure.clones(code_files(g))
