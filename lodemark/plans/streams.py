@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..functions.checkpoint import shared_folder
 from ..streaming import events
 from .registry import query
 
@@ -74,3 +77,29 @@ def webhook_deliveries(g):
     which = F.col("o_orderkey") % 3
     good, _ = events.webhooks(g.table("orders").select(F.when(which == 0, one).when(which == 1, two).otherwise(three).alias("payload")))
     return good.select(F.col("pr_number").cast("long").alias("pr_number"), "host", "repo", "head_sha", "action")
+
+
+@query("scan_appends", "SELECT event_id, user_id, event_type FROM events")
+def scan_appends(g):
+    """Rows appended by a stream; the second run and the replay of a batch add nothing."""
+    folder = f"{shared_folder(g.spark)}/appends-{uuid.uuid4().hex}"
+    rows = log(g).select("event_id", "user_id", "event_type")
+    for _ in range(2):
+        events.append_stream(rows, folder)
+    if events.append_once(g.table("events").select("event_id", "user_id", "event_type"), 0, folder):
+        raise AssertionError("a batch was committed twice")
+    return events.appended(g.spark, folder, "event_id bigint, user_id bigint, event_type string")
+
+
+@query("stream_late_rows", "WITH m AS (SELECT max(ts) AS top FROM events WHERE event_id % 97 <> 0) SELECT event_id, (SELECT count(*) FROM events, m WHERE event_id % 97 = 0 AND ts < top - INTERVAL 10 MINUTE) AS counted FROM events, m WHERE event_id % 97 = 0 AND ts < top - INTERVAL 10 MINUTE")
+def stream_late_rows(g):
+    """Events that come after the others and ten minutes or more behind them, set aside, with the stream's count of them."""
+    folder = f"{shared_folder(g.spark)}/arrivals-{uuid.uuid4().hex}"
+    rows = g.table("events")
+    first = rows.where("event_id % 97 <> 0").agg(F.min("event_id")).first()[0]
+    # Three arrivals: most, one early event, so that the watermark of the first counts, and those that may be late.
+    arrival = F.when(F.col("event_id") == first, 1).when(F.col("event_id") % 97 == 0, 2).otherwise(0)
+    for k in range(3):
+        rows.where(arrival == k).coalesce(1).write.mode("append").parquet(folder)
+    kept, late = events.split_late(events.source(g.spark, folder, 1).select("event_id", "ts"), "event_id bigint, ts timestamp")
+    return rows.join(kept, "event_id", "left_anti").select("event_id", F.lit(late).cast("long").alias("counted"))

@@ -21,9 +21,9 @@ LATE = "10 minutes"
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
-def source(spark: SparkSession, path: str) -> DataFrame:
+def source(spark: SparkSession, path: str, files: int = 4) -> DataFrame:
     """The event log as a stream, in event time."""
-    rows = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 4).parquet(path)
+    rows = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files).parquet(path)
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -146,3 +146,59 @@ def run_once(rows: DataFrame, mode: str = "append", keys: list[str] | None = Non
         rest = [c for c in schema.names if c not in keys]
         out = out.groupBy(*keys).agg(F.max_by(F.struct(*rest), newest).alias("_row")).select(*keys, "_row.*")
     return out.select(*schema.names)
+
+
+def _files(spark: SparkSession, folder: str):
+    """The file system of a folder, and a maker of its paths."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    return path(folder).getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def append_once(rows: DataFrame, batch_id: int, folder: str) -> bool:
+    """Append a micro-batch to a table of files exactly once, and say whether it was new.
+
+    The rows are written aside and then renamed to ``batch=<id>``, which is one step where the file system renames
+    in one. A batch that is there already is left as it is, so a replay adds nothing; what a crash leaves aside is
+    never read, and the replay writes its own.
+    """
+    spark = rows.sparkSession
+    fs, path = _files(spark, folder)
+    done = path(f"{folder}/batch={batch_id}")
+    if fs.exists(done):
+        return False
+    aside = f"{folder}/_aside/{batch_id}-{uuid.uuid4().hex}"
+    rows.write.parquet(aside)
+    if fs.rename(path(aside), done):
+        return True
+    fs.delete(path(aside), True)  # another attempt was faster
+    return False
+
+
+def appended(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """The committed rows of a table that ``append_once`` fills."""
+    return spark.read.schema(f"{schema}, batch bigint").option("basePath", folder).parquet(folder).drop("batch")
+
+
+def append_stream(rows: DataFrame, folder: str) -> None:
+    """Append a stream to a table of files to its end; run again, it takes up where it stopped."""
+    fs, path = _files(rows.sparkSession, folder)
+    fs.mkdirs(path(folder))
+    query = rows.writeStream.foreachBatch(lambda df, batch_id: append_once(df, batch_id, folder)).option("checkpointLocation", f"{folder}/_progress").trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+def split_late(rows: DataFrame, schema: str) -> tuple[DataFrame, int]:
+    """The rows of a stream (event_id, ts) that are not late, each event once, and how many came too late.
+
+    A row is late if it is LATE or more behind the latest time that the batches before have seen. The number is
+    Spark's own count of rows that it drops by the watermark. Late rows are those of the source that are not in the result.
+    """
+    spark = rows.sparkSession
+    folder = f"{shared_folder(spark)}/kept-{uuid.uuid4().hex}"
+    fs, path = _files(spark, folder)
+    fs.mkdirs(path(folder))
+    kept = rows.withWatermark("ts", LATE).dropDuplicatesWithinWatermark(["event_id"])
+    query = kept.writeStream.foreachBatch(lambda df, batch_id: append_once(df, batch_id, folder)).option("checkpointLocation", f"{folder}/_progress").trigger(availableNow=True).start()
+    query.awaitTermination()
+    late = sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
+    return appended(spark, folder, schema), late
