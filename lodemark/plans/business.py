@@ -233,7 +233,7 @@ _FOUND = ", ".join(f"({k}, '{i}')" for k, (_, found) in enumerate(SNIPPETS) for
 def fix_suggestions(g):
     """The usual fix for each kind of finding of a file, once; the table of fixes is a fixed one."""
     files = snippet_files(g)
-    found = detectors.findings(files).join(files.select("path", "above"), "path").where("line > above").select("path", "id").distinct()
+    found = detectors.findings(files).select("path", "id").distinct()
     return found.join(F.broadcast(g.spark.createDataFrame(FIXES, "id string, cwe string, effort string")), "id").select("path", "id", "cwe", "effort")
 
 
@@ -409,9 +409,9 @@ def export_audit(g):
 
 @query("export_secrets", f"SELECT doc_id, line, id, severity FROM (SELECT doc_id, (len(string_split(coalesce(text, ''), chr(10))) + n)::INT AS line, id, 'critical' AS severity FROM documents JOIN (VALUES " + ", ".join(f"({k}, {n}, '{i}')" for k, (_, found) in enumerate(SNIPPETS) for n, i in found if i.endswith("-secret")) + f") e(k, n, id) ON doc_id % {len(SNIPPETS)} = k) ORDER BY doc_id, line, id LIMIT {EXPORT_ROWS}")
 def export_secrets(g):
-    """Secrets found in whole files, those of the snippets at their ends."""
+    """Secrets found in whole files."""
     files = snippet_files(g)
-    found = detectors.findings(files).where(F.col("id").endswith("-secret")).join(files.select("path", "above", "doc_id"), "path").where("line > above")
+    found = detectors.findings(files).where(F.col("id").endswith("-secret")).join(files.select("path", "doc_id"), "path")
     return found.select("doc_id", "line", "id", "severity").orderBy("doc_id", "line", "id").limit(EXPORT_ROWS)
 
 

@@ -32,9 +32,9 @@ _FILES = f"SELECT doc_id, 'src/f' || doc_id || {_one([e for e, _, _ in CODE])} A
 
 
 def snippet_files(g) -> DataFrame:
-    """(doc_id, path, content, above): a document's text, then a snippet; ``above`` is the text's number of lines."""
-    text = F.coalesce("text", F.lit(""))
-    return g.table("documents").select("doc_id", F.concat(F.lit("src/f"), "doc_id", F.lit(".ts")).alias("path"), F.concat_ws("\n", text, _pick(["\n".join(x) for x, _ in SNIPPETS], "s")).alias("content"), F.size(F.split(text, "\n")).alias("above"))
+    """(doc_id, path, content): a document's whole text as comments, then a snippet."""
+    text = F.concat(F.lit("// "), F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("\n// ")))
+    return g.table("documents").select("doc_id", F.concat(F.lit("src/f"), "doc_id", F.lit(".ts")).alias("path"), F.concat_ws("\n", text, _pick(["\n".join(x) for x, _ in SNIPPETS], "s")).alias("content"))
 
 
 _EXPECTED = "(VALUES " + ", ".join(f"({k}, {n}, '{i}')" for k, (_, found) in enumerate(SNIPPETS) for n, i in found) + ") e(k, n, id)"
@@ -42,10 +42,8 @@ _EXPECTED = "(VALUES " + ", ".join(f"({k}, {n}, '{i}')" for k, (_, found) in enu
 
 @query("detector_findings", f"SELECT 'src/f' || doc_id || '.ts' AS path, (len(string_split(coalesce(text, ''), chr(10))) + n)::INT AS line, id FROM documents JOIN {_EXPECTED} ON doc_id % {len(SNIPPETS)} = k")
 def detector_findings(g):
-    """All detectors over whole texts that end in a snippet; its findings are known by hand, the text's are left out."""
-    files = snippet_files(g)
-    found = detectors.findings(files).join(files.select("path", "above"), "path")
-    return found.where("line > above").select("path", "line", "id")
+    """All detectors over files whose comments are whole texts; the findings of the code below are known by hand."""
+    return detectors.findings(snippet_files(g)).select("path", "line", "id")
 
 
 @query("prose_findings")
@@ -57,7 +55,7 @@ def prose_findings(g):
 _TAINT, _SINK = detectors.one_of(detectors.TAINT_SOURCES), detectors.one_of(detectors.HTTP_SINKS)
 
 
-@query("lookback_taint", f"""WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM (SELECT doc_id, coalesce(text, '') || chr(10) || {_one([chr(10).join(x) for x, _ in SNIPPETS])} AS text FROM documents))
+@query("lookback_taint", f"""WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM (SELECT doc_id, '// ' || replace(coalesce(text, ''), chr(10), chr(10) || '// ') || chr(10) || {_one([chr(10).join(x) for x, _ in SNIPPETS])} AS text FROM documents))
     SELECT doc_id, n::INT AS line FROM (SELECT doc_id, n, regexp_matches(line, {_quote(_SINK)}) AS sink, max(regexp_matches(line, {_quote(_TAINT)})::INT) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS near FROM lines) WHERE sink AND near = 1""")
 def lookback_taint(g):
     """Calls of a network sink with user input in the twelve lines before, as a window over each file's lines."""
