@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.checkpoint import stored
 from ..functions.scalars import half_up, hours_between, risk_rank
-from ..operators import detectors
+from ..operators import detectors, rollup
 from ..sources.governance import AS_OF
+from . import registry
 from .chains import chained, match_cves
 from .code import _FILES, _quote, code_files, snippet_files
 from .governance import repo_stats, top_files
@@ -591,3 +593,27 @@ def framework_report(g):
     value = {"attestation": F.col("att") * 100, "coverage": F.least(F.lit(100.0), F.col("files") / F.greatest(F.lit(1), F.col("scans")) * 10), "automation": (1 - F.least(F.lit(1.0), F.col("ai"))) * 100}
     rows = rows.select("org_id", F.inline(F.array(*[F.struct(F.lit(k).alias("metric"), v.cast("double").alias("v")) for k, v in value.items()])))
     return rows.select("org_id", "metric", F.round("v", 6).alias("value"), F.when(F.col("v") >= 80, "good").when(F.col("v") >= 50, "fair").otherwise("poor").alias("bar"))
+
+
+_SCAN_FILES = f"""nb AS ({registry.sql('nb_score')}), att AS ({registry.sql('attribution_posterior')}), k AS ({registry.sql('code_risks')}), f AS (SELECT doc_id, path, doc_id // 7 AS scan_id, len(string_split(text, chr(10))) AS lines, lang = '' AS skip FROM ({_FILES})),
+    a AS (SELECT scan_id, path, lines, skip, probability AS ai, model, att.confidence, nb.confidence AS quality, lines > 20 AND NOT skip AS scorable FROM f JOIN nb USING (doc_id) JOIN att USING (path)),
+    m AS (SELECT scan_id, max(n) AS top FROM (SELECT scan_id, model, count(*) AS n FROM a WHERE confidence >= 0.40 AND model NOT IN ('human', 'unknown') GROUP BY 1, 2) GROUP BY 1),
+    s AS (SELECT scan_id, count(*) FILTER (severity = 'critical') AS c, count(*) FILTER (severity = 'high') AS h, count(*) FILTER (severity = 'medium') AS md, count(*) FILTER (severity = 'low') AS l FROM f JOIN k USING (path) GROUP BY 1),
+    t AS (SELECT scan_id, list(kind ORDER BY n DESC, kind)[1:3] AS kinds FROM (SELECT scan_id, kind, count(*) AS n FROM f JOIN k USING (path) GROUP BY 1, 2) GROUP BY 1),
+    r AS (SELECT scan_id, count(*) AS files, count(*) FILTER (scorable) AS scorable, sum(ai * lines) / sum(lines) AS mean, {', '.join(f'round(quantile_cont(ai, {p / 100}) FILTER (scorable), 6) AS p{p}' for p in rollup.PERCENTILES)}, count(*) FILTER (scorable AND ai > 0.65) AS hi, count(*) FILTER (scorable AND ai < 0.25) AS lo, coalesce(avg(quality) FILTER (scorable), 0) AS q, count(*) FILTER (scorable AND quality >= 0.70) AS sure FROM a GROUP BY 1)"""
+
+
+@query("scan_report", f"""WITH {_SCAN_FILES} SELECT scan_id, files, scorable, round(CASE WHEN boosted THEN least(1, mean + 0.05) ELSE mean END, 6) AS ai, boosted, files >= 4 AND hi >= 2 AND lo >= 2 AND hi + lo >= scorable * 0.70 AS mixed, p10, p25, p50, p75, p90, round(q, 6) AS scan_quality, sure AS confident_files,
+    coalesce(c, 0) AS critical_count, coalesce(h, 0) AS high_count, coalesce(md, 0) AS medium_count, coalesce(l, 0) AS low_count, coalesce(c + h + md + l, 0) AS findings, array_to_string(coalesce(kinds, []), ',') AS top_kinds, coalesce(c + h, 0) > 0 AS immediate
+    FROM (SELECT r.*, files >= 3 AND coalesce(top, 0) >= ceil(files * 0.60) AS boosted, c, h, md, l, kinds FROM r LEFT JOIN m USING (scan_id) LEFT JOIN s USING (scan_id) LEFT JOIN t USING (scan_id))""")
+def scan_report(g):
+    """One row a scan of seven files: weighted share with the boost of one dominant model, percentiles, mixture, findings by severity, most frequent kinds."""
+    from . import code
+
+    files = code_files(g)
+    scans = files.select("doc_id", "path", F.expr("doc_id div 7").alias("scan_id"), F.size(F.split("content", "\n")).alias("lines"), (F.col("lang") == "").alias("skip"))
+    scored = code.nb_score(g).select("doc_id", F.col("probability").alias("ai"), F.col("confidence").alias("quality"))
+    # Written once: three aggregates read it, and a filter pushed into the models' expressions would repeat them without end.
+    rows = stored(scans.join(scored, "doc_id").join(code.attribution_posterior(g).select("path", "model", "confidence"), "path"), "scan-report")
+    out = rollup.rollup(rows, code_risks(g).join(scans.select("path", "scan_id"), "path"))
+    return out.withColumn("top_kinds", F.array_join("top_kinds", ",")).select(*[F.round(c, 6).alias(c) if c in ("ai", "scan_quality", *(f"p{p}" for p in rollup.PERCENTILES)) else c for c in [*out.columns]])

@@ -26,6 +26,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def sql(name: str) -> str:
+    """The SQL of a query that is registered already, to build on."""
+    return _SQL[name]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from . import business, chains, code, evaluation, evidence, governance, lifecycle, modules, scanning, scores, sources, streams, trends  # noqa: F401
 
