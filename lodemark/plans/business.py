@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.checkpoint import stored
 from ..functions.scalars import half_up, hours_between, risk_rank
-from ..operators import detectors, rollup
+from ..operators import detectors, rollup, signed
 from ..sources.governance import AS_OF
 from . import registry
-from .chains import chained, match_cves
+from .chains import chained, match_cves, verify_chain
 from .code import _FILES, _quote, code_files, snippet_files
 from .governance import repo_stats, top_files
 from .registry import query
@@ -370,12 +370,16 @@ _ENTRY = """'{"id":' || event_id || ',"type":"' || event_type || '","ts":' || ep
 @query("ui_chain", f"SELECT user_id, count(*) AS entries, list_reduce(list_prepend(repeat('0', 64), list({_ENTRY} ORDER BY ts, event_id)), lambda a, x: sha256(a || ':' || x)) AS head FROM events GROUP BY 1")
 def ui_chain(g):
     """The viewer's chain: from 64 zeros on, each entry's hash covers the hash before it and the entry; the last is the head."""
-    entry = F.concat(F.lit('{"id":'), "event_id", F.lit(',"type":"'), "event_type", F.lit('","ts":'), F.unix_micros(F.col("ts").cast("timestamp")), F.lit(',"desc":"'), "event_type", F.lit(" "), "event_id", F.lit('","actor":'), "user_id", F.lit(',"repo":null}'))
-    rows = g.table("events").select("user_id", F.struct("ts", "event_id").alias("at"), entry.alias("entry"))
+    rows = g.table("events").select("user_id", F.struct("ts", "event_id").alias("at"), audit_entry().alias("entry"))
     linked = chained(rows, "user_id", "at", "entry", genesis="0" * 64, ordered=False)
     return linked.groupBy("user_id").agg(F.count("*").alias("entries"), F.max_by("entry_hash", "at").alias("head"))
 
 
+def audit_entry():
+    """An audit event as canonical JSON."""
+    return F.concat(F.lit('{"id":'), "event_id", F.lit(',"type":"'), "event_type", F.lit('","ts":'), F.unix_micros(F.col("ts").cast("timestamp")), F.lit(',"desc":"'), "event_type", F.lit(" "), "event_id", F.lit('","actor":'), "user_id", F.lit(',"repo":null}'))
+
+
 #: Rows of an export at most; a limit of the feature.
 EXPORT_ROWS = 10_000
 _SINCE = f"{_NOW} - INTERVAL 365 DAY"
@@ -617,3 +621,18 @@ def scan_report(g):
     rows = stored(scans.join(scored, "doc_id").join(code.attribution_posterior(g).select("path", "model", "confidence"), "path"), "scan-report")
     out = rollup.rollup(rows, code_risks(g).join(scans.select("path", "scan_id"), "path"))
     return out.withColumn("top_kinds", F.array_join("top_kinds", ",")).select(*[F.round(c, 6).alias(c) if c in ("ai", "scan_quality", *(f"p{p}" for p in rollup.PERCENTILES)) else c for c in [*out.columns]])
+
+
+_TREE = ", ".join(f"t{k} AS (SELECT org_id, id // {signed.FAN} AS id, sha256(string_agg(h, chr(10) ORDER BY id)) AS h, CAST(sum(n) AS BIGINT) AS n FROM t{k - 1} GROUP BY 1, id // {signed.FAN})" for k in range(1, signed.LEVELS + 1))
+_DOCUMENT = """'{"org_id":' || org_id || ',"event_count":' || n || ',"chain_valid":' || valid || CASE WHEN broken IS NULL THEN '' ELSE ',"broken_at":' || broken END || ',"root":"' || h || '"}'"""
+
+
+@query("signed_export", f"""WITH t0 AS (SELECT user_id % 5 AS org_id, event_id AS id, sha256({_ENTRY}) AS h, 1 AS n FROM events), {_TREE}, v AS (SELECT user_id % 5 AS org_id, count(*) FILTER (event_id % 997 = 5) = 0 AS valid, min(event_id) FILTER (event_id % 997 = 5) AS broken FROM events GROUP BY 1)
+    SELECT org_id, rows, root, chain_valid, broken_at, document, sha256(unhex('{_OUTER}') || unhex(sha256(unhex('{_INNER}') || document::BLOB))) AS signature FROM (SELECT org_id, n AS rows, h AS root, valid AS chain_valid, broken AS broken_at, {_DOCUMENT} AS document FROM t{signed.LEVELS} JOIN v USING (org_id))""")
+def signed_export(g):
+    """The signed export of each organisation's audit events: root of their digests, verdict on the actors' chains, document, signature."""
+    rows = g.table("events").select("event_id", "user_id", F.concat_ws("|", "event_type", "props").alias("payload"))
+    stored_chain = chained(rows, "user_id", "event_id", "payload").withColumn("payload", F.when(F.col("event_id") % 997 == 5, F.concat("payload", F.lit("!"))).otherwise(F.col("payload")))
+    chains = verify_chain(stored_chain, "user_id", "event_id", "payload").withColumn("org_id", F.col("user_id") % 5)
+    texts = g.table("events").select((F.col("user_id") % 5).alias("org_id"), "event_id", audit_entry().alias("text"))
+    return signed.signed_documents(texts, chains, "org_id", "event_id", "text", _HMAC_KEY)
