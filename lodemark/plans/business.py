@@ -590,13 +590,63 @@ def scan_increment(g):
     return hashed.withColumn("before", before).groupBy("scan_id").agg(F.count("*").alias("files"), F.count_if(F.col("before") == F.col("h")).alias("skipped"))
 
 
-@query("framework_report", f"WITH {_FACTS} SELECT org_id, ['attestation', 'coverage', 'automation'][k] AS metric, round([att * 100, least(100, files / greatest(1, scans)::DOUBLE * 10), 100 * (1 - least(1, ai))][k], 6) AS value, CASE WHEN [att * 100, least(100, files / greatest(1, scans)::DOUBLE * 10), 100 * (1 - least(1, ai))][k] >= 80 THEN 'good' WHEN [att * 100, least(100, files / greatest(1, scans)::DOUBLE * 10), 100 * (1 - least(1, ai))][k] >= 50 THEN 'fair' ELSE 'poor' END AS bar FROM facts, (SELECT unnest([1, 2, 3]) AS k)")
+#: Metrics of the three frameworks' reports: label, value, whole (or null) and status, over what an organisation's dashboard holds.
+_STATUS = lambda good, warn=None: f"CASE WHEN {good} THEN 'good' WHEN {warn or 'true'} THEN 'warn' ELSE 'bad' END"
+_ATT, _AI, _RISKY = "floor(attestation_rate * 100 + 0.5)", "round(overall_ai_pct * 100, 1)", "crit + high"
+REPORTS = [
+    ("SOC2", "Attestation Rate", _ATT, "NULL", _STATUS(f"{_ATT} >= 80", f"{_ATT} >= 60")),
+    ("SOC2", "Unattested Deploys", "unattested_count", "breach_critical + breach_high", _STATUS("unattested_count = 0")),
+    ("SOC2", "Critical Files", "crit", "NULL", _STATUS("crit = 0", "crit <= 2")),
+    ("SOC2", "Scans Completed", "scan_count", "file_count", "'info'"),
+    ("EU AI Act", "Avg AI Content", _AI, "NULL", _STATUS("overall_ai_pct < 0.4", "overall_ai_pct < 0.7")),
+    ("EU AI Act", "High-Risk Systems", "machine_repos", "NULL", _STATUS("machine_repos = 0")),
+    ("EU AI Act", "Oversight Coverage", _ATT, "NULL", _STATUS(f"{_ATT} >= 70", f"{_ATT} >= 50")),
+    ("EU AI Act", "Provenance Complete", "tracked_signed", "tracked", _STATUS(f"{_RISKY} = 0")),
+    ("PCI-DSS", "Dual-Review Rate", _ATT, "NULL", _STATUS(f"{_ATT} >= 90", f"{_ATT} >= 70")),
+    ("PCI-DSS", "Repos in Scope", "repos", "NULL", "'info'"),
+    ("PCI-DSS", "AI-Flagged Changes", _RISKY, "NULL", _STATUS("crit = 0", "crit <= 2")),
+    ("PCI-DSS", "SoD Compliance", f"CASE WHEN {_RISKY} = 0 THEN 1 ELSE 0 END", "NULL", _STATUS(f"{_RISKY} = 0")),
+]
+_BOARD = f"""b AS ({registry.sql('dashboard_totals')}), tf AS (SELECT org_id, count(*) FILTER (risk = 'CRITICAL' AND NOT attested) AS crit, count(*) FILTER (risk = 'HIGH' AND NOT attested) AS high, count(*) AS tracked, count(*) FILTER (attested) AS tracked_signed FROM top_files GROUP BY 1),
+    rp AS (SELECT org_id, count(*) AS repos, count(*) FILTER (round(ai_pct, 9) > 0.5) AS machine_repos FROM repo_stats GROUP BY 1), d AS (SELECT * FROM b JOIN rp USING (org_id) JOIN tf USING (org_id))"""
+
+
+@query("framework_report", f"WITH {_BOARD} " + " UNION ALL ".join(f"SELECT org_id, '{f}' AS framework, '{n}' AS label, ({v})::DOUBLE AS value, ({w})::DOUBLE AS whole, {s} AS status FROM d" for f, n, v, w, s in REPORTS))
 def framework_report(g):
-    """Rows of a framework's report: a metric, its value and the colour of its bar."""
-    rows = org_facts(g)
-    value = {"attestation": F.col("att") * 100, "coverage": F.least(F.lit(100.0), F.col("files") / F.greatest(F.lit(1), F.col("scans")) * 10), "automation": (1 - F.least(F.lit(1.0), F.col("ai"))) * 100}
-    rows = rows.select("org_id", F.inline(F.array(*[F.struct(F.lit(k).alias("metric"), v.cast("double").alias("v")) for k, v in value.items()])))
-    return rows.select("org_id", "metric", F.round("v", 6).alias("value"), F.when(F.col("v") >= 80, "good").when(F.col("v") >= 50, "fair").otherwise("poor").alias("bar"))
+    """The four metrics of each of three frameworks' reports, with their status."""
+    from .governance import dashboard_totals
+
+    g = g.settle()
+    n = F.count_if
+    files = top_files(g).groupBy("org_id").agg(n((F.col("risk") == "CRITICAL") & ~F.col("attested")).alias("crit"), n((F.col("risk") == "HIGH") & ~F.col("attested")).alias("high"), F.count("*").alias("tracked"), n("attested").alias("tracked_signed"))
+    repos = repo_stats(g).groupBy("org_id").agg(F.count("*").alias("repos"), n(F.round("ai_pct", 9) > 0.5).alias("machine_repos"))
+    rows = dashboard_totals(g).join(repos, "org_id").join(files, "org_id")
+    metrics = F.array(*[F.struct(F.lit(f).alias("framework"), F.lit(n).alias("label"), F.expr(f"double({v})").alias("value"), F.expr(f"double({w})").alias("whole"), F.expr(s).alias("status")) for f, n, v, w, s in REPORTS])
+    return rows.select("org_id", F.inline(metrics))
+
+
+@query("framework_bars", "SELECT org_id, label, n AS count, round(n * 100 / sum(n) OVER (PARTITION BY org_id)::DOUBLE, 6) AS pct FROM (SELECT org_id, k AS label, count(*) FILTER (risk = k) AS n FROM top_files, (SELECT unnest(['CRITICAL', 'HIGH', 'MEDIUM', 'LOW']) AS k) GROUP BY 1, 2)")
+def framework_bars(g):
+    """The bars of a report: an organisation's files by risk."""
+    levels = ["CRITICAL", "HIGH", "MEDIUM", "LOW"]
+    rows = top_files(g).groupBy("org_id").agg(*[F.count_if(F.col("risk") == k).alias(k) for k in levels])
+    total = F.greatest(F.lit(1), sum((F.col(k) for k in levels), F.lit(0)))
+    return rows.select("org_id", F.inline(F.array(*[F.struct(F.lit(k).alias("label"), F.col(k).alias("count"), F.round(F.col(k) * 100 / total, 6).alias("pct")) for k in levels])))
+
+
+_CLASS = "CASE risk WHEN 'CRITICAL' THEN 'HIGH-RISK' WHEN 'HIGH' THEN 'LIMITED' WHEN 'MEDIUM' THEN 'MINIMAL' ELSE 'EXEMPT' END"
+
+
+@query("framework_rows", f"""SELECT org_id, scan_id, file_path, split_part(file_path, '/', -1) AS file, split_part(repo, '/', -1) AS repo, '#' || pr_number AS pr, round(ai * 100, 1) AS ai_pct, risk, coalesce(attested_by::VARCHAR, '—') AS reviewer, coalesce(strftime(attested_at, '%Y-%m-%d'), '—') AS attested_at,
+    CASE WHEN attested THEN 'ATTESTED' ELSE 'PENDING' END AS soc2_status, {_CLASS} AS classification, CASE WHEN attested THEN 'Reviewed' ELSE 'REQUIRED' END AS oversight, CASE WHEN attested THEN 'Complete' ELSE 'Incomplete' END AS provenance, CASE WHEN attested THEN 'YES' ELSE 'PENDING' END AS cleared FROM top_files""")
+def framework_rows(g):
+    """The rows of the three frameworks' reports: one for each file of a latest scan, with the columns of all three."""
+    word = lambda yes, no: F.when(F.col("attested"), yes).otherwise(no)
+    return top_files(g).select(
+        "org_id", "scan_id", "file_path", F.substring_index("file_path", "/", -1).alias("file"), F.substring_index("repo", "/", -1).alias("repo"), F.concat(F.lit("#"), "pr_number").alias("pr"), F.round(F.col("ai") * 100, 1).alias("ai_pct"), "risk",
+        F.coalesce(F.col("attested_by").cast("string"), F.lit("—")).alias("reviewer"), F.coalesce(F.date_format("attested_at", "yyyy-MM-dd"), F.lit("—")).alias("attested_at"),
+        word("ATTESTED", "PENDING").alias("soc2_status"), F.expr(_CLASS).alias("classification"), word("Reviewed", "REQUIRED").alias("oversight"), word("Complete", "Incomplete").alias("provenance"), word("YES", "PENDING").alias("cleared"),
+    )
 
 
 _SCAN_FILES = f"""nb AS ({registry.sql('nb_score')}), att AS ({registry.sql('attribution_posterior')}), k AS ({registry.sql('code_risks')}), f AS (SELECT doc_id, path, doc_id // 7 AS scan_id, len(string_split(text, chr(10))) AS lines, lang = '' AS skip FROM ({_FILES})),
