@@ -96,10 +96,13 @@ def evidence_strength(g):
     UNION ALL SELECT org_id, 'A1.2', CASE WHEN broken = 0 THEN 'pass' ELSE 'fail' END, CASE WHEN broken = 0 THEN 100 ELSE 0 END FROM c)
     SELECT org_id, control, status, round(score::DOUBLE, 6) AS score, floor(avg(score) OVER (PARTITION BY org_id) + 0.5)::BIGINT AS overall FROM e""")
 def soc2_controls(g):
-    """Five controls with status and score, and their mean; the audit chain counts as broken by altered entries."""
+    """Five controls with status and score, and their mean; the last is the verdict on the audit chains, some entries of which were altered."""
     from .governance import evidence_counts
 
-    events = g.table("events").groupBy((F.col("user_id") % 5).alias("org_id")).agg(F.count("*").alias("n_events"), F.count_if(F.expr("event_id % 9973 = 0 and event_id > 0")).alias("broken"))
+    linked = chained(g.table("events").select("user_id", "event_id", F.concat_ws("|", "event_type", "props").alias("payload")), "user_id", "event_id", "payload")
+    altered = linked.withColumn("payload", F.when(F.expr("event_id % 9973 = 0 and event_id > 0"), F.concat("payload", F.lit("!"))).otherwise(F.col("payload")))
+    chains = verify_chain(altered, "user_id", "event_id", "payload")
+    events = chains.groupBy((F.col("user_id") % 5).alias("org_id")).agg(F.sum("entries").alias("n_events"), F.count_if(~F.col("valid")).alias("broken"))
     c = evidence_counts(g).join(events, "org_id", "left").fillna(0)
     n, o, a = F.col("n_scans"), F.col("n_open"), F.col("n_att")
     control = lambda name, status, score: F.struct(F.lit(name).alias("control"), status.alias("status"), score.cast("double").alias("score"))

@@ -126,7 +126,8 @@ def baseline_ema(g):
 
 
 
-# Package, first vulnerable version (or none) and first fixed one, severity.
+#: Ranges that a caller passes, for packages of the test tables: first vulnerable version (or none), first fixed one, severity.
+#: The surveyed ranges are those of ``business.VULNERABLE``.
 CVE_RANGES = [("small ring", None, "12.2.3", "high"), ("red widget", "10.0.0", "20.0.0", "critical"), ("blue gear", None, "30.1.0", "medium"), ("steel bolt", "5.0.0", "45.2.2", "high"), ("large bolt", None, "25.0.0", "low")]
 
 

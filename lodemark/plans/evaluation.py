@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
+from ..operators import authorship
+from .code import _FILES, code_files
 from .registry import query
 
 #: The score under test: the share of signs in a text, times ten, at most 1. The label is low quality.
@@ -84,19 +86,21 @@ def threshold_search(g):
     return best.select((F.col("b.k") / -20.0).alias("threshold"), F.round("b.f1", 8).alias("f1"))
 
 
-#: Signals tested for how well they tell the classes apart: name and pattern.
-SIGNALS = {"pipes": r"\|", "hashes": "###", "token": "token = ", "phone": r"\+[0-9]"}
-
-
+#: A signal fires from this value on.
+FIRES = 0.15
 _RATE = "CASE WHEN fp = 0 THEN CASE WHEN tp > 0 THEN 99 ELSE 1 END ELSE (tp / greatest(1, bad)::DOUBLE) / (fp / greatest(1, good)::DOUBLE) END"
+_VALUES = authorship.counted_sql(f"SELECT doc_id AS id, text, lang, len(string_split(text, chr(10))) AS lines FROM ({_FILES})", authorship.PORTABLE)
 
 
-@query("signal_likelihood", "WITH d AS (SELECT text, 1 - quality AS y FROM documents JOIN labels USING (doc_id)), c AS (" + " UNION ALL ".join(f"SELECT '{k}' AS signal, count(*) FILTER (y = 1 AND regexp_matches(text, '{p}')) AS tp, count(*) FILTER (y = 0 AND regexp_matches(text, '{p}')) AS fp, count(*) FILTER (y = 1) AS bad, count(*) FILTER (y = 0) AS good FROM d" for k, p in SIGNALS.items()) + f") SELECT signal, round(tp / greatest(1, bad)::DOUBLE, 8) AS fires_bad, round(fp / greatest(1, good)::DOUBLE, 8) AS fires_good, round({_RATE}, 6) AS likelihood_ratio FROM c")
+@query("signal_likelihood", f"WITH s AS MATERIALIZED ({_VALUES}), d AS (SELECT s.*, 1 - quality AS y FROM s JOIN labels ON id = doc_id), c AS (" + " UNION ALL ".join(f"""SELECT '{k}' AS signal, count(*) FILTER (y = 1 AND "{k}" > {FIRES}) AS tp, count(*) FILTER (y = 0 AND "{k}" > {FIRES}) AS fp, count(*) FILTER (y = 1) AS bad, count(*) FILTER (y = 0) AS good FROM d""" for k in authorship.PORTABLE) + f") SELECT signal, round(tp / greatest(1, bad)::DOUBLE, 8) AS fires_bad, round(fp / greatest(1, good)::DOUBLE, 8) AS fires_good, round({_RATE}, 6) AS likelihood_ratio FROM c")
 def signal_likelihood(g):
-    """Fire rates of each signal among bad and good rows, and their ratio (99 if it fires on bad ones only)."""
+    """Fire rates of each portable signal among bad and good files, and their ratio (99 if it fires on bad ones only)."""
     y = F.col("y")
-    rows = g.table("documents").select("doc_id", *[F.col("text").rlike(p).alias(k) for k, p in SIGNALS.items()]).join(g.table("labels").select("doc_id", (1 - F.col("quality")).alias("y")), "doc_id")
-    counts = F.array(*[F.struct(F.lit(k).alias("signal"), F.count_if((y == 1) & F.col(k)).alias("tp"), F.count_if((y == 0) & F.col(k)).alias("fp")) for k in SIGNALS])
+    files = code_files(g).select(F.col("doc_id").alias("id"), F.col("content").alias("text"), "lang").withColumn("lines", F.size(F.split("text", "\n")))
+    rows = authorship.counted(files, [s for s in authorship.SIGNALS if s.name in authorship.PORTABLE])
+    labels = g.table("labels").select(F.col("doc_id").alias("id"), (1 - F.col("quality")).alias("y"))
+    rows = rows.select("id", *[(F.round(f"`{k}`", 8) > FIRES).alias(k) for k in authorship.PORTABLE]).join(labels, "id")
+    counts = F.array(*[F.struct(F.lit(k).alias("signal"), F.count_if((y == 1) & F.col(f"`{k}`")).alias("tp"), F.count_if((y == 0) & F.col(f"`{k}`")).alias("fp")) for k in authorship.PORTABLE])
     rows = rows.agg(counts.alias("x"), F.greatest(F.lit(1), F.count_if(y == 1)).alias("bad"), F.greatest(F.lit(1), F.count_if(y == 0)).alias("good")).select("bad", "good", F.inline("x"))
     bad, good = F.col("tp") / F.col("bad"), F.col("fp") / F.col("good")
     ratio_ = F.when(F.col("fp") > 0, bad / good).when(F.col("tp") > 0, 99.0).otherwise(1.0)
