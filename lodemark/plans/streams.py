@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.checkpoint import shared_folder
-from ..streaming import events
+from ..streaming import events, snooze
 from .registry import query
 
 
@@ -103,3 +103,14 @@ def stream_late_rows(g):
         rows.where(arrival == k).coalesce(1).write.mode("append").parquet(folder)
     kept, late = events.split_late(events.source(g.spark, folder, 1).select("event_id", "ts"), "event_id bigint, ts timestamp")
     return rows.join(kept, "event_id", "left_anti").select("event_id", F.lit(late).cast("long").alias("counted"))
+
+
+@query("stream_snoozed_alerts")
+def stream_snoozed_alerts(g):
+    """Alerts that open, sleep and wake by event-time timers, up to ten minutes before the last event."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = g.spark.conf.get(name)
+    try:
+        return events.run_once(snooze.alerts(log(g)))
+    finally:
+        g.spark.conf.set(name, before)
