@@ -1,13 +1,11 @@
-"""Single-assignment form of functions: flow between lines, dominators, joins, versions, taint.
+"""Single-assignment form of functions: dominators, joins, versions and taint over the graph of their statements.
 
-Each function is a graph of its lines; a graph is as small as a function, so it is worked out in
-Python, file by file in Arrow batches. A version is written name.number; a join (φ) gives a name
-a new version where different ones meet.
+A graph (``flow``) is as small as a function, so it is worked out in Python, file by file in
+Arrow batches. A version is written name.number; a join (φ) gives a name a new version where different ones meet.
 """
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 
 import pyarrow as pa
@@ -15,51 +13,6 @@ from pyspark.sql import DataFrame
 
 from .structure import _ASSIGN, _NAME, _SINK, _SOURCE, CONFIDENCE
 
-_HEAD = re.compile(r"(?:\}\s*)?(?:else\s+)?(if|for|while)\b.*\{\s*$")
-_ELSE, _END = re.compile(r"\}\s*else\b"), re.compile(r"(?:return|throw|break|continue)\b")
-#: Braces deeper than this are read as straight lines.
-DEEPEST = 200
-
-
-def flow(lines: list[str]) -> dict[int, set[int]]:
-    """For each line the lines that may run next; the first line is the entry."""
-    after: dict[int, set[int]] = defaultdict(set)
-
-    def run(i: int, before: set[int], depth: int) -> tuple[int, set[int]]:
-        while i < len(lines):
-            text = lines[i].strip()
-            if text.startswith("}") and depth:
-                return i, before
-            for p in before:
-                after[p].add(i)
-            head = _HEAD.match(text) if depth < DEEPEST else None
-            if head and head[1] == "if":
-                outs, at, otherwise = set(), i, True
-                while otherwise:
-                    j, ends = run(at + 1, {at}, depth + 1)
-                    outs |= ends
-                    text = lines[j].strip() if j < len(lines) else ""
-                    otherwise = bool(_ELSE.match(text))
-                    if otherwise:
-                        after[at].add(j)
-                        at, plain = j, not _HEAD.match(text)
-                        if plain:
-                            j, ends = run(at + 1, {at}, depth + 1)
-                            outs, at, otherwise = outs | ends, None, False
-                before, i = outs | ({at} if at is not None else set()), j + 1
-            elif head:
-                j, ends = run(i + 1, {i}, depth + 1)
-                for p in ends:
-                    after[p].add(i)
-                before, i = {i}, j + 1
-            else:
-                before = set() if _END.match(text) else {i}
-                i += 1
-        return i, before
-
-    run(0, set(), 0)
-    return after
-
 
 def dominators(after: dict[int, set[int]], entry: int = 0) -> tuple[dict[int, int], dict[int, set[int]]]:
     """The nearest dominator of each line that is reached, and each line's frontier."""
@@ -103,10 +56,13 @@ def dominators(after: dict[int, set[int]], entry: int = 0) -> tuple[dict[int, in
     return near, frontier
 
 
-def converted(body: str, first: int = 1) -> dict:
+def converted(body: str, lang: str = "typescript", first: int = 1) -> dict:
     """Blocks, joins, versions and taint paths of a function whose first line has number ``first``."""
-    lines = body.split("\n")
-    after = flow(lines)
+    from .flow import graph
+
+    g = graph(body, lang)
+    lines, after = [text for _, text in g.nodes], g.after
+    number = [line for line, _ in g.nodes]
     near, frontier = dominators(after)
     sets = {n: m for n in near if (m := _ASSIGN.match(lines[n]))}
     joins: dict[int, set[str]] = defaultdict(set)
@@ -155,7 +111,7 @@ def converted(body: str, first: int = 1) -> dict:
         sink = _SINK.search(lines[n])
         if sink:
             used = set(_NAME.findall(sink[2]))
-            paths += [(sink[1], source[v] + first, n + first, v) for v in uses[n] if v in source and v.rsplit(".", 1)[0] in used]
+            paths += [(sink[1], number[source[v]] + first, number[n] + first, v) for v in uses[n] if v in source and v.rsplit(".", 1)[0] in used]
     back = defaultdict(int)
     for n in near:
         for b in after.get(n, ()):
@@ -181,7 +137,7 @@ def ssa_paths(files: DataFrame) -> DataFrame:
             rows = []
             for path, text, lang in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for n, body in enumerate(bodies(text or "", lang or "")):
-                    form = converted(body)
+                    form = converted(body, lang or "")
                     head = (path, n, form["blocks"], len(form["joins"]), form["versions"])
                     rows += [(*head, *p, CONFIDENCE) for p in form["paths"]] or [(*head, None, None, None, None, None)]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
