@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodemark.functions import scalars
-from lodemark.operators import authorship, bayes, detectors, iterate, relational, signals, ssa, structure
+from lodemark.operators import authorship, bayes, detectors, flow, iterate, relational, signals, ssa, structure
 from lodemark.plans import samples
 from lodemark.sources import formats
 from lodemark.sources.governance import quarantine, tenant
