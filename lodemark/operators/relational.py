@@ -34,9 +34,12 @@ def delta_merge(previous: DataFrame, changed: DataFrame, keys: list[str]) -> Dat
     return changed.unionByName(previous.join(changed.select(*keys), keys, "left_anti"))
 
 
-def upsert(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The table after an insert-or-replace by key; of repeated keys in ``rows`` any one stays."""
-    return delta_merge(table, rows.dropDuplicates(keys), keys)
+def upsert(table: DataFrame, rows: DataFrame, keys: list[str], newest: str | None = None) -> DataFrame:
+    """The table after an insert-or-replace by key; of repeated keys in ``rows`` the one with the largest ``newest`` stays, of equals (or without it) the largest row."""
+    rest = [c for c in rows.columns if c not in keys]
+    order = F.struct(*([newest] if newest else []), *rest)
+    picked = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_row")).select(*keys, "_row.*").select(*rows.columns) if rest else rows.distinct()
+    return delta_merge(table, picked, keys)
 
 
 def insert_once(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:

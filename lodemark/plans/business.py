@@ -16,6 +16,7 @@ from .governance import repo_stats, top_files
 from .registry import query
 from .samples import SNIPPETS
 from .scores import _FACTS, _NOW, FRAMEWORKS, _DOUBLE, now, org_facts
+from .sources import tree_sql
 
 
 @query("dominant_risk", "SELECT repo, risk, n, round(n / total::DOUBLE, 8) AS share, n / total::DOUBLE >= 0.6 AS dominates FROM (SELECT repo, risk, count(*) AS n, sum(count(*)) OVER (PARTITION BY repo) AS total, row_number() OVER (PARTITION BY repo ORDER BY count(*) DESC, risk) AS k FROM scan_files GROUP BY 1, 2) WHERE k = 1")
@@ -676,11 +677,11 @@ def scan_report(g):
     return out.withColumn("top_kinds", F.array_join("top_kinds", ",")).select(*[F.round(c, 6).alias(c) if c in ("ai", "scan_quality", *(f"p{p}" for p in rollup.PERCENTILES)) else c for c in [*out.columns]])
 
 
-_TREE = ", ".join(f"t{k} AS (SELECT org_id, id // {signed.FAN} AS id, sha256(string_agg(h, chr(10) ORDER BY id)) AS h, CAST(sum(n) AS BIGINT) AS n FROM t{k - 1} GROUP BY 1, id // {signed.FAN})" for k in range(1, signed.LEVELS + 1))
+_TREE = tree_sql(f"SELECT user_id % 5 AS org_id, event_id AS id, sha256({_ENTRY}) AS h, 1 AS n FROM events")
 _DOCUMENT = """'{"org_id":' || org_id || ',"event_count":' || n || ',"chain_valid":' || valid || CASE WHEN broken IS NULL THEN '' ELSE ',"broken_at":' || broken END || ',"root":"' || h || '"}'"""
 
 
-@query("signed_export", f"""WITH t0 AS (SELECT user_id % 5 AS org_id, event_id AS id, sha256({_ENTRY}) AS h, 1 AS n FROM events), {_TREE}, v AS (SELECT user_id % 5 AS org_id, count(*) FILTER (event_id % 997 = 5) = 0 AS valid, min(event_id) FILTER (event_id % 997 = 5) AS broken FROM events GROUP BY 1)
+@query("signed_export", f"""WITH {_TREE}, v AS (SELECT user_id % 5 AS org_id, count(*) FILTER (event_id % 997 = 5) = 0 AS valid, min(event_id) FILTER (event_id % 997 = 5) AS broken FROM events GROUP BY 1)
     SELECT org_id, rows, root, chain_valid, broken_at, document, sha256(unhex('{_OUTER}') || unhex(sha256(unhex('{_INNER}') || document::BLOB))) AS signature FROM (SELECT org_id, n AS rows, h AS root, valid AS chain_valid, broken AS broken_at, {_DOCUMENT} AS document FROM t{signed.LEVELS} JOIN v USING (org_id))""")
 def signed_export(g):
     """The signed export of each organisation's audit events: root of their digests, verdict on the actors' chains, document, signature."""

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import hashlib
-
-import pyarrow as pa
 from pyspark.sql import functions as F
 
+from ..operators import signed
 from ..sources import formats
 from .governance import top_files
 from .registry import query
@@ -22,32 +20,24 @@ def csv_export(g):
     return rows.select(formats.csv_line("scan_id", "file_path", "what", "repo").alias("line"))
 
 
-@query("json_export", "SELECT org_id, count(*) AS count, sha256(string_agg(scan_id || ':' || file_path, ',' ORDER BY scan_id, file_path)) AS digest FROM attestations WHERE risk = 'CRITICAL' AND attested_at >= TIMESTAMP '2001-06-01' GROUP BY 1")
-def json_export(g):
-    """Size and digest of the JSON export's rows; :func:`formats.json_document` writes it.
+def tree_sql(first: str) -> str:
+    """The digests of a signed tree in SQL, ``t0`` being ``first`` (org_id, id, h, n)."""
+    levels = [f"t{k} AS (SELECT org_id, id // {signed.FAN} AS id, sha256(string_agg(h, chr(10) ORDER BY id, h)) AS h, CAST(sum(n) AS BIGINT) AS n FROM t{k - 1} GROUP BY 1, id // {signed.FAN})" for k in range(1, signed.LEVELS + 1)]
+    return f"t0 AS ({first}), " + ", ".join(levels)
 
-    An organisation's sorted rows pass through one digest; none of them are held.
-    """
 
-    def digest(batches):
-        last, n, sha, out = None, 0, None, []
-        for batch in batches:
-            for org, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if org != last or sha is None:
-                    if sha is not None:
-                        out.append((last, n, sha.hexdigest()))
-                    last, n, sha = org, 0, hashlib.sha256()
-                sha.update((("," if n else "") + text).encode())
-                n += 1
-        if sha is not None:
-            out.append((last, n, sha.hexdigest()))
-        if out:
-            orgs, counts, digests = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(orgs, pa.int64()), pa.array(counts, pa.int64()), pa.array(digests, pa.string())], ["org_id", "count", "digest"])
+_EXPORTED = "SELECT org_id, scan_id AS id, sha256(scan_id || ':' || file_path) AS h, 1 AS n FROM attestations WHERE risk = 'CRITICAL' AND attested_at >= TIMESTAMP '2001-06-01'"
+
 
+@query("json_export", f"WITH {tree_sql(_EXPORTED)} SELECT org_id, n AS count, h AS digest FROM t{signed.LEVELS}")
+def json_export(g):
+    """Size and digest of the rows of each organisation's JSON export; the digest is a tree's root, so no organisation is one task.
+
+    :func:`formats.json_document` writes the document.
+    """
     rows = g.attestations.where("risk = 'CRITICAL' and attested_at >= timestamp_ntz'2001-06-01'")
-    rows = rows.select(F.col("org_id").cast("long"), "scan_id", "file_path").repartition("org_id").sortWithinPartitions("org_id", "scan_id", "file_path")
-    return rows.select("org_id", F.concat_ws(":", "scan_id", "file_path")).mapInArrow(digest, "org_id long, count long, digest string")
+    rows = rows.select("org_id", "scan_id", F.concat_ws(":", "scan_id", "file_path").alias("text"))
+    return signed.tree_root(rows, "org_id", "scan_id", "text").select("org_id", F.col("rows").alias("count"), F.col("root").alias("digest"))
 
 
 @query("sarif_results", "SELECT repo, file_path, indicator AS rule, CASE WHEN risk IN ('CRITICAL', 'HIGH') THEN 'error' WHEN risk = 'MEDIUM' THEN 'warning' ELSE 'note' END AS level, greatest(1, line_count - 30)::BIGINT AS line FROM (SELECT *, unnest(indicators) AS indicator FROM top_files)")
@@ -102,3 +92,25 @@ def git_log(g):
     lines = g.table("events").select("event_id", F.concat_ws("|", F.sha2(F.col("event_id").cast("string"), 256), "user_id", F.concat(F.col("user_id").cast("string"), F.lit("@x")), F.unix_micros(F.col("ts").cast("timestamp")), F.when(F.col("value") > 10, "G").otherwise("N"), F.concat_ws(" | ", "event_type", "props")).alias("line"))
     c = formats.commit(F.col("line"))
     return lines.select("event_id", c["name"].cast("long").alias("author"), F.timestamp_micros(c["ts"].cast("long")).cast("timestamp_ntz").alias("ts"), c["subject"].alias("subject"), (c["gpg"] == "G").alias("signed"))
+
+
+@query("sarif_document", """WITH f AS (SELECT scan_id, file_path, risk, line_count, unnest(indicators) AS id FROM top_files) SELECT scan_id AS report, to_json({'version': '2.1.0', 'runs': [{'tool': {'driver': {'name': 'lodemark', 'rules': list_sort(list(DISTINCT {'id': id, 'shortDescription': {'text': lower(id)}}))}},
+    'results': list_sort(list({'ruleId': id, 'level': CASE WHEN risk IN ('CRITICAL', 'HIGH') THEN 'error' WHEN risk = 'MEDIUM' THEN 'warning' ELSE 'note' END, 'message': {'text': lower(id)}, 'locations': [{'physicalLocation': {'artifactLocation': {'uri': file_path}, 'region': {'startLine': greatest(1, line_count - 30)::BIGINT}}}]}))}]})::VARCHAR AS document FROM f GROUP BY 1""")
+def sarif_document(g):
+    """The 2.1.0 document of each repository's latest scan."""
+    rows = top_files(g).select(F.col("scan_id").alias("report"), F.col("file_path").alias("path"), F.explode("indicators").alias("id"), F.col("risk").alias("severity"), (F.col("line_count") - 30).alias("line"))
+    return formats.sarif(rows.withColumn("label", F.lower("id")))
+
+
+@query("go_modules", "SELECT p_partkey, 'github.com/x/' || split_part(p_name, ' ', 2) AS name, p_size || '.2.0' AS version FROM part UNION ALL SELECT p_partkey, 'golang.org/y', '1.' || p_size || '.0-rc1' FROM part")
+def go_modules(g):
+    """Modules and versions of go.mod files, from blocks and single lines."""
+    content = F.concat(F.lit("module m\nrequire (\n\tgithub.com/x/"), F.element_at(F.split("p_name", " "), 2), F.lit(" v"), "p_size", F.lit(".2.0\n)\nrequire golang.org/y v1."), "p_size", F.lit(".0-rc1 // indirect"))
+    return g.table("part").select("p_partkey", F.inline(formats.go_modules(content)))
+
+
+@query("json_documents", "WITH a AS (SELECT scan_id, file_path, risk FROM attestations WHERE risk = 'CRITICAL' AND org_id = 1 ORDER BY scan_id, file_path LIMIT 10000) SELECT to_json({'exported_at': '2001-08-02', 'count': count(*), 'data': list_sort(list({'scan_id': scan_id, 'file_path': file_path, 'risk': risk}))})::VARCHAR AS document FROM a")
+def json_documents(g):
+    """The JSON export of one organisation's critical sign-offs, 10,000 rows at most (the export's own limit)."""
+    rows = g.attestations.where("risk = 'CRITICAL' and org_id = 1").select("scan_id", "file_path", "risk")
+    return formats.json_document(rows.orderBy("scan_id", "file_path").limit(10_000), "2001-08-02")

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-import hmac
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,14 +27,8 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def json_document(df: DataFrame, exported_at: str) -> DataFrame:
-    """One row with {exported_at, count, data}; for exports within their row limit only."""
-    return df.agg(F.to_json(F.struct(F.lit(exported_at).alias("exported_at"), F.count("*").alias("count"), F.collect_list(F.struct(*df.columns)).alias("data"))).alias("document"))
-
-
-def sign(document: str, key: bytes) -> str:
-    """HMAC-SHA256 of a document's canonical JSON (sorted keys), on the driver: one small text."""
-    canonical = json.dumps(json.loads(document), sort_keys=True, separators=(",", ":"))
-    return hmac.new(key, canonical.encode(), hashlib.sha256).hexdigest()
+    """One row with {exported_at, count, data}, the rows in order; for exports within their row limit only."""
+    return df.agg(F.to_json(F.struct(F.lit(exported_at).alias("exported_at"), F.count("*").alias("count"), F.array_sort(F.collect_list(F.struct(*df.columns))).alias("data"))).alias("document"))
 
 
 def sarif_level(risk: Column) -> Column:

@@ -264,7 +264,7 @@ def test_formats(spark):
     document = json.loads(formats.sarif(report).first()["document"])["runs"][0]
     assert len(document["tool"]["driver"]["rules"]) == 1 and {x["level"] for x in document["results"]} == {"error", "note"}
     exported = formats.json_document(spark.range(2), "2001-01-01").first()[0]
-    assert json.loads(exported)["count"] == 2 and formats.sign(exported, b"k") == formats.sign(exported, b"k") != formats.sign(exported, b"l")
+    assert json.loads(exported)["count"] == 2
 
 
 def test_webhooks(spark):
