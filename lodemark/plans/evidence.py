@@ -141,3 +141,20 @@ def code_metrics(g):
     from .code import code_files
 
     return structure.measured(code_files(g))
+
+
+#: (path around the id, skip, generated, test)
+FILES = [("src/a", ".ts", False, False, False), ("src/a", ".test.tsx", False, False, True), ("conf/a", ".JSON", True, False, False), ("gen/a", "_pb.js", True, True, False), ("types/a", ".d.ts", True, True, False), ("pkg/a", "_test.go", False, False, True), ("tests/test_a", ".py", False, False, True), ("app/A", "Test.java", False, False, True), ("x/a", ".generated.ts", True, True, False), ("bin/a", "", False, False, False), ("doc/a", ".md", True, False, False), ("lib/a", ".min.js", True, True, False)]
+_TYPES = "(VALUES " + ", ".join(f"({k}, '{a}', '{b}', {s}, {gen}, {t})" for k, (a, b, s, gen, t) in enumerate(FILES)) + ") e(k, a, b, skip, generated, test)"
+
+
+@query("file_types", f"""SELECT doc_id, a || doc_id || b AS path, skip, generated, test, CASE WHEN test THEN 0.08::DOUBLE ELSE 0::DOUBLE END AS bias, NOT skip AND length(trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11))) >= 50 AS scanned,
+    sha256(coalesce(text, '')) AS content_hash, len(string_split(coalesce(text, ''), chr(10)))::INT AS line_count FROM documents JOIN {_TYPES} ON doc_id % {len(FILES)} = k""")
+def file_types(g):
+    """What decides on a file's scan: skipped, generated and test files by path, short texts, hash and lines of the whole text."""
+    from ..operators import filetype
+
+    pick = lambda n: F.element_at(F.array(*[F.lit(x[n]) for x in FILES]), (F.col("doc_id") % len(FILES) + 1).cast("int"))
+    rows = g.table("documents").select("doc_id", F.concat(pick(0), "doc_id", pick(1)).alias("path"), F.coalesce("text", F.lit("")).alias("text"))
+    found = filetype.file_type(F.col("path"))
+    return rows.select("doc_id", "path", found.alias("t"), filetype.scanned(F.col("path"), F.col("text")).alias("scanned"), F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"), F.size(F.split("text", "\n")).alias("line_count")).select("doc_id", "path", "t.*", "scanned", "content_hash", "line_count")
