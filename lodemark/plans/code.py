@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.checkpoint import stored
 from ..operators import authorship, bayes, detectors, rules, signals, source
 from .registry import query
 from .samples import CODE, SNIPPETS
@@ -196,3 +197,22 @@ def ssa_paths(g):
     from ..operators import ssa
 
     return ssa.ssa_paths(code_files(g))
+
+
+@query("file_report")
+def file_report(g):
+    """One result a file: type, hash, share, risk, findings, model, measures, paths of input; short and unscored files have empty ones."""
+    from ..operators import evidence, filetype
+
+    files = code_files(g)
+    kind = filetype.file_type(F.col("path"))
+    rows = files.select("doc_id", "path", evidence.language(F.col("path")).alias("language"), kind["test"].alias("test"), filetype.scanned(F.col("path"), F.col("content")).alias("scanned"), F.sha2(F.col("content").cast("binary"), 256).alias("content_hash"), F.size(F.split("content", "\n")).alias("lines"))
+    risk = code_risk(g).select("path", "ai", "risk", "indicators")
+    severities = detectors.findings(files).groupBy("path").agg(*[F.count_if(F.col("severity") == s).alias(s) for s in ("critical", "high", "medium", "low")])
+    found = source.facts(files).select("path", "measures.*", F.size(F.filter("flows", lambda x: (x["origin"] != "param") & ~x["target"].startswith("call:"))).alias("input_paths"))
+    model = rules.attribution(files.select("path", F.col("content").alias("text"), "lang")).select("path", "model", "confidence")
+    for part in (risk, severities, found, model):
+        rows = rows.join(stored(part, "file-report"), "path", "left")
+    empty = {"ai": 0.0, "risk": "LOW", "model": "unknown", "confidence": 0.0} | dict.fromkeys(["indicators", "critical", "high", "medium", "low", "input_paths"], 0) | dict.fromkeys([c for c in found.columns if c not in ("path", "input_paths")], 0)
+    shown = lambda c: F.when(F.col("scanned"), F.coalesce(F.col(c), F.lit(empty[c]))).otherwise(F.lit(empty[c])).alias(c)
+    return rows.select("doc_id", "path", "language", "test", "scanned", "content_hash", "lines", *map(shown, empty))

@@ -137,3 +137,19 @@ def test_empty_and_null_files(spark):
     means = callgraph.callees(facts, modules.uses(facts))
     assert callgraph.Taint(facts, means).paths().count() == 0
     assert iterate.reach(modules.edges(modules.resolved(facts)), facts.selectExpr("path as node")).count() == 2
+
+
+def test_file_report_holds_the_parts(spark):
+    from lodemark.plans import registry
+
+    sf, q = "/root/testdata/sf0.001", registry.queries()
+    got = {r["path"]: r for r in q["file_report"](spark, sf).collect()}
+    risk = {r["path"]: r for r in q["code_risk"](spark, sf).collect()}
+    models = {r["path"]: r for r in q["attribution_posterior"](spark, sf).collect()}
+    assert got.keys() == risk.keys()
+    for path, r in got.items():
+        if r["scanned"]:
+            assert (r["risk"], r["indicators"], r["model"]) == (risk[path]["risk"], risk[path]["indicators"], models[path]["model"]) and r["ai"] == pytest.approx(risk[path]["ai"])
+        else:
+            assert (r["ai"], r["risk"], r["model"], r["functions"], r["critical"]) == (0.0, "LOW", "unknown", 0, 0)
+    assert {r["scanned"] for r in got.values()} == {True, False}
