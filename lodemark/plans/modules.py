@@ -275,3 +275,16 @@ def near_guards(findings, lines, before: int = 20, after: int = 5):
     inside = (F.col("path") == F.col("p")) & (F.col("b") == F.col("bucket")) & (F.col("at") > F.col("line") - before) & (F.col("at") <= F.col("line") + after)
     seen = places.join(marks, inside).groupBy("path", "line").agg(F.bool_or("guards").alias("auth"), F.bool_or("limits").alias("slow"))
     return findings.join(seen, ["path", "line"], "left").fillna(False, ["auth", "slow"])
+
+
+_KINDS = list(PROFILES)
+_WEAK = f"{_KINDS!r}[p_partkey % {len(_KINDS)} + 1]"
+
+
+@query("exploitability", f"WITH b(id, base) AS (VALUES {_BASES}), r AS (SELECT p_partkey, {_WEAK} AS id, {list(REACHED)!r}[p_partkey % 4 + 1] AS reach, p_size FROM part) SELECT p_partkey, id, round(least(10.0, base * {_FACTOR} * CASE WHEN p_size % 2 = 0 THEN 0.7 ELSE 1 END::DOUBLE * CASE WHEN p_size % 3 = 0 THEN 0.85 ELSE 1 END::DOUBLE), 8) AS score FROM r JOIN b USING (id)")
+def exploitability(g):
+    """Score of a weakness of each kind by its vector's base, reach, authentication and rate limit."""
+    of = lambda values, n: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("p_partkey") % n + 1).cast("int"))
+    base = of([base_score(PROFILES[k]) for k in _KINDS], len(_KINDS))
+    score = base * of(list(REACHED.values()), 4) * F.when(F.col("p_size") % 2 == 0, 0.7).otherwise(1.0) * F.when(F.col("p_size") % 3 == 0, 0.85).otherwise(1.0)
+    return g.table("part").select("p_partkey", of(_KINDS, len(_KINDS)).alias("id"), F.round(F.least(F.lit(10.0), score), 8).alias("score"))
