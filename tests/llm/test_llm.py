@@ -643,7 +643,7 @@ def test_query_sql(spark, name, tmp_path):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in llm_queries.queries()) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in llm_queries.queries()) == list(range(1, 14))
 
 
 def test_pipeline(spark):
