@@ -159,9 +159,22 @@ def loops(pattern: str) -> str:
     return pattern
 
 
+def last_words(pattern: str) -> tuple[str, ...]:
+    """Alternatives of the last literal of a pattern's matches, in lower case; none if it has no literal."""
+    _, wanted = needs(pattern)
+    words = [w for w in wanted if min(map(len, w)) > 2] or wanted
+    return tuple(x.lower() for x in words[-1]) if words else ()
+
+
 def found_any(text: Column, patterns: list[str], lowered: Column | None = None) -> Column:
-    """Whether one of Java's own patterns matches somewhere in the text."""
-    return _any([worth(text, p, lowered) for p in patterns]) & text.rlike(one_of([loops(tempered(p)) for p in patterns]))
+    """Whether one of Java's own patterns matches somewhere in the text, asked only if it holds the last literal of one."""
+    test = text.rlike(one_of([loops(tempered(p)) for p in patterns]))
+    words = [last_words(p) for p in patterns]
+    if not all(words):
+        return test
+    low = F.lower(text) if lowered is None else lowered
+    held = F.array(*[F.lit(x) for x in dict.fromkeys(x for w in words for x in w)])
+    return F.exists(held, lambda x: F.contains(low, x)) & test
 
 
 def counted(text: Column, pattern: str) -> Column:

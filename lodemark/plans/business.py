@@ -658,7 +658,7 @@ _SCAN_FILES = f"""nb AS ({registry.sql('nb_score')}), att AS ({registry.sql('att
     m AS (SELECT scan_id, max(n) AS top FROM (SELECT scan_id, model, count(*) AS n FROM a WHERE confidence >= 0.40 AND model NOT IN ('human', 'unknown') GROUP BY 1, 2) GROUP BY 1),
     s AS (SELECT scan_id, count(*) FILTER (severity = 'critical') AS c, count(*) FILTER (severity = 'high') AS h, count(*) FILTER (severity = 'medium') AS md, count(*) FILTER (severity = 'low') AS l FROM f JOIN k USING (path) GROUP BY 1),
     t AS (SELECT scan_id, list(kind ORDER BY n DESC, kind)[1:3] AS kinds FROM (SELECT scan_id, kind, count(*) AS n FROM f JOIN k USING (path) GROUP BY 1, 2) GROUP BY 1),
-    r AS (SELECT scan_id, count(*) AS files, count(*) FILTER (scorable) AS scorable, sum(ai * lines) / sum(lines) AS mean, {', '.join(f'round(quantile_cont(ai, {p / 100}) FILTER (scorable), 6) AS p{p}' for p in rollup.PERCENTILES)}, count(*) FILTER (scorable AND ai > 0.65) AS hi, count(*) FILTER (scorable AND ai < 0.25) AS lo, coalesce(avg(quality) FILTER (scorable), 0) AS q, count(*) FILTER (scorable AND quality >= 0.70) AS sure FROM a GROUP BY 1)"""
+    r AS (SELECT scan_id, count(*) AS files, count(*) FILTER (scorable) AS scorable, sum(ai * lines) / sum(lines) AS mean, {', '.join(f'round(quantile_cont(ai, {p / 100}) FILTER (scorable), 8) AS p{p}' for p in rollup.PERCENTILES)}, count(*) FILTER (scorable AND ai > 0.65) AS hi, count(*) FILTER (scorable AND ai < 0.25) AS lo, coalesce(avg(quality) FILTER (scorable), 0) AS q, count(*) FILTER (scorable AND quality >= 0.70) AS sure FROM a GROUP BY 1)"""
 
 
 @query("scan_report", f"""WITH {_SCAN_FILES} SELECT scan_id, files, scorable, round(CASE WHEN boosted THEN least(1, mean + 0.05) ELSE mean END, 6) AS ai, boosted, files >= 4 AND hi >= 2 AND lo >= 2 AND hi + lo >= scorable * 0.70 AS mixed, p10, p25, p50, p75, p90, round(q, 6) AS scan_quality, sure AS confident_files,
@@ -674,7 +674,7 @@ def scan_report(g):
     # Written once: three aggregates read it, and a filter pushed into the models' expressions would repeat them without end.
     rows = stored(scans.join(scored, "doc_id").join(code.attribution_posterior(g).select("path", "model", "confidence"), "path"), "scan-report")
     out = rollup.rollup(rows, code_risks(g).join(scans.select("path", "scan_id"), "path"))
-    return out.withColumn("top_kinds", F.array_join("top_kinds", ",")).select(*[F.round(c, 6).alias(c) if c in ("ai", "scan_quality", *(f"p{p}" for p in rollup.PERCENTILES)) else c for c in [*out.columns]])
+    return out.withColumn("top_kinds", F.array_join("top_kinds", ",")).select(*[F.round(c, 8 if c[0] == "p" else 6).alias(c) if c in ("ai", "scan_quality", *(f"p{p}" for p in rollup.PERCENTILES)) else c for c in out.columns])
 
 
 _TREE = tree_sql(f"SELECT user_id % 5 AS org_id, event_id AS id, sha256({_ENTRY}) AS h, 1 AS n FROM events")
