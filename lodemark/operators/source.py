@@ -115,7 +115,7 @@ def _spaces(part: str) -> str:
     return "\n".join(" " * len(x) for x in part.split("\n")) if "\n" in part else " " * len(part)
 
 
-def matched(code: str) -> tuple[dict[int, int], dict[int, list[int]], dict[int, int]]:
+def matched(code: str, begin: int = 0) -> tuple[dict[int, int], dict[int, list[int]], dict[int, int]]:
     """Closing place of each bracket, commas of each round one, and braces nested in each brace."""
     stack: list[int] = []
     open_of = {"(": 0, "[": 0, "{": 0}
@@ -132,7 +132,7 @@ def matched(code: str) -> tuple[dict[int, int], dict[int, list[int]], dict[int,
 
     next_brace: list[int | None] = []
     braces: list[int] = []
-    for m in _BRACKETS.finditer(code):
+    for m in _BRACKETS.finditer(code, begin):
         c, at = m[0], m.start()
         if c == ",":
             if stack and code[stack[-1]] == "(":
@@ -179,7 +179,7 @@ def _line_blocks(code: str) -> dict[int, int]:
     return out | dict.fromkeys((s for s, _ in stack), len(code))
 
 
-def scopes(code: str, text: str, lang: str, close: dict[int, int], commas: dict[int, list[int]]) -> list[Scope]:
+def scopes(code: str, text: str, lang: str, close: dict[int, int], commas: dict[int, list[int]], begin: int = 0) -> list[Scope]:
     """Functions and classes in the order of their headers, each with the scope around it."""
     out = []
     braces = sorted(k for k in close if code[k] == "{")
@@ -191,13 +191,13 @@ def scopes(code: str, text: str, lang: str, close: dict[int, int], commas: dict[
         k = bisect_left(braces, at)
         return braces[k] if k < len(braces) and braces[k] < limit else None
 
-    for m in _CLASSES.get(lang, _CLASSES[""]).finditer(code):
+    for m in _CLASSES.get(lang, _CLASSES[""]).finditer(code, begin):
         if lang == "python":
             end = python[line_start(m.start("name"))]
             out.append(Scope("class", m["name"], m.start("name"), m.end(), end, not m["name"].startswith("_"), base=(m["base"] or "").strip() or None))
         elif (at := body_after(m.end(), len(code))) is not None and ";" not in code[m.end() : at]:
             out.append(Scope("class", m["name"], m.start("name"), at, close[at], bool(m["export"]), base=m["base"]))
-    for m in _FUNCTIONS.get(lang, _FUNCTIONS[""]).finditer(code):
+    for m in _FUNCTIONS.get(lang, _FUNCTIONS[""]).finditer(code, begin):
         found = m.groupdict()
         name = found.get("name") or found.get("bound") or found.get("method")
         if found.get("method") and name in _NO_METHOD:
@@ -264,10 +264,10 @@ def _named(part: str | None, sep: str = " as ") -> list[tuple[str, str]]:
     return out
 
 
-def imports(text: str, code: str, lang: str, lines: list[int]) -> list[tuple]:
+def imports(text: str, code: str, lang: str, lines: list[int], begin: int = 0) -> list[tuple]:
     """(specifier, name, name here, kind, line): one row for each imported name, or one without name."""
     out = []
-    for m in _IMPORTS.get(lang, _IMPORTS[""]).finditer(text):
+    for m in _IMPORTS.get(lang, _IMPORTS[""]).finditer(text, begin):
         if not code[m.start() : m.end()].strip():
             continue
         line, g = bisect_right(lines, m.end() - 1), m.groupdict()
@@ -291,12 +291,12 @@ def imports(text: str, code: str, lang: str, lines: list[int]) -> list[tuple]:
     return out
 
 
-def exports(text: str, code: str, lang: str, lines: list[int], found: list[Scope]) -> list[tuple]:
+def exports(text: str, code: str, lang: str, lines: list[int], found: list[Scope], begin: int = 0) -> list[tuple]:
     """(name, local name, kind, line) of each exported symbol."""
     out = []
     if lang == "golang":
         return [(s.name, s.name, "function", bisect_right(lines, s.start)) for s in found if s.kind == "function" and s.exported]
-    for m in _EXPORTS.get(lang, _EXPORTS[""]).finditer(text):
+    for m in _EXPORTS.get(lang, _EXPORTS[""]).finditer(text, begin):
         if not code[m.start() : m.end()].strip():
             continue
         line, g = bisect_right(lines, m.end() - 1), m.groupdict()
@@ -392,34 +392,36 @@ def describe(text: str, lang: str) -> dict:
     """All facts of one file."""
     code = blanked(text, lang)
     lines = [0, *(m.end() for m in re.finditer("\n", text))]
-    close, commas, deep = matched(code)
-    found = scopes(code, text, lang, close, commas)
+    # What stands before the first line of code, such as a long comment, is not searched again.
+    begin = code.rfind("\n", 0, len(code) - len(code.lstrip())) + 1
+    close, commas, deep = matched(code, begin)
+    found = scopes(code, text, lang, close, commas, begin)
     line = lambda at: bisect_right(lines, at)
     last = lambda s: line(max(s.start, s.end - 1 if lang == "python" and s.end < len(code) else min(s.end, len(code) - 1)))
     functions = [s for s in found if s.kind != "class"]
-    exported_later = set(_EXPORTED_AS.findall(code))
-    branches = [m.start() for m in _BRANCH.finditer(code)] if functions else []
-    spans = [(m.start(), m[0]) for m in _OPERATOR.finditer(code)] + [(m.start(), m[0]) for m in _NAME.finditer(code)] if functions else []
+    exported_later = set(_EXPORTED_AS.findall(code, begin))
+    branches = [m.start() for m in _BRANCH.finditer(code, begin)] if functions else []
+    spans = [(m.start(), m[0]) for m in _OPERATOR.finditer(code, begin)] + [(m.start(), m[0]) for m in _NAME.finditer(code, begin)] if functions else []
     spans.sort()
     tokens = _own(found, [at for at, _ in spans])
     called: list[list[tuple]] = [[] for _ in found]
     heads = {s.start for s in found}
-    sites = [m for m in _CALL.finditer(code) if m.start() not in heads and (n := m[1].rpartition(".")[2]) not in BUILTINS and len(n) > 1 and m[1] not in BUILTINS] if functions else []
+    sites = [m for m in _CALL.finditer(code, begin) if m.start() not in heads and (n := m[1].rpartition(".")[2]) not in BUILTINS and len(n) > 1 and m[1] not in BUILTINS] if functions else []
     for k, own in enumerate(_own(found, [m.start() for m in sites])):
         for i in own:
             at = sites[i].end() - 1
             cuts = [*commas.get(at, []), close[at]]
             arguments = [(s, e) for s, e in zip([at + 1, *(c + 1 for c in cuts[:-1])], cuts, strict=True) if code[s:e].strip()]
             called[k].append((sites[i].start(), sites[i][1], arguments))
-    parts = list(_STATEMENT.finditer(code)) if functions else []
+    parts = list(_STATEMENT.finditer(code, begin)) if functions else []
     own_parts = [[parts[i] for i in own] for own in _own(found, [m.start() for m in parts])]
     sunk: list[list[tuple]] = [[] for _ in found]
-    drains = list(_SINK.finditer(code)) if functions else []
+    drains = list(_SINK.finditer(code, begin)) if functions else []
     for k, own in enumerate(_own(found, [m.start() for m in drains])):
         for m in (drains[i] for i in own):
             end = close[m.end() - 1] if m[0][-1] == "(" else code.find("\n", m.end())
             sunk[k].append((m.start(), SINKS[int(m.lastgroup[1:])][0], m.end(), end if end >= 0 else len(code)))
-    entry_lines = {line(m.start()) for m in _ENTRY_LINE.finditer(text)} if functions else set()
+    entry_lines = {line(m.start()) for m in _ENTRY_LINE.finditer(text, begin)} if functions else set()
     inside: dict[int, list[Scope]] = {}
     for s in found:
         if s.parent is not None:
@@ -442,8 +444,8 @@ def describe(text: str, lang: str) -> dict:
         calls += [{"caller": s.name, "caller_line": line(s.start), "callee": name, "line": line(at), "args": [plain(a) for a in arguments]} for at, name, arguments in called[k]]
         flowing += [{"function": s.name, "function_line": line(s.start), "origin": o, "origin_line": n, "param": p, "target": t, "target_line": to, "arg": a} for o, n, p, t, to, a in flows(code, s, own_parts[k], called[k], sunk[k], lines)]
     classes = [{"name": s.name, "line": line(s.start), "end_line": last(s), "is_exported": s.exported, "base": s.base, "methods": [x.name for x in inside.get(id(s), []) if x.kind in ("method", "function", "arrow")]} for s in found if s.kind == "class"]
-    taken = [{"specifier": of, "name": n, "alias": here, "kind": kind, "line": at} for of, n, here, kind, at in imports(text, code, lang, lines)]
-    given = [{"name": n, "local": here, "kind": kind, "line": at} for n, here, kind, at in exports(text, code, lang, lines, found)]
+    taken = [{"specifier": of, "name": n, "alias": here, "kind": kind, "line": at} for of, n, here, kind, at in imports(text, code, lang, lines, begin)]
+    given = [{"name": n, "local": here, "kind": kind, "line": at} for n, here, kind, at in exports(text, code, lang, lines, found, begin)]
     return {"functions": rows, "classes": classes, "imports": taken, "exports": given, "calls": calls, "flows": flowing, "measures": _measures(text, code, lines, deep, rows, classes)}
 
 
