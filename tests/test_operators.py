@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -282,3 +283,27 @@ def test_webhooks(spark):
 def test_taint_and_calls():
     found = structure.taint_of("const a = req.query.q\nconst b = clean\nlet c = a + 1\ndb.query(c)\na = 1\neval(a)")
     assert found == [("query", 1, 4, "a@1>c@3")]
+
+
+def test_cycles_far_apart_on_a_mesh(spark):
+    """Between two rings lie forty layers of two nodes: 2^40 ways, none of them in a cycle."""
+    layer = [(k * 10 + a, k * 10 + 10 + b) for k in range(1, 41) for a in (0, 1) for b in (0, 1)]
+    rings = [(1, 2), (2, 1), (2, 10), (2, 11), (410, 500), (411, 500), (500, 501), (501, 500)]
+    edges = spark.createDataFrame(layer + rings, "src long, dst long")
+    assert rows(iterate.cycles(edges)) == [([1, 2], 2), ([500, 501], 2)]
+
+
+def test_cycles_of_random_graphs(spark):
+    rng = random.Random(5)
+    for _ in range(3):
+        pairs = sorted({(rng.randrange(9), rng.randrange(9)) for _ in range(16)})
+
+        def ways(path, pairs=pairs):
+            for a, b in pairs:
+                if a == path[-1] and b == path[0]:
+                    yield (path, len(path))
+                elif a == path[-1] and b > path[0] and b not in path:
+                    yield from ways([*path, b])
+
+        expected = sorted(x for n in range(9) for x in ways([n]))
+        assert rows(iterate.cycles(spark.createDataFrame(pairs, "src long, dst long"))) == expected
