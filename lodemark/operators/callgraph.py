@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.checkpoint import checkpointed
+from ..functions.joined import by_key
 from . import modules
 
 #: Lines of one bucket in which findings and functions meet.
@@ -29,22 +30,22 @@ def callees(facts: DataFrame, used: DataFrame) -> DataFrame:
     """(path, callee, to_path, to): the function that a name called in a file means; calls out of the program are left out."""
     named = facts.select("path", F.inline("calls")).select("path", "callee", F.substring_index("callee", ".", -1).alias("last"), F.substring_index("callee", ".", 1).alias("first")).distinct()
     own = functions(facts).select(F.col("path").alias("to_path"), F.col("name").alias("to")).distinct()
-    local = named.join(own, (F.col("path") == F.col("to_path")) & (F.col("last") == F.col("to"))).select("path", "callee", "to_path", "to")
+    local = named.join(by_key(own), (F.col("path") == F.col("to_path")) & (F.col("last") == F.col("to"))).select("path", "callee", "to_path", "to")
     # Names without a function of their own file: a symbol that the file imports, or one of a module it imports whole.
-    rest = named.join(local.select("path", "callee"), ["path", "callee"], "left_anti")
+    rest = named.join(by_key(local.select("path", "callee")), ["path", "callee"], "left_anti")
     symbols = modules.symbols(facts).select(F.col("path").alias("dependency"), F.col("name").alias("symbol"), "local")
     taken = used.select(F.col("path"), F.col("alias").alias("first"), "dependency", "name").distinct()
-    rows = rest.join(taken, ["path", "first"])
+    rows = rest.join(by_key(taken), ["path", "first"])
     symbol = F.when(F.col("name") == "*", F.col("last")).when(F.col("callee") == F.col("first"), F.col("name"))
-    rows = rows.withColumn("symbol", symbol).join(symbols, ["dependency", "symbol"])
-    far = rows.join(own, (F.col("dependency") == F.col("to_path")) & (F.col("local") == F.col("to"))).select("path", "callee", "to_path", "to")
+    rows = rows.withColumn("symbol", symbol).join(by_key(symbols), ["dependency", "symbol"])
+    far = rows.join(by_key(own), (F.col("dependency") == F.col("to_path")) & (F.col("local") == F.col("to"))).select("path", "callee", "to_path", "to")
     return local.unionByName(far).distinct()
 
 
 def edges(facts: DataFrame, means: DataFrame) -> DataFrame:
     """(path, caller, line, to_path, to) of each call within the program."""
     calls = facts.select("path", F.inline("calls")).select("path", "caller", "callee", "line")
-    return calls.join(means, ["path", "callee"]).select("path", "caller", "line", "to_path", "to").distinct()
+    return calls.join(by_key(means), ["path", "callee"]).select("path", "caller", "line", "to_path", "to").distinct()
 
 
 def reach(facts: DataFrame, calls: DataFrame) -> DataFrame:
@@ -55,7 +56,7 @@ def reach(facts: DataFrame, calls: DataFrame) -> DataFrame:
     own = checkpointed(own.withColumn("node", node("path", "function")))
     steps = checkpointed(calls.select(node("path", "caller").alias("src"), node("to_path", "to").alias("dst")).distinct())
     found = iterate.reach(steps, own.where("is_entry").select("node"))
-    return own.join(found, "node", "left").select("path", "function", "is_entry", "depth")
+    return own.join(by_key(found), "node", "left").select("path", "function", "is_entry", "depth")
 
 
 def _place(path: str, function: str, number: str) -> Column:
@@ -71,7 +72,7 @@ class Taint:
 
     def __init__(self, facts: DataFrame, means: DataFrame):
         self.flows = checkpointed(facts.select("path", F.inline("flows")))
-        passed = self.flows.where("target like 'call:%'").withColumn("callee", F.substring("target", 6, 1 << 20)).join(means, ["path", "callee"])
+        passed = self.flows.where("target like 'call:%'").withColumn("callee", F.substring("target", 6, 1 << 20)).join(by_key(means), ["path", "callee"])
         self.passed = checkpointed(passed.withColumn("node", _place("to_path", "to", "arg")))
         self.steps = checkpointed(self.passed.where("origin = 'param'").select(_place("path", "function", "param").alias("src"), F.col("node").alias("dst"), node("to_path", "to").alias("via")).distinct())
         self.sinks = self.flows.where("target not like 'call:%'")
@@ -84,9 +85,9 @@ class Taint:
         front, hops = found, 1
         while True:
             hops += 1
-            step = front.join(self.steps, front["node"] == self.steps["src"]).select(F.col("dst").alias("node"), "began", F.concat("chain", F.array("via")).alias("chain"))
+            step = front.join(by_key(self.steps), front["node"] == self.steps["src"]).select(F.col("dst").alias("node"), "began", F.concat("chain", F.array("via")).alias("chain"))
             step = step.groupBy("node").agg(F.min(F.struct("began", "chain")).alias("x")).select("node", "x.*", F.lit(hops).alias("hops"))
-            front = checkpointed(step.join(found.select("node"), "node", "left_anti"))
+            front = checkpointed(step.join(by_key(found.select("node")), "node", "left_anti"))
             if front.isEmpty():
                 return found
             found = checkpointed(found.unionByName(front))
@@ -98,7 +99,7 @@ class Taint:
         keys = ["sink_path", "sink_function", "sink_line", "sink"]
         began = F.struct("path", "function", F.col("origin_line").alias("line"), F.col("origin").alias("source"))
         direct = sinks.where("origin <> 'param'").select(*keys, F.lit(0).alias("hops"), began.alias("began"), F.array(node("path", "function")).alias("chain"))
-        far = sinks.where("origin = 'param'").withColumn("node", _place("path", "function", "param")).join(self.reached(), "node").select(*keys, "hops", "began", "chain")
+        far = sinks.where("origin = 'param'").withColumn("node", _place("path", "function", "param")).join(by_key(self.reached()), "node").select(*keys, "hops", "began", "chain")
         rows = direct.unionByName(far).groupBy(*keys).agg(F.min(F.struct("hops", "began", "chain")).alias("x"))
         return rows.select(*keys, "x.began.*", "x.hops", "x.chain")
 
@@ -109,9 +110,9 @@ class Taint:
         ends = self.sinks.where("origin = 'param'").select(_place("path", "function", "param").alias("node"))
         back = checkpointed(self.steps.select(F.col("dst").alias("src"), F.col("src").alias("dst")).distinct())
         to_sink = iterate.reach(back, ends).select("node")
-        origins = self.passed.where("origin <> 'param'").join(to_sink, "node").select("path", "function")
+        origins = self.passed.where("origin <> 'param'").join(by_key(to_sink), "node").select("path", "function")
         here = self.sinks.where("origin <> 'param'").select("path", "function")
-        through = iterate.reach(self.steps, self.passed.where("origin <> 'param'").select("node")).join(to_sink, "node")
+        through = iterate.reach(self.steps, self.passed.where("origin <> 'param'").select("node")).join(by_key(to_sink), "node")
         named = through.select(F.substring_index("node", "#", -2).alias("tail"), "node").select(F.expr("substring(node, 1, length(node) - length(tail) - 1)").alias("path"), F.substring_index("tail", "#", 1).alias("function"))
         return origins.unionByName(here).unionByName(named).distinct()
 
@@ -124,9 +125,9 @@ def enclosing(findings: DataFrame, facts: DataFrame) -> DataFrame:
     spans = functions(facts).select(F.col("path").alias("p"), F.col("name").alias("function"), F.col("line").alias("from"), F.col("end_line").alias("to"))
     spans = spans.withColumn("bucket", F.explode(F.sequence(F.expr(f"`from` div {BUCKET}"), F.expr(f"`to` div {BUCKET}"))))
     lines = findings.select("path", "line").distinct().withColumn("bucket", F.expr(f"line div {BUCKET}"))
-    inside = lines.join(spans.withColumnRenamed("bucket", "b"), (F.col("path") == F.col("p")) & (F.col("bucket") == F.col("b")) & (F.col("from") <= F.col("line")) & (F.col("line") <= F.col("to")))
+    inside = lines.join(by_key(spans.withColumnRenamed("bucket", "b")), (F.col("path") == F.col("p")) & (F.col("bucket") == F.col("b")) & (F.col("from") <= F.col("line")) & (F.col("line") <= F.col("to")))
     inner = inside.groupBy("path", "line").agg(F.max_by("function", F.struct("from", -F.col("to"), "function")).alias("function"))
-    return findings.join(inner, ["path", "line"], "left")
+    return findings.join(by_key(inner), ["path", "line"], "left")
 
 
 def classified(findings: DataFrame, facts: DataFrame, reached: DataFrame, tainted: DataFrame) -> DataFrame:
@@ -137,6 +138,6 @@ def classified(findings: DataFrame, facts: DataFrame, reached: DataFrame, tainte
     """
     rows = enclosing(findings, facts)
     marked = tainted.withColumn("tainted", F.lit(True))
-    rows = rows.join(reached, ["path", "function"], "left").join(marked, ["path", "function"], "left")
+    rows = rows.join(by_key(reached), ["path", "function"], "left").join(by_key(marked), ["path", "function"], "left")
     reach = F.when(F.col("function").isNull(), "reachable").when(F.col("is_entry"), "entry-point").when(F.col("depth").isNull(), "unreachable").when(F.col("tainted"), "tainted-path").otherwise("reachable")
     return rows.withColumn("reach", reach).drop("is_entry", "depth", "tainted")

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.joined import by_key
+
 # Endings that an import leaves out, in the order in which they are tried.
 ENDINGS = ["", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.js"]
 CONFIDENT = 0.5
@@ -39,16 +41,16 @@ def resolved(facts: DataFrame) -> DataFrame:
     rows = rows.select("path", "specifier", normal_path(F.concat(directory, F.lit("/"), "specifier")).alias("target"))
     files = facts.select(F.col("path").alias("dependency"), normal_path(F.col("path")).alias("file")).groupBy("file").agg(F.min("dependency").alias("dependency"))
     options = F.array(*[F.struct(F.lit(n).alias("priority"), F.concat("target", F.lit(e)).alias("file")) for n, e in enumerate(ENDINGS)])
-    found = rows.select("target").distinct().select("target", F.inline(options)).join(files, "file")
+    found = rows.select("target").distinct().select("target", F.inline(options)).join(by_key(files), "file")
     found = found.groupBy("target").agg(F.min_by("dependency", "priority").alias("dependency"))
-    return rows.join(found, "target").select("path", "specifier", "dependency")
+    return rows.join(by_key(found), "target").select("path", "specifier", "dependency")
 
 
 def uses(facts: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """(path, dependency, name, alias, kind, line): names that a file takes from another file of the program."""
     of = resolved(facts) if of is None else of
     rows = imported(facts).where(F.col("name").isNotNull() & F.col("specifier").startswith("."))
-    return rows.join(of, ["path", "specifier"]).select("path", "dependency", "name", "alias", "kind", "line")
+    return rows.join(by_key(of), ["path", "specifier"]).select("path", "dependency", "name", "alias", "kind", "line")
 
 
 def edges(of: DataFrame) -> DataFrame:
@@ -59,13 +61,13 @@ def edges(of: DataFrame) -> DataFrame:
 def dead(facts: DataFrame, used: DataFrame) -> DataFrame:
     """Exported (path, name, line) that no file imports by name; default and passed-on exports do not count."""
     own = symbols(facts).where("kind <> 're-export' and name <> 'default'").select("path", "name", "line")
-    return own.join(used.select(F.col("dependency").alias("path"), "name"), ["path", "name"], "left_anti")
+    return own.join(by_key(used.select(F.col("dependency").alias("path"), "name")), ["path", "name"], "left_anti")
 
 
 def defined(facts: DataFrame, used: DataFrame) -> DataFrame:
     """(path, alias, name, dependency, local, kind, line): each used name with the symbol that its file exports."""
     own = symbols(facts).groupBy(F.col("path").alias("dependency"), "name").agg(F.min_by(F.struct("local", F.col("kind").alias("symbol"), F.col("line").alias("at")), "line").alias("s"))
-    return used.select("path", "dependency", "name", "alias").distinct().join(own, ["dependency", "name"]).select("path", "alias", "name", "dependency", "s.*")
+    return used.select("path", "dependency", "name", "alias").distinct().join(by_key(own), ["dependency", "name"]).select("path", "alias", "name", "dependency", "s.*")
 
 
 def cross_file_taint(facts: DataFrame, used: DataFrame) -> DataFrame:
@@ -78,10 +80,10 @@ def cross_file_taint(facts: DataFrame, used: DataFrame) -> DataFrame:
 
     paths = facts.select("path", F.inline("flows")).where("origin <> 'param' and target not like 'call:%'")
     paths = paths.groupBy(F.col("path").alias("dependency"), "function").agg(F.min(F.struct("target_line", "target")).alias("p"), F.lit(CONFIDENCE).alias("confidence")).where(F.col("confidence") >= CONFIDENT)
-    rows = used.join(symbols(facts).select(F.col("path").alias("dependency"), "name", "local").distinct(), ["dependency", "name"], "left")
+    rows = used.join(by_key(symbols(facts).select(F.col("path").alias("dependency"), "name", "local").distinct()), ["dependency", "name"], "left")
     whole = paths.groupBy("dependency").agg(F.min("p").alias("any"), F.max("confidence").alias("most"))
     own = paths.select("dependency", F.col("function").alias("local"), F.col("p").alias("own"))
-    rows = rows.join(whole, "dependency").join(own, ["dependency", "local"], "left")
+    rows = rows.join(by_key(whole), "dependency").join(by_key(own), ["dependency", "local"], "left")
     best = F.struct(F.col("own").isNull().alias("far"), (-F.col("most")).alias("doubt"), "line", "name", F.coalesce("own", "any").alias("p"))
     rows = rows.groupBy(F.col("path").alias("consumer"), F.col("dependency").alias("source")).agg(F.min(best).alias("b"))
     return rows.select("consumer", "source", F.col("b.name").alias("symbol"), F.col("b.line").alias("line"), F.col("b.p.target").alias("sink"), F.col("b.p.target_line").alias("sink_line"), (-F.col("b.doubt")).alias("confidence"))

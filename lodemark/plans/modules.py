@@ -12,6 +12,7 @@ from functools import cached_property
 from pyspark.sql import functions as F
 
 from ..functions.checkpoint import stored
+from ..functions.joined import by_key
 from ..operators import callgraph, detectors, iterate, modules, source
 from .business import DEFAULT_PROFILE, GUARDED, LIMITED, PROFILES, REACHED, base_score
 from .registry import query
@@ -273,8 +274,8 @@ def near_guards(findings, lines, before: int = 20, after: int = 5):
     marks = marks.withColumn("bucket", F.expr(f"at div {width}"))
     places = findings.select("path", "line").distinct().withColumn("b", F.explode(F.sequence(F.expr(f"(line - {before} + 1) div {width}"), F.expr(f"(line + {after}) div {width}"))))
     inside = (F.col("path") == F.col("p")) & (F.col("b") == F.col("bucket")) & (F.col("at") > F.col("line") - before) & (F.col("at") <= F.col("line") + after)
-    seen = places.join(marks, inside).groupBy("path", "line").agg(F.bool_or("guards").alias("auth"), F.bool_or("limits").alias("slow"))
-    return findings.join(seen, ["path", "line"], "left").fillna(False, ["auth", "slow"])
+    seen = places.join(by_key(marks), inside).groupBy("path", "line").agg(F.bool_or("guards").alias("auth"), F.bool_or("limits").alias("slow"))
+    return findings.join(by_key(seen), ["path", "line"], "left").fillna(False, ["auth", "slow"])
 
 
 _KINDS = list(PROFILES)
