@@ -8,6 +8,7 @@ from contextlib import contextmanager, suppress
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.batches import BATCH_ROWS, small_batches  # noqa: F401
 from ..functions.checkpoint import checkpointed, shared_folder  # noqa: F401
 
 #: Rows of a table that may be broadcast; the callers count before they use it.
@@ -18,21 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows that Spark hands to a Python worker at once; long texts make a batch of its default, 10,000, heavy.
-BATCH_ROWS = 1000
-
-
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Lower the session's rows per Arrow batch; a lower setting stays.
-
-    A batch of whole texts is held by the JVM, outside its heap, and by the worker at once. Spark reads the
-    setting when a plan runs, after the operator has returned it, so it cannot be set back here.
-    """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:
-        spark.conf.set(name, str(rows))
-
-
 def give_back() -> None:
     """Return a worker's free memory to the system; an idle worker would keep it while others need it."""
     import ctypes
