@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lodemark.functions import batches
 from lodemark.operators import authorship, source, structure
 
 NAME = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -16,3 +17,12 @@ def test_batches_are_bounded(spark, run):
     held = int(spark.conf.get(NAME))
     spark.conf.set(NAME, before)
     assert held <= 1000
+
+
+def test_a_file_of_one_row_group_is_dealt_over_all_cores(spark):
+    cores = spark.sparkContext.defaultParallelism
+    one = spark.range(100).coalesce(1)
+    assert batches.spread(one, "id").rdd.getNumPartitions() >= cores
+    assert sorted(r.id for r in batches.spread(one, "id").collect()) == list(range(100))
+    many = spark.range(100).repartition(cores)
+    assert batches.spread(many, "id") is many
