@@ -42,6 +42,27 @@ def test_arrow_states_all_but_the_patterns_that_look_around(files):
     matching.tallied(files, [matching.Ask(f"p{n}", p) for n, p in enumerate(own)]).collect()
 
 
+@pytest.mark.parametrize("name", ["attribution_posterior"])
+def test_patterns_of_models_run_in_batches(spark, name):
+    plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "RLIKE" not in plan
+
+
+@pytest.mark.parametrize("name", ["compliance_controls", "compliance_scores"])
+def test_rules_run_in_batches(spark, name):
+    plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    # The three rules that look ahead stay columns.
+    assert "MapInArrow" in plan and plan.count("RLIKE") <= 3
+
+
+def test_lines_that_break_rules(spark):
+    text = 'password = "secret1" + hash(x)\nx = "http://localhost/"; y = "http://other/"\n\npassword: z\npassword = "secret2"'
+    rows = spark.createDataFrame([("a", text), ("b", None), ("c", "plain")], "path string, content string")
+    found = {(r["path"], r["control"]): r["findings"] for r in rules.compliance(rows).collect()}
+    assert [found["a", c] for c in ("SOC2-CC6.1", "SOC2-CC6.7", "GDPR-Art25", "HIPAA-§164.312(e)", "SOC2-A1.2")] == [2, 1, 2, 1, 1]
+    assert all(found[path, "SOC2-CC6.7"] == 0 and found[path, "SOC2-A1.2"] == 1 for path in "bc")
+
+
 @pytest.mark.parametrize("name", ["signal_likelihood", "authorship_core_signals"])
 def test_patterns_of_signals_run_in_batches(spark, name):
     plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
