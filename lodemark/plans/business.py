@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from itertools import pairwise
+
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.batches import small_batches, spread
 from ..functions.checkpoint import stored
 from ..functions.scalars import half_up, hours_between, risk_rank
 from ..operators import detectors, rollup, signed
@@ -28,13 +33,25 @@ def dominant_risk(g):
     return rows.select("repo", "risk", "n", F.round("s", 8).alias("share"), (F.col("s") >= 0.6).alias("dominates"))
 
 
+_TOKEN = re.compile("[a-z0-9_]+")
+
+
 @query("bigrams", "WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9_]+'), lambda x: x <> '') AS w FROM documents), b AS (SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || '|' || w[i + 1])) AS b FROM w) SELECT doc_id, count(*) AS bigrams, count(DISTINCT b) AS distinct_bigrams FROM b GROUP BY 1")
 def bigrams(g):
     """Pairs of adjacent tokens in each text: all, and distinct ones."""
-    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9_]+"), lambda x: x != "")
-    rows = g.table("documents").select("doc_id", words.alias("w")).where("size(w) > 1")
-    pairs = F.transform(F.slice("w", F.lit(1), F.size("w") - 1), lambda x, i: F.concat_ws("|", x, F.get("w", i + 1)))
-    return rows.select("doc_id", pairs.alias("b")).select("doc_id", F.size("b").cast("long").alias("bigrams"), F.size(F.array_distinct("b")).cast("long").alias("distinct_bigrams"))
+    rows = spread(g.table("documents"), "doc_id").select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+
+    def read(batches):
+        for batch in batches:
+            counts = []
+            for text in batch.column(1).to_pylist():
+                words = _TOKEN.findall(text)
+                counts.append((max(0, len(words) - 1), len(set(pairwise(words)))))
+            every, distinct = zip(*counts, strict=True) if counts else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(every, pa.int64()), pa.array(distinct, pa.int64())], ["doc_id", "bigrams", "distinct_bigrams"])
+
+    small_batches(rows.sparkSession)
+    return rows.mapInArrow(read, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, bigrams long, distinct_bigrams long").where("bigrams > 0")
 
 
 @query("attestation_overlay", """WITH f AS (SELECT t.repo, t.attested OR coalesce(v.status = 'resolved', false) AS ok FROM top_files t LEFT JOIN violations v ON t.scan_id = v.scan_id AND t.file_path = v.file_path WHERE t.risk IN ('CRITICAL', 'HIGH')),
