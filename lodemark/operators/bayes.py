@@ -7,10 +7,15 @@ small rate. Updates of different examples add up, so any number of them is one a
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
+from itertools import pairwise
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.batches import small_batches
 from .authorship import ascii_borders
 
 # Log likelihoods of subtokens (people, machines).
@@ -50,21 +55,42 @@ def subtokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(spaced), "_+"), lambda x: F.length(x) >= 2)
 
 
-def bigrams(text: Column) -> tuple[Column, Column]:
-    """The tokens of a text and, over a column ``tokens`` of them, their sorted bigrams.
+_WORD, _EVIDENCE = re.compile(r"\w+", re.A), {k: ai - human for k, (human, ai) in SUBTOKENS.items()}
+_CAPITALS, _HUMPS, _JOINTS = re.compile("([A-Z]+)([A-Z][a-z])"), re.compile("([a-z0-9])([A-Z])"), re.compile("_+")
+_TOLD = {"words": pa.int32(), "machine": pa.int32(), "human_words": pa.int32(), "parts": pa.int32(), "weights": pa.float64(), "tokens": pa.int32(), "kinds": pa.int32(), "runs": pa.float64()}
 
-    Sorted bigrams that are equal are neighbours, so one fold over them counts their runs.
+
+def told(text: str) -> tuple:
+    """Words, keywords of both sides, parts of identifiers and their weights, tokens, kinds of bigrams and their n log2(n).
+
+    Borders of words lie between ASCII letters, so identifiers and keywords are whole words.
     """
-    tokens = F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"\w+"), 0), lambda x: F.lower(x)), lambda x: F.length(x) > 1)
-    n = F.size("tokens")
-    pairs = F.sort_array(F.transform(F.slice("tokens", F.lit(1), F.greatest(F.lit(0), n - 1)), lambda x, i: F.concat_ws("_", x, F.get("tokens", i + 1))))
-    return tokens, pairs
+    words = _WORD.findall(text)
+    spaced = _HUMPS.sub(r"\1_\2", _CAPITALS.sub(r"\1_\2", "_".join([w for w in words if not w[0].isdigit()])))
+    parts = [x for x in _JOINTS.split(spaced.lower()) if len(x) >= 2]
+    tokens = [w.lower() for w in words if len(w) > 1]
+    pairs = Counter([f"{x}_{y}" for x, y in pairwise(tokens)])
+    return (
+        len(words), sum(w in _MACHINE for w in words), sum(w in _PEOPLE for w in words), len(parts), math.fsum(_EVIDENCE.get(x, 0.0) for x in parts),
+        len(tokens), len(pairs), math.fsum(n * math.log2(n) for n in pairs.values()),
+    )
+
+
+_MACHINE, _PEOPLE = frozenset(KEYWORDS), frozenset(HUMAN_KEYWORDS)
+
+
+def _tallied(files: DataFrame) -> DataFrame:
+    own = files.columns
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema if f.name != "text"] + [f"{k} {'double' if v == pa.float64() else 'int'}" for k, v in _TOLD.items()])
 
+    def read(batches):
+        for batch in batches:
+            found = list(zip(*map(told, batch.column(own.index("text")).to_pylist()), strict=True)) if batch.num_rows else [[]] * len(_TOLD)
+            kept = [c for c in own if c != "text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(own.index(c)) for c in kept), *(pa.array(x, k) for x, k in zip(found, _TOLD.values(), strict=True))], [*kept, *_TOLD])
 
-def _runs() -> str:
-    add = "z.s + if(z.run > 0, z.run * log2(z.run), 0D)"
-    step = f"if(x = z.last, struct(x as last, z.run + 1 as run, z.s as s, z.kinds as kinds), struct(x as last, 1 as run, {add} as s, z.kinds + 1 as kinds))"
-    return f"aggregate(pairs, struct('' as last, 0 as run, 0D as s, 0 as kinds), (z, x) -> {step}, z -> struct({add} as s, z.kinds as kinds))"
+    small_batches(files.sparkSession)
+    return files.mapInArrow(read, schema)
 
 
 def classify(files: DataFrame, key: str, heuristic: Column | None = None) -> DataFrame:
@@ -74,13 +100,10 @@ def classify(files: DataFrame, key: str, heuristic: Column | None = None) -> Dat
         if name not in files.columns:
             own = F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")).cast("double") if name == "loc" else F.lit(default)
             rows = rows.withColumn(name, own)
-    weight = "CASE x " + " ".join(f"WHEN '{k}' THEN {ai - human!r}D" for k, (human, ai) in SUBTOKENS.items()) + " ELSE 0D END"
-    tokens, pairs = bigrams(F.col("text"))
-    rows = rows.withColumn("parts", subtokens(F.col("text"))).withColumn("tokens", tokens).withColumn("pairs", pairs)
-    rows = rows.withColumn("evidence", F.expr(f"aggregate(parts, 0D, (a, x) -> a + {weight}) / greatest(1, size(parts))")).withColumn("r", F.expr(_runs()))
-    rows = rows.withColumn("entropy", F.expr("CASE WHEN size(tokens) < 20 OR r.kinds < 2 THEN 1D ELSE least(1D, (log2(size(pairs)) - r.s / size(pairs)) / log2(r.kinds)) END"))
-    count = lambda words: F.regexp_count("text", F.lit(ascii_borders(r"\b(?:" + "|".join(words) + r")\b"))) / F.greatest(F.lit(1), F.regexp_count("text", F.lit(r"\w+"))) * KEYWORD
-    rows = rows.withColumn("kw", count(KEYWORDS) - count(HUMAN_KEYWORDS)).withColumn("ai", F.expr(f"double({gaussian(MEAN_AI, SIGMA_AI)})")).withColumn("human", F.expr(f"double({gaussian(MEAN_HUMAN, SIGMA_HUMAN)})"))
+    rows = _tallied(rows.select(key, "text", *METRICS))
+    rows = rows.withColumn("evidence", F.expr("weights / greatest(1, parts)"))
+    rows = rows.withColumn("entropy", F.expr("CASE WHEN tokens < 20 OR kinds < 2 THEN 1D ELSE least(1D, (log2(tokens - 1) - runs / (tokens - 1)) / log2(kinds)) END"))
+    rows = rows.withColumn("kw", (F.col("machine") / F.greatest(F.lit(1), F.col("words")) - F.col("human_words") / F.greatest(F.lit(1), F.col("words"))) * KEYWORD).withColumn("ai", F.expr(f"double({gaussian(MEAN_AI, SIGMA_AI)})")).withColumn("human", F.expr(f"double({gaussian(MEAN_HUMAN, SIGMA_HUMAN)})"))
     # Only the difference of the two log likelihoods matters; subtokens without a weight cancel out.
     margin = F.lit(math.log(PRIOR_AI / (1 - PRIOR_AI))) + F.col("evidence") + (F.col("ai") - F.col("human")) * STRUCTURE + 2 - F.col("entropy") * 4 + F.col("kw")
     probability = 1 / (1 + F.exp(-F.col("margin")))

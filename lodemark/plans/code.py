@@ -157,9 +157,8 @@ _RATIO = "len(regexp_extract_all(text, '\\b(?:{0})\\b')) / greatest(1, len(regex
     SELECT doc_id, round(1 / (1 + exp(-margin)), 6) AS probability, round(0.3 + 0.4 / (1 + exp(-margin)), 6) AS blended, round(least(1, abs(margin) / 20), 6) AS confidence, round(1 / (1 + exp(human - ai)), 6) AS structural FROM z""")
 def nb_score(g):
     """Naive Bayes of each file, blended with an undecided heuristic score."""
-    files = code_files(g)
-    found = source.facts(files).select("path", *[F.col(f"measures.{v}").cast("double").alias(k) for k, v in _MEASURED.items()])
-    rows = bayes.classify(files.select("doc_id", "path", F.col("content").alias("text")).join(found, "path"), "doc_id")
+    rows = source.measured(code_files(g)).select("doc_id", F.col("content").alias("text"), *[F.col(f"measures.{v}").cast("double").alias(k) for k, v in _MEASURED.items()])
+    rows = bayes.classify(rows, "doc_id")
     return rows.select("doc_id", *[F.round(c, 6).alias(c) for c in ("probability", "blended", "confidence", "structural")])
 
 
