@@ -11,6 +11,7 @@ from functools import cached_property
 
 from pyspark.sql import functions as F
 
+from ..functions.batches import spread
 from ..functions.checkpoint import stored
 from ..functions.joined import by_key
 from ..operators import callgraph, detectors, iterate, modules, source
@@ -75,7 +76,7 @@ class Program:
     """The files of a program and their facts, which are worked out once."""
 
     def __init__(self, g):
-        docs = g.table("documents").where("doc_id is not null").select(F.col("doc_id").cast("long").alias("d"), F.coalesce("text", F.lit("")).alias("text"))
+        docs = spread(g.table("documents").where("doc_id is not null"), "doc_id").select(F.col("doc_id").cast("long").alias("d"), F.coalesce("text", F.lit("")).alias("text"))
         docs = docs.select("d", "text", *(F.expr(f"cast({v} as long)").alias(n) for n, v in NUMBERS.items()))
         comment = F.concat(F.lit("// "), F.replace("text", F.lit("\n"), F.lit("\n// ")))
         self.files = docs.select("d", F.expr(_PATH).alias("path"), F.concat_ws("\n", comment, _code()).alias("content"), F.when(F.col("d") % 10 == 4, "javascript").otherwise("typescript").alias("lang"))
