@@ -207,6 +207,18 @@ def test_function_scores(spark):
     assert [(r["path"], r["number"]) for r in sorted(rows)] == [("a.ts", 0), ("a.ts", 1), ("a.ts", 2)] and all(0 < r["ai"] < 1 for r in rows)
 
 
+def test_a_function_that_files_share_is_scored_once(spark, monkeypatch):
+    seen, plain = [], authorship.signals_of
+    monkeypatch.setattr(authorship, "signals_of", lambda rows: (seen.append(rows.count()), plain(rows))[1])
+    one = [("a0.ts", samples.TYPESCRIPT, "typescript")]
+    files = lambda rows: spark.createDataFrame(rows, "path string, text string, lang string").coalesce(1)
+    alone = authorship.function_scores(files(one)).collect()
+    shared = authorship.function_scores(files([*one, ("a1.ts", "Prose (of no code), 'n' \n" + samples.TYPESCRIPT, "typescript"), ("a2.js", samples.TYPESCRIPT, "javascript")])).collect()
+    assert seen == [3, 6] and len(shared) == 9
+    of = lambda rows, path: sorted((r["number"], r["lines"], r["ai"]) for r in rows if r["path"] == path)
+    assert of(alone, "a0.ts") == of(shared, "a0.ts") == of(shared, "a1.ts") and len(of(shared, "a2.js")) == 3
+
+
 def test_naive_bayes(spark):
     files = [("ai", "handleResponse(payload); await validateResult(config);"), ("plain", "x = 1"), ("human", "var self = this; callback(arguments)"), ("null", None)]
     rows = {r["k"]: r for r in bayes.classify(spark.createDataFrame(files, "k string, text string"), "k").collect()}

@@ -153,3 +153,29 @@ def test_file_report_holds_the_parts(spark):
         else:
             assert (r["ai"], r["risk"], r["model"], r["functions"], r["critical"]) == (0.0, "LOW", "unknown", 0, 0)
     assert {r["scanned"] for r in got.values()} == {True, False}
+
+
+@pytest.mark.parametrize("lang", ["python", "typescript", "golang"])
+def test_headers_are_searched_in_the_lines_that_can_hold_one(lang, monkeypatch):
+    """Prose is not searched, and the same headers are found as in the whole text."""
+    parts = ["(", ")", "=>", " a =>", "class A", "\nclass C(B):\n", " function f(", "const x = async ", "def g(", "\n    def z(", "\nfunc (r T) m(", "\n  m(x) {\n", "\n", " ", "x", "é", "{", "}", ";", "\r"]
+    rng = random.Random(lang)
+    for _ in range(300):
+        code = "".join(rng.choices(parts, k=rng.randint(1, 25)))
+        begin = rng.randint(0, 3)
+        for table, line in ((source._FUNCTIONS, source._FUNCTION_LINE), (source._CLASSES, source._CLASS_LINE)):
+            pattern = table.get(lang, table[""])
+            assert [m.span() for m in source._headers(pattern, line, code, begin)] == [m.span() for m in pattern.finditer(code, begin)]
+    assert list(source._headers(None, source._FUNCTION_LINE, "prose, and more of it;\n" * 9, 0)) == []
+
+
+def test_blanks_of_regular_expressions_and_prefixed_strings():
+    for lang, text, parts in [
+        ("typescript", "a = /x\"y/g; b / c / d; e", ["/x\"y/g"]),
+        ("typescript", "f( /[/']/ ) + 'q' / 2", ["/[/']/", "'q'"]),
+        ("python", "x = rb'y' + url'z' + f\"{k}l\" # it's", ["rb'y'", "'z'", "f\"{", "}l\"", "# it's"]),
+    ]:
+        left = text
+        for part in parts:
+            left = left.replace(part, " " * len(part))
+        assert source.blanked(text, lang) == left
