@@ -244,6 +244,6 @@ def orgs_summary(g):
 @query("repo_file_versions", f"SELECT repo, file_path, scan_id, risk, k AS place FROM (SELECT repo, file_path, scan_id, risk, row_number() OVER (PARTITION BY repo ORDER BY {_RANK} DESC, ai DESC, file_path) AS k FROM (SELECT *, row_number() OVER (PARTITION BY repo, file_path ORDER BY created_at DESC, scan_id DESC) AS v FROM scan_files) WHERE v = 1)")
 def repo_file_versions(g):
     """The latest version of each file of a repository, in order of risk."""
-    latest = R.latest_per_key(g.scan_files.select("repo", "file_path", "scan_id", "risk", "ai", "created_at"), ["repo", "file_path"], "created_at", "scan_id")
+    latest = R.latest_per_key(g.dealt().scan_files.select("repo", "file_path", "scan_id", "risk", "ai", "created_at"), ["repo", "file_path"], "created_at", "scan_id")
     order = Window.partitionBy("repo").orderBy(F.desc(risk_rank(F.col("risk"))), F.desc("ai"), "file_path")
     return latest.select("repo", "file_path", "scan_id", "risk", F.row_number().over(order).cast("long").alias("place"))

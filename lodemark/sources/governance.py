@@ -16,6 +16,8 @@ from ..functions.scalars import hours
 
 #: All relative dates are measured from here; never from the clock.
 AS_OF = "2001-08-02"
+#: Lines of scans that a task takes where they are dealt by their number.
+LINES_A_TASK = 500_000
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 SQL = {
@@ -75,7 +77,7 @@ class Governance:
     """The tables of one directory; nothing is read before an action."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir, self.settled = spark, sf_dir, False
+        self.spark, self.sf_dir, self.settled, self.tasks = spark, sf_dir, False, 0
 
     def settle(self) -> Governance:
         """Write the files of all scans once, for a query that reads them many times."""
@@ -85,6 +87,15 @@ class Governance:
             self.settled = True
         return self
 
+    def dealt(self) -> Governance:
+        """Deal the lines of all scans, counted first, over so many tasks that no task's share grows with them.
+
+        For a query that aggregates, joins and sorts the files of all scans in one stage, where each step holds a task's rows.
+        """
+        lines = self.table("lineitem").count()
+        self.tasks = max(self.spark.sparkContext.defaultParallelism, -(-lines // LINES_A_TASK))
+        return self
+
     def table(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise ValueError(f"no table {name}")
@@ -95,6 +106,9 @@ class Governance:
         flag = lambda c, v: F.bool_or(F.col(c) == v)
         signed = lambda c: F.min(F.when(F.col("l_returnflag") == "R", F.col(c)))
         rows = self.table("lineitem").join(self.table("part"), F.col("l_partkey") == F.col("p_partkey"))
+        if self.tasks:
+            # By the scan alone: its files are grouped and joined with it where they are.
+            rows = rows.repartition(self.tasks, "l_orderkey")
         return rows.groupBy(F.col("l_orderkey").alias("scan_id"), F.concat(F.lit("src/"), F.replace("p_name", F.lit(" "), F.lit("_"))).alias("file_path")).agg(
             F.max("l_quantity").alias("max_q"), F.sum("l_quantity").cast("long").alias("line_count"),
             flag("l_returnflag", "R").alias("has_r"), flag("l_returnflag", "A").alias("has_a"), flag("l_linestatus", "O").alias("has_o"),
