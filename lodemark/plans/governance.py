@@ -16,7 +16,7 @@ def latest_scans(g: Governance, plain: bool = True) -> DataFrame:
 
 
 def latest_violations(g: Governance) -> DataFrame:
-    return R.latest_per_key(g.violations, ["repo", "file_path"], "created_at", "scan_id")
+    return R.latest_per_key(g.dealt().violations, ["repo", "file_path"], "created_at", "scan_id")
 
 
 def current_violations(g: Governance) -> DataFrame:

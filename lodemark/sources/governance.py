@@ -92,8 +92,9 @@ class Governance:
 
         For a query that aggregates, joins and sorts the files of all scans in one stage, where each step holds a task's rows.
         """
-        lines = self.table("lineitem").count()
-        self.tasks = max(self.spark.sparkContext.defaultParallelism, -(-lines // LINES_A_TASK))
+        if not self.tasks and not self.settled:
+            lines = self.table("lineitem").count()
+            self.tasks = max(self.spark.sparkContext.defaultParallelism, -(-lines // LINES_A_TASK))
         return self
 
     def table(self, name: str) -> DataFrame:

@@ -1,13 +1,16 @@
 """Lines of scans are dealt over tasks by their number."""
 
+import pytest
+
 from lodemark.plans import registry
 from lodemark.sources import governance
 
 SF = "/root/testdata/sf0.001"
 
 
-def test_tasks_grow_with_the_lines_and_not_their_shares(spark, monkeypatch):
-    run = registry.queries()["repo_file_versions"]
+@pytest.mark.parametrize("name", ["repo_file_versions", "latest_violation_per_file"])
+def test_tasks_grow_with_the_lines_and_not_their_shares(spark, monkeypatch, name):
+    run = registry.queries()[name]
     expected = sorted(run(spark, SF).collect())
     lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
     for share in (lines // 10, lines // 40):
