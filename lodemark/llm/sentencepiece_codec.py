@@ -1,6 +1,7 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-Texts are cut into chunks that no piece of the vocabulary spans (words, and signs after them).
+Texts are cut into chunks that no piece of the vocabulary spans: before blanks, and between two
+characters that stand side by side in no piece.
 The distinct chunks of the corpus explode into their substrings of bounded length, an equi-join
 with the piece table leaves the lattice's edges, edges are grouped by chunk, and a Spark
 higher-order aggregate folds the best path over them (Viterbi).
@@ -24,10 +25,8 @@ unknown pieces or the mark of a space stand in the text.
 
 from __future__ import annotations
 
-import re
 import struct
 from dataclasses import dataclass
-from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -56,12 +55,6 @@ STEP = 200_000
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 _NEVER = 1 << 30
-#: Where no piece spans: around a line feed, and in most vocabularies (it is checked) before a sign after a letter.
-LINES = re.compile("(?<=\n)|(?=\n)")
-LETTER, SIGN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", "#%$&*,.;:!?|"
-SIGNS = f"(?<=[{LETTER}])(?=[{SIGN}])"
-CUT = re.compile(f"{LINES.pattern}|{SIGNS}")
-WORD_SIGN = re.compile(f"[{LETTER}]+[{SIGN}]")
 
 
 def _fields(data: bytes):
@@ -105,10 +98,12 @@ class Model:
         levels = {s: n for n, s in enumerate(sorted({self.pieces[i][1] for i in self.ids.values()}, reverse=True))}
         self.ranks = {p: levels[self.pieces[i][1]] for p, i in self.ids.items()}
         self.longest = max(map(len, self.ids), default=1)
-        inner = [p for p in self.ids if SPACE in p.lstrip(SPACE) or "\n" in p and p != "\n"]
+        inner = [p for p in self.ids if SPACE in p.lstrip(SPACE)]
         if inner:
             raise ValueError(f"pieces that span words are not supported: {inner[:3]}")
-        self.cuts = not any(re.search(SIGNS, p) for p in self.ids)
+        pairs = {ord(a) << 32 | ord(b) for p in self.ids for a, b in zip(p, p[1:], strict=False)}
+        #: The pairs of characters that stand side by side in a piece, sorted.
+        self.pairs = np.array(sorted(pairs) or [-1], np.int64)
 
     def fallback(self, char: str) -> list[int]:
         return [self.bytes[b] for b in char.encode()] if self.bytes else [self.unknown]
@@ -173,15 +168,6 @@ def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return split.flatten().filter(pa.array(keep)), counts
 
 
-def chunks(token: str, model: Model) -> list[str]:
-    """A token with its blanks marked, cut where no piece of the model spans."""
-    if token.isalpha():
-        return [SPACE + token]
-    if model.cuts and WORD_SIGN.fullmatch(token):
-        return [SPACE + token[:-1], token[-1]]
-    return [c for c in (CUT if model.cuts else LINES).split(SPACE + token) if c]
-
-
 def named(chunk):
     """A short key of a chunk: itself, or the digest of a long one, which no chunk equals."""
     return F.when(F.length(chunk) <= WINDOW, chunk).otherwise(F.concat(F.lit("\n"), F.sha2(chunk, 256)))
@@ -237,26 +223,32 @@ def fold_best_path(edges: DataFrame, model: Model) -> DataFrame:
     split = "transform(starts, (a, j) -> slice(edges, a + 1, if(j + 1 < size(starts), starts[j + 1], size(edges)) - a))"
     rows = edges.withColumn("starts", F.expr(f"if(edges[size(edges) - 1].e <= {WINDOW}, array(0), filter(transform(edges, (x, i) -> if(i = 0 or (edges[i - 1].e - 1) div {WINDOW} <> (x.e - 1) div {WINDOW}, i, -1)), i -> i >= 0))"))
     if model.algorithm == BPE:
-        # Exactly one edge to each position is allowed.
-        entry, first, kind = "struct(x.s as s, x.id as id, x.e as e, x.gone as gone)", "struct(0 as s, -1 as id, 0 as e, cast(array() as array<int>) as gone)", "struct<c:int,e:int,m:int>"
-        c = "z.best[x.c - z.best[0].e]"
-        allowed = "not exists(z.live, y -> y.c = x.s and y.e <= x.e and (y.e = x.e or x.gone[y.e - x.s - 1] >= y.m))"
+        # Exactly one edge to each position is allowed. Edges are kept by their places (``i`` is that of the next one),
+        # as all that an accumulator holds is copied at each turn; ``at`` is the position of the first one kept.
+        first, kind, met_kind, edge, real = "-1", "int", "int", "edges[{0}]".format, "x >= 0"
+        last, state = "z.at + size(z.best) - 1", ", z.i as i, z.at as at"
+        c = "edges[z.best[x.c - z.at]]"
+        allowed = "not exists(z.live, y -> edges[y].c = x.s and edges[y].e <= x.e and (edges[y].e = x.e or x.gone[edges[y].e - x.s - 1] >= edges[y].m))"
         met = f"x.c > 0 and x.s >= {c}.s and (x.s = {c}.s or {c}.gone[x.s - {c}.s - 1] > x.m)"
-        best = f"if(z.best[size(z.best) - 1].e < x.e and {allowed}, array_append(z.best, {entry}), z.best)"
-        live = f"if({met}, array_append(z.live, struct(x.c as c, x.e as e, x.m as m)), z.live)"
-        turn = f"struct({best} as best, {live} as live)"
+        best = f"if({last} < x.e and {allowed}, array_append(z.best, z.i), z.best)"
+        live = f"if({met}, array_append(z.live, z.i), z.live)"
+        turn = f"struct({best} as best, {live} as live, z.i + 1 as i, z.at as at)"
+        carried, begun = f", a.i as i, a.at + greatest(size(a.best) - {reach}, 0) as at", ", 0 as i, 0 as at"
+        end = "a.at + size(a.best) - 1"
     else:
-        first, kind = "struct(0D as score, 0 as s, -1 as id, 0 as e)", "struct<c:int,e:int,m:int>"
-        last = "z.best[size(z.best) - 1]"
+        first, kind, met_kind, edge, real = "struct(0D as score, 0 as s, -1 as id, 0 as e)", "struct<s:int,e:int,id:int>", "struct<e:int>", "{0}".format, "x.e > 0"
+        last, state, carried, begun = "z.best[size(z.best) - 1]", "", "", ""
         new = "struct(z.best[x.s - z.best[0].e].score + x.score as score, x.s as s, x.id as id, x.e as e)"
         turn = f"struct(case when {last}.e < x.e then array_append(z.best, {new}) when {new} > {last} then array_append(slice(z.best, 1, size(z.best) - 1), {new}) else z.best end as best, z.live as live)"
-    none, step = "cast(array() as array<struct<s:int,e:int,id:int>>)", "struct(x.s as s, x.e as e, x.id as id)"
-    begin = f"array({first}) as best, cast(array() as array<{kind}>) as live"
-    inner = f"aggregate(reverse({{0}}), struct({{1}} as at, {none} as path), (y, x) -> if(x.e = y.at and x.e > 0, struct(x.s as at, array_append(y.path, {step}) as path), y))"
+        end = "a.best[size(a.best) - 1].e"
+    none, step = "cast(array() as array<struct<s:int,e:int,id:int>>)", f"struct({edge('x')}.s as s, {edge('x')}.e as e, {edge('x')}.id as id)"
+    logged = "slice(a.best, size(z.best) + 1, size(a.best))" if model.algorithm == BPE else f"transform(filter(a.best, x -> x.e > z.best[size(z.best) - 1].e), x -> {step})"
+    begin = f"array({first}) as best, cast(array() as array<{met_kind}>) as live{begun}"
+    inner = f"aggregate(reverse({{0}}), struct({{1}} as at, {none} as path), (y, x) -> if({real} and {edge('x')}.e = y.at, struct({edge('x')}.s as at, array_append(y.path, {step}) as path), y))"
     whole = f"transform(array(aggregate(edges, struct({begin}), (z, x) -> {turn}, z -> z.best)), b -> reverse({inner.format('b', 'length(chunk)')}.path))[0]"
-    window = f"aggregate(own, struct(z.best as best, z.live as live), (z, x) -> {turn})"
-    kept = f"struct(slice(a.best, -least(size(a.best), {reach}), {reach}) as best, filter(a.live, y -> y.e > a.best[size(a.best) - 1].e - {reach}) as live, array_append(z.log, transform(filter(a.best, x -> x.e > z.best[size(z.best) - 1].e), x -> {step})) as log)"
-    log = f"aggregate({split}, struct({begin}, cast(array() as array<array<struct<s:int,e:int,id:int>>>) as log), (z, own) -> transform(array({window}), a -> {kept})[0], z -> z.log)"
+    window = f"aggregate(own, struct(z.best as best, z.live as live{state}), (z, x) -> {turn})"
+    kept = f"struct(slice(a.best, -least(size(a.best), {reach}), {reach}) as best, filter(a.live, y -> {edge('y')}.e > {end} - {reach}) as live{carried}, array_append(z.log, {logged}) as log)"
+    log = f"aggregate({split}, struct({begin}, cast(array() as array<array<{kind}>>) as log), (z, own) -> transform(array({window}), a -> {kept})[0], z -> z.log)"
     back = f"aggregate(reverse({log}), struct(length(chunk) as at, cast(array() as array<array<struct<s:int,e:int,id:int>>>) as path), (z, v) -> transform(array({inner.format('v', 'z.at')}), y -> struct(y.at as at, array_append(z.path, y.path) as path))[0], z -> reverse(flatten(z.path)))"
     return rows.withColumn("path", F.expr(f"if(size(starts) = 1, {whole}, {back})")).drop("edges", "starts")
 
@@ -334,29 +326,33 @@ def _blocks(batches):
         yield last
 
 
+def _starts(data: pa.Buffer, bounds: np.ndarray, model: Model) -> np.ndarray:
+    """Where the chunks of the tokens between ``bounds`` begin."""
+    own = data.slice(int(bounds[0]), int(bounds[-1] - bounds[0]))
+    chars = np.frombuffer(own.to_pybytes().decode().encode("utf-32-le"), np.uint32).astype(np.int64)
+    pairs = chars[:-1] << 32 | chars[1:]
+    cut = np.ones(len(chars), bool)
+    cut[1:] = model.pairs[np.minimum(np.searchsorted(model.pairs, pairs), len(model.pairs) - 1)] != pairs
+    opens = np.zeros(len(own), bool)
+    opens[np.flatnonzero((np.frombuffer(own, np.uint8) & 0xC0) != 0x80)[cut]] = True
+    opens[bounds[:-1] - bounds[0]] = True
+    return (np.flatnonzero(opens) + bounds[0]).astype(np.int32)
+
+
 def _chunked(words: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """How many chunks each token has, the numbers of all of them (from 1), and the distinct chunks.
 
-    Words, and words with one sign after them, are most of all tokens and are cut together.
+    A token gets its blank's mark and is cut between characters that no piece holds side by side.
     """
-    plain = pc.utf8_is_alpha(words).to_numpy(zero_copy_only=False)
-    signed = np.zeros(len(words), bool)
-    if model.cuts:
-        signed = pc.match_substring_regex(words, f"^[{LETTER}]+[{SIGN}]$").to_numpy(zero_copy_only=False) & ~plain
-    other = ~plain & ~signed
-    marked = lambda x: pc.binary_replace_slice(x, 0, 0, SPACE)
-    stems = words.filter(pa.array(signed))
-    rest = [chunks(t, model) for t in words.filter(pa.array(other)).to_pylist()]
-    found = [marked(words.filter(pa.array(plain))), marked(pc.utf8_slice_codeunits(stems, 0, -1)), pc.utf8_slice_codeunits(stems, -1), pa.array(list(chain.from_iterable(rest)), pa.string())]
-    coded = pa.concat_arrays(found).dictionary_encode()
-    numbers = np.split(coded.indices.to_numpy().astype(np.uint32) + np.uint32(1), np.cumsum([len(x) for x in found])[:-1])
-    sizes = np.where(signed, 2, 1)
-    sizes[other] = np.fromiter(map(len, rest), np.int64, len(rest))
-    starts = np.cumsum(sizes) - sizes
-    flat = np.zeros(int(sizes.sum()), np.uint32)
-    flat[starts[plain]], flat[starts[signed]], flat[starts[signed] + 1] = numbers[:3]
-    flat[_runs(starts[other], sizes[other])] = numbers[3]
-    return sizes.astype(np.uint32), flat, coded.dictionary
+    marked = pc.binary_replace_slice(words, 0, 0, SPACE)
+    first, last = marked.offset, marked.offset + len(marked)
+    bounds = np.frombuffer(marked.buffers()[1], np.int32)[first : last + 1]
+    data = marked.buffers()[2].slice(int(bounds[0]), int(bounds[-1] - bounds[0]))
+    bounds = bounds - bounds[0]
+    starts = np.concatenate([*(_starts(data, bounds[k : k + STEP // 4 + 1], model) for k in range(0, len(words), STEP // 4)), bounds[-1:]])
+    sizes = np.diff(np.searchsorted(starts, bounds))
+    coded = pa.StringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts), data).dictionary_encode()
+    return sizes.astype(np.uint32), coded.indices.to_numpy().astype(np.uint32) + np.uint32(1), coded.dictionary
 
 
 def _packed(block: _Block, model: Model) -> bytes:
@@ -402,16 +398,21 @@ def _together(payload: bytes, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarr
     docs, known, sums, counts, per_token, flat, seq, chunks = _unpacked(payload)
     if len(keys) != chunks or not (keys == np.arange(1, chunks + 1)).all():
         raise RuntimeError(f"{chunks} chunks went out and {len(keys)} came back: the input was not the same when it was read again")
-    flat = flat.astype(np.int64) - 1
     starts = np.cumsum(sizes) - sizes
-    token_ids = ids[_runs(starts[flat], sizes[flat])]
-    owner = np.repeat(np.arange(len(per_token)), per_token)
-    token_sizes = np.bincount(owner, sizes[flat], len(per_token)).astype(np.int64)
     raw = [model.raw(i) for i in range(len(model.pieces))]
     raw_sizes = np.array([len(x) for x in raw], np.int64)
     raw_starts, letters = np.cumsum(raw_sizes) - raw_sizes, np.frombuffer(b"".join(raw), np.uint8)
-    token_letters = letters[_runs(raw_starts[token_ids], raw_sizes[token_ids])]
-    token_widths = np.bincount(np.repeat(np.arange(len(per_token)), token_sizes), raw_sizes[token_ids], len(per_token)).astype(np.int64)
+    chunk_ends, found = np.concatenate([[0], np.cumsum(per_token, dtype=np.int64)]), []
+    for a in range(0, len(per_token), STEP // 4):
+        some = per_token[a : a + STEP // 4]
+        own = flat[chunk_ends[a] : chunk_ends[a + len(some)]].astype(np.int64) - 1
+        spelled = ids[_runs(starts[own], sizes[own])]
+        n = np.bincount(np.repeat(np.arange(len(some)), some), sizes[own], len(some)).astype(np.int64)
+        widths = np.bincount(np.repeat(np.arange(len(some)), n), raw_sizes[spelled], len(some)).astype(np.int64)
+        found.append((spelled, n, letters[_runs(raw_starts[spelled], raw_sizes[spelled])], widths))
+    none = np.zeros(0, np.int64)
+    token_ids, token_sizes, token_letters, token_widths = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (none, none, none, none)
+    flat = found = None
     id_starts, letter_starts = np.cumsum(token_sizes) - token_sizes, np.cumsum(token_widths) - token_widths
     ends = np.cumsum(counts, dtype=np.int64)
     a = 0
@@ -443,7 +444,8 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     # Counts given by hand are not merged again: a partition of words grows to many times its size as a lattice.
-    spread = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * docs.rdd.getNumPartitions())
+    least, parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions()
+    spread, dealt = max(least, 3 * parts), max(least, 2 * parts)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.spark_partition_id().alias("partition"))
     told = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -464,14 +466,18 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
 
     words = rows.mapInArrow(out_chunks, "key long, chunk string")
     long_ = F.when(F.length("chunk") > WINDOW, F.col("chunk")).alias("long")
-    words = words.select(named(F.col("chunk")).alias("name"), F.shiftright("key", CHUNK_BITS + SHARED_BITS).alias("bucket"), long_, "key").repartition(spread, "name", "bucket")
-    words = words.groupBy("name", "bucket").agg(F.collect_list("key").alias("keys"), F.first("long", ignorenulls=True).alias("long"))
-    coded = encoded_chunks(words.withColumn("chunk", F.coalesce("long", "name")).drop("long"), model, ["name", "bucket"])
+    words = words.select(named(F.col("chunk")).alias("name"), F.shiftright("key", CHUNK_BITS + SHARED_BITS).alias("bucket"), long_, "key")
+    # Dealt by a number that stands for name and bucket: edges are grouped by it and the row's, without the name in each.
+    deal = F.xxhash64("name", "bucket")
+    words = words.repartition(spread, deal).withColumn("deal", deal)
+    words = words.groupBy("deal", "name", "bucket").agg(F.collect_list("key").alias("keys"), F.first("long", ignorenulls=True).alias("long"))
+    words = words.select("deal", F.coalesce("long", "name").alias("chunk"), "keys")
+    coded = encoded_chunks(words, model, ["deal"])
     width = 2 if len(model.pieces) <= 1 << 16 else 4
     data = F.unhex(F.array_join(F.transform("ids", lambda x: F.lpad(F.hex(x), 2 * width, "0")), ""))
     # Texts go first, while no lattice fills the executors' memory beside the workers.
     back = rows.mapInArrow(out_texts, "key long, data binary").unionByName(coded.select(F.explode("keys").alias("key"), data.alias("data")))
-    back = back.repartition(spread, F.shiftright("key", CHUNK_BITS)).sortWithinPartitions("key")
+    back = back.repartition(dealt, F.shiftright("key", CHUNK_BITS)).sortWithinPartitions("key")
 
     def put_together(batches):
         payload, keys, ids, sizes = None, [], [], []

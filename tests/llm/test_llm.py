@@ -307,6 +307,22 @@ def test_small_blocks_and_windows_agree(spark, monkeypatch, block, window):
     assert got == {r["doc_id"]: library.encode(r["text"]) for r in docs.collect()}
 
 
+def test_chunks_end_where_no_piece_goes_on():
+    """Numbers fall into digits, so the chunks of a corpus' numbers are few; no two characters of a chunk but stand side by side in a piece."""
+    import pyarrow as pa
+
+    model = sentencepiece_codec.read_model()
+    inner = {p[k : k + 2] for p in model.ids for k in range(len(p) - 1)}
+    words = [str(n) for n in range(1000)] + ["nombre.", "née漢字😀x9", "a\nb\n\nc", "▁▁if", "", "x" * 300]
+    sizes, numbers, distinct = sentencepiece_codec._chunked(pa.array(["skipped", *words]).slice(1), model)
+    found, ends = [distinct[int(k) - 1].as_py() for k in numbers], [0, *sizes.cumsum().tolist()]
+    for word, a, b in zip(words, ends, ends[1:], strict=False):
+        assert "".join(found[a:b]) == "▁" + word
+        assert all(x[k : k + 2] in inner for x in found[a:b] for k in range(len(x) - 1))
+        assert all(x[-1] + y[0] not in inner for x, y in zip(found[a:b], found[a + 1 : b], strict=False))
+    assert len(set(found[: ends[1000]])) <= 21
+
+
 def paths(spark, model, chunks):
     words = spark.createDataFrame([(c, i) for i, c in enumerate(chunks)], "chunk string, i long").withColumn("name", F.col("chunk"))
     return {r["chunk"]: list(r["ids"]) for r in sentencepiece_codec.encoded_chunks(words, model, ["name"]).collect()}
