@@ -10,6 +10,7 @@ by BLOCK_BYTES, whatever its documents' number; links of a document are kept as
 
 Texts are encoded by the runs between cuts (a blank after a non-blank byte and before a letter, digit
 or sign of a word), as neither tokenizer joins anything across such a place; tests hold the ids against whole texts.
+For the same reason new runs are encoded some at a time, as one text, where such a cut lies between them.
 
 Defined results: a text that is null or empty, or whose tokens do not spell a blank and the text, has no tokens:
 zeros and an empty ``groups_sha256``. Special tokens' strings are plain text. Repeated rows are documents of their
@@ -20,6 +21,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -36,6 +39,8 @@ A_FILE, B_FILE = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe
 SLICE_BYTES, BLOCK_BYTES = 2 << 20, 16 << 20
 #: Runs remembered in a worker, and rows of pairs handed to Spark at once.
 REMEMBERED, ROWS = 200_000, 1 << 16
+#: New runs encoded as one text, and in one vectorised step.
+JOINED, STEP = 32, 1 << 14
 #: Pairs of one group from which on they are counted by distinct ids.
 WIDE = 4096
 #: A pair is a * SPAN + b; both ids are less.
@@ -61,6 +66,7 @@ class Encoders:
     """Both tokenizers, and the bytes that each id spells."""
 
     def __init__(self, a: bytes, b: bytes):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; Spark deals the work
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
@@ -73,16 +79,65 @@ class Encoders:
             self.a_bytes[i] = bytes(alphabet[c] for c in token)
         piece = lambda i: bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode()
         self.b_bytes = [piece(i) for i in range(self.b.get_piece_size())]
-
-    def encode(self, runs: list[bytes]) -> list[tuple[list[int], list[int]] | None]:
-        """Ids of each run, which begins with the blank that B adds; None where they do not spell it."""
-        texts = [r.decode() for r in runs]
-        ids = []
-        for at in range(0, len(texts), 4096):
-            a = [e.ids for e in self.a.encode_batch(texts[at : at + 4096], add_special_tokens=False)]
-            ids += zip(a, self.b.encode([t[1:] for t in texts[at : at + 4096]], num_threads=1), strict=True)
-        spelled = lambda run, a, b: b"".join(map(self.a_bytes.__getitem__, a)) == run == b"".join(map(self.b_bytes.__getitem__, b))
-        return [(a, b) if spelled(run, a, b) else None for run, (a, b) in zip(runs, ids, strict=True)]
+        sizes = [np.fromiter(map(len, x), np.int64, len(x)) for x in (self.a_bytes, self.b_bytes)]
+        self.spelled = [(np.frombuffer(b"".join(x), np.uint8), _before(n)[:-1], n) for x, n in zip((self.a_bytes, self.b_bytes), sizes, strict=True)]
+
+    def encode(self, runs: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """Which runs, that begin with the blank that B adds, are spelled by their tokens; for A and B, the ids of all
+        that are, and how many each run has."""
+        found = [self._encode(runs[at : at + STEP]) for at in range(0, len(runs), STEP)]
+        join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
+        return join([x[0] for x in found], bool), [join([x[1][k] for x in found], np.int32) for k in range(2)], [join([x[2][k] for x in found], np.int64) for k in range(2)]
+
+    def _encode(self, runs: list[bytes], most: int = JOINED) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        laid = b"".join(runs)
+        data, at = np.frombuffer(laid, np.uint8), _before(np.fromiter(map(len, runs), np.int64, len(runs)))
+        # A run follows another in one text just if it would have been cut off there.
+        padded, place = np.append(data, 0), np.arange(len(runs))
+        first = ~((data[at[:-1] - 1] != 32) & (data[at[:-1]] == 32) & _WORD[padded[at[:-1] + 1]] & (np.diff(at) > 1))
+        first[:1] = True
+        text = np.flatnonzero((place - np.maximum.accumulate(np.where(first, place, 0))) % most == 0)
+        bounds = at[np.append(text, len(runs))]
+        texts = [laid[s:e].decode() for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        ids = [[e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)], self.b.encode([t[1:] for t in texts], num_threads=1)]
+        size = [np.fromiter(map(len, x), np.int64, len(x)) for x in ids]
+        flat = [np.fromiter(chain.from_iterable(x), np.int32, int(n.sum())) for x, n in zip(ids, size, strict=True)]
+        # Only where both spell a text byte by byte, and each run ends with a token of both, are its runs told apart.
+        owner = [np.repeat(np.arange(len(texts)), n) for n in size]
+        good = np.ones(len(texts), bool)
+        for i, of, (_, _, lengths) in zip(flat, owner, self.spelled, strict=True):
+            good &= np.bincount(of, lengths[i], len(texts)).astype(np.int64) == np.diff(bounds)
+        for k, (letters, starts, lengths) in enumerate(self.spelled):
+            own = flat[k][good[owner[k]]]
+            of_byte = np.repeat(np.flatnonzero(good), np.diff(bounds)[good])
+            wrong = letters[_ranges(starts[own], lengths[own])] != data[_ranges(bounds[:-1][good], np.diff(bounds)[good])]
+            good[of_byte[wrong]] = False
+        of_run, counts = np.searchsorted(text, place, side="right") - 1, []
+        for k, (_, _, lengths) in enumerate(self.spelled):
+            # Tokens of texts that are told apart, by the byte at which they end.
+            own = owner[k][good[owner[k]]]
+            here = np.cumsum(lengths[flat[k][good[owner[k]]]])
+            gap = (bounds[:-1] - _before(np.where(good, np.diff(bounds), 0))[:-1])[own]
+            ends = np.bincount(here + gap, minlength=len(data) + 1)
+            good[of_run[(ends[at[1:]] == 0) & good[of_run]]] = False
+            counts.append(np.diff(np.cumsum(ends)[at]))
+        if good.all():
+            return np.ones(len(runs), bool), flat, counts
+        if most == 1:
+            sizes = [np.where(good, n, 0) for n in size]
+            return good, [x[good[of]] for x, of in zip(flat, owner, strict=True)], sizes
+        # Texts that are not: their runs one by one.
+        rest = np.flatnonzero(~good[of_run])
+        ok, other, other_counts = self._encode([runs[i] for i in rest.tolist()], 1)
+        every = np.ones(len(runs), bool)
+        every[rest] = ok
+        for k in range(2):
+            own, counts[k][rest] = flat[k][good[owner[k]]], other_counts[k]
+            of_token = np.repeat(place, counts[k])
+            late = np.isin(of_token, rest)
+            flat[k] = np.empty(len(of_token), np.int32)
+            flat[k][late], flat[k][~late] = other[k], own
+        return every, flat, counts
 
 
 class _Runs:
@@ -101,14 +156,12 @@ class _Runs:
     def number(self, runs: list[bytes]) -> np.ndarray:
         new = list(dict.fromkeys(r for r in runs if r not in self.numbers))
         if new:
-            ids = self.encoders.encode(new)
+            good, flat, sizes = self.encoders.encode(new)
             self.numbers.update(zip(new, range(len(self.good), len(self.good) + len(new)), strict=True))
-            self.good = np.concatenate([self.good, np.array([x is not None for x in ids])])
+            self.good = np.concatenate([self.good, good])
             for k in range(2):
-                own = [x[k] if x else [] for x in ids]
-                sizes = np.fromiter(map(len, own), np.int64, len(own))
-                self.flat[k] = np.concatenate([self.flat[k], np.fromiter((i for x in own for i in x), np.int32, int(sizes.sum()))])
-                self.at[k] = np.concatenate([self.at[k], self.at[k][-1] + np.cumsum(sizes)])
+                self.flat[k] = np.concatenate([self.flat[k], flat[k]])
+                self.at[k] = np.concatenate([self.at[k], self.at[k][-1] + np.cumsum(sizes[k])])
         return np.fromiter(map(self.numbers.__getitem__, runs), np.int64, len(runs))
 
     def ids(self, k: int, numbers: np.ndarray) -> np.ndarray:
@@ -261,8 +314,9 @@ def _align(batch: pa.RecordBatch, runs: _Runs, lengths: list[np.ndarray], numera
     some = np.flatnonzero(sizes)
     doc_starts = _before(sizes[some])[:-1]
     starts = run_starts(np.frombuffer(laid, np.uint8), doc_starts) if laid else np.zeros(0, np.int64)
-    ends = np.append(starts[1:], len(laid))
-    numbers = runs.number([laid[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]) if laid else np.zeros(0, np.int64)
+    bounds = np.append(starts, len(laid))
+    coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(laid)]).dictionary_encode()
+    numbers = runs.number(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
     run_doc = np.searchsorted(doc_starts, starts, side="right") - 1
     good = np.ones(len(some), bool)
     good[run_doc[~runs.good[numbers]]] = False

@@ -114,6 +114,33 @@ def test_runs_spell_what_whole_texts_do():
             assert [runs.ids(k, numbers).tolist() for k in range(2)] == [ids for ids, _ in whole]
 
 
+def test_runs_encoded_together_give_what_each_gives_alone(monkeypatch):
+    rng = random.Random(6)
+    parts = ["a", "the", "'s", "É", "\xa0", "▁", "漢", "9", "-", "\t", "Straße", "\x1c", "😀", "ч", "!?", "\n", " "]
+    odd = [" " + "".join(rng.choice(parts) for _ in range(rng.randint(0, 6))) for _ in range(500)]
+    runs = [r.encode() for r in dict.fromkeys([f" w{k}" for k in range(640)] + odd)]
+    alone = [tokens(r.decode()[1:]) if len(r) > 1 else None for r in runs]
+    for step in (7, ta.STEP):
+        monkeypatch.setattr(ta, "STEP", step)
+        good, flat, sizes = ENCODERS.encode(runs)
+        assert good.tolist() == [x is not None for x in alone]
+        for k in range(2):
+            ends = np.cumsum(sizes[k])
+            assert [flat[k][e - n : e].tolist() for e, n in zip(ends, sizes[k], strict=True)] == [x[k][0] if x else [] for x in alone]
+    handed = []
+
+    class Told:
+        def encode_batch_fast(self, texts, **how):
+            handed.extend(texts)
+            return own.encode_batch_fast(texts, **how)
+
+    own = ENCODERS.a
+    monkeypatch.setattr(ENCODERS, "a", Told())
+    ENCODERS.encode(runs[:640])
+    assert "".join(handed).encode() == b"".join(runs[:640]) and len(handed) <= 640 // ta.JOINED
+    assert [x.tolist() for x in ENCODERS.encode([])[1]] == [[], []]
+
+
 def test_query(spark):
     rows = [(r["doc_id"], r["text"]) for r in table(spark, SF, "documents").collect()]
     got = sorted(tuple(r) for r in llm_queries.op12_token_alignment(spark, SF).collect())
