@@ -207,6 +207,12 @@ def test_function_scores(spark):
     assert [(r["path"], r["number"]) for r in sorted(rows)] == [("a.ts", 0), ("a.ts", 1), ("a.ts", 2)] and all(0 < r["ai"] < 1 for r in rows)
 
 
+def test_all_functions_of_a_file_are_scored(spark):
+    body = "function f{0}(a) {{\n  const b = a + {0};\n  const c = b * 2;\n  log(c);\n  return g(c);\n}}\n"
+    rows = authorship.function_scores(spark.createDataFrame([("a.ts", "".join(body.format(n) for n in range(95)), "typescript")], "path string, text string, lang string")).collect()
+    assert sorted(r["number"] for r in rows) == list(range(95))
+
+
 def test_a_function_that_files_share_is_scored_once(spark, monkeypatch):
     seen, plain = [], authorship.signals_of
     monkeypatch.setattr(authorship, "signals_of", lambda rows: (seen.append(rows.count()), plain(rows))[1])
