@@ -186,6 +186,77 @@ def found_any(text: Column, patterns: list[str], lowered: Column | None = None)
     return F.exists(held, lambda x: F.contains(low, x)) & test
 
 
+def _wide(tree, folded: bool) -> str:
+    from re import _constants as C
+
+    out = []
+    for op, arg in tree:
+        if op is C.LITERAL:
+            out.append(re.escape(chr(arg)))
+        elif op is C.NOT_LITERAL:
+            out.append(f"[^\\x{{{arg:x}}}]")
+        elif op is C.ANY:
+            out.append("(?s:.)")
+        elif op is C.IN:
+            parts = {C.LITERAL: lambda x: f"\\x{{{x:x}}}", C.RANGE: lambda x: f"\\x{{{x[0]:x}}}-\\x{{{x[1]:x}}}", C.CATEGORY: lambda x: _CLASS[x], C.NEGATE: lambda _: "^"}
+            out.append("[" + "".join(parts[o](a) for o, a in arg) + "]")
+        elif op in (C.MAX_REPEAT, C.MIN_REPEAT, C.POSSESSIVE_REPEAT):
+            low, high = min(arg[0], 8), arg[1] if arg[1] <= 8 else None
+            out.append(f"(?:{_wide(arg[2], folded)}){{{low},{'' if high is None else high}}}")
+        elif op is C.SUBPATTERN:
+            within = _wide(arg[3], folded)
+            out.append(f"(?i:{within})" if arg[1] & re.I else f"(?-i:{within})" if arg[2] & re.I else f"(?:{within})")
+        elif op is C.ATOMIC_GROUP:
+            out.append(f"(?:{_wide(arg, folded)})")
+        elif op is C.BRANCH:
+            out.append("(?:" + "|".join(_wide(b, folded) for b in arg[1]) + ")")
+        elif op not in (C.AT, C.ASSERT, C.ASSERT_NOT):
+            raise ValueError(f"no automaton for {op}")
+    return "".join(out)
+
+
+@cache
+def wide(pattern: str) -> str:
+    """An automaton's form that matches wherever Java's does, and in more places.
+
+    Borders and looks ahead and back are left out, loops go on where they may end early, counts over eight are eight or more.
+    """
+    from re import _constants as C
+    from re import _parser
+
+    _CLASS.update({C.CATEGORY_SPACE: r"\s\x0b", C.CATEGORY_NOT_SPACE: r"\S", C.CATEGORY_WORD: r"\w", C.CATEGORY_NOT_WORD: r"\W", C.CATEGORY_DIGIT: r"\d", C.CATEGORY_NOT_DIGIT: r"\D"})
+    parsed = _parser.parse(pattern)
+    folded = bool(parsed.state.flags & re.I)
+    return ("(?i)" if folded else "") + _wide(parsed, folded)
+
+
+#: Classes of characters as an automaton's expressions write them; Java's blanks hold the vertical tab.
+_CLASS: dict = {}
+
+
+#: Wide forms that one automaton takes; far more of them have too many states.
+TOGETHER = 6
+
+
+def held(texts: pa.Array, patterns: tuple[str, ...]) -> np.ndarray:
+    """Whether each text may match one of Java's patterns: all that do are told, and few others.
+
+    First one automaton of words that matches hold, as it is fast in texts without any; in what is left, the wide forms.
+    """
+    short = {p: min(map(len, last_words(p)), default=0) < 3 for p in patterns}
+    words = sorted({w for p in patterns if not short[p] for w in last_words(p)})
+    first = "|".join([f"(?i:{re.escape(w)})" for w in words] + [f"(?:{wide(p)})" for p in patterns if short[p]])
+    out = pc.match_substring_regex(texts, first)
+    places, some = np.flatnonzero(out), texts.filter(out)
+    out = np.zeros(len(texts), bool)
+    for k in range(0, len(patterns) if len(places) else 0, TOGETHER):
+        more = pc.match_substring_regex(some, "|".join(f"(?:{wide(p)})" for p in patterns[k : k + TOGETHER]))
+        out[places[np.flatnonzero(more)]] = True
+        rest = pc.invert(more)
+        places, some = places[np.flatnonzero(rest)], some.filter(rest)
+    return out
+
+
 def counted(text: Column, pattern: str) -> Column:
     """Number of matches."""
     return F.when(worth(text, pattern), F.regexp_count(text, F.lit(java(pattern)))).otherwise(0)

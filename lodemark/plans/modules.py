@@ -235,7 +235,8 @@ _REACHED = f"SELECT path, above + ln AS line, 'xss' AS id, f.name || d AS \"func
 
 
 def reached_findings(p):
-    found = detectors.findings(p.files).select("path", "line", "id")
+    # Places and their functions both read the findings; the detectors run once.
+    found = stored(detectors.findings(p.files).select("path", "line", "id"), "findings")
     return callgraph.classified(found, p.facts, callgraph.reach(p.facts, callgraph.edges(p.facts, p.means)), callgraph.Taint(p.facts, p.means).functions())
 
 
@@ -258,7 +259,7 @@ def exploitability_context(g):
     a file of many findings and guards has no pairs but those near each other.
     """
     p = Program(g)
-    rows = near_guards(reached_findings(p), detectors.lines_of(p.files))
+    rows = near_guards(stored(reached_findings(p), "reached"), detectors.sieved(p.files, [GUARDED, LIMITED]))
     bases = g.spark.createDataFrame([(k, base_score(v)) for k, v in PROFILES.items()], "id string, base double")
     rows = rows.join(F.broadcast(bases), "id", "left").withColumn("base", F.coalesce("base", F.lit(base_score(DEFAULT_PROFILE))))
     factor = F.create_map(*[F.lit(x) for kv in REACHED.items() for x in kv])
