@@ -73,9 +73,10 @@ _PATH = "'src/p' || d % 10 || '/m' || d || CASE d % 10 WHEN 3 THEN '/index.ts' W
 
 
 class Program:
-    """The files of a program and their facts, which are worked out once."""
+    """The files of a program and their facts, which are worked out once; those of ``measure`` only if asked for."""
 
-    def __init__(self, g):
+    def __init__(self, g, measure: bool = False):
+        self.measure = measure
         docs = spread(g.table("documents").where("doc_id is not null"), "doc_id").select(F.col("doc_id").cast("long").alias("d"), F.coalesce("text", F.lit("")).alias("text"))
         docs = docs.select("d", "text", *(F.expr(f"cast({v} as long)").alias(n) for n, v in NUMBERS.items()))
         comment = F.concat(F.lit("// "), F.replace("text", F.lit("\n"), F.lit("\n// ")))
@@ -83,7 +84,7 @@ class Program:
 
     @cached_property
     def facts(self):
-        return stored(source.facts(self.files), "facts")
+        return stored(source.facts(self.files, measure=self.measure), "facts")
 
     @cached_property
     def resolved(self):
@@ -180,7 +181,7 @@ _TABLE = "(VALUES " + ", ".join(f"('{n}', '{k}', {s}, {e}, {p!r}, {c}, {x}, {en}
 @query("function_table", f"WITH {_MODULES} SELECT path, {_NAME} AS name, kind, above + f.line AS line, above + f.end_line AS end_line, params, complexity::INT AS complexity, nesting::INT AS nesting, is_entry FROM m, {_TABLE}")
 def function_table(g):
     """Each function with its span, parameters, complexity and nesting."""
-    return callgraph.functions(Program(g).facts).select("path", "name", "kind", "line", "end_line", "params", "complexity", "nesting", "is_entry")
+    return callgraph.functions(Program(g, measure=True).facts).select("path", "name", "kind", "line", "end_line", "params", "complexity", "nesting", "is_entry")
 
 
 @query("class_table", f"WITH {_MODULES} SELECT path, 'M' || d AS name, above + 26 AS line, above + 28 AS end_line, TRUE AS is_exported, 'Base' AS base, ['run'] AS methods FROM m")

@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lodemark.operators import detectors, matching
+from lodemark.operators import detectors, matching, source
 from lodemark.plans import modules, samples
 from lodemark.sources.governance import Governance
 
@@ -54,3 +54,9 @@ def test_detectors_read_a_program_once(spark, monkeypatch):
     monkeypatch.setattr(modules, "stored", lambda df, name: (read.append(name), plain(df, name))[1])
     rows = modules.exploitability_context(Governance(spark, "/root/testdata/sf0.001"))
     assert {"findings", "reached"} <= set(read) and rows.count() == 4 * Governance(spark, "/root/testdata/sf0.001").table("documents").count()
+
+
+def test_facts_without_measures():
+    full, part = source.describe(modules.CODE, "typescript"), source.describe(modules.CODE, "typescript", measure=False)
+    assert part["measures"] is None and all(part[k] == full[k] for k in ("classes", "imports", "exports", "calls", "flows"))
+    assert [f.keys() & {"complexity", "volume"} for f in part["functions"]] == [set()] * len(full["functions"]) and [f["line"] for f in part["functions"]] == [f["line"] for f in full["functions"]]
